@@ -18,11 +18,12 @@ With 32 bands of 8 rows a pair at Jaccard 0.8 shares a bucket with probability 0
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -201,18 +202,44 @@ def ngram_jaccard_join(
     named. An id that repeats with an equal text counts as copies of one row. An empty table gives
     an empty result.
     """
-    bands = band_shape(threshold, recall, rows)
-    sig = stored(sketches(docs, id_col, text_col, n, bands, rows))
+    sig = stored(sketches(docs, id_col, text_col, n, band_shape(threshold, recall, rows), rows))
+    return join_sketches(sig, docs, id_col, text_col, n, threshold).withColumnRenamed("id", id_col)
+
+
+@contextmanager
+def runtime_filters(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark filter the large side of a shuffled join by a Bloom filter of the small one.
+
+    Spark itself bounds the filter's size and leaves it out where the small side is too large.
+    """
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "0")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def join_sketches(sig: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> DataFrame:
+    """The join itself, from stored ``sig`` (as ``sketches`` gives) and the texts; its id is ``id``."""
     classes = stored(sig.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    reps = sig.join(classes.where("rep IS NOT NULL"), ["k1", "k2"]).where("id = rep")
-    keys = stored(reps.select("rep", F.explode("bands").alias("key")))
+    reps = stored(sig.join(classes.where("rep IS NOT NULL"), ["k1", "k2"]).where("id = rep").select("rep", "copies", "bands"))
+    keys = reps.select("rep", F.explode("bands").alias("key"))
     buckets = stored(keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low"))
-    near = stored(connected_components(keys.join(buckets, "key").select(F.col("rep").alias("a"), F.col("low").alias("b"))))
+    with runtime_filters(sig.sparkSession):
+        edges = stored(keys.join(buckets.where("low >= 0 OR low < 0"), "key").where("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
+    near = connected_components(edges)
 
     text = F.lower(F.col(text_col).cast("string"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    named = near.join(classes.select(F.col("rep").alias("id"), "copies"), "id").dropDuplicates(["id"])
-    members = stored(named.join(texts, "id").withColumn("n_bytes", F.octet_length("text").cast("long")).dropDuplicates(["id"]))
+    named = stored(near.join(reps.select(F.col("rep").alias("id"), "copies"), "id").dropDuplicates(["id"]))
+    with runtime_filters(sig.sparkSession):
+        found = texts.join(named.where("copies > 0"), "id").withColumn("n_bytes", F.octet_length("text").cast("long"))
+        members = stored(found.dropDuplicates(["id"]))
     found = stored(verified_links(members, n, threshold))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
@@ -223,7 +250,7 @@ def ngram_jaccard_join(
     )
     out = sig.select("id", "k1", "k2").join(about, ["k1", "k2"], "left")
     return out.select(
-        F.col("id").alias(id_col),
+        "id",
         F.coalesce("rep", "id").alias("copy_id"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
