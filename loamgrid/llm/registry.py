@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, near_join, sharding, vector_dedup
+from . import fingerprints, mixing, near_join, packing, sharding, vector_dedup
 from .tables import read_table
 
 
@@ -22,6 +22,15 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.cosine_links(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = mixing.mix_sources(read_table(spark, sf_dir, "documents"))
+    return placed.selectExpr("row.doc_id AS doc_id", "source", "block", "phase", "slot", "release", "due", "position")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
@@ -30,6 +39,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_sharding": op2_sharding,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_packing": op4_packing,
+    "op8_mixing": op8_mixing,
     "op10_fingerprints": op10_fingerprints,
 }
 
