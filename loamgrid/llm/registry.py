@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, near_join, packing, sharding, vector_dedup
+from . import fingerprints, html_text, language, mixing, near_join, packing, quality, sharding, vector_dedup
 from .tables import read_table
 
 
@@ -26,6 +26,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = mixing.mix_sources(read_table(spark, sf_dir, "documents"))
     return placed.selectExpr("row.doc_id AS doc_id", "source", "block", "phase", "slot", "release", "due", "position")
@@ -40,6 +52,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_packing": op4_packing,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_quality": op6_quality,
+    "op7_language": op7_language,
     "op8_mixing": op8_mixing,
     "op10_fingerprints": op10_fingerprints,
 }
