@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import connected_components
 from .shingles import Permutations, band_keys, distinct_sets, ngram_hashes, sequence_keys, utf8, word_hashes
@@ -206,6 +207,17 @@ def ngram_jaccard_join(
     return join_sketches(sig, docs, id_col, text_col, n, threshold).withColumnRenamed("id", id_col)
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, without near-duplicates: of each class the smallest id stays.
+
+    Of rows with the same id one stays; rows with a null id stay, as no id names them.
+    """
+    kept = stored(ngram_jaccard_join(docs, id_col, text_col, n, threshold).where("kept").select(F.col(id_col).alias("_kept")).distinct())
+    order = Window.partitionBy(docs[id_col]).orderBy(docs[id_col])
+    chosen = docs.join(kept, docs[id_col].cast("long") == kept["_kept"], "left_semi").withColumn("_nth", F.row_number().over(order))
+    return chosen.where("_nth = 1").drop("_nth").unionByName(docs.where(docs[id_col].isNull()))
+
+
 @contextmanager
 def runtime_filters(spark: SparkSession) -> Iterator[None]:
     """Lets Spark filter the large side of a shuffled join by a Bloom filter of the small one.

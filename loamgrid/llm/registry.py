@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_text, language, mixing, near_join, packing, quality, sharding, vector_dedup
+from . import fingerprints, html_text, language, lm_scoring, mixing, near_join, packing, quality, sharding, vector_dedup
 from .tables import read_table
 
 
@@ -43,6 +43,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.selectExpr("row.doc_id AS doc_id", "source", "block", "phase", "slot", "release", "due", "position")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_language": op7_language,
     "op8_mixing": op8_mixing,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_fingerprints": op10_fingerprints,
 }
 
