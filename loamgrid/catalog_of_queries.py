@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import eval_queries, file_queries, maintenance_queries, search_queries
+from .plans.registry import Query
+
+_ALL = [file_queries.query, search_queries.query, maintenance_queries.query, eval_queries.query]
+QUERIES: dict[str, Query] = {name: f for group in _ALL for name, f in group.functions.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for group in _ALL for name, sql in group.sql.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return search_queries.r07_hybrid(spark, sf_dir)

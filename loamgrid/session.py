@@ -38,6 +38,7 @@ def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> Sp
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for k, v in conf.items():
         builder = builder.config(k, v)
