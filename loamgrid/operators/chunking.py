@@ -179,7 +179,7 @@ def brace_definitions(text: str, language: str) -> list[Definition]:
     at = lambda p: bisect_right(line_of, p)
     spans: list[tuple[int, int, str, str | None]] = []
     for m in _BRACE_CLASS.finditer(plain):
-        name = re.split(r"\s+(?:extends|implements|where)\b|[:(]", text[m.start(2) : m.end(2)])[0].strip()
+        name = re.split(r"\s+(?:extends|implements|where)\b|[:(<]", text[m.start(2) : m.end(2)])[0].strip()
         spans.append((m.start(), closes[m.end() - 1], "impl" if m[1] == "impl" else "class", name))
     for m in _BRACE_FUNCTION.finditer(plain):
         if not re.match(r"\s*(?:[\w@]+\s+)*(class|interface|enum|record|struct|impl)\b", m[0]):

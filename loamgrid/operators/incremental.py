@@ -127,9 +127,9 @@ class Snapshots:
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
     def manifest(self) -> dict:
-        if not self._fs.exists(self._path("_manifest.json")):
+        if not self._fs.exists(self._path("manifest.json")):
             return {"schema": model.SCHEMA_VERSION, "tables": {}, "meta": {}}
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/_manifest.json").collect()))
+        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/manifest.json").collect()))
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
         live = self.manifest()["tables"].get(name) if version is None else version
@@ -148,12 +148,12 @@ class Snapshots:
             writer.parquet(f"{self.root}/{name}/v={version}")
             now["tables"][name] = version
         now["meta"] |= meta or {}
-        fresh = self._path(f"_manifest-{uuid.uuid4().hex}.json")
+        fresh = self._path(f"manifest-{uuid.uuid4().hex}.json")
         out = self._fs.create(fresh, True)
         out.write(bytearray(json.dumps(now).encode()))
         out.close()
-        if self._fs.exists(self._path("_manifest.json")):
-            self._fs.delete(self._path("_manifest.json"), False)
-        if not self._fs.rename(fresh, self._path("_manifest.json")):
+        if self._fs.exists(self._path("manifest.json")):
+            self._fs.delete(self._path("manifest.json"), False)
+        if not self._fs.rename(fresh, self._path("manifest.json")):
             raise OSError("the manifest could not be swapped")
         return now

@@ -17,7 +17,7 @@ from ..functions import scalars as X
 def tree(spark: SparkSession, root: str) -> DataFrame:
     """Path, size and version of every file below ``root``; contents are not read."""
     at = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.split("://")[-1].split(":", 1)[-1].rstrip("/") + "/")
+    base = root.split("://")[-1].split(":", 1)[-1].rstrip("/") + "/"
     return at.select(
         F.regexp_replace(F.substring_index(F.col("path"), base, -1), "^/+", "").alias("file_path"),
         F.col("length").alias("size"),
@@ -29,7 +29,7 @@ def tree(spark: SparkSession, root: str) -> DataFrame:
 def contents(spark: SparkSession, root: str) -> DataFrame:
     """Path and text of every file below ``root``."""
     at = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.split("://")[-1].split(":", 1)[-1].rstrip("/") + "/")
+    base = root.split("://")[-1].split(":", 1)[-1].rstrip("/") + "/"
     return at.select(F.regexp_replace(F.substring_index(F.col("path"), base, -1), "^/+", "").alias("file_path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"))
 
 
