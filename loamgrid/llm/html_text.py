@@ -26,6 +26,8 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
+#: Elements that mark an article: a part that holds all of a page's is not outside it.
+CORE = frozenset("article main h1".split())
 #: Never part of an article's text.
 NO_TEXT = frozenset(
     "script style noscript template svg math canvas audio video iframe object embed applet form button input select textarea datalist "
@@ -219,17 +221,16 @@ def densities(page: Page, kept: list[bool]) -> tuple[list[float], list[float], l
 def _kept(page: Page) -> list[bool]:
     """Which nodes are not within a part outside the article."""
     n = len(page.tags)
-    chars, core = [0] * n, [False] * n
+    chars, core = [0] * n, [int(t in CORE) for t in page.tags]
+    cored = sum(core)
     for node, _, text in page.pieces:
         chars[node] += len(text)
     no_text = [t in NO_TEXT for t in page.tags]
     for i in range(n - 1, 0, -1):
         p = page.parents[i]
-        core[i] = core[i] or page.tags[i] in ("article", "main", "h1", "body")
         if not no_text[i]:
             chars[p] += chars[i]
-            core[p] = core[p] or core[i]
-    cored = any(t in ("article", "main", "h1") for t in page.tags)
+            core[p] += core[i]
     kept, in_article = [True] * n, [False] * n
     text_left = chars[0]
     for sure in (True, False):
@@ -237,9 +238,10 @@ def _kept(page: Page) -> list[bool]:
             p = page.parents[i]
             in_article[i] = in_article[p] or page.tags[i] in ("article", "main")
             drop = page.outside[i]
-            if page.tags[i] == "header" and not in_article[p] and not core[i]:
+            if page.tags[i] == "header" and not in_article[p]:
                 drop = max(drop, 1)
-            if not no_text[i] and (core[i] or ((drop == 1 or not cored) and 2 * chars[i] > text_left)):
+            alone = core[i] == cored if cored else drop == 2 and 2 * chars[i] > text_left
+            if not no_text[i] and (alone or (drop == 1 and not core[i] and 2 * chars[i] > text_left)):
                 drop = 0
             kept[i] = kept[p] and not (drop == 2 or (drop == 1 and not sure))
             if sure and kept[p] and not kept[i] and not no_text[i]:
