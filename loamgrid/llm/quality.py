@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import utf8
+from .shingles import row_slices, utf8
 
 WIDTH, FILTERS, CHUNK = 6, 16, 64
 #: Byte value of the padding after a text's end.
@@ -31,7 +31,8 @@ PAD = 256
 SLAB = 1 << 17
 #: Labelled documents of the training sample, at most, and the chunks of one document in a step.
 SAMPLE, STEP_CHUNKS = 4000, 24
-EPOCHS, BATCH, RATE = 14, 64, 0.01
+#: Passes over the sample, and steps at least, so that small samples are learned too.
+EPOCHS, STEPS, BATCH, RATE = 14, 800, 64, 0.01
 THRESHOLD = 0.7
 
 
@@ -85,8 +86,9 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Network:
     slow = [np.zeros_like(p) for p in params]
     fast = [np.zeros_like(p) for p in params]
     steps = 0
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS) + 1e-4
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(docs)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs) + 1e-4
         order = draw.permutation(len(docs))
         for lo in range(0, len(order), BATCH):
             batch = order[lo : lo + BATCH]
@@ -146,11 +148,8 @@ def _scored(net: Network):
         for batch in batches:
             data, rows = utf8(batch.column("text"))
             scores = np.empty(batch.num_rows)
-            lo = 0
-            while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(rows, rows[lo] + (1 << 22), "right")) - 1)
+            for lo, hi in row_slices(rows, 1 << 20):
                 scores[lo:hi] = net.scores(data[rows[lo] : rows[hi]], rows[lo : hi + 1] - rows[lo])
-                lo = hi
             columns = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != "text"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores)], [*(c for c in batch.schema.names if c != "text"), "score"])
 
