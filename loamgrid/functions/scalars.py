@@ -181,3 +181,22 @@ def path_relevance(query: str, path: Column) -> Column:
     if not words:
         return F.lit(0.0)
     return sum((F.lower(path).contains(w).cast("int") for w in words), F.lit(0)) / len(words)
+
+
+def stage_error(*parts: Column) -> Column:
+    """The parts that are not null, joined by a middle dot."""
+    return F.concat_ws(" · ", *parts)
+
+
+def model_width(name: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in model.MODEL_WIDTHS.items() for x in kv])[name], F.lit(1536))
+
+
+def rounded_score(score: Column) -> Column:
+    return F.round(score, 6)
+
+
+def custom_patterns(given: Column, default: list[str]) -> Column:
+    """Whether two pattern sets differ, order aside."""
+    known = F.array(*[F.lit(x) for x in default]) if default else F.array().cast("array<string>")
+    return (F.size(F.array_except(given, known)) > 0) | (F.size(F.array_except(known, given)) > 0)

@@ -94,3 +94,19 @@ def weakest(groups: DataFrame, metric: str, n: int, by: str) -> DataFrame:
 def rates(grades: DataFrame, by: list[str], conditions: dict[str, Column]) -> DataFrame:
     """The share of rows for which each condition holds."""
     return grades.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(c.cast("int")).alias(k) for k, c in conditions.items()])
+
+
+def report_lines(table: DataFrame, by: str, names: list[str] | None = None) -> DataFrame:
+    """Each row of a table of means as one line of padded columns with three decimals."""
+    names = names or METRICS
+    cells = [F.rpad(F.col(by).cast("string"), 24, " "), F.lpad(F.col("queries").cast("string"), 8, " ")]
+    return table.select(by, F.concat(*cells, *[F.lpad(F.format_number(F.col(m), 3), 10, " ") for m in names]).alias("line"))
+
+
+def secondary_hits(ranked: DataFrame, qrels: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """Relevant items after the best one among the first five; null for queries with fewer than
+    two relevant items, which means do not count."""
+    many = qrels.where("grade > 0").groupBy(*keys).agg(F.count("*").alias("relevant"))
+    hits = judged(ranked.where("rank <= 5"), qrels, keys, item).groupBy(*keys).agg(F.sum((F.col("grade") > 0).cast("long")).alias("hits"))
+    found = F.when(F.col("relevant") >= 2, F.greatest(F.col("hits") - 1, F.lit(0)))
+    return hits.join(many, keys, "left").select(*keys, found.cast("double").alias("secondary_hits"))

@@ -56,15 +56,17 @@ def last_wins(meta: DataFrame) -> DataFrame:
     return meta.groupBy("key").agg(F.max_by("value", "seq").alias("value"))
 
 
-def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The last row of each key."""
-    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_nth = 1").drop("_nth")
+def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Each key's row with the greatest ``order``. An aggregate, so a key with many rows is combined
+    before the shuffle."""
+    row = F.struct(*[c for c in rows.columns if c not in keys])
+    return rows.groupBy(*keys).agg(F.max_by(row, F.struct(*order)).alias("_row")).select(*keys, "_row.*")
 
 
 def reusable_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
     """The newest run of each key that is still running or has failed."""
     open_runs = runs.where(F.col("status").isin("running", "failed"))
-    return latest(open_runs, keys, [F.desc("started_at"), F.desc("seq")])
+    return latest(open_runs, keys, ["started_at", "seq"])
 
 
 def folded(events: DataFrame, keys: list[str], fields: list[str], order: str = "seq") -> DataFrame:
@@ -80,6 +82,24 @@ def run_summary(files: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def resumed(listing: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:
+    """D03, D06, ST2: listed files that the run to resume has not completed in this version."""
+    done = manifest.where("status = 'completed'").select(*keys, "sha")
+    return listing.join(done, [*keys, "sha"], "left_anti")
+
+
+#: The states a source may pass to from each state.
+TRANSITIONS = {"pending": ["syncing", "deleting"], "syncing": ["ready", "error", "deleting"], "ready": ["syncing", "deleting"], "error": ["syncing", "deleting"], "deleting": ["error"]}
+
+
+def lifecycle(events: DataFrame, keys: list[str], status: str = "status", order: str = "seq") -> DataFrame:
+    """Each change of state with the one before it, and whether it is allowed."""
+    before = F.coalesce(F.lag(status).over(Window.partitionBy(*keys).orderBy(order)), F.lit("pending"))
+    allowed = F.array(*[F.lit(f"{a}>{b}") for a, after in TRANSITIONS.items() for b in [*after, a]])
+    rows = events.withColumn("before", before)
+    return rows.withColumn("allowed", F.array_contains(allowed, F.concat_ws(">", "before", status)))
+
+
 def pending(manifest: DataFrame) -> DataFrame:
     """Files of a run still to be done, by path."""
     return manifest.where("status != 'completed'").orderBy("file_path")

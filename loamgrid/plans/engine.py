@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,25 @@ class HashProvider:
         return out
 
 
+class RetryingProvider:
+    """Repeats a provider's failed requests up to three times, after the seconds that the error asks
+    for (``retry_after``) or 1, 2 and 4 seconds. Other errors than ``OSError`` pass through."""
+
+    def __init__(self, inner: EmbeddingProvider, retries: int = 3, wait: float = 1.0):
+        self.inner, self.retries, self.wait = inner, retries, wait
+        self.dimensions, self.max_batch_size = inner.dimensions, inner.max_batch_size
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        for n in range(self.retries + 1):
+            try:
+                return self.inner.embed(texts)
+            except OSError as e:
+                if n == self.retries:
+                    raise
+                time.sleep(getattr(e, "retry_after", None) or self.wait * 2**n)
+        raise AssertionError
+
+
 class Engine:
     """``sync`` brings a listing of files into the index; the other methods are its tools."""
 
@@ -108,5 +128,17 @@ class Engine:
     def readme(self, scope: str = "") -> DataFrame:
         return catalog.readme(catalog.first_chunks(self.chunks()), ["data_source_id"], scope)
 
+    def rebuild_vectors(self) -> None:
+        """All vectors anew, for a provider that has changed; chunks stay."""
+        vectors = incremental.with_vectors(self.chunks(), self.provider)
+        self.store.publish({"embeddings": vectors}, {"fingerprint": self.fingerprint, "width": self.provider.dimensions})
+
+    def remove(self, data_source_id: str) -> None:
+        """One source's chunks, vectors and manifest go, all at once."""
+        gone = self.chunks().where(F.col("data_source_id") == data_source_id)
+        keep = F.col("data_source_id") != data_source_id
+        vectors = incremental.without(self.store.table("embeddings"), gone, ["chunk_id"])
+        self.store.publish({"chunks": self.chunks().where(keep), "embeddings": vectors, "manifest": self.store.table("manifest").where(keep)})
+
     def files(self) -> DataFrame:
         return catalog.reassembled(self.chunks(), ["data_source_id", "file_path"])

@@ -118,3 +118,14 @@ def j09_judged(spark, d):
 def t10_weakest(spark, d):
     held = metrics(spark, d).where("mode = 'exact'").withColumn("intent", F.floor(F.col("query_id") / 100) % 10)
     return rounded(ev.weakest(ev.means(held, ["intent"], ["ndcg_10"]), "ndcg_10", 3, "intent"), ["ndcg_10"]).select("intent", "ndcg_10")
+
+
+@query(f"""WITH {EVAL_SQL}, h AS (SELECT query_id, sum(CASE WHEN grade > 0 THEN 1 ELSE 0 END) AS hits FROM hits WHERE mode = 'exact' AND rank <= 5 GROUP BY 1)
+SELECT query_id, CASE WHEN relevant >= 2 THEN CAST(greatest(hits - 1, 0) AS DOUBLE) END AS secondary_hits FROM h LEFT JOIN ideal USING (query_id)""")
+def a13_e06_secondary_hits(spark, d):
+    return ev.secondary_hits(ranked(spark, d).where("mode = 'exact'"), qrels(spark, d), ["query_id"], "item")
+
+
+@query(f"""WITH {EVAL_SQL} SELECT mode, concat(rpad(mode, 24, ' '), lpad(CAST(count(*) AS VARCHAR), 8, ' '), lpad(printf('%.3f', round(avg(mrr_10), 6)), 10, ' '), lpad(printf('%.3f', round(avg(ndcg_10), 6)), 10, ' ')) AS line FROM m GROUP BY 1""")
+def e09_report(spark, d):
+    return ev.report_lines(a12_e07_mode_means(spark, d), "mode", ["mrr_10", "ndcg_10"])

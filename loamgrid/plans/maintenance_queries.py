@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from .. import model
 
 
+from ..functions import scalars as X
+from ..operators import filters
 from ..operators import incremental as inc
 from ..sources import bridge, readers
 from ..sources.bridge import FILES_SQL, NEW_SQL, OLD_SQL, RUNS_SQL, files, table
@@ -74,7 +76,7 @@ def k07_folded(spark, d):
 
 @query(f"WITH {RUNS_SQL} SELECT data_source_id, seq, status FROM b_runs QUALIFY row_number() OVER (PARTITION BY data_source_id ORDER BY seq DESC) = 1")
 def w02_latest_run(spark, d):
-    return inc.latest(bridge.runs(spark, d), ["data_source_id"], [F.desc("seq")]).select("data_source_id", "seq", "status")
+    return inc.latest(bridge.runs(spark, d), ["data_source_id"], ["seq"]).select("data_source_id", "seq", "status")
 
 
 @query(f"WITH {RUNS_SQL} SELECT data_source_id, seq, status FROM b_runs WHERE status IN ('running', 'failed') QUALIFY row_number() OVER (PARTITION BY data_source_id ORDER BY started_at DESC, seq DESC) = 1")
@@ -197,3 +199,59 @@ def ext_star_local_suppliers(spark, d):
     local = lines.join(t("supplier"), (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
     named = local.join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return named.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query("SELECT label, count(*) AS vectors, count(DISTINCT len(embedding)) AS widths FROM embeddings GROUP BY 1")
+def a05_total_vectors(spark, d):
+    return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("vectors"), F.countDistinct(F.size("embedding")).alias("widths"))
+
+
+@query("""SELECT lang, CAST(sum(n_chars) AS BIGINT) AS bytes, CAST(ceil(sum(n_chars) / 4.0) AS BIGINT) AS tokens, CASE WHEN ceil(sum(n_chars) / 4.0) / 1e6 * 0.13 < 0.01 THEN '<$0.01' ELSE printf('$%.2f', ceil(sum(n_chars) / 4.0) / 1e6 * 0.13) END AS cost,
+format('{:,}', CAST(ceil(sum(n_chars) / 4.0) AS BIGINT)) AS shown FROM documents GROUP BY 1""")
+def a19_cost_estimate(spark, d):
+    sums = filters.index_gate(table(spark, d, "documents"), ["lang"], "n_chars")
+    return sums.select("lang", "bytes", "tokens", X.cost(F.col("tokens"), F.lit(0.13)).alias("cost"), X.thousands(F.col("tokens")).alias("shown"))
+
+
+@query("""SELECT s_suppkey, s_nationkey % 3 <> 0 AS changed, s_nationkey % 3 = 2 AS custom FROM supplier""")
+def f20_u05_patterns(spark, d):
+    given = F.when(F.col("s_nationkey") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).when(F.col("s_nationkey") % 3 == 1, F.array(F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("c")))
+    held = table(spark, d, "supplier").withColumn("given", given)
+    default = F.array(F.lit("a"), F.lit("b"))
+    return held.select("s_suppkey", filters.patterns_changed(default, F.col("given")).alias("changed"), X.custom_patterns(F.col("given"), ["a", "b"]).alias("custom"))
+
+
+@query("""SELECT n_nationkey, concat('docs/', n_name) AS scope, concat(n_name, '|x') AS patterns, concat('sync · ', n_name) AS message, CASE n_nationkey % 2 WHEN 0 THEN 3072 ELSE 1536 END AS width, 'a,b' AS scope_key FROM nation""")
+def x15_x16_x22_x25_u04_texts(spark, d):
+    name = F.col("n_name")
+    which = F.when(F.col("n_nationkey") % 2 == 0, "text-embedding-3-large").otherwise("other")
+    return table(spark, d, "nation").select(
+        "n_nationkey",
+        X.readme_scope(F.concat(F.lit("/docs/"), name, F.lit("//"))).alias("scope"),
+        F.array_join(X.split_patterns(F.concat(F.lit(" "), name, F.lit(" ,, x"))), "|").alias("patterns"),
+        X.stage_error(F.lit("sync"), F.lit(None).cast("string"), name).alias("message"),
+        X.model_width(which).alias("width"),
+        X.scope_key(F.array(F.lit("b"), F.lit("a"))).alias("scope_key"),
+    )
+
+
+@query(f"""WITH {FILES_SQL}, {OLD_SQL}, {NEW_SQL} SELECT data_source_id, file_path FROM b_new n WHERE NOT EXISTS (SELECT 1 FROM b_old o WHERE o.data_source_id = n.data_source_id AND o.file_path = n.file_path AND o.sha = n.sha AND o.size % 2 = 0)""")
+def d03_d06_resumed(spark, d):
+    manifest = bridge.old_manifest(spark, d).withColumn("status", F.expr("CASE WHEN size % 2 = 0 THEN 'completed' ELSE 'failed' END"))
+    return inc.resumed(bridge.new_manifest(spark, d), manifest, ["data_source_id", "file_path"]).select("data_source_id", "file_path")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'deleting' WHEN 'purchase' THEN 'ready' ELSE 'syncing' END AS status FROM events),
+b AS (SELECT *, coalesce(lag(status) OVER (PARTITION BY user_id ORDER BY event_id), 'pending') AS before FROM e)
+SELECT event_id, before, status, before = status OR (before = 'pending' AND status IN ('syncing', 'deleting')) OR (before = 'syncing' AND status IN ('ready', 'error', 'deleting')) OR (before IN ('ready', 'error') AND status IN ('syncing', 'deleting'))
+OR (before = 'deleting' AND status = 'error') AS allowed FROM b""")
+def d13_lifecycle(spark, d):
+    status = "CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'deleting' WHEN 'purchase' THEN 'ready' ELSE 'syncing' END AS status"
+    return inc.lifecycle(table(spark, d, "events").selectExpr("user_id", "event_id", status), ["user_id"], order="event_id").select("event_id", "before", "status", "allowed")
+
+
+@query(f"""WITH {FILES_SQL}, {OLD_SQL}, {NEW_SQL} SELECT data_source_id, count(*) AS listed, count(DISTINCT file_path) AS files FROM (SELECT data_source_id, file_path FROM b_old UNION ALL SELECT data_source_id, file_path FROM b_new) GROUP BY 1""")
+def u01_u02_unions(spark, d):
+    cols = ["data_source_id", "file_path"]
+    both = bridge.old_manifest(spark, d).select(cols).unionByName(bridge.new_manifest(spark, d).select(cols))
+    return both.groupBy("data_source_id").agg(F.count("*").alias("listed"), F.countDistinct("file_path").alias("files"))

@@ -16,7 +16,7 @@ from loamgrid.functions import globs
 from loamgrid.functions import scalars as X
 from loamgrid.functions.stemmer import stem
 from loamgrid.operators import catalog, chunking, evaluation, filters, incremental, retrieval, textindex, vector
-from loamgrid.plans.engine import Engine
+from loamgrid.plans.engine import Engine, HashProvider, RetryingProvider
 from loamgrid.sources import readers
 from loamgrid.streaming import ingest
 
@@ -315,6 +315,26 @@ def test_engine_syncs_by_changes(spark, tmp_path):
         engine.search("other", cursor=retrieval.encode_cursor("gamma", "", 5))
 
 
+def test_engine_rebuilds_and_removes(spark, tmp_path):
+    class Flaky(HashProvider):
+        failed = False
+
+        def embed(self, texts):
+            if not Flaky.failed:
+                Flaky.failed = True
+                raise OSError("busy")
+            return super().embed(texts)
+
+    assert len(RetryingProvider(Flaky(8), wait=0.0).embed(["a", "b"])) == 2
+    engine = Engine(spark, str(tmp_path / "index"))
+    engine.sync(rows(spark, model.FILES, ("s", "a.txt", "one", 3), ("t", "b.txt", "two", 3)))
+    wider = Engine(spark, str(tmp_path / "index"), model.Settings(dimensions=16))
+    wider.rebuild_vectors()
+    assert {len(r.embedding) for r in wider.store.table("embeddings").collect()} == {16}
+    wider.remove("s")
+    assert [r.data_source_id for r in wider.chunks().collect()] == ["t"] and wider.store.table("embeddings").count() == 1
+
+
 def test_feed(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "index"))
     path = str(tmp_path / "in")
