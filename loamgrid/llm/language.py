@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import remainder
-from .shingles import U64, mixed, utf8
+from .shingles import U64, mixed, row_slices, utf8
 
 #: Bytes of an n-gram, cells of the filter and hash functions.
 GRAM, CELLS, HASHES = 4, 1 << 20, 3
@@ -122,11 +122,8 @@ def predictions(filters: Filters, text: pa.Array) -> tuple[list[str], np.ndarray
     unlettered = pc.invert(pc.match_substring_regex(text, r"\pL")).to_numpy(zero_copy_only=False)
     data, rows = utf8(edged(text))
     votes = np.zeros((len(text), len(filters.names)))
-    lo = 0
-    while lo < len(text):
-        hi = max(lo + 1, int(np.searchsorted(rows, rows[lo] + SLAB, "right")) - 1)
+    for lo, hi in row_slices(rows, SLAB):
         votes[lo:hi] = filters.votes(data[rows[lo] : rows[hi]], rows[lo : hi + 1] - rows[lo])
-        lo = hi
     if not filters.names:
         return [UNKNOWN] * len(text), np.zeros(len(text)), np.zeros(len(text))
     best, total = votes.argmax(axis=1), votes.sum(axis=1)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .shingles import Permutations, band_keys, distinct_sets, ngram_hashes, sequence_keys, utf8, word_hashes
+from .shingles import Permutations, band_keys, distinct_sets, ngram_hashes, row_slices, sequence_keys, utf8, word_hashes
 from .tables import stored
 
 #: Members of a tile, and its bytes of text.
@@ -46,22 +46,23 @@ def _sketch(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         perms = Permutations(bands * rows)
         for batch in batches:
-            words, at = word_hashes(*utf8(batch.column(1)))
-            one, two = sequence_keys(words, at)
-            grams, starts = ngram_hashes(words, at, n)
-            keys = band_keys(perms.minima(grams, starts), bands, rows)
-            none = np.diff(at) == 0
-            offsets = pa.array(np.arange(0, (len(keys) + 1) * bands, bands, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(one.view(np.int64), mask=none),
-                    pa.array(two.view(np.int64), mask=none),
-                    pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64))),
-                    batch.column(2),
-                ],
-                ["id", "k1", "k2", "bands", "n_bytes"],
-            )
+            data, edges = utf8(batch.column(1))
+            for lo, hi in row_slices(edges):
+                words, at = word_hashes(data[edges[lo] : edges[hi]], edges[lo : hi + 1] - edges[lo])
+                one, two = sequence_keys(words, at)
+                keys = band_keys(perms.minima(*ngram_hashes(words, at, n)), bands, rows)
+                none = np.diff(at) == 0
+                offsets = pa.array(np.arange(0, (len(keys) + 1) * bands, bands, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(lo, hi - lo),
+                        pa.array(one.view(np.int64), mask=none),
+                        pa.array(two.view(np.int64), mask=none),
+                        pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64))),
+                        batch.column(2).slice(lo, hi - lo),
+                    ],
+                    ["id", "k1", "k2", "bands", "n_bytes"],
+                )
 
     return run
 

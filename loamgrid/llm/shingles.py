@@ -7,6 +7,8 @@ words; a text without words has none.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -54,10 +56,40 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
+def row_slices(rows: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of rows of at most ``most`` bytes each, or of one row."""
+    lo = 0
+    while lo < len(rows) - 1:
+        hi = max(lo + 1, int(np.searchsorted(rows, rows[lo] + most, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; spans do not overlap and ascend."""
+    out = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SLAB, "right")))
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        _need_powers(hi - lo + 1)
+        total = np.zeros(hi - lo + 1, U64)
+        np.cumsum((data[lo:hi].astype(U64) + U64(1)) * _powers[: hi - lo], out=total[1:])
+        out[i:j] = (total[ends[i:j] - lo] - total[starts[i:j] - lo]) * _inverse_powers[starts[i:j] - lo]
+        i = j
+    return mixed(out)
+
+
 def word_hashes(data: np.ndarray, rows: np.ndarray, word_bytes: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, and where each row's words start (one entry more)."""
+    hashes, starts, _ = word_spans(data, rows, word_bytes)
+    return hashes, np.searchsorted(starts, rows).astype(np.int64)
+
+
+def word_spans(data: np.ndarray, rows: np.ndarray, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, and the bytes at which it starts and ends."""
     if not len(data):
-        return np.zeros(0, U64), np.zeros(len(rows), np.int64)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = word_bytes[data]
     before = np.empty(len(data) + 1, bool)
     before[0] = False
@@ -72,17 +104,7 @@ def word_hashes(data: np.ndarray, rows: np.ndarray, word_bytes: np.ndarray = WOR
     last = cut[cut > 0] - 1
     after[last] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    out = np.empty(len(starts), U64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SLAB, "right")))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        _need_powers(hi - lo + 1)
-        total = np.zeros(hi - lo + 1, U64)
-        np.cumsum((data[lo:hi].astype(U64) + U64(1)) * _powers[: hi - lo], out=total[1:])
-        out[i:j] = (total[ends[i:j] - lo] - total[starts[i:j] - lo]) * _inverse_powers[starts[i:j] - lo]
-        i = j
-    return mixed(out), np.searchsorted(starts, rows).astype(np.int64)
+    return span_hashes(data, starts, ends), starts, ends
 
 
 def ngram_hashes(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
