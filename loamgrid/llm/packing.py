@@ -1,6 +1,6 @@
 """Lexical retrieval packing: windows of documents that share rare words.
 
-Documents are dealt by a hash into shards of bounded size. Each shard holds an inverted index of
+Documents are dealt by a hash, or in their order, into shards of bounded size. Each shard holds an inverted index of
 its documents' subword ids, weighted by BM25 with document frequencies and the average length of
 the whole corpus. A window starts with a seed, the rest of a cut document or the next unused one;
 the index ranks the unused documents by the seed's heaviest terms, and they fill the window in
@@ -15,12 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .near_join import grouped_runs
 from .tables import stored
-from .tokens import WordTokenizer, vocabulary_path
+from .tokens import vocabulary_path, word_tokenizer
 
 WINDOW = 2048
 END = 1
@@ -34,22 +36,34 @@ SLICE = 256
 
 
 def _tokenized(path: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = WordTokenizer(path)
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for lo in range(0, len(texts), SLICE):
-                ids, at = encode(texts[lo : lo + SLICE])
-                raw = ids.tobytes()
-                yield pd.DataFrame({"id": pdf["id"].iloc[lo : lo + SLICE].array, "n": np.diff(at), "ids": [raw[2 * a : 2 * b] for a, b in zip(at[:-1], at[1:], strict=True)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = word_tokenizer(path)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                ids, at = encode(part.column(1))
+                packed = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(np.diff(at)), packed], ["id", "file", "row", "n", "ids"])
 
     return run
 
 
-def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
-    """``id``, ``n`` and ``ids`` (little-endian unsigned 16-bit) of each document."""
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return given.mapInPandas(_tokenized(path), "id long, n long, ids binary")
+def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str, file: Column, row: Column) -> DataFrame:
+    """``id``, ``n`` and ``ids`` (little-endian unsigned 16-bit) of each document, and its place."""
+    given = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), file.alias("file"), row.cast("long").alias("row")
+    )
+    return given.mapInArrow(_tokenized(path), "id long, file string, row long, n long, ids binary")
+
+
+def positions(tokens: DataFrame) -> DataFrame:
+    """Adds ``position``, the row's number over all files in the order of their names.
+
+    The files' counts, one row a file, go to every task; a file is what one task wrote.
+    """
+    counts = tokens.groupBy("file").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    return tokens.join(counts.select("file", F.coalesce(before, F.lit(0)).alias("before")), "file").withColumn("position", F.col("before") + F.col("row"))
 
 
 def distinct_counts(ids: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,7 +167,7 @@ def pack(lengths: np.ndarray, index: Index, window: int = WINDOW) -> list[tuple[
 def _packed(idf: np.ndarray, mean_length: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in grouped_runs(batches, ["shard"]):
-            group = group.sort_values(["spread", "id"], kind="stable", ignore_index=True)
+            group = group.sort_values(["place", "id"], kind="stable", ignore_index=True)
             docs = [np.append(np.frombuffer(x, np.uint16), np.uint16(END)) for x in group["ids"]]
             lengths = np.array([len(d) for d in docs])
             pieces = pack(lengths, Index([d[:-1] for d in docs], idf, mean_length))
@@ -173,22 +187,31 @@ def _packed(idf: np.ndarray, mean_length: float):
     return run
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, in_order: bool = False) -> DataFrame:
     """Pieces of all documents, laid in sequences of at most ``WINDOW`` ids.
 
+    With ``in_order`` the documents, read from files, are dealt to shards in the order of the files
+    and of the rows in them, so that sequences follow it shard by shard; otherwise by a hash.
+
     One row per piece: the document's id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``
     (with the end id), ``sequence_id``, ``offset``. A null or empty text is its end id alone.
     Rows with a null id and rows that repeat are packed like any other. Other columns are
     ignored; an empty table gives an empty result.
     """
-    tokens = stored(tokenized(docs, id_col, text_col, vocabulary or vocabulary_path()))
+    file, row = (F.col("_metadata.file_name"), F.col("_metadata.row_index")) if in_order else (F.lit(""), F.lit(0))
+    tokens = stored(tokenized(docs, id_col, text_col, vocabulary or vocabulary_path(), file, row))
     rows, ids = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = document_frequencies(tokens)
     idf = np.log1p((rows - df + 0.5) / (df + 0.5))
     shards = max(1, -(-(ids + rows) // SHARD_IDS))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.xxhash64("id", F.crc32("ids"))
-    dealt = tokens.select("id", "ids", spread.alias("spread"), F.pmod(spread, F.lit(shards)).alias("shard"))
+    if in_order:
+        tokens, place = positions(tokens), F.col("position")
+        shard = F.floor(place * shards / max(rows, 1))
+    else:
+        place = F.xxhash64("id", F.crc32("ids"))
+        shard = F.pmod(place, F.lit(shards))
+    dealt = tokens.select("id", "ids", place.alias("place"), shard.cast("long").alias("shard"))
     return (
         dealt.repartition(parts, "shard")
         .sortWithinPartitions("shard")
