@@ -59,7 +59,9 @@ def bm25_scan(
     phrases = query_phrases(query, stemmed)
     if not phrases:
         return chunks.select(key, F.lit(0.0).alias("bm25")).where(F.lit(False))
-    both = chunks.select(key, (scope if scope is not None else F.lit(True)).alias("_in"), tokens(F.col("file_path"), stemmed).alias("p"), tokens(F.col("content"), stemmed).alias("c"))
+    # Exploding one struct keeps the tokens from being worked out again for each filter on their counts.
+    found = F.explode(F.array(F.struct(tokens(F.col("file_path"), stemmed).alias("p"), tokens(F.col("content"), stemmed).alias("c"))))
+    both = chunks.select(key, (scope if scope is not None else F.lit(True)).alias("_in"), found.alias("t")).select(key, "_in", "t.p", "t.c")
     f = {f"f{i}": path_weight * occurrences(F.col("p"), ph) + content_weight * occurrences(F.col("c"), ph) for i, ph in enumerate(phrases)}
     counted = both.select(key, "_in", (F.size("p") + F.size("c")).alias("d"), *[v.alias(k) for k, v in f.items()])
     stats = counted.agg(F.count("*").alias("rows"), F.avg("d").alias("mean"), *[F.sum((F.col(k) > 0).cast("long")).alias(f"n_{k}") for k in f])
