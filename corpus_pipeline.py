@@ -37,8 +37,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 tokens."""
-    return pack_documents(docs)
+    """Pieces of all documents in sequences of at most 2048 tokens, which follow the mixture's order."""
+    return pack_documents(docs, in_order=True)
 
 
 STAGES = [
