@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
+from loamgrid.llm import packing
 from loamgrid.llm.tables import read_table, stored
 
 from .test_registered import grams, jaccard
@@ -78,5 +79,15 @@ def test_packing_covers_all_documents(stages):
     assert laid == total and laid.keys() == texts(stages[4]).keys()
 
 
+def test_packing_follows_the_mixture(spark, stages, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_IDS", 20_000)
+    order = {r.doc_id: (r.file_name, r.row_index) for r in stages[4].select("doc_id", "_metadata.file_name", "_metadata.row_index").collect()}
+    last = defaultdict(list)
+    for r in packing.pack_documents(stages[4], in_order=True).collect():
+        last[r.sequence_id >> 32].append(order[r.doc_id])
+    shards = [last[k] for k in sorted(last)]
+    assert len(shards) > 3 and all(max(a) < min(b) for a, b in zip(shards, shards[1:], strict=False))
+
+
 def test_run_is_registered(spark, stages):
     assert __spark_entry__.queries()["pipeline"](spark, D).count() == stages[5].count()
