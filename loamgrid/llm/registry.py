@@ -39,7 +39,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = mixing.mix_sources(read_table(spark, sf_dir, "documents"))
+    placed = mixing.mix_sources(read_table(spark, sf_dir, "documents").select("doc_id", "source"))
     return placed.selectExpr("row.doc_id AS doc_id", "source", "block", "phase", "slot", "release", "due", "position")
 
 
