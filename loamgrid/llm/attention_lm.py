@@ -14,14 +14,14 @@ one causal mask.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
 CONTEXT = 16
 WIDTH, KEY = 32, 16
 #: Units of single ids, and of clusters.
-HEAD, CLUSTERS = 160, 32
+HEAD, CLUSTERS = 192, 32
 VOCABULARY = 49_408
 #: Ids of the tokenizer that stand for a text's start and end.
 START, END = 49_406, 49_407
@@ -30,6 +30,8 @@ MOST = np.float32(80)
 #: Windows scored at a time.
 WINDOWS = 128
 EPOCHS, BATCH, RATE = 3, 128, 0.006
+#: The same for ``Refiner``, which sees each window once.
+REFINE_BATCH, REFINE_RATE = 256, 0.002
 
 _DISTANCE = (np.arange(CONTEXT, 2 * CONTEXT)[:, None] - np.arange(2 * CONTEXT)[None, :]).clip(0)
 _MASK = np.where(np.arange(2 * CONTEXT)[None, :] <= np.arange(CONTEXT, 2 * CONTEXT)[:, None], 0, -1e9).astype(np.float32)
@@ -107,11 +109,17 @@ class Model:
         return total
 
 
+def _summed(index: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows found, the sum of each one's gradients, and how often it occurs."""
+    order = np.argsort(index, kind="stable")
+    found, first, count = np.unique(index[order], return_index=True, return_counts=True)
+    return found, np.add.reduceat(grads[order], first, axis=0), count
+
+
 def _scattered(index: np.ndarray, grads: np.ndarray, rows: int) -> np.ndarray:
     out = np.zeros((rows, grads.shape[1]), np.float32)
-    order = np.argsort(index, kind="stable")
-    found, first = np.unique(index[order], return_index=True)
-    out[found] = np.add.reduceat(grads[order], first, axis=0)
+    found, sums, _ = _summed(index, grads)
+    out[found] = sums
     return out
 
 
@@ -140,8 +148,46 @@ def clusters(ids: np.ndarray, unit: np.ndarray, draw: np.random.Generator, round
     return out
 
 
-def train(ids: np.ndarray, rows: np.ndarray, counts: np.ndarray, seed: int = 3) -> Model:
-    """Fits the model to texts of the sample; ``counts`` has each id's occurrences in all training texts."""
+def _gradients(p: dict, unit: np.ndarray, x: np.ndarray, y: np.ndarray) -> dict:
+    """Of the mean loss over a batch's targets; that of ``embed`` as the rows and a gradient for each."""
+    scale = np.float32(1 / np.sqrt(KEY))
+    e = p["embed"][x]
+    last = e[:, CONTEXT:]
+    q, k, v = last @ p["query"], e @ p["key"], e @ p["value"]
+    a = np.matmul(q, k.transpose(0, 2, 1)) * scale + p["bias"][_DISTANCE] + _MASK
+    a -= a.max(axis=2, keepdims=True)
+    np.exp(a, out=a)
+    a /= a.sum(axis=2, keepdims=True)
+    h = (last + np.matmul(a, v)).reshape(-1, WIDTH)
+    z = h @ p["out"] + p["out_bias"]
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    goal = y.ravel()
+    real = goal >= 0
+    z[np.arange(len(z)), unit[np.where(real, goal, 0)]] -= 1
+    z *= (real / max(1, real.sum()))[:, None].astype(np.float32)
+    g = {"out": h.T @ z, "out_bias": z.sum(axis=0)}
+    dh = (z @ p["out"].T).reshape(last.shape)
+    da = np.matmul(dh, v.transpose(0, 2, 1))
+    dv = np.matmul(a.transpose(0, 2, 1), dh)
+    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    g["bias"] = np.bincount(_DISTANCE.ravel(), ds.sum(axis=0).ravel(), 2 * CONTEXT).astype(np.float32)
+    dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q) * scale
+    g["query"] = last.reshape(-1, WIDTH).T @ dq.reshape(-1, KEY)
+    g["key"] = e.reshape(-1, WIDTH).T @ dk.reshape(-1, KEY)
+    g["value"] = e.reshape(-1, WIDTH).T @ dv.reshape(-1, WIDTH)
+    de = dk @ p["key"].T + dv @ p["value"].T
+    de[:, CONTEXT:] += dh + dq @ p["query"].T
+    g["embed"] = (x.ravel(), de.reshape(-1, WIDTH))
+    return g
+
+
+def train(ids: np.ndarray, rows: np.ndarray, counts: np.ndarray, seed: int = 3, most: int = 1_000_000) -> Model:
+    """First weights, fitted to texts of the sample; ``counts`` has each id's occurrences in all training texts.
+
+    Windows are drawn from all of the texts where they hold more than ``most`` ids.
+    """
     draw = np.random.default_rng(seed)
     counts = np.append(counts, np.zeros(max(0, VOCABULARY - len(counts))))[:VOCABULARY].astype(np.float64)
     counts[END] = max(counts[END], len(rows) - 1)
@@ -176,40 +222,16 @@ def train(ids: np.ndarray, rows: np.ndarray, counts: np.ndarray, seed: int = 3)
     slow = {k: np.zeros_like(v) for k, v in p.items()}
     fast = {k: np.zeros_like(v) for k, v in p.items()}
     given, target, _ = windows(ids, rows)
-    inputs, steps, scale = slot[given], 0, np.float32(1 / np.sqrt(KEY))
+    if len(given) > most // CONTEXT:
+        drawn = draw.choice(len(given), most // CONTEXT, replace=False)
+        given, target = given[drawn], target[drawn]
+    inputs, steps = slot[given], 0
     for epoch in range(EPOCHS):
         order = draw.permutation(len(inputs))
         for lo in range(0, len(order), BATCH):
             x, y = inputs[order[lo : lo + BATCH]], target[order[lo : lo + BATCH]]
-            e = p["embed"][x]
-            last = e[:, CONTEXT:]
-            q, k, v = last @ p["query"], e @ p["key"], e @ p["value"]
-            a = np.matmul(q, k.transpose(0, 2, 1)) * scale + p["bias"][_DISTANCE] + _MASK
-            a -= a.max(axis=2, keepdims=True)
-            np.exp(a, out=a)
-            a /= a.sum(axis=2, keepdims=True)
-            h = (last + np.matmul(a, v)).reshape(-1, WIDTH)
-            z = h @ p["out"] + p["out_bias"]
-            z -= z.max(axis=1, keepdims=True)
-            np.exp(z, out=z)
-            z /= z.sum(axis=1, keepdims=True)
-            goal = y.ravel()
-            real = goal >= 0
-            z[np.arange(len(z)), unit[np.where(real, goal, 0)]] -= 1
-            z *= (real / max(1, real.sum()))[:, None].astype(np.float32)
-            g = {"out": h.T @ z, "out_bias": z.sum(axis=0)}
-            dh = (z @ p["out"].T).reshape(last.shape)
-            da = np.matmul(dh, v.transpose(0, 2, 1))
-            dv = np.matmul(a.transpose(0, 2, 1), dh)
-            ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-            g["bias"] = np.bincount(_DISTANCE.ravel(), ds.sum(axis=0).ravel(), 2 * CONTEXT).astype(np.float32)
-            dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q) * scale
-            g["query"] = last.reshape(-1, WIDTH).T @ dq.reshape(-1, KEY)
-            g["key"] = e.reshape(-1, WIDTH).T @ dk.reshape(-1, KEY)
-            g["value"] = e.reshape(-1, WIDTH).T @ dv.reshape(-1, WIDTH)
-            de = dk @ p["key"].T + dv @ p["value"].T
-            de[:, CONTEXT:] += dh + dq @ p["query"].T
-            g["embed"] = _scattered(x.ravel(), de.reshape(-1, WIDTH), len(p["embed"]))
+            g = _gradients(p, unit, x, y)
+            g["embed"] = _scattered(*g["embed"], len(p["embed"]))
             steps += 1
             rate = RATE * (1 - (epoch + lo / len(order)) / EPOCHS) + 1e-4
             for name, w in p.items():
@@ -217,3 +239,72 @@ def train(ids: np.ndarray, rows: np.ndarray, counts: np.ndarray, seed: int = 3)
                 fast[name] += 0.01 * (g[name] * g[name] - fast[name])
                 w -= rate * (slow[name] / (1 - 0.9**steps)) / (np.sqrt(fast[name] / (1 - 0.99**steps)) + 1e-8)
     return Model(slot, unit, tail, **p)
+
+
+DENSE = ("query", "key", "value", "bias", "out", "out_bias")
+
+
+def with_rows_for(model: Model, counts: np.ndarray) -> Model:
+    """The model with an embedding row for each id that occurs three times in all training texts."""
+    often = np.append(counts, np.zeros(max(0, VOCABULARY - len(counts))))[:VOCABULARY] >= 3
+    seen = np.flatnonzero(often | (model.slot > 0))
+    slot = np.zeros(VOCABULARY, np.int64)
+    slot[seen] = np.arange(1, len(seen) + 1)
+    embed = np.concatenate([model.embed[:1], model.embed[model.slot[seen]]])
+    return replace(model, slot=slot, embed=embed)
+
+
+class Refiner:
+    """Goes once over the texts of one shard, from the weights of ``model``.
+
+    ``changes`` has how far the weights went: those of ``DENSE`` in one vector, and each embedding
+    row that occurred, with the number of windows or occurrences as their weight in a mean.
+    """
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.p = {k: getattr(model, k).copy() for k in ("embed", *DENSE)}
+        self.slow = {k: np.zeros_like(v) for k, v in self.p.items()}
+        self.fast = {k: np.zeros_like(v) for k, v in self.p.items()}
+        self.occurred = np.zeros(len(model.embed), np.int64)
+        self.windows = self.steps = 0
+
+    def learn(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        given, target, _ = windows(ids, rows)
+        self.windows += len(given)
+        # Neighbouring windows of a text go to different batches.
+        order = np.random.default_rng(self.windows).permutation(len(given))
+        for lo in range(0, len(order), REFINE_BATCH):
+            now = order[lo : lo + REFINE_BATCH]
+            self._step(self.model.slot[given[now]], target[now])
+
+    def _step(self, x: np.ndarray, y: np.ndarray) -> None:
+        g = _gradients(self.p, self.model.unit, x, y)
+        at, g["embed"], count = _summed(*g["embed"])
+        self.occurred[at] += count
+        self.steps += 1
+        rate = REFINE_RATE * len(x) / REFINE_BATCH
+        for name, w in self.p.items():
+            rows = at if name == "embed" else slice(None)
+            slow = self.slow[name][rows] * 0.9 + 0.1 * g[name]
+            fast = self.fast[name][rows] * 0.99 + 0.01 * g[name] * g[name]
+            self.slow[name][rows], self.fast[name][rows] = slow, fast
+            w[rows] -= rate * (slow / (1 - 0.9**self.steps)) / (np.sqrt(fast / (1 - 0.99**self.steps)) + 1e-8)
+
+    def changes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The vector of ``DENSE``; the embedding rows, their changes and occurrences."""
+        dense = np.concatenate([(self.p[k] - getattr(self.model, k)).ravel() for k in DENSE])
+        at = np.flatnonzero(self.occurred)
+        return dense, at, self.p["embed"][at] - self.model.embed[at], self.occurred[at]
+
+
+def changed(model: Model, dense: np.ndarray, at: np.ndarray, rows: np.ndarray) -> Model:
+    """The model moved by mean changes."""
+    out, start = {}, 0
+    for k in DENSE:
+        w = getattr(model, k)
+        out[k] = (w + dense[start : start + w.size].reshape(w.shape)).astype(np.float32)
+        start += w.size
+    embed = model.embed.copy()
+    embed[at] += rows.astype(np.float32)
+    return replace(model, embed=embed, **out)

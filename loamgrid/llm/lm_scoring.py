@@ -2,8 +2,11 @@
 
 Words are counted over all training documents and known by 64-bit hashes. The most frequent ones,
 at most ``FREQUENT``, go to every task; all others are exact too: a document's remaining words are
-shuffled on their hash and joined with the stored counts. The attention model is fitted on the
-driver to at most ``SAMPLE`` documents, with id frequencies of all training documents.
+shuffled on their hash and joined with the stored counts. The attention model gets its first weights
+on the driver from at most ``SAMPLE`` documents, with id frequencies of all training documents. Then
+Spark tasks go over all training documents: shards by hash of about ``SHARD_ROWS`` documents are
+learned apart from the same weights, and the mean of their changes makes the next weights, in
+``ROUNDS`` rounds that share out the documents.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .attention_lm import VOCABULARY, Model, train
+from .attention_lm import VOCABULARY, WIDTH, Model, Refiner, changed, train, with_rows_for
 from .quality import remainder
 from .shingles import utf8, word_hashes
 from .tables import stored
@@ -26,8 +29,12 @@ from .tokens import vocabulary_path, word_tokenizer
 
 #: Words whose counts every task holds (16 bytes each), at most.
 FREQUENT = 200_000
-#: Training documents, and ids of them, that the attention model is fitted to, at most.
+#: Training documents, and ids of them, that the attention model's first weights are fitted to, at most.
 SAMPLE, SAMPLE_IDS = 800, 1_000_000
+#: Training documents of a shard, about, and rounds in which the shards' changes are brought together.
+SHARD_ROWS, ROUNDS = 4000, 2
+#: Texts, and characters of them, that a shard learns from at a time; a longer text is a batch of its own.
+LEARN_ROWS, LEARN_CHARACTERS = 64, 1_000_000
 SLICE = 512
 
 #: All bytes but space, tab, line feed, vertical tab, form feed and carriage return.
@@ -89,6 +96,77 @@ def sample_texts(texts: DataFrame, documents: int) -> list[str]:
     return sorted((r.text for r in rows), key=lambda t: (zlib.crc32(t.encode()), t))
 
 
+def _refined(path: str, model: Model):
+    """Each shard's changes: row -1 the dense weights, others embedding rows; vectors times ``n``, as doubles."""
+
+    def batches_of(shards: np.ndarray, texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            if held and (shards[i] != shards[i - 1] or len(held) == LEARN_ROWS or size + len(text) > LEARN_CHARACTERS):
+                yield shards[i - 1], held
+                held, size = [], 0
+            held.append(text)
+            size += len(text)
+        if held:
+            yield shards[-1], held
+
+    def made(shard: int, refiner: Refiner) -> pd.DataFrame:
+        dense, at, rows, n = refiner.changes()
+        vectors = [(dense.astype(np.float64) * refiner.windows).tobytes(), *(r.tobytes() for r in rows.astype(np.float64) * n[:, None])]
+        return pd.DataFrame({"shard": shard, "row": np.append(-1, at), "n": np.append(refiner.windows, n), "vector": vectors})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = word_tokenizer(path)
+        now, refiner = None, None
+        for pdf in batches:
+            for shard, texts in batches_of(pdf["shard"].to_numpy(), pdf["text"].tolist()):
+                if shard != now:
+                    if refiner is not None:
+                        yield made(now, refiner)
+                    now, refiner = shard, Refiner(model)
+                refiner.learn(*encode(texts))
+        if refiner is not None:
+            yield made(now, refiner)
+
+    return run
+
+
+def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each ``row``, whose rows follow one another."""
+    now, n, total = None, 0, None
+    for pdf in batches:
+        for row, m, vector in zip(pdf["row"], pdf["n"], pdf["vector"], strict=True):
+            if row != now:
+                if now is not None:
+                    yield pd.DataFrame({"row": [now], "n": [n], "vector": [total.tobytes()]})
+                now, n, total = row, 0, 0.0
+            n, total = n + m, total + np.frombuffer(vector)
+    if now is not None:
+        yield pd.DataFrame({"row": [now], "n": [n], "vector": [total.tobytes()]})
+
+
+def refine(model: Model, texts: DataFrame, documents: int, path: str) -> tuple[Model, int]:
+    """The model after all training texts, each window of them once, and the number of windows."""
+    shards = -(-documents // SHARD_ROWS)
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.xxhash64("id", "text")
+    rounds = min(ROUNDS, shards)
+    held = texts.select("text", spread.alias("spread"), F.pmod(spread, F.lit(shards)).cast("int").alias("shard"))
+    windows = 0
+    for k in range(rounds):
+        own = held.where(F.col("shard") % rounds == k)
+        dealt = own.repartition(max(1, min(shards // rounds, 4 * parts)), "shard").sortWithinPartitions("shard", "spread")
+        made = dealt.select("shard", "text").mapInPandas(_refined(path, model), "shard int, row int, n long, vector binary")
+        sums = made.repartition(parts, "row").sortWithinPartitions("row", "shard").mapInPandas(_added, "row int, n long, vector binary").toPandas()
+        if not len(sums):
+            continue
+        sums = sums.sort_values("row")
+        means = [np.frombuffer(v) / n for v, n in zip(sums["vector"], sums["n"], strict=True)]
+        windows += int(sums["n"].iloc[0])
+        model = changed(model, means[0], sums["row"].to_numpy()[1:], np.array(means[1:]).reshape(-1, WIDTH))
+    return model, windows
+
+
 def _scored(path: str, model: Model, keys: np.ndarray, counts: np.ndarray, end_count: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = word_tokenizer(path)
@@ -142,8 +220,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for r in counts.where("kind = 1").select("key", "n").collect():
         subwords[r.key] = r.n
     sample, at = word_tokenizer(path)(sample_texts(learned, documents))
-    at = at[at <= SAMPLE_IDS]
-    model = train(sample[: at[-1]], at, subwords)
+    model = with_rows_for(train(sample, at, subwords, most=SAMPLE_IDS), subwords)
+    model, _ = refine(model, learned, documents, path)
     least, keys, often = frequent_words(word_counts)
 
     parts = stored(

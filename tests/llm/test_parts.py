@@ -6,11 +6,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loamgrid.llm import attention_lm, mixing, packing
+from loamgrid.llm import attention_lm, lm_scoring, mixing, packing
 from loamgrid.llm.components import connected_components
 from loamgrid.llm.html_text import main_text
 from loamgrid.llm.near_join import shared_counts
 from loamgrid.llm.shingles import ngram_hashes, utf8, word_hashes
+from loamgrid.llm.tokens import vocabulary_path, word_tokenizer
 
 
 @given(st.lists(st.floats(0.01, 100), min_size=1, max_size=30))
@@ -123,3 +124,21 @@ def test_packing_lays_each_id_once(lengths):
 )
 def test_main_text(page, text):
     assert main_text(page) == text
+
+
+def test_attention_learns_from_all_training_texts(spark, monkeypatch):
+    draw = np.random.default_rng(2)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    texts = [" ".join(words[(s + j) % 6] for j in range(40)) for s in draw.integers(0, 6, 300)] + [" ".join(words * 500)]
+    monkeypatch.setattr(lm_scoring, "SAMPLE_IDS", 500)
+    monkeypatch.setattr(lm_scoring, "SHARD_ROWS", 50)
+    path = vocabulary_path()
+    ids, rows = word_tokenizer(path)(texts)
+    counts = np.bincount(ids, minlength=attention_lm.VOCABULARY)
+    learned = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    first = attention_lm.with_rows_for(attention_lm.train(ids[: rows[3]], rows[:4], counts, most=500), counts)
+    model, windows = lm_scoring.refine(first, learned, len(texts), path)
+    assert windows == len(attention_lm.windows(ids, rows)[0]) and attention_lm.HEAD == 192
+    assert model.score(ids, rows).sum() > first.score(ids, rows).sum()
+    again, _ = lm_scoring.refine(first, learned.repartition(7), len(texts), path)
+    assert np.allclose(again.score(ids, rows), model.score(ids, rows), rtol=1e-4)
