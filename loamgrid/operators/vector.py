@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Query vectors that go to every task in one call, at most.
-MOST_QUERIES = 4096
+#: About how many query vectors, and rows, one task of ``knn_batch`` compares; more of them make more tasks.
+BLOCK_QUERIES, PART_ROWS = 2048, 16_384
+#: Queries of one matrix product.
+SLICE = 256
 
 
 def l2(vector: Column, query: list[float]) -> Column:
@@ -32,18 +32,25 @@ def scoped(embeddings: DataFrame, chunks: DataFrame) -> DataFrame:
     return embeddings.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
 
 
-def _nearest(ids: np.ndarray, queries: np.ndarray, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            keys = pdf["chunk_id"].to_numpy()
-            square = np.maximum(0, (x * x).sum(axis=1)[None, :] + (queries * queries).sum(axis=1)[:, None] - 2 * queries @ x.T)
+def _nearest(k: int, columns: list[str]):
+    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(queries):
+            return pd.DataFrame({c: [] for c in columns})
+        rows = rows.sort_values("chunk_id", kind="stable")
+        x, keys = np.stack(rows["embedding"].to_numpy()).astype(np.float64), rows["chunk_id"].to_numpy()
+        held, ids = np.stack(queries["embedding"].to_numpy()).astype(np.float64), queries["query_id"].to_numpy()
+        squares = (x * x).sum(axis=1)
+        out = []
+        for lo in range(0, len(held), SLICE):
+            q = held[lo : lo + SLICE]
+            square = np.maximum(0, squares[None, :] + (q * q).sum(axis=1)[:, None] - 2 * q @ x.T)
             take = min(4 * k + 16, len(keys))
-            near = np.argpartition(square, take - 1, axis=1)[:, :take] if take < len(keys) else np.broadcast_to(np.arange(len(keys)), square.shape)
-            exact = np.sqrt(((x[near] - queries[:, None, :]) ** 2).sum(axis=2))
-            yield pd.DataFrame({"query_id": np.repeat(ids, near.shape[1]), "chunk_id": keys[near].ravel(), "distance": exact.ravel()})
+            kept = np.sort(np.argpartition(square, take - 1, axis=1)[:, :take], axis=1)
+            for i, near in enumerate(kept):
+                exact = np.sqrt(((x[near] - q[i]) ** 2).sum(axis=1))
+                best = np.argsort(exact, kind="stable")[:k]
+                out.append(pd.DataFrame({"query_id": [ids[lo + i]] * len(best), "chunk_id": keys[near[best]], "distance": exact[best]}))
+        return pd.concat(out)
 
     return run
 
@@ -51,16 +58,20 @@ def _nearest(ids: np.ndarray, queries: np.ndarray, k: int):
 def knn_batch(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest rows of each query: ``query_id, chunk_id, distance, rank``.
 
-    ``queries`` (``query_id, embedding``) go to every task, so their number is bounded and checked;
-    each batch of vectors is one matrix product and sends on a few rows a query.
+    ``queries`` (``query_id, embedding``) are cut into blocks and the rows into parts, by hash and of
+    bounded size. Each pair of a block and a part is one group, which sends on ``k`` rows a query.
     """
-    held = queries.select("query_id", "embedding").limit(MOST_QUERIES + 1).collect()
-    if len(held) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries")
+    blocks, parts = -(-queries.count() // BLOCK_QUERIES), -(-embeddings.count() // PART_ROWS)
     kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {embeddings.schema['chunk_id'].dataType.simpleString()}, distance double"
-    if not held:
+    if not blocks or not parts:
         return embeddings.sparkSession.createDataFrame([], kind + ", rank int")
-    ids, matrix = np.array([r.query_id for r in held]), np.array([r.embedding for r in held], np.float64)
-    found = embeddings.select("chunk_id", "embedding").mapInPandas(_nearest(ids, matrix, k), kind)
+
+    def dealt(rows: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        place = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+        return rows.select(key, "embedding", place.alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)).groupBy("_block", "_part")
+
+    left = dealt(embeddings, "chunk_id", "_part", parts, "_block", blocks)
+    right = dealt(queries, "query_id", "_block", blocks, "_part", parts)
+    found = left.cogroup(right).applyInPandas(_nearest(k, ["query_id", "chunk_id", "distance"]), kind)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -223,6 +223,12 @@ def test_batches_of_queries_equal_single_ones(spark):
         assert [r.chunk_id for r in got if r.query_id == q.query_id] == [r.chunk_id for r in one]
 
 
+def test_queries_beyond_one_block(spark):
+    emb = spark.range(5000).selectExpr("id AS chunk_id", "array(cast(id AS float), 0f) AS embedding")
+    got = vector.knn_batch(emb, emb.withColumnRenamed("chunk_id", "query_id"), 1).collect()
+    assert len(got) == 5000 and all(r.chunk_id == r.query_id for r in got)
+
+
 def test_cursor_and_sizes():
     c = retrieval.encode_cursor("q", "a,b", 5)
     assert retrieval.decode_cursor(c) == {"query": "q", "scopeKey": "a,b", "offset": 5} and "=" not in c
