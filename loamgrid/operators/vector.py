@@ -44,8 +44,10 @@ def _nearest(k: int, columns: list[str]):
         for lo in range(0, len(held), SLICE):
             q = held[lo : lo + SLICE]
             square = np.maximum(0, squares[None, :] + (q * q).sum(axis=1)[:, None] - 2 * q @ x.T)
-            take = min(4 * k + 16, len(keys))
-            kept = np.sort(np.argpartition(square, take - 1, axis=1)[:, :take], axis=1)
+            # Products and differences round to within a part of ``unit``: what may be among the k nearest is within two such errors.
+            unit = 4 * (x.shape[1] + 4) * np.finfo(np.float64).eps * (np.sqrt(squares.max()) + np.sqrt((q * q).sum(axis=1))) ** 2
+            least = np.partition(square, min(k, len(keys)) - 1, axis=1)[:, min(k, len(keys)) - 1] + 2 * unit
+            kept = [np.flatnonzero(~(row > bound)) for row, bound in zip(square, least, strict=True)]
             for i, near in enumerate(kept):
                 exact = np.sqrt(((x[near] - q[i]) ** 2).sum(axis=1))
                 best = np.argsort(exact, kind="stable")[:k]

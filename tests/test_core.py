@@ -229,6 +229,13 @@ def test_queries_beyond_one_block(spark):
     assert len(got) == 5000 and all(r.chunk_id == r.query_id for r in got)
 
 
+def test_equal_vectors_keep_the_least_ids(spark):
+    emb = spark.range(3000).selectExpr("2999 - id AS chunk_id", "array(0.1f, 0.7f, 0.3f) AS embedding").coalesce(1)
+    queries = spark.createDataFrame([(1, [0.2, 0.4, 0.9])], "query_id long, embedding array<float>")
+    got = vector.knn_batch(emb, queries, 3).orderBy("rank").collect()
+    assert [r.chunk_id for r in got] == [0, 1, 2]
+
+
 def test_cursor_and_sizes():
     c = retrieval.encode_cursor("q", "a,b", 5)
     assert retrieval.decode_cursor(c) == {"query": "q", "scopeKey": "a,b", "offset": 5} and "=" not in c
