@@ -3,8 +3,9 @@
 Each source's rows are cut into blocks. Block j (from 0) of a source of weight w is released at
 slot floor(j / w) and due by slot ceil((j + 1) / w); earliest-deadline-first over the released
 blocks meets every deadline, so at any slot each source is less than one block away from its share.
-Weights are whole parts of ``QUANTUM``, so the schedule repeats after that many slots and only one
-period is worked out, on the driver; rows then compute their slot from their rank.
+Weights are exact: floats are taken as the fractions they are, and j / w is worked out in whole
+numbers, so the bound holds however long the mixture is. The driver goes through the blocks once
+and holds three numbers for each; rows look up their block's.
 
 When a source runs out, a new phase starts with the target weights of those left; every row is
 placed exactly once.
@@ -13,18 +14,23 @@ placed exactly once.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import count
+from math import gcd, lcm
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sharding import with_slots
 
-#: Parts into which the weights are rounded: slots of one period.
+#: Blocks of a source in one row of the schedule, at most.
 QUANTUM = 1000
-#: The driver holds at most (sources * phases) rows and QUANTUM slots a phase; more sources are refused.
+#: More sources are refused.
 MOST_SOURCES = QUANTUM
+#: A due slot beyond all others, where a weight is so small that its own does not fit a long.
+NEVER = 1 << 60
 BLOCK_ROWS = 16
 
 
@@ -43,28 +49,45 @@ def whole_weights(weights: list[float], quantum: int = QUANTUM) -> list[int]:
     return out
 
 
+def exact_weights(weights: list[float]) -> list[int]:
+    """Whole numbers in the very proportions of ``weights``."""
+    parts = [Fraction(w) for w in weights]
+    common = lcm(*(p.denominator for p in parts))
+    whole = [int(p * common) for p in parts]
+    shared = gcd(*whole)
+    return [w // shared for w in whole]
+
+
+def pfair(weights: list[int]) -> Iterator[tuple[int, int, int]]:
+    """Source, release and due slot of the block in each slot from 0 on, without end; weights are whole."""
+    total = sum(weights)
+    done = [0] * len(weights)
+    waiting = [(0, s) for s in range(len(weights))]
+    ready: list[tuple[int, int, int]] = []
+    for t in count():
+        while waiting and waiting[0][0] <= t:
+            release, s = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(done[s] + 1) * total // weights[s]), s, release))
+        due, s, release = heapq.heappop(ready)
+        yield s, release, due
+        done[s] += 1
+        heapq.heappush(waiting, (done[s] * total // weights[s], s))
+
+
 def pfair_period(weights: list[int]) -> list[list[int]]:
     """Slots of each source's blocks within one period of sum(weights) slots."""
-    period = sum(weights)
     slots: list[list[int]] = [[] for _ in weights]
-    waiting = [(0, s) for s in range(len(weights))]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int]] = []
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, s = heapq.heappop(waiting)
-            due = -(-(len(slots[s]) + 1) * period // weights[s])
-            heapq.heappush(ready, (due, s))
-        _, s = heapq.heappop(ready)
+    for t, (s, _, _) in zip(range(sum(weights)), pfair(weights), strict=False):
         slots[s].append(t)
-        if len(slots[s]) < weights[s]:
-            heapq.heappush(waiting, (len(slots[s]) * period // weights[s], s))
     return slots
 
 
 @dataclass
 class Stretch:
-    """A source's blocks ``first`` to ``last`` - 1, which lie in one phase."""
+    """A source's blocks ``first`` to ``last`` - 1, of one phase and one chunk of QUANTUM blocks.
+
+    ``pattern``, ``release`` and ``due`` have the slots of each, counted from ``start``.
+    """
 
     source: int
     phase: int
@@ -74,6 +97,8 @@ class Stretch:
     weight: int
     missing: int
     pattern: list[int]
+    release: list[int]
+    due: list[int]
 
 
 def schedule(rows: list[int], weights: list[float], block_rows: int = BLOCK_ROWS) -> list[Stretch]:
@@ -86,23 +111,22 @@ def schedule(rows: list[int], weights: list[float], block_rows: int = BLOCK_ROWS
     while left or later:
         if not left:
             left, later, weights = later, [], [float(n) for n in rows]
-        whole = whole_weights([weights[s] for s in left])
-        pattern = dict(zip(left, pfair_period(whole), strict=True))
-        parts = dict(zip(left, whole, strict=True))
-
-        def last_slot(s: int, pattern: dict = pattern, parts: dict = parts) -> int:
-            k = blocks[s] - used[s] - 1
-            return k // parts[s] * QUANTUM + pattern[s][k % parts[s]]
-
-        end = min(last_slot(s) for s in left)
-        for s in left:
-            now = (end + 1) // QUANTUM * parts[s] + bisect_left(pattern[s], (end + 1) % QUANTUM)
-            out.append(Stretch(s, phase, used[s], used[s] + now, start, parts[s], missing, pattern[s]))
-            used[s] += now
-        for s in [s for s in left if used[s] == blocks[s]]:
-            missing += blocks[s] * block_rows - rows[s]
-            left.remove(s)
-        start += end + 1
+        open_: dict[int, Stretch] = {}
+        for t, (i, release, due) in enumerate(pfair(exact_weights([weights[s] for s in left]))):
+            s = left[i]
+            now = open_.get(s)
+            if now is None or used[s] % QUANTUM == 0:
+                now = open_[s] = Stretch(s, phase, used[s], used[s], start, QUANTUM, missing, [], [], [])
+                out.append(now)
+            now.pattern.append(t)
+            now.release.append(release)
+            now.due.append(min(due, NEVER))
+            now.last = used[s] = used[s] + 1
+            if used[s] == blocks[s]:
+                break
+        missing += blocks[s] * block_rows - rows[s]
+        left.remove(s)
+        start += t + 1
         phase += 1
     return out
 
@@ -132,24 +156,25 @@ def mix_sources(
     plan = schedule([counts[x] for x in names], [float(wanted.get(x, 0)) for x in names], block_rows)
     spark = docs.sparkSession
     table = spark.createDataFrame(
-        [(names[p.source], p.source, p.phase, p.first, p.last, p.start, p.weight, p.missing, p.pattern) for p in plan],
-        "name string, shard int, phase int, first long, last long, start long, weight long, missing long, pattern array<int>",
+        [(p.source, p.first // QUANTUM, p.phase, p.first, p.last, p.start, p.missing, p.pattern, p.release, p.due) for p in plan],
+        "shard int, chunk long, phase int, first long, last long, start long, missing long, pattern array<long>, release array<long>, due array<long>",
     )
     index = spark.createDataFrame([(x, i) for i, x in enumerate(names)], "name string, shard int")
     held = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(source_col).cast("string").alias("source"), F.xxhash64(id_col).alias("spread"))
     ranked = with_slots(held.join(F.broadcast(index), F.col("source").eqNullSafe(F.col("name"))).drop("name"), F.col("spread")).withColumnRenamed("slot", "rank")
     block = F.floor(F.col("rank") / block_rows)
-    placed = ranked.withColumn("block", block).join(F.broadcast(table.drop("name")), "shard").where("block >= first AND block < last")
-    k = F.col("block") - F.col("first")
-    slot = F.col("start") + F.floor(k / F.col("weight")) * QUANTUM + F.element_at("pattern", (k % F.col("weight") + 1).cast("int"))
-    return placed.withColumn("slot", slot).select(
+    placed = ranked.withColumn("block", block).withColumn("chunk", F.floor(F.col("block") / QUANTUM))
+    placed = placed.join(F.broadcast(table), ["shard", "chunk"]).where("block >= first AND block < last")
+    k = (F.col("block") - F.col("first") + 1).cast("int")
+    at = {c: (F.col("start") + F.element_at(c, k)).cast("long") for c in ("pattern", "release", "due")}
+    return placed.withColumn("slot", at["pattern"]).select(
         "row",
         "source",
         F.col("block").cast("long").alias("block"),
         "phase",
-        F.col("slot").cast("long").alias("slot"),
-        (F.col("start") + F.floor(k * QUANTUM / F.col("weight"))).cast("long").alias("release"),
-        (F.col("start") + F.ceil((k + 1) * QUANTUM / F.col("weight"))).cast("long").alias("due"),
+        "slot",
+        at["release"].alias("release"),
+        at["due"].alias("due"),
         (F.col("slot") * block_rows + F.col("rank") % block_rows - F.col("missing")).cast("long").alias("position"),
     )
 

@@ -142,3 +142,14 @@ def test_attention_learns_from_all_training_texts(spark, monkeypatch):
     assert model.score(ids, rows).sum() > first.score(ids, rows).sum()
     again, _ = lm_scoring.refine(first, learned.repartition(7), len(texts), path)
     assert np.allclose(again.score(ids, rows), model.score(ids, rows), rtol=1e-4)
+
+
+def test_schedule_keeps_the_real_targets():
+    rows, weights = [16 * 40_000, 16 * 9000, 16 * 20], [float(3333) ** 0.7, float(351) ** 0.7, 0.05]
+    plan = [p for p in mixing.schedule(rows, weights, 16) if p.phase == 0]
+    slots = max(max(p.pattern) for p in plan) + 1
+    assert slots > 40_000
+    for s, w in enumerate(weights):
+        own = np.array(sorted(t for p in plan if p.source == s for t in p.pattern))
+        times = np.arange(1, slots + 1)
+        assert np.abs(w / sum(weights) * times - np.searchsorted(own, times)).max() < 1
