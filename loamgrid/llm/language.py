@@ -8,7 +8,6 @@ filter's fill makes likely; the largest corrected count decides.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,13 +19,12 @@ from pyspark.sql import functions as F
 
 from .quality import remainder
 from .shingles import U64, mixed, row_slices, utf8
+from .tables import run_of
 
 #: Bytes of an n-gram, cells of the filter and hash functions.
 GRAM, CELLS, HASHES = 4, 1 << 20, 3
-#: Documents of each language that are learned, at most, and how often an n-gram must be seen.
-SAMPLE, SEEN = 400, 3
-#: More languages than bits of a cell are refused.
-MOST_LANGUAGES = 64
+#: Documents of each language that are learned, about 0.8 of it, characters of one of them, and how often an n-gram must be seen.
+SAMPLE, SAMPLE_CHARACTERS, SEEN = 400, 1 << 16, 3
 SLAB = 1 << 20
 UNKNOWN = "und"
 
@@ -55,61 +53,73 @@ def cells(keys: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Filters:
+    """``tables`` has one plane of cells for each 64 languages."""
+
     names: list[str]
-    table: np.ndarray
+    tables: list[np.ndarray]
     chance: np.ndarray
 
     def votes(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Corrected counts of n-grams, one row a text and one column a language."""
         keys, at = grams(data, rows)
         one, two, three = cells(keys)
-        mask = self.table[one] & self.table[two] & self.table[three]
         total = np.diff(at)
         out = np.zeros((len(total), len(self.names)))
-        for i in range(len(self.names)):
-            bit = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(i)) & mask.dtype.type(1), dtype=np.int64)])
-            hits = bit[at[1:]] - bit[at[:-1]]
-            out[:, i] = np.maximum(0, hits - total * self.chance[i]) / (1 - self.chance[i])
+        for plane, table in enumerate(self.tables):
+            mask = table[one] & table[two] & table[three]
+            for i in range(64 * plane, min(64 * plane + 64, len(self.names))):
+                bit = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(i % 64)) & mask.dtype.type(1), dtype=np.int64)])
+                hits = bit[at[1:]] - bit[at[:-1]]
+                out[:, i] = np.maximum(0, hits - total * self.chance[i]) / (1 - self.chance[i])
         return out
 
 
 def learn(texts: dict[str, list[str]]) -> Filters:
     """Fills the filter with every n-gram seen ``SEEN`` times or more in a language's texts."""
     names = sorted(texts)
-    kind = next(k for k, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(names) <= bits)
-    table = np.zeros(CELLS, kind)
+    kind = next((k for k, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(names) <= bits), np.uint64)
+    tables = [np.zeros(CELLS, kind) for _ in range(0, len(names), 64)]
+    fill = np.zeros(len(names))
     for i, name in enumerate(names):
+        table, bit = tables[i // 64], kind(1 << i % 64)
         data, rows = utf8(edged(pa.array(texts[name], pa.string())))
         keys, count = np.unique(grams(data, rows)[0], return_counts=True)
         for c in cells(keys[count >= min(SEEN, count.max(initial=1))]):
-            table[c] |= kind(1 << i)
-    fill = np.array([np.count_nonzero(table & kind(1 << i)) / CELLS for i in range(len(names))])
-    return Filters(names, table, fill**HASHES)
+            table[c] |= bit
+        fill[i] = np.count_nonzero(table & bit) / CELLS
+    return Filters(names, tables, fill**HASHES)
 
 
 def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> dict[str, list[str]]:
-    """At most ``sample`` texts a language outside the held-out fold, those of the least hashes.
+    """About 0.8 * ``sample`` texts a language outside the held-out fold (all, where there are fewer).
 
-    The hashes are 24-bit cells, counted before any text moves; the bound of each language is the
-    cell up to which at most ``sample`` of its documents lie.
+    Those of the least 63-bit hashes of id and text: each language's documents are counted, and the
+    bound is the share of all hashes that is wanted, so it holds for any number of documents. Equal
+    rows are one. A text beyond ``SAMPLE_CHARACTERS`` gives a run of so many.
     """
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (remainder(id_col, 5) != 0)).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.shiftrightunsigned(F.xxhash64(id_col), 40).alias("cell")
+    text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    spread = F.xxhash64(F.col(id_col), text)
+    usable = docs.where(lang.isNotNull() & text.isNotNull() & F.coalesce(remainder(id_col, 5) != 0, F.lit(True))).select(
+        lang.alias("lang"), spread.alias("spread"), run_of(text, spread, SAMPLE_CHARACTERS).alias("text")
     )
-    counts = {r.lang: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = {r.lang: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
-    share = {k: min(1.0, 0.8 * sample / n) for k, n in counts.items()}
-    bound = F.create_map(*[x for k, s in share.items() for x in (F.lit(k), F.lit(int(s * (1 << 24))))])
-    rows = usable.where(F.col("cell") < bound[F.col("lang")]).select("lang", "text").limit(sample * len(counts)).collect()
+    bounds = {k: sample_bound(sample, n) for k, n in counts.items()}
+    bound = F.create_map(*[x for k, b in bounds.items() for x in (F.lit(k), F.lit(b))])
+    held = usable.where(F.shiftrightunsigned("spread", 1) <= bound[F.col("lang")])
+    rows = held.groupBy("lang", "spread").agg(F.min("text").alias("text")).collect()
     out: dict[str, list[str]] = {k: [] for k in counts}
-    for r in sorted(rows, key=lambda r: (r.lang, zlib.crc32(r.text.encode()), r.text)):
+    for r in sorted(rows, key=lambda r: (r.lang, r.spread)):
         out[r.lang].append(r.text)
     return {k: v for k, v in out.items() if v}
 
 
+def sample_bound(sample: int, documents: int) -> int:
+    """The 63-bit hash at or below which about 0.8 * ``sample`` of ``documents`` hashes lie."""
+    return min((1 << 63) - 1, (4 * sample << 63) // (5 * documents))
+
+
 def edged(text: pa.Array) -> pa.Array:
     """Texts between spaces, so that their first and last letters make n-grams too."""
     return pc.binary_join_element_wise("  ", text, "  ", "")
@@ -146,11 +156,13 @@ def _predicted(filters: Filters):
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """One row per document: its id, ``held_out``, ``lang_pred``, ``score`` and ``coverage``.
 
-    Languages are learned outside the fold crc32(id as text) mod 5 = 0, from at most ``sample``
-    texts each; nothing but the text is an input of a prediction. ``lang_pred`` is a learned
-    language, or ``und`` (score 0) where the text is null or has no letter; a lettered text that
-    matches no filter gets the first language with score 0. A null id is not held out; repeated
-    rows are predicted each; other columns are ignored. Without any language all are ``und``.
+    Languages are learned outside the fold crc32(id as text) mod 5 = 0, from a sample of about
+    ``sample`` texts each (see ``training_texts``); nothing but the text is an input of a
+    prediction, and a text of any length is read whole. ``lang_pred`` is a learned language, or
+    ``und`` (score 0) where the text is null or has no letter; of equal votes the first language in
+    alphabetical order wins, with score 0 where no n-gram is known. A null id is not held out;
+    repeated rows are predicted each; other columns are ignored, whatever their names. Without any
+    language all are ``und``; an empty table gives an empty result.
     """
     filters = learn(training_texts(docs, id_col, text_col, lang_col, sample))
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -162,7 +174,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_known(docs: DataFrame, least: float = 0.2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known and holds ``least`` or more of the n-grams."""
+    """The rows of ``docs``, all columns, whose language is known and holds ``least`` or more of the n-grams.
+
+    Texts that are null, empty or without a letter go; repeated rows stay or go together. Learns as
+    ``identify`` does. An empty table gives an empty one.
+    """
     filters = learn(training_texts(docs, id_col, text_col, lang_col, SAMPLE))
     kept = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
 

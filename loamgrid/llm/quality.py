@@ -23,14 +23,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import row_slices, utf8
+from .tables import least_hashes, run_of
 
 WIDTH, FILTERS, CHUNK = 6, 16, 64
 #: Byte value of the padding after a text's end.
 PAD = 256
 #: Bytes convolved at a time.
 SLAB = 1 << 17
-#: Labelled documents of the training sample, at most, and the chunks of one document in a step.
-SAMPLE, STEP_CHUNKS = 4000, 24
+#: Labelled documents of the training sample, at most, and characters of one of them; a longer text gives a run of so many.
+SAMPLE, SAMPLE_CHARACTERS = 4000, 1 << 15
+#: Chunks of one matrix of activations in training.
+STEP_CHUNKS = 256
 #: Passes over the sample, and steps at least, so that small samples are learned too.
 EPOCHS, STEPS, BATCH, RATE = 14, 800, 64, 0.01
 THRESHOLD = 0.7
@@ -71,7 +74,7 @@ class Network:
 
 
 def train(texts: list[str], labels: list[int], seed: int = 5) -> Network:
-    """Fits the network by Adam on the logistic loss; each step sees a random part of each text's chunks."""
+    """Fits the network by Adam on the logistic loss; a step sees all chunks of each of its texts."""
     draw = np.random.default_rng(seed)
     net = Network(
         (draw.standard_normal((WIDTH, 257, FILTERS)) * 0.3).astype(np.float32), np.zeros(FILTERS, np.float32), (draw.standard_normal(2 * FILTERS) * 0.3).astype(np.float32), 0.0
@@ -81,44 +84,45 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Network:
         net.weights[:] = 0
         net.offset = 4.0 if not len(y) or y[0] else -4.0
         return net
-    docs = [np.concatenate([np.frombuffer(t.encode(), np.uint8).astype(np.int16), np.full(CHUNK + WIDTH, PAD, np.int16)]) for t in texts]
+    chunked = []
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        padded = np.full(max(1, -(-len(raw) // CHUNK)) * CHUNK + WIDTH - 1, PAD, np.int64)
+        padded[: len(raw)] = raw
+        chunked.append(np.lib.stride_tricks.sliding_window_view(padded, CHUNK + WIDTH - 1)[::CHUNK])
     params = [net.filters, net.bias, net.weights, np.array([np.log(y.mean() / (1 - y.mean()))], np.float32)]
     slow = [np.zeros_like(p) for p in params]
     fast = [np.zeros_like(p) for p in params]
     steps = 0
-    epochs = max(EPOCHS, -(-STEPS * BATCH // len(docs)))
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(chunked)))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs) + 1e-4
-        order = draw.permutation(len(docs))
+        order = draw.permutation(len(chunked))
         for lo in range(0, len(order), BATCH):
             batch = order[lo : lo + BATCH]
-            picks, owner = [], []
-            for b, i in enumerate(batch):
-                chunks = max(1, -(-(len(docs[i]) - CHUNK - WIDTH) // CHUNK))
-                chosen = np.arange(chunks) if chunks <= STEP_CHUNKS else draw.choice(chunks, STEP_CHUNKS, replace=False)
-                picks += [docs[i][c * CHUNK : c * CHUNK + CHUNK + WIDTH - 1] for c in chosen]
-                owner += [b] * len(chosen)
-            x, own = np.stack(picks), np.array(owner)
-            acts = params[0][0][x[:, :CHUNK]]
-            for k in range(1, WIDTH):
-                acts += params[0][k][x[:, k : k + CHUNK]]
-            where = acts.argmax(axis=1)
-            pooled = np.maximum(np.take_along_axis(acts, where[:, None], 1)[:, 0] + params[1], 0)
-            first = np.searchsorted(own, np.arange(len(batch)))
-            counts = np.diff(np.append(first, len(own)))[:, None]
+            x = np.concatenate([chunked[i] for i in batch])
+            counts = np.array([len(chunked[i]) for i in batch])
+            first, own = np.cumsum(counts) - counts, np.repeat(np.arange(len(batch)), counts)
+            where, pooled = np.empty((len(x), FILTERS), np.int64), np.empty((len(x), FILTERS), np.float32)
+            for a in range(0, len(x), STEP_CHUNKS):
+                part = x[a : a + STEP_CHUNKS]
+                acts = params[0][0][part[:, :CHUNK]]
+                for k in range(1, WIDTH):
+                    acts += params[0][k][part[:, k : k + CHUNK]]
+                where[a : a + STEP_CHUNKS] = best = acts.argmax(axis=1)
+                pooled[a : a + STEP_CHUNKS] = np.maximum(np.take_along_axis(acts, best[:, None], 1)[:, 0] + params[1], 0)
             most = np.maximum.reduceat(pooled, first, axis=0)
-            mean = np.add.reduceat(pooled, first, axis=0) / counts
+            mean = np.add.reduceat(pooled, first, axis=0) / counts[:, None]
             features = np.concatenate([most, mean], axis=1)
             p = 1 / (1 + np.exp(-(features @ params[2] + params[3][0])))
             dz = (p - y[batch]) / len(batch)
             grad_features = dz[:, None] * params[2][None, :]
             top = (pooled == most[own]) & (pooled > 0)
-            grad = (grad_features[:, FILTERS:] / counts)[own] * (pooled > 0) + grad_features[own, :FILTERS] * top
+            grad = (grad_features[:, FILTERS:] / counts[:, None])[own] * (pooled > 0) + grad_features[own, :FILTERS] * top
             grad_filters = np.zeros_like(params[0])
             rows = np.arange(len(x))[:, None]
             for k in range(WIDTH):
-                values = x[rows, where + k]
-                flat = values * FILTERS + np.arange(FILTERS)[None, :]
+                flat = x[rows, where + k] * FILTERS + np.arange(FILTERS)[None, :]
                 grad_filters[k] = np.bincount(flat.ravel(), grad.ravel(), 257 * FILTERS).reshape(257, FILTERS)
             grads = [grad_filters, grad.sum(axis=0), features.T @ dz, np.array([dz.sum()])]
             steps += 1
@@ -135,12 +139,18 @@ def remainder(id_col: str, of: int) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, held_out: Column, sample: int) -> tuple[list[str], list[int]]:
-    """At most ``sample`` labelled documents outside the held-out fold, by order of a hash of the id."""
-    known = labels.where(F.col(label_col).isNotNull() & ~held_out).groupBy(id_col).agg(F.max(label_col).alias("_label"))
-    chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[1] or ""))
-    return [r[1] or "" for r in rows], [int(r[2]) for r in rows]
+    """At most ``sample`` labelled documents outside the held-out fold, those of the least hashes of the id.
+
+    An id that repeats is one document, with its largest text. A text beyond ``SAMPLE_CHARACTERS``
+    gives a run of so many, so the driver holds a bounded sample.
+    """
+    known = labels.where(F.col(label_col).isNotNull() & ~held_out).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
+    chosen = least_hashes(known.withColumn("spread", F.xxhash64("id")), "spread", sample)
+    text = run_of(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.xxhash64(id_col), SAMPLE_CHARACTERS)
+    found = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(chosen), "id")
+    rows = found.groupBy("id", "label").agg(F.max("text").alias("text")).collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r.id).encode()), r.id))
+    return [r.text for r in rows], [int(r.label) for r in rows]
 
 
 def _scored(net: Network):
@@ -167,9 +177,11 @@ def quality_scores(
     """One row per document: its id, ``held_out``, ``score`` and ``predicted``.
 
     Labels are learned only outside the fold crc32(id as text) mod 4 = 2, from at most ``sample``
-    documents; nothing but the text is an input of a score. Null texts are scored as empty ones;
-    a null id is not held out; ids with several labels count by the largest; repeated rows are
-    scored each. Without labels every document scores high. Other columns are ignored.
+    documents; nothing but the text is an input of a score, and a text of any length is scored
+    whole. Null texts are scored as empty ones; a null id is not held out; ids with several labels
+    count by the largest; repeated rows are scored each, so equal texts have equal scores. Without
+    labels every document scores high. Other columns are ignored, whatever their names; an empty
+    table gives an empty result.
     """
     net = train(*training_sample(docs, labels, id_col, text_col, label_col, remainder(id_col, 4) == 2, sample))
     return score_documents(docs, net, id_col, text_col).select(
@@ -178,7 +190,11 @@ def quality_scores(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is ``threshold`` or more."""
+    """The rows of ``docs``, all columns, whose score is ``threshold`` or more.
+
+    Null texts count as empty ones; repeated rows stay or go together; without labels all rows
+    stay. An empty table gives an empty one.
+    """
     net = train(*training_sample(docs, labels, id_col, text_col, label_col, remainder(id_col, 4) == 2, SAMPLE))
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
 

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,11 +17,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a local session, as in tests) a fresh temporary folder is
-    made and named there.
+    Only where that setting is absent and Spark is local, as in tests, a fresh temporary folder is
+    made and named there. A cluster must name one: its executors share no other folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -49,3 +52,19 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def least_hashes(rows: DataFrame, column: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the least values of the hash in ``column``; exact at any size.
+
+    Only hashes are sorted, a bounded number a task. Rows that tie at the bound share their hash.
+    """
+    bound = rows.select(column).orderBy(column).limit(most).agg(F.max(column)).first()[0]
+    return rows.where(F.lit(False)) if bound is None else rows.where(F.col(column) <= bound).limit(most)
+
+
+def run_of(text: Column, spread: Column, most: int) -> Column:
+    """``text``, or of a longer one ``most`` characters from a place that the hash ``spread`` chooses."""
+    length = F.char_length(text)
+    start = F.pmod(spread, F.greatest(length - most, F.lit(1)).cast("long")).cast("int") + 1
+    return F.when(length <= most, text).otherwise(F.substring(text, start, F.lit(most)))
