@@ -2,9 +2,10 @@
 
 One attention layer reads a window of the last ``CONTEXT`` to 2 * ``CONTEXT`` - 1 ids: queries, keys
 and values are linear in the ids' embeddings, scores carry a learned bias for each distance, and
-the layer's output is added to the last id's embedding. The softmax has two levels: a unit for each
-of the most frequent ids and one for each cluster of other ids (those that occur between the same
-neighbours), and within a cluster the smoothed frequencies of the whole training corpus. The
+the layer's output is added to the last id's embedding. A rectified hidden layer follows, whose
+output is added as well. The softmax covers the whole vocabulary in two levels: first the group of
+the next id, then the id within its group, both learned. Groups have about equal size and hold ids
+that occur between the same neighbours, so a target costs about 2 * sqrt(vocabulary) units and the
 probabilities of all ids sum to one.
 
 A text is scored in windows of 2 * ``CONTEXT`` ids that overlap by half: the first half of a window
@@ -14,297 +15,342 @@ one causal mask.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 
 CONTEXT = 16
-WIDTH, KEY = 32, 16
-#: Units of single ids, and of clusters.
-HEAD, CLUSTERS = 192, 32
+WIDTH, KEY, HIDDEN = 32, 16, 64
 VOCABULARY = 49_408
 #: Ids of the tokenizer that stand for a text's start and end.
 START, END = 49_406, 49_407
-#: Scores and logits stop here where the weights' norms allow larger ones, so that single-precision exponentials stay finite.
-MOST = np.float32(80)
+#: Neighbouring ids that tell groups apart.
+NEIGHBOURS = 256
 #: Windows scored at a time.
-WINDOWS = 128
-EPOCHS, BATCH, RATE = 3, 128, 0.006
-#: The same for ``Refiner``, which sees each window once.
-REFINE_BATCH, REFINE_RATE = 256, 0.002
+WINDOWS = 512
+#: Ids of context before the targets of a window that is learned from.
+TRAIN_BACK = 0
+#: Windows of a step, its rate, and passes over the sample that gives the first weights.
+BATCH, RATE, EPOCHS = 64, 0.004, 5
+#: The same for ``Learner`` over the whole training corpus, which sees each window once.
+SHARD_BATCH, SHARD_RATE = 256, 0.004
 
-_DISTANCE = (np.arange(CONTEXT, 2 * CONTEXT)[:, None] - np.arange(2 * CONTEXT)[None, :]).clip(0)
-_MASK = np.where(np.arange(2 * CONTEXT)[None, :] <= np.arange(CONTEXT, 2 * CONTEXT)[:, None], 0, -1e9).astype(np.float32)
 
+def _mask(back: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of the inputs before each target of a window with ``back`` ids of context, and what hides later ones."""
+    ahead = np.arange(back, 2 * CONTEXT)[:, None] - np.arange(2 * CONTEXT)[None, :]
+    return ahead.clip(0), np.where(ahead >= 0, 0, -1e9).astype(np.float32)
 
-def windows(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs (windows x 2 CONTEXT), targets (windows x CONTEXT, -1 beyond the end), and their text.
 
-    Target t of a window follows input CONTEXT + t. Every text gets its end id as last target.
+def window_count(rows: np.ndarray, back: int = CONTEXT) -> np.ndarray:
+    """Windows of each text; a window has 2 ``CONTEXT`` - ``back`` targets, the text's end among them."""
+    return -(-(np.diff(rows) + 1) // (2 * CONTEXT - back))
+
+
+def windows(ids: np.ndarray, rows: np.ndarray, number: np.ndarray, back: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs (windows x 2 CONTEXT) and targets (-1 beyond the end) of the windows numbered, and their text.
+
+    Target t of a window follows input ``back`` + t. Every text gets its end id as last target.
     """
-    length = np.diff(rows) + 1
-    count = -(-length // CONTEXT)
-    owner = np.repeat(np.arange(len(length)), count)
-    first = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    place = first[:, None] * CONTEXT + np.arange(-CONTEXT, CONTEXT)[None, :]
-    held = np.append(ids.astype(np.int64), 0) if len(ids) else np.zeros(1, np.int64)
+    edge = np.concatenate([[0], np.cumsum(window_count(rows, back))])
+    owner = np.searchsorted(edge, number, "right") - 1
+    span = 2 * CONTEXT - back
+    place = ((number - edge[owner]) * span - back)[:, None] + np.arange(2 * CONTEXT)[None, :]
+    length, start = np.diff(rows)[owner][:, None], rows[:-1][owner][:, None]
+    held = ids if len(ids) else np.zeros(1, np.uint16)
 
     def at(p: np.ndarray) -> np.ndarray:
-        own = length[owner][:, None]
-        inside = (p >= 0) & (p < own - 1)
-        got = held[np.where(inside, rows[:-1][owner][:, None] + p, len(held) - 1)]
-        return np.where(inside, got, np.where(p < 0, START, np.where(p == own - 1, END, -1)))
+        out = held.take(start + p, mode="clip").astype(np.int32)
+        out[p < 0] = START
+        over = p >= length
+        out[over] = np.where(p == length, END, -1)[over]
+        return out
 
-    given, target = at(place - 1), at(place[:, CONTEXT:])
+    given, target = at(place - 1), at(place[:, back:])
     return np.where(given < 0, END, given), target, owner
 
 
+def grouped_ids(ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """All ids in groups of about sqrt(vocabulary), by halves along the main axis of their neighbours.
+
+    Ids that do not occur in ``ids`` have no neighbours and fill groups by their number.
+    """
+    known = np.flatnonzero(counts > 0)
+    near = np.argsort(-counts, kind="stable")[:NEIGHBOURS]
+    place = np.full(VOCABULARY, NEIGHBOURS)
+    place[near] = np.arange(len(near))
+    row = np.full(VOCABULARY, -1)
+    row[known] = np.arange(len(known))
+    x = np.zeros(len(known) * 2 * (NEIGHBOURS + 1), np.float32)
+    if len(ids) > 1:
+        left, right = ids[:-1].astype(np.int64), ids[1:].astype(np.int64)
+        width = 2 * (NEIGHBOURS + 1)
+        x += np.bincount(row[right] * width + place[left], minlength=len(x))
+        x += np.bincount(row[left] * width + NEIGHBOURS + 1 + place[right], minlength=len(x))
+    x = np.sqrt(x.reshape(len(known), -1))
+    x /= np.maximum(1e-9, np.linalg.norm(x, axis=1))[:, None]
+    size = max(2.0, np.sqrt(max(1, len(known))))
+
+    def halves(members: np.ndarray) -> list[np.ndarray]:
+        if len(members) <= size:
+            return [members]
+        y = x[members] - x[members].mean(axis=0)
+        axis = np.random.default_rng(len(members)).standard_normal(y.shape[1]).astype(np.float32)
+        for _ in range(8):
+            axis = y.T @ (y @ axis)
+            axis /= max(1e-9, float(np.linalg.norm(axis)))
+        order = np.argsort(y @ axis, kind="stable")
+        half = len(order) // 2
+        return halves(members[order[:half]]) + halves(members[order[half:]])
+
+    out = [known[m] for m in halves(np.arange(len(known)))] if len(known) else []
+    rest = np.setdiff1d(np.arange(VOCABULARY), known)
+    return out + [rest] if len(rest) else out
+
+
+WEIGHTS = ("embed", "query", "key", "value", "bias", "enter", "enter_bias", "leave", "group", "group_bias", "within", "within_bias")
+
+
 @dataclass
 class Model:
-    slot: np.ndarray  # embedding row of each id; unseen ids share row 0
-    unit: np.ndarray  # output unit of each id; HEAD and more for clusters
-    tail: np.ndarray  # log10 probability of an id within its cluster, 0 in the head
-    embed: np.ndarray
-    query: np.ndarray
-    key: np.ndarray
-    value: np.ndarray
-    bias: np.ndarray  # by distance
-    out: np.ndarray
-    out_bias: np.ndarray
+    """Weights by name; ``slot`` is an id's row in ``embed`` and ``within``, in which a group's ids are neighbours.
+
+    Unseen ids share the last row and have equal parts of its probability.
+    """
+
+    slot: np.ndarray
+    edges: np.ndarray  # first row of each group, and the number of rows
+    spare: float  # log10 of an unseen id's part
+    weights: dict[str, np.ndarray]
+    group_of: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.group_of = np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges))
+
+    def with_weights(self, weights: dict[str, np.ndarray]) -> Model:
+        return Model(self.slot, self.edges, self.spare, weights)
 
     def score(self, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """log10 probability of each text, its end included."""
+        w = self.weights
         total = np.zeros(len(rows) - 1)
-        queries = (self.embed @ self.query) / np.float32(np.sqrt(KEY))
-        keys = self.embed @ self.key
-        # A last column of ones makes each product with the weights bring their sum along.
-        values = np.concatenate([self.embed @ self.value, np.ones((len(self.embed), 1), np.float32)], axis=1)
-        shift, ones = self.bias[_DISTANCE] + _MASK, np.ones(len(self.out_bias), np.float32)
-        out = np.concatenate([self.out, self.out_bias[None, :]])
-        h = np.ones((WINDOWS * CONTEXT, WIDTH + 1), np.float32)
-        longest = lambda m: float(np.sqrt((m * m).sum(axis=1)).max())
-        wide_scores = longest(queries) * longest(keys) + float(np.abs(self.bias).max()) > MOST
-        wide_logits = (longest(self.embed) + longest(values[:, :WIDTH])) * longest(self.out.T) + float(np.abs(self.out_bias).max()) > MOST
-        given, target, owner = windows(ids, rows)
-        for lo in range(0, len(given), WINDOWS):
-            x, y = self.slot[given[lo : lo + WINDOWS]], target[lo : lo + WINDOWS]
-            a = np.matmul(queries[x[:, CONTEXT:]], keys[x].transpose(0, 2, 1))
-            a += shift
-            if wide_scores:
-                np.minimum(a, MOST, out=a)
-            np.exp(a, out=a)
-            mixed = np.matmul(a, values[x]).reshape(-1, WIDTH + 1)
-            np.divide(mixed[:, :WIDTH], mixed[:, WIDTH:], out=h[: len(mixed), :WIDTH])
-            h[: len(mixed), :WIDTH] += self.embed[x[:, CONTEXT:].ravel()]
-            z = h[: len(mixed)] @ out
-            if wide_logits:
-                np.minimum(z, MOST, out=z)
-            goal = y.ravel()
-            real = goal >= 0
-            goal = np.where(real, goal, 0)
-            chosen = z[np.arange(len(z)), self.unit[goal]]
-            np.exp(z, out=z)
-            log = (chosen - np.log(z @ ones)) / np.log(10) + self.tail[goal]
-            total += np.bincount(np.repeat(owner[lo : lo + WINDOWS], CONTEXT), np.where(real, log, 0), len(total))
+        queries = (w["embed"] @ w["query"]) / np.float32(np.sqrt(KEY))
+        keys, values = w["embed"] @ w["key"], w["embed"] @ w["value"]
+        distance, hidden = _mask(CONTEXT)
+        shift = w["bias"][distance] + hidden
+        count = int(window_count(rows).sum())
+        for lo in range(0, count, WINDOWS):
+            given, target, owner = windows(ids, rows, np.arange(lo, min(count, lo + WINDOWS)))
+            x = self.slot[given]
+            last = x[:, CONTEXT:]
+            h = w["embed"][last] + np.matmul(_attention(queries[last], keys[x], shift), values[x])
+            order, goal, cuts = self._sorted(target)
+            log, _ = self._logs(w, _hidden(w, h.reshape(-1, WIDTH)[order])[2], goal, cuts)
+            log = log / np.log(10) + np.where(goal == len(self.group_of) - 1, self.spare, 0)
+            total += np.bincount(np.repeat(owner, CONTEXT)[order], log, len(total))
         return total
 
+    def _sorted(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of real targets in the order of their groups, their rows, and where each group starts."""
+        y = target.ravel()
+        row = np.where(y >= 0, self.slot[y], np.int32(len(self.group_of)))
+        order = np.argsort(row, kind="stable")
+        order = order[: len(order) - int((y < 0).sum())]
+        goal = row[order]
+        return order, goal, np.searchsorted(goal, self.edges)
+
+    def _logs(self, w: dict[str, np.ndarray], h: np.ndarray, goal: np.ndarray, cuts: np.ndarray, learn: bool = False) -> tuple[np.ndarray, dict | None]:
+        """Natural log probability of each target's row, in the order of groups; with ``learn`` the gradients too, that of ``h`` as ``h``."""
+        n = len(h)
+        at = np.arange(n), self.group_of[goal]
+        z = h @ w["group"]
+        z += w["group_bias"]
+        z -= z.max(axis=1, keepdims=True)
+        log = z[at]
+        np.exp(z, out=z)
+        sums = z.sum(axis=1)
+        log -= np.log(sums)
+        part = np.float32(1 / max(1, n))
+        g: dict | None = None
+        if learn:
+            z *= (part / sums)[:, None]
+            z[at] -= part
+            g = {"group": h.T @ z, "group_bias": z.sum(axis=0), "h": z @ w["group"].T}
+            g["within"], g["within_bias"] = np.zeros_like(w["within"]), np.zeros_like(w["within_bias"])
+        for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(self.edges) > 1)):
+            i, j, lo, hi = cuts[k], cuts[k + 1], self.edges[k], self.edges[k + 1]
+            v = h[i:j] @ w["within"][lo:hi].T
+            v += w["within_bias"][lo:hi]
+            v -= v.max(axis=1, keepdims=True)
+            own = np.arange(j - i), goal[i:j] - lo
+            chosen = v[own]
+            np.exp(v, out=v)
+            sums = v.sum(axis=1)
+            log[i:j] += chosen - np.log(sums)
+            if g is not None:
+                v *= (part / sums)[:, None]
+                v[own] -= part
+                g["within"][lo:hi], g["within_bias"][lo:hi] = v.T @ h[i:j], v.sum(axis=0)
+                g["h"][i:j] += v @ w["within"][lo:hi]
+        return log, g
+
+    def gradients(self, w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean loss over a batch's targets (rows ``x`` and ids ``y``)."""
+        back = x.shape[1] - y.shape[1]
+        distance, hidden = _mask(back)
+        scale = np.float32(1 / np.sqrt(KEY))
+        e = w["embed"][x]
+        last = np.ascontiguousarray(e[:, back:])
+        q, k, v = (last @ w["query"]) * scale, e @ w["key"], e @ w["value"]
+        a = _attention(q, k, w["bias"][distance] + hidden)
+        h = (last + np.matmul(a, v)).reshape(-1, WIDTH)
+        order, goal, cuts = self._sorted(y)
+        h = h[order]
+        inner, on, top = _hidden(w, h)
+        _, g = self._logs(w, top, goal, cuts, True)
+        dtop = g.pop("h")
+        dinner = dtop @ w["leave"].T
+        dinner *= on
+        g["leave"], g["enter"], g["enter_bias"] = inner.T @ dtop, h.T @ dinner, dinner.sum(axis=0)
+        dh = np.zeros((y.size, WIDTH), np.float32)
+        dh[order] = dtop + dinner @ w["enter"].T
+        dh = dh.reshape(last.shape)
+        ds = np.matmul(dh, v.transpose(0, 2, 1))
+        dv = np.matmul(a.transpose(0, 2, 1), dh)
+        ds -= np.einsum("bij,bij->bi", ds, a)[:, :, None]
+        ds *= a
+        g["bias"] = np.bincount(distance.ravel(), ds.sum(axis=0).ravel(), 2 * CONTEXT).astype(np.float32)
+        dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q)
+        g["query"] = last.reshape(-1, WIDTH).T @ dq.reshape(-1, KEY)
+        g["key"] = e.reshape(-1, WIDTH).T @ dk.reshape(-1, KEY)
+        g["value"] = e.reshape(-1, WIDTH).T @ dv.reshape(-1, WIDTH)
+        de = dk @ w["key"].T
+        de += dv @ w["value"].T
+        de[:, back:] += dh + dq @ w["query"].T
+        g["embed"] = _scattered(x.ravel(), de.reshape(-1, WIDTH), len(w["embed"]))
+        return g
+
+
+def _attention(q: np.ndarray, k: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    a = np.matmul(q, k.transpose(0, 2, 1))
+    a += shift
+    a -= a.max(axis=2, keepdims=True)
+    np.exp(a, out=a)
+    a /= a.sum(axis=2, keepdims=True)
+    return a
+
 
-def _summed(index: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rows found, the sum of each one's gradients, and how often it occurs."""
-    order = np.argsort(index, kind="stable")
-    found, first, count = np.unique(index[order], return_index=True, return_counts=True)
-    return found, np.add.reduceat(grads[order], first, axis=0), count
+def _hidden(w: dict[str, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    inner = h @ w["enter"]
+    inner += w["enter_bias"]
+    on = inner > 0
+    inner *= on
+    return inner, on, h + inner @ w["leave"]
 
 
 def _scattered(index: np.ndarray, grads: np.ndarray, rows: int) -> np.ndarray:
+    """The sum of the gradients of each row."""
     out = np.zeros((rows, grads.shape[1]), np.float32)
-    found, sums, _ = _summed(index, grads)
-    out[found] = sums
+    order = np.argsort(index, kind="stable")
+    first = np.flatnonzero(np.diff(index[order], prepend=-1))
+    out[index[order[first]]] = np.add.reduceat(grads[order], first, axis=0)
     return out
 
 
-def clusters(ids: np.ndarray, unit: np.ndarray, draw: np.random.Generator, rounds: int = 12) -> np.ndarray:
-    """A cluster for each id, by spherical k-means over the units next to its occurrences."""
-    left, right, here = unit[ids[:-2]], unit[ids[2:]], ids[1:-1]
-    found, row = np.unique(here[unit[here] == HEAD], return_inverse=True)
-    out = np.zeros(VOCABULARY, np.int64)
-    if len(found) <= CLUSTERS:
-        out[found] = np.arange(len(found))
-        return out
-    near = unit[here] == HEAD
-    x = np.zeros((len(found), 2 * (HEAD + 1)), np.float32)
-    np.add.at(x, (row, left[near]), 1)
-    np.add.at(x, (row, HEAD + 1 + right[near]), 1)
-    x = np.sqrt(x)
-    x /= np.maximum(1e-9, np.linalg.norm(x, axis=1))[:, None]
-    centre = x[draw.choice(len(x), CLUSTERS, replace=False)]
-    for _ in range(rounds):
-        own = (x @ centre.T).argmax(axis=1)
-        for c in range(CLUSTERS):
-            if (own == c).any():
-                centre[c] = x[own == c].sum(axis=0)
-                centre[c] /= np.linalg.norm(centre[c])
-    out[found] = own
-    return out
+class Adam:
+    def __init__(self, weights: dict[str, np.ndarray]) -> None:
+        self.weights, self.steps = weights, 0
+        self.slow = {k: np.zeros_like(v) for k, v in weights.items()}
+        self.fast = {k: np.zeros_like(v) for k, v in weights.items()}
 
+    def step(self, grads: dict[str, np.ndarray], rate: float) -> None:
+        self.steps += 1
+        one, two = np.float32(1 - 0.9**self.steps), np.float32(1 - 0.99**self.steps)
+        for name, w in self.weights.items():
+            g, slow, fast = grads[name], self.slow[name], self.fast[name]
+            slow += np.float32(0.1) * (g - slow)
+            fast += np.float32(0.01) * (g * g - fast)
+            w -= np.float32(rate) * (slow / one) / (np.sqrt(fast / two) + np.float32(1e-8))
 
-def _gradients(p: dict, unit: np.ndarray, x: np.ndarray, y: np.ndarray) -> dict:
-    """Of the mean loss over a batch's targets; that of ``embed`` as the rows and a gradient for each."""
-    scale = np.float32(1 / np.sqrt(KEY))
-    e = p["embed"][x]
-    last = e[:, CONTEXT:]
-    q, k, v = last @ p["query"], e @ p["key"], e @ p["value"]
-    a = np.matmul(q, k.transpose(0, 2, 1)) * scale + p["bias"][_DISTANCE] + _MASK
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    h = (last + np.matmul(a, v)).reshape(-1, WIDTH)
-    z = h @ p["out"] + p["out_bias"]
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    goal = y.ravel()
-    real = goal >= 0
-    z[np.arange(len(z)), unit[np.where(real, goal, 0)]] -= 1
-    z *= (real / max(1, real.sum()))[:, None].astype(np.float32)
-    g = {"out": h.T @ z, "out_bias": z.sum(axis=0)}
-    dh = (z @ p["out"].T).reshape(last.shape)
-    da = np.matmul(dh, v.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), dh)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    g["bias"] = np.bincount(_DISTANCE.ravel(), ds.sum(axis=0).ravel(), 2 * CONTEXT).astype(np.float32)
-    dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q) * scale
-    g["query"] = last.reshape(-1, WIDTH).T @ dq.reshape(-1, KEY)
-    g["key"] = e.reshape(-1, WIDTH).T @ dk.reshape(-1, KEY)
-    g["value"] = e.reshape(-1, WIDTH).T @ dv.reshape(-1, WIDTH)
-    de = dk @ p["key"].T + dv @ p["value"].T
-    de[:, CONTEXT:] += dh + dq @ p["query"].T
-    g["embed"] = (x.ravel(), de.reshape(-1, WIDTH))
-    return g
-
-
-def train(ids: np.ndarray, rows: np.ndarray, counts: np.ndarray, seed: int = 3, most: int = 1_000_000) -> Model:
-    """First weights, fitted to texts of the sample; ``counts`` has each id's occurrences in all training texts.
-
-    Windows are drawn from all of the texts where they hold more than ``most`` ids.
-    """
+
+def first_weights(ids: np.ndarray, rows: np.ndarray, counts: np.ndarray, seed: int = 3) -> Model:
+    """A model with drawn weights; ``counts`` has each id's occurrences in all training texts."""
     draw = np.random.default_rng(seed)
     counts = np.append(counts, np.zeros(max(0, VOCABULARY - len(counts))))[:VOCABULARY].astype(np.float64)
-    counts[END] = max(counts[END], len(rows) - 1)
-    head = np.argsort(-counts, kind="stable")[:HEAD]
-    unit = np.full(VOCABULARY, HEAD, np.int64)
-    unit[head] = np.arange(HEAD)
-    others = unit == HEAD
-    if len(ids) > 2:
-        unit[others] += clusters(ids, unit, draw)[others]
-    rest = np.bincount(unit[others] - HEAD, counts[others] + 0.5, CLUSTERS)
-    tail = np.zeros(VOCABULARY)
-    tail[others] = np.log10((counts[others] + 0.5) / rest[unit[others] - HEAD])
-    sample = np.bincount(ids, minlength=VOCABULARY)
-    sample[[START, END]] = len(rows)
-    seen = np.flatnonzero(sample >= 3)
-    slot = np.zeros(VOCABULARY, np.int64)
-    slot[seen] = np.arange(1, len(seen) + 1)
-
-    def normal(*shape: int, scale: float = 0.1) -> np.ndarray:
+    counts[END] = max(counts[END], len(rows) - 1, 1)
+    groups = grouped_ids(ids, counts)
+    unseen = np.flatnonzero(counts == 0)
+    seen = groups[:-1] if len(unseen) else groups
+    slot = np.zeros(VOCABULARY, np.int32)
+    laid = np.concatenate(seen)
+    slot[laid] = np.arange(len(laid))
+    edges = np.concatenate([[0], np.cumsum([len(s) for s in seen])])
+    mass = counts[laid] + 0.5
+    # One row for all unseen ids, a group of its own; it is there even if none is unseen.
+    slot[unseen] = len(laid)
+    edges, mass = np.append(edges, len(laid) + 1), np.append(mass, 0.5)
+    share = np.add.reduceat(mass, edges[:-1])
+
+    def normal(*shape: int, scale: float) -> np.ndarray:
         return (draw.standard_normal(shape) * scale).astype(np.float32)
 
-    start = np.append(counts[head], rest) + 1
-    p = {
-        "embed": normal(len(seen) + 1, WIDTH, scale=0.3),
+    weights = {
+        "embed": normal(len(mass), WIDTH, scale=0.3),
         "query": normal(WIDTH, KEY, scale=0.3),
         "key": normal(WIDTH, KEY, scale=0.3),
-        "value": normal(WIDTH, WIDTH),
+        "value": normal(WIDTH, WIDTH, scale=0.1),
         "bias": (-0.5 * np.arange(2 * CONTEXT)).astype(np.float32),
-        "out": normal(WIDTH, HEAD + CLUSTERS),
-        "out_bias": np.log(start / start.sum()).astype(np.float32),
+        "enter": normal(WIDTH, HIDDEN, scale=0.3),
+        "enter_bias": np.zeros(HIDDEN, np.float32),
+        "leave": normal(HIDDEN, WIDTH, scale=0.05),
+        "group": normal(WIDTH, len(share), scale=0.1),
+        "group_bias": np.log(share / share.sum()).astype(np.float32),
+        "within": normal(len(mass), WIDTH, scale=0.1),
+        "within_bias": np.log(mass).astype(np.float32),
     }
-    slow = {k: np.zeros_like(v) for k, v in p.items()}
-    fast = {k: np.zeros_like(v) for k, v in p.items()}
-    given, target, _ = windows(ids, rows)
-    if len(given) > most // CONTEXT:
-        drawn = draw.choice(len(given), most // CONTEXT, replace=False)
-        given, target = given[drawn], target[drawn]
-    inputs, steps = slot[given], 0
-    for epoch in range(EPOCHS):
-        order = draw.permutation(len(inputs))
-        for lo in range(0, len(order), BATCH):
-            x, y = inputs[order[lo : lo + BATCH]], target[order[lo : lo + BATCH]]
-            g = _gradients(p, unit, x, y)
-            g["embed"] = _scattered(*g["embed"], len(p["embed"]))
-            steps += 1
-            rate = RATE * (1 - (epoch + lo / len(order)) / EPOCHS) + 1e-4
-            for name, w in p.items():
-                slow[name] += 0.1 * (g[name] - slow[name])
-                fast[name] += 0.01 * (g[name] * g[name] - fast[name])
-                w -= rate * (slow[name] / (1 - 0.9**steps)) / (np.sqrt(fast[name] / (1 - 0.99**steps)) + 1e-8)
-    return Model(slot, unit, tail, **p)
-
-
-DENSE = ("query", "key", "value", "bias", "out", "out_bias")
-
-
-def with_rows_for(model: Model, counts: np.ndarray) -> Model:
-    """The model with an embedding row for each id that occurs three times in all training texts."""
-    often = np.append(counts, np.zeros(max(0, VOCABULARY - len(counts))))[:VOCABULARY] >= 3
-    seen = np.flatnonzero(often | (model.slot > 0))
-    slot = np.zeros(VOCABULARY, np.int64)
-    slot[seen] = np.arange(1, len(seen) + 1)
-    embed = np.concatenate([model.embed[:1], model.embed[model.slot[seen]]])
-    return replace(model, slot=slot, embed=embed)
-
-
-class Refiner:
-    """Goes once over the texts of one shard, from the weights of ``model``.
-
-    ``changes`` has how far the weights went: those of ``DENSE`` in one vector, and each embedding
-    row that occurred, with the number of windows or occurrences as their weight in a mean.
-    """
+    return Model(slot, edges, -float(np.log10(max(1, len(unseen)))), weights)
+
+
+def train(ids: np.ndarray, rows: np.ndarray, counts: np.ndarray, seed: int = 3, epochs: int = EPOCHS) -> Model:
+    """``first_weights`` fitted to the texts given, ``epochs`` times over."""
+    model = first_weights(ids, rows, counts, seed)
+    draw, adam, count = np.random.default_rng(seed), Adam(model.weights), int(window_count(rows, TRAIN_BACK).sum())
+    for epoch in range(epochs):
+        order = draw.permutation(count)
+        for lo in range(0, count, BATCH):
+            given, target, _ = windows(ids, rows, order[lo : lo + BATCH], TRAIN_BACK)
+            rate = RATE * (1 - (epoch + lo / count) / epochs) + 1e-4
+            adam.step(model.gradients(model.weights, model.slot[given], target), rate)
+    return model
+
+
+class Learner:
+    """Goes over the texts of one shard from the weights of ``model``; ``change`` is how far they went, in one vector."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.p = {k: getattr(model, k).copy() for k in ("embed", *DENSE)}
-        self.slow = {k: np.zeros_like(v) for k, v in self.p.items()}
-        self.fast = {k: np.zeros_like(v) for k, v in self.p.items()}
-        self.occurred = np.zeros(len(model.embed), np.int64)
-        self.windows = self.steps = 0
+        self.adam = Adam({k: v.copy() for k, v in model.weights.items()})
+        self.windows = 0
 
     def learn(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        given, target, _ = windows(ids, rows)
-        self.windows += len(given)
+        count = int(window_count(rows, TRAIN_BACK).sum())
+        self.windows += count
         # Neighbouring windows of a text go to different batches.
-        order = np.random.default_rng(self.windows).permutation(len(given))
-        for lo in range(0, len(order), REFINE_BATCH):
-            now = order[lo : lo + REFINE_BATCH]
-            self._step(self.model.slot[given[now]], target[now])
-
-    def _step(self, x: np.ndarray, y: np.ndarray) -> None:
-        g = _gradients(self.p, self.model.unit, x, y)
-        at, g["embed"], count = _summed(*g["embed"])
-        self.occurred[at] += count
-        self.steps += 1
-        rate = REFINE_RATE * len(x) / REFINE_BATCH
-        for name, w in self.p.items():
-            rows = at if name == "embed" else slice(None)
-            slow = self.slow[name][rows] * 0.9 + 0.1 * g[name]
-            fast = self.fast[name][rows] * 0.99 + 0.01 * g[name] * g[name]
-            self.slow[name][rows], self.fast[name][rows] = slow, fast
-            w[rows] -= rate * (slow / (1 - 0.9**self.steps)) / (np.sqrt(fast / (1 - 0.99**self.steps)) + 1e-8)
-
-    def changes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The vector of ``DENSE``; the embedding rows, their changes and occurrences."""
-        dense = np.concatenate([(self.p[k] - getattr(self.model, k)).ravel() for k in DENSE])
-        at = np.flatnonzero(self.occurred)
-        return dense, at, self.p["embed"][at] - self.model.embed[at], self.occurred[at]
-
-
-def changed(model: Model, dense: np.ndarray, at: np.ndarray, rows: np.ndarray) -> Model:
-    """The model moved by mean changes."""
+        order = np.random.default_rng(self.windows).permutation(count)
+        for lo in range(0, count, SHARD_BATCH):
+            given, target, _ = windows(ids, rows, order[lo : lo + SHARD_BATCH], TRAIN_BACK)
+            grads = self.model.gradients(self.adam.weights, self.model.slot[given], target)
+            self.adam.step(grads, SHARD_RATE * len(given) / SHARD_BATCH)
+
+    def change(self) -> np.ndarray:
+        return np.concatenate([(self.adam.weights[k] - self.model.weights[k]).ravel() for k in WEIGHTS])
+
+
+def changed(model: Model, change: np.ndarray) -> Model:
+    """The model moved by a mean change."""
     out, start = {}, 0
-    for k in DENSE:
-        w = getattr(model, k)
-        out[k] = (w + dense[start : start + w.size].reshape(w.shape)).astype(np.float32)
+    for k in WEIGHTS:
+        w = model.weights[k]
+        out[k] = (w + change[start : start + w.size].reshape(w.shape)).astype(np.float32)
         start += w.size
-    embed = model.embed.copy()
-    embed[at] += rows.astype(np.float32)
-    return replace(model, embed=embed, **out)
+    return model.with_weights(out)

@@ -1,17 +1,17 @@
 """Scores of whole texts: a unigram baseline over words, and the attention model of ``attention_lm``.
 
-Words are counted over all training documents and known by 64-bit hashes. The most frequent ones,
-at most ``FREQUENT``, go to every task; all others are exact too: a document's remaining words are
-shuffled on their hash and joined with the stored counts. The attention model gets its first weights
-on the driver from at most ``SAMPLE`` documents, with id frequencies of all training documents. Then
-Spark tasks go over all training documents: shards by hash of about ``SHARD_ROWS`` documents are
-learned apart from the same weights, and the mean of their changes makes the next weights, in
+Texts are cut into subword ids once and stored with them. Words are counted over all training
+documents and known by 64-bit hashes. The most frequent ones, at most ``FREQUENT``, go to every
+task; all others are exact too: a document's remaining words are shuffled on their hash and joined
+with the stored counts. The attention model gets its first weights on the driver from at most
+``SAMPLE`` documents, with the id frequencies of all training documents. Then Spark tasks go over
+every window of every training document: shards of about ``SHARD_ROWS`` documents, dealt by a hash,
+are learned apart from the same weights, and the mean of their changes makes the next weights, in
 ``ROUNDS`` rounds that share out the documents.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,21 +21,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .attention_lm import VOCABULARY, WIDTH, Model, Refiner, changed, train, with_rows_for
+from .attention_lm import END, VOCABULARY, Learner, Model, changed, train
 from .quality import remainder
-from .shingles import utf8, word_hashes
-from .tables import stored
+from .shingles import row_slices, utf8, word_hashes
+from .tables import least_hashes, stored
 from .tokens import vocabulary_path, word_tokenizer
 
 #: Words whose counts every task holds (16 bytes each), at most.
 FREQUENT = 200_000
-#: Training documents, and ids of them, that the attention model's first weights are fitted to, at most.
-SAMPLE, SAMPLE_IDS = 800, 1_000_000
-#: Training documents of a shard, about, and rounds in which the shards' changes are brought together.
-SHARD_ROWS, ROUNDS = 4000, 2
-#: Texts, and characters of them, that a shard learns from at a time; a longer text is a batch of its own.
-LEARN_ROWS, LEARN_CHARACTERS = 64, 1_000_000
-SLICE = 512
+#: Training documents that the first weights are fitted to, at most, and ids of one of them: a longer text gives a run of
+#: so many. All windows of all training documents are learned afterwards.
+SAMPLE, SAMPLE_IDS = 800, 1 << 16
+#: Training documents of a shard, about, shards at most, and rounds in which the shards' changes are brought together.
+SHARD_ROWS, MOST_SHARDS, ROUNDS = 4000, 10_000, 2
+#: Texts that a shard learns from at a time.
+LEARN_ROWS = 64
+#: Weights in one row of a shard's change.
+PART = 1 << 14
+#: Bytes of text worked on at a time; a longer text is worked on alone.
+SLICE = 1 << 20
 
 #: All bytes but space, tab, line feed, vertical tab, form feed and carriage return.
 TOKEN_BYTES = np.ones(256, bool)
@@ -50,27 +54,39 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return found.view(np.int64), at
 
 
-def _counted(path: str):
+def id_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The subword ids of binary rows end to end, and where each row starts."""
+    data, at = utf8(column)
+    return data.view("<u2"), at // 2
+
+
+def _tokenised(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokenizer(path)
-        seen = np.zeros(VOCABULARY, np.int64)
         for batch in batches:
-            parts = []
-            for lo in range(0, batch.num_rows, SLICE):
-                column = batch.column(0).slice(lo, SLICE)
-                parts.append(words(column)[0])
-                seen += np.bincount(encode(column)[0], minlength=VOCABULARY)[:VOCABULARY]
-            found, count = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(found), np.int32)), pa.array(found), pa.array(count)], ["kind", "key", "n"])
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), pa.array(some), pa.array(seen[some])], ["kind", "key", "n"])
+            for lo, hi in row_slices(utf8(batch.column("text"))[1], SLICE):
+                part = batch.slice(lo, hi - lo)
+                ids, at = encode(part.column("text"))
+                packed = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))])
+                yield pa.RecordBatch.from_arrays([*part.columns, packed], [*part.schema.names, "ids"])
 
     return run
 
 
-def corpus_counts(texts: DataFrame, path: str) -> DataFrame:
-    """``kind`` (0 word, 1 subword id), ``key`` and ``n`` over all of ``texts``."""
-    made = texts.select("text").mapInArrow(_counted(path), "kind int, key long, n long")
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(VOCABULARY, np.int64)
+    for batch in batches:
+        seen += np.bincount(id_rows(batch.column("ids"))[0], minlength=VOCABULARY)[:VOCABULARY]
+        parts = [words(batch.column("text").slice(lo, hi - lo))[0] for lo, hi in row_slices(utf8(batch.column("text"))[1], SLICE)]
+        found, count = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(found), np.int32)), pa.array(found), pa.array(count)], ["kind", "key", "n"])
+    some = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int32)), pa.array(some), pa.array(seen[some])], ["kind", "key", "n"])
+
+
+def corpus_counts(texts: DataFrame) -> DataFrame:
+    """``kind`` (0 word, 1 subword id), ``key`` and ``n`` over all of ``texts`` (``text, ids``)."""
+    made = texts.select("text", "ids").mapInArrow(_counted, "kind int, key long, n long")
     return made.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -89,112 +105,87 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[int, np.nda
     return 1 << least, rows["key"].to_numpy(), rows["n"].to_numpy()
 
 
-def sample_texts(texts: DataFrame, documents: int) -> list[str]:
-    """At most ``SAMPLE`` training texts, those of the least 24-bit hashes."""
-    bound = int(min(1.0, 0.8 * SAMPLE / max(documents, 1)) * (1 << 24))
-    rows = texts.where(F.shiftrightunsigned(F.xxhash64("id"), 40) < bound).select("text").limit(SAMPLE).collect()
-    return sorted((r.text for r in rows), key=lambda t: (zlib.crc32(t.encode()), t))
-
+def sample_ids(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of at most ``SAMPLE`` training texts, those of the least hashes, end to end and where each text starts."""
+    run = F.substring("ids", F.lit(1), F.lit(2 * SAMPLE_IDS))
+    rows = sorted(bytes(r.ids) for r in least_hashes(texts.select("spread", run.alias("ids")), "spread", SAMPLE).collect())
+    at = np.concatenate([[0], np.cumsum([len(r) // 2 for r in rows])]).astype(np.int64)
+    return np.frombuffer(b"".join(rows), "<u2"), at
 
-def _refined(path: str, model: Model):
-    """Each shard's changes: row -1 the dense weights, others embedding rows; vectors times ``n``, as doubles."""
 
-    def batches_of(shards: np.ndarray, texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-        held, size = [], 0
-        for i, text in enumerate(texts):
-            if held and (shards[i] != shards[i - 1] or len(held) == LEARN_ROWS or size + len(text) > LEARN_CHARACTERS):
-                yield shards[i - 1], held
-                held, size = [], 0
-            held.append(text)
-            size += len(text)
-        if held:
-            yield shards[-1], held
+def _learned(model: Model):
+    """One shard's change, in rows of ``PART`` weights times the windows it comes from, as doubles."""
 
-    def made(shard: int, refiner: Refiner) -> pd.DataFrame:
-        dense, at, rows, n = refiner.changes()
-        vectors = [(dense.astype(np.float64) * refiner.windows).tobytes(), *(r.tobytes() for r in rows.astype(np.float64) * n[:, None])]
-        return pd.DataFrame({"shard": shard, "row": np.append(-1, at), "n": np.append(refiner.windows, n), "vector": vectors})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = word_tokenizer(path)
-        now, refiner = None, None
-        for pdf in batches:
-            for shard, texts in batches_of(pdf["shard"].to_numpy(), pdf["text"].tolist()):
-                if shard != now:
-                    if refiner is not None:
-                        yield made(now, refiner)
-                    now, refiner = shard, Refiner(model)
-                refiner.learn(*encode(texts))
-        if refiner is not None:
-            yield made(now, refiner)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = Learner(model)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, LEARN_ROWS):
+                learner.learn(*id_rows(batch.column("ids").slice(lo, LEARN_ROWS)))
+        if learner.windows:
+            change = learner.change().astype("<f8") * learner.windows
+            parts = [change[i : i + PART].tobytes() for i in range(0, len(change), PART)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(parts)), pa.int32()), pa.array([learner.windows] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["part", "n", "change"]
+            )
 
     return run
 
 
 def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row for each ``row``, whose rows follow one another."""
-    now, n, total = None, 0, None
+    """One row for each ``part`` of the task."""
+    n: dict[int, int] = {}
+    total: dict[int, np.ndarray] = {}
     for pdf in batches:
-        for row, m, vector in zip(pdf["row"], pdf["n"], pdf["vector"], strict=True):
-            if row != now:
-                if now is not None:
-                    yield pd.DataFrame({"row": [now], "n": [n], "vector": [total.tobytes()]})
-                now, n, total = row, 0, 0.0
-            n, total = n + m, total + np.frombuffer(vector)
-    if now is not None:
-        yield pd.DataFrame({"row": [now], "n": [n], "vector": [total.tobytes()]})
-
-
-def refine(model: Model, texts: DataFrame, documents: int, path: str) -> tuple[Model, int]:
-    """The model after all training texts, each window of them once, and the number of windows."""
+        for part, m, change in zip(pdf["part"], pdf["n"], pdf["change"], strict=True):
+            n[part], total[part] = n.get(part, 0) + m, total.get(part, 0.0) + np.frombuffer(change)
+    yield pd.DataFrame({"part": list(n), "n": list(n.values()), "change": [total[k].tobytes() for k in n]})
+
+
+def learn_all(model: Model, texts: DataFrame, documents: int) -> tuple[Model, int]:
+    """The model after every window of all training texts (``spread, ids``), and the number of windows.
+
+    The driver gets one vector of weights a round, whatever the input's size.
+    """
     shards = -(-documents // SHARD_ROWS)
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.xxhash64("id", "text")
-    rounds = min(ROUNDS, shards)
-    held = texts.select("text", spread.alias("spread"), F.pmod(spread, F.lit(shards)).cast("int").alias("shard"))
-    windows = 0
+    rounds, windows = min(ROUNDS, shards), 0
     for k in range(rounds):
-        own = held.where(F.col("shard") % rounds == k)
-        dealt = own.repartition(max(1, min(shards // rounds, 4 * parts)), "shard").sortWithinPartitions("shard", "spread")
-        made = dealt.select("shard", "text").mapInPandas(_refined(path, model), "shard int, row int, n long, vector binary")
-        sums = made.repartition(parts, "row").sortWithinPartitions("row", "shard").mapInPandas(_added, "row int, n long, vector binary").toPandas()
-        if not len(sums):
-            continue
-        sums = sums.sort_values("row")
-        means = [np.frombuffer(v) / n for v, n in zip(sums["vector"], sums["n"], strict=True)]
-        windows += int(sums["n"].iloc[0])
-        model = changed(model, means[0], sums["row"].to_numpy()[1:], np.array(means[1:]).reshape(-1, WIDTH))
+        own = texts.where(F.pmod(F.shiftright("spread", 32), F.lit(rounds)) == k).select("spread", "ids")
+        dealt = own.repartition(max(1, min(shards // rounds, MOST_SHARDS)), "spread").sortWithinPartitions("spread")
+        made = dealt.mapInArrow(_learned(model), "part int, n long, change binary")
+        sums = made.repartition("part").mapInPandas(_added, "part int, n long, change binary").toPandas().sort_values("part")
+        if len(sums):
+            windows += int(sums["n"].iloc[0])
+            model = changed(model, np.concatenate([np.frombuffer(c) / n for c, n in zip(sums["change"], sums["n"], strict=True)]))
     return model, windows
 
 
-def _scored(path: str, model: Model, keys: np.ndarray, counts: np.ndarray, end_count: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = word_tokenizer(path)
+_PARTS = "row long, id long, held_out boolean, n_tokens long, known long, logs double, rest array<long>, score double"
+
+
+def _scored(model: Model, keys: np.ndarray, counts: np.ndarray, end_count: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = np.log10(counts + 1.0)
         row = TaskContext.get().partitionId() << 40
-        for pdf in batches:
-            for lo in range(0, len(pdf), SLICE):
-                part = pdf.iloc[lo : lo + SLICE]
-                texts = part["text"].tolist()
-                found, at = words(pa.array(texts, pa.string()))
+        for batch in batches:
+            for lo, hi in row_slices(utf8(batch.column("text"))[1], SLICE):
+                part = batch.slice(lo, hi - lo)
+                found, at = words(part.column("text"))
                 place = np.minimum(np.searchsorted(keys, found), max(0, len(keys) - 1))
                 hit = keys[place] == found if len(keys) else np.zeros(len(found), bool)
                 value = np.concatenate([[0.0], np.cumsum(np.where(hit, logs[place] if len(keys) else 0.0, 0.0))])
                 hits = np.concatenate([[0], np.cumsum(hit)])
-                rest = found[~hit]
-                split = at - hits[at]
-                yield pd.DataFrame(
-                    {
-                        "row": row + np.arange(len(part)),
-                        "id": part["id"].array,
-                        "n_tokens": np.diff(at) + 1,
-                        "known": np.diff(hits[at]) + (end_count > 0),
-                        "logs": np.diff(value[at]) + np.log10(end_count + 1.0),
-                        "rest": [rest[a:b] for a, b in zip(split[:-1], split[1:], strict=True)],
-                        "score": model.score(*encode(texts)),
-                    }
-                )
-                row += len(part)
+                columns = [
+                    pa.array(row + np.arange(hi - lo)),
+                    part.column("id"),
+                    part.column("held_out"),
+                    pa.array(np.diff(at) + 1),
+                    pa.array(np.diff(hits[at]) + (end_count > 0)),
+                    pa.array(np.diff(value[at]) + np.log10(end_count + 1.0)),
+                    pa.ListArray.from_arrays(pa.array((at - hits[at]).astype(np.int32)), pa.array(found[~hit])),
+                    pa.array(model.score(*id_rows(part.column("ids")))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "id", "held_out", "n_tokens", "known", "logs", "rest", "score"])
+                row += hi - lo
 
     return run
 
@@ -204,38 +195,35 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``base_score`` and ``score``, both log10 probabilities.
 
     Everything is learned outside the fold crc32(id as text) mod 7 = 2. Null texts count as empty
-    (one token, the end); a null id is not held out; rows that repeat are counted and scored each.
-    Other columns are ignored; an empty table gives an empty result.
+    (one token, the end); a null id is not held out; rows that repeat are counted, learned and
+    scored each, so ties need no rule. A text of any length is scored whole, window by window.
+    Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
-    path = vocabulary or vocabulary_path()
-    held_out = F.coalesce(remainder("id", 7) == 2, F.lit(False))
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    learned = given.where(~held_out)
-    counts = stored(corpus_counts(learned, path))
-    documents = learned.select("id").count()
+    held_out = F.coalesce(remainder(id_col, 7) == 2, F.lit(False)).alias("held_out")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    given = docs.select(F.col(id_col).cast("long").alias("id"), text, held_out, F.xxhash64(id_col, text).alias("spread"))
+    tokens = stored(given.mapInArrow(_tokenised(vocabulary or vocabulary_path()), "id long, text string, held_out boolean, spread long, ids binary"))
+    learned = tokens.where("NOT held_out")
+    counts = stored(corpus_counts(learned))
+    documents = learned.count()
     word_counts = counts.where("kind = 0").select("key", "n")
-    tokens, distinct = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    total, kinds = tokens + documents, distinct + (documents > 0)
+    total, distinct = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    total, kinds = total + documents, distinct + (documents > 0)
     subwords = np.zeros(VOCABULARY)
     for r in counts.where("kind = 1").select("key", "n").collect():
         subwords[r.key] = r.n
-    sample, at = word_tokenizer(path)(sample_texts(learned, documents))
-    model = with_rows_for(train(sample, at, subwords, most=SAMPLE_IDS), subwords)
-    model, _ = refine(model, learned, documents, path)
+    subwords[END] = documents
+    model, _ = learn_all(train(*sample_ids(learned), subwords), learned, documents)
     least, keys, often = frequent_words(word_counts)
 
-    parts = stored(
-        given.mapInPandas(
-            _scored(path, model, keys, often, documents), "row long, id long, n_tokens long, known long, logs double, rest array<long>, score double"
-        )
-    )
+    parts = stored(tokens.select("id", "text", "held_out", "ids").mapInArrow(_scored(model, keys, often, documents), _PARTS))
     rare = parts.select("row", F.explode("rest").alias("key"))
     joined = rare.join(word_counts.where(F.col("n") < least), "key")
     more = joined.groupBy("row").agg(F.count("*").alias("found"), F.sum(F.log10(F.col("n") + 1.0)).alias("more"))
     out = parts.drop("rest").join(more, "row", "left")
     return out.select(
         F.col("id").alias(id_col),
-        held_out.alias("held_out"),
+        "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
