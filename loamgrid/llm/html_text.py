@@ -2,10 +2,14 @@
 
 Each page becomes a flat tree in page order. Every node has a density, its characters per tag
 damped by its share of link characters and link tags; a node's sum adds its children's densities.
-The node with the largest sum holds the main text, and the least density on its path to the body
-is the threshold above which other subtrees count as text too (each by its own largest sum).
-Parts that are no article whatever their density (scripts, menus, forms, adverts, reader comments
-and the like) are recognised by element, role, class or id and left out first.
+The node with the largest sum holds the main text. The least density on its path to the body is the
+threshold above which other subtrees may count as text too: those whose own largest sum is
+comparable (``SHARE`` of the largest). Where such a part lies in the same container, the container
+is the text as a whole. A heading just before the text, beside its path to the body, goes with it.
+
+Before that, parts that are no article whatever their density (scripts, menus, forms, adverts,
+reader comments and the like) are left out by a prior on element, role, class or id. It is no more
+than that: ``main_text(page, prior=False)`` knows only elements without text, such as scripts.
 """
 
 from __future__ import annotations
@@ -28,11 +32,13 @@ BLOCK = frozenset(
 )
 #: Elements that mark an article: a part that holds all of a page's is not outside it.
 CORE = frozenset("article main h1".split())
-#: Never part of an article's text.
-NO_TEXT = frozenset(
-    "script style noscript template svg math canvas audio video iframe object embed applet form button input select textarea datalist "
-    "nav aside footer dialog menu head title xmp noembed noframes".split()
-)
+#: Elements whose content is not text on the page.
+RAW_PARTS = frozenset("script style noscript template svg math canvas audio video iframe object embed applet head title xmp noembed noframes".split())
+#: By the prior, never part of an article's text.
+NO_TEXT = RAW_PARTS | frozenset("form button input select textarea datalist nav aside footer dialog menu".split())
+HEADINGS = frozenset("h1 h2 h3".split())
+#: The part of the largest sum that makes another subtree comparable.
+SHARE = 0.5
 #: An opening tag closes these, if open, up to the given scope.
 CLOSES = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -207,10 +213,15 @@ def densities(page: Page, kept: list[bool]) -> tuple[list[float], list[float], l
             c, t, lc, lt = chars[i], max(1, tags[i]), max(1, link_chars[i]), max(1, link_tags[i])
             base = math.log(c / max(1, c - link_chars[i]) * link_chars[i] + ratio * c + math.e)
             density[i] = c / t * math.log(max(1.0, c / lc * t / lt)) / math.log(max(base, 1.0001)) if base > 1 else c / t * math.log(max(1.0, c / lc * t / lt) + 1)
-    best = list(range(n))
+    best, outer = list(range(n)), [False] * n
     for i in range(n - 1, 0, -1):
         p = page.parents[i]
         total[p] += density[i]
+        outer[p] = outer[p] or outer[i] or (kept[i] and page.tags[i] in BLOCK)
+    # A paragraph counts by its own density, however its text is cut up by tags within lines.
+    for i in range(1, n):
+        if not outer[i]:
+            total[i] = density[i] if page.tags[i] in BLOCK else 0.0
     for i in range(n - 1, 0, -1):
         p = page.parents[i]
         if kept[i] and total[best[i]] > total[best[p]]:
@@ -249,28 +260,49 @@ def _kept(page: Page) -> list[bool]:
     return kept
 
 
-def main_text(source: str) -> str:
-    page = Page(source)
-    kept = _kept(page)
+def _raw_kept(page: Page) -> list[bool]:
+    kept = [True] * len(page.tags)
+    for i in range(1, len(kept)):
+        kept[i] = kept[page.parents[i]] and page.tags[i] not in RAW_PARTS
+    return kept
+
+
+def chosen_nodes(page: Page, kept: list[bool]) -> list[bool]:
+    """Which nodes are text: the subtree of the largest sum and those comparable with it."""
     density, total, best, body = densities(page, kept)
     n = len(page.tags)
+    mass = [max(total[best[i]], density[i]) for i in range(n)]
     top = best[body] if total[best[body]] > 0 else body
     path = [top]
     while path[-1] != body and page.parents[path[-1]] >= 0:
         path.append(page.parents[path[-1]])
-    whole = next((i for i in path if page.tags[i] in ("article", "main")), None)
+    threshold, least = min(density[i] for i in path), SHARE * mass[top]
+    place = {node: k for k, node in enumerate(path)}
+    beside: list[list[int]] = [[] for _ in path]
+    for i in range(1, n):
+        if kept[i] and i not in place and page.parents[i] in place:
+            beside[place[page.parents[i]]].append(i)
+    comparable = lambda i: density[i] >= threshold and mass[i] >= least
+    # The highest container, below the body, that holds another comparable part.
+    level = max([k for k in range(1, len(path) - 1) if any(map(comparable, beside[k]))], default=0)
     chosen = [False] * n
-    if whole is not None:
-        chosen[whole] = True
-    else:
-        threshold = min(density[i] for i in path)
-        chosen[top] = True
-        for i in range(body, n):
-            if kept[i] and density[i] and density[i] >= threshold:
+    chosen[path[level]] = True
+    for k in range(level + 1, len(path)):
+        for i in beside[k]:
+            if page.tags[i] in HEADINGS and i < path[k - 1]:
+                chosen[i] = True
+            elif comparable(i):
                 chosen[best[i] if total[best[i]] > 0 else i] = True
     for i in range(1, n):
         if page.parents[i] >= 0 and chosen[page.parents[i]]:
             chosen[i] = True
+    return chosen
+
+
+def main_text(source: str, prior: bool = True) -> str:
+    page = Page(source)
+    kept = _kept(page) if prior else _raw_kept(page)
+    chosen = chosen_nodes(page, kept)
     blocks: list[str] = []
     at = None
     for node, block, text in page.pieces:
@@ -293,8 +325,10 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """One row per page: its id and url, ``text`` and ``n_chars``.
 
     A null or empty page, and one without text, gives an empty text. Source without any markup is
-    one block. Rows that repeat are extracted each; null ids and urls stay null; other columns are
-    ignored, whatever their names. An empty table gives an empty result.
+    one block. Of equal sums the first node in page order counts. A page of any length is read
+    whole, by one task that holds its tree. Rows that repeat are extracted each; null ids and urls
+    stay null; other columns are ignored, whatever their names. An empty table gives an empty
+    result.
     """
     given = pages.select(
         F.col(id_col).cast("string").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")
