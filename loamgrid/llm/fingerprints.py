@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near_join import grouped_runs, join_sketches
+from .near_join import grouped_runs, linked_sketches, named_links, text_key
 from .shingles import Permutations, band_keys, ngram_hashes, sequence_keys, utf8, word_hashes
 from .tables import stored
 
@@ -33,7 +33,7 @@ SLICE = 512
 
 _PASS = (
     "id long, done boolean, open boolean, head boolean, text string, n_chars long, edited_sha256 string, fp binary, efp binary, "
-    "near_edited double, near_next double, k1 long, k2 long, bands array<long>, n_bytes long"
+    "near_edited double, near_next double, k1 long, k2 long, bands array<long>, n_bytes long, key long"
 )
 
 
@@ -74,15 +74,14 @@ def _compared(sketch: Sketcher, texts: list[str], following: list[str], own: np.
     }
 
 
-def _first_pass(n: int, all_apart: bool):
+def _first_pass(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketch = Sketcher(n)
         for pdf in batches:
             pdf = pdf.sort_values("id", kind="stable", ignore_index=True)
             ids, texts = pdf["id"].to_numpy(), pdf["text"].tolist()
-            joined = np.zeros(len(ids) + 1, bool)
-            if not all_apart:
-                joined[1:-1] = ids[1:] == ids[:-1] + 1
+            joined, apart = np.zeros(len(ids) + 1, bool), pdf["apart"].to_numpy()
+            joined[1:-1] = (ids[1:] == ids[:-1] + 1) & ~apart[1:] & ~apart[:-1]
             for lo in range(0, len(ids), SLICE):
                 hi = min(len(ids), lo + SLICE)
                 minima, words, at = sketch(texts[lo : hi + 1])
@@ -103,7 +102,8 @@ def _first_pass(n: int, all_apart: bool):
                 out["k1"] = pd.arrays.IntegerArray(one.view(np.int64), none)
                 out["k2"] = pd.arrays.IntegerArray(two.view(np.int64), none)
                 out["bands"] = list(band_keys(own, BANDS, ROWS).view(np.int64))
-                out["n_bytes"] = [len(t) for t in texts[lo:hi]]
+                out["n_bytes"] = [len(t.encode()) for t in texts[lo:hi]]
+                out["key"] = pdf["key"].to_numpy()[lo:hi]
                 yield out
 
     return run
@@ -137,7 +137,7 @@ def _second_pass(n: int):
                 i, j = mine[lo : lo + SLICE], after[lo : lo + SLICE]
                 own, _, _ = sketch([texts[k] for k in i])
                 following, _, _ = sketch([texts[k] for k in j])
-                yield pd.DataFrame({"id": group["id"].to_numpy()[i]} | _compared(sketch, [texts[k] for k in i], [texts[k] for k in j], own, following))
+                yield pd.DataFrame({"row": group["row"].to_numpy()[i]} | _compared(sketch, [texts[k] for k in i], [texts[k] for k in j], own, following))
 
     return run
 
@@ -161,13 +161,12 @@ def _moved(slow: DataFrame, n: int) -> DataFrame:
         if least:
             k = int(np.searchsorted(known, pid, "right"))
             guards.setdefault(least[k % len(least)][1], []).append(pid)
-    kind = "id long, text string, open boolean, head boolean, pid long, guard boolean"
     return (
-        slow.select("id", "text", "open", "head")
-        .mapInPandas(_dealt(cuts, guards), kind)
-        .repartition(parts, "pid")
+        slow.select("row", "id", "text", "open", "head")
+        .mapInPandas(_dealt(cuts, guards), "row long, id long, text string, open boolean, head boolean, pid long, guard boolean")
+        .repartition("pid")
         .sortWithinPartitions("pid")
-        .mapInPandas(_second_pass(n), "id long, n_chars long, edited_sha256 string, fp binary, efp binary, near_edited double, near_next double")
+        .mapInPandas(_second_pass(n), "row long, n_chars long, edited_sha256 string, fp binary, efp binary, near_edited double, near_next double")
     )
 
 
@@ -177,25 +176,31 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     One row per document: its id, ``n_chars``, ``edited_sha256``, ``fingerprint``,
     ``edited_fingerprint``, ``near_edited``, ``near_next``, ``n_links`` and ``class_id`` (as in
     ``near_join``). Null texts count as empty; a text without words has the fingerprint of all
-    ones. The next document is the one with the next larger id, and the first after the last;
-    rows with a null id come first and lose no row. Where ids repeat, rows are ordered by id and
-    text. Other columns are ignored; an empty table gives an empty result.
+    ones; texts of any length are read whole. The next document is the one with the next larger id,
+    and the first after the last; rows with a null id come first and lose no row. Where ids repeat,
+    rows are ordered by id and text, and only those rows and their neighbours leave the first pass.
+    Other columns are ignored; an empty table gives an empty result.
     """
     lowest = -(1 << 63)
     given = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    )
-    repeats = given.groupBy("id").count().where("count > 1").limit(1).count() > 0
-    first = stored(given.mapInPandas(_first_pass(n, repeats), _PASS))
-    cols = ["id", "n_chars", "edited_sha256", "fp", "efp", "near_edited", "near_next"]
+    ).withColumn("key", text_key(F.col("id"), F.lower("text")))
+    repeated = stored(given.groupBy("id").count().where("count > 1").select("id"))
+    if repeated.limit(1).count():
+        marked = repeated.unionAll(repeated.select(F.col("id") - 1)).distinct().withColumn("apart", F.lit(True))
+        given = given.join(marked, "id", "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
+    else:
+        given = given.withColumn("apart", F.lit(False))
+    first = stored(given.mapInPandas(_first_pass(n), _PASS).withColumn("row", F.monotonically_increasing_id()))
+    cols = ["row", "n_chars", "edited_sha256", "fp", "efp", "near_edited", "near_next"]
     made = first.where("done").select(cols).unionAll(_moved(first.where("NOT done OR head"), n).select(cols))
-    links = join_sketches(first.select("id", "k1", "k2", "bands", "n_bytes"), given, "id", "text", n, threshold)
-    if repeats:
-        links = links.dropDuplicates(["id"])
-    out = made.join(links.select("id", "n_links", "class_id"), "id", "left")
-    real = lambda c: F.when(F.col(c) != lowest, F.col(c))
+    real = F.when(F.col("id") != lowest, F.col("id")).alias("id")
+    sig = first.select("row", real, "key", "k1", "k2", "bands", "n_bytes")
+    lower = given.select("id", "text")
+    links = named_links(linked_sketches(sig, lower, "id", "text", n, threshold))
+    out = made.join(links.select("row", "id", "n_links", "class_id"), "row")
     return out.select(
-        real("id").alias(id_col),
+        F.col("id").alias(id_col),
         "n_chars",
         "edited_sha256",
         F.lower(F.hex("fp")).alias("fingerprint"),
@@ -203,5 +208,5 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "near_edited",
         "near_next",
         "n_links",
-        real("class_id").alias("class_id"),
+        "class_id",
     )
