@@ -63,6 +63,16 @@ def test_keep_one(docs, none):
     assert near_join.keep_one(none).count() == 0
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    other = " ".join(f"thing{i}" for i in range(40))
+    rows = [(1, BASE), (1, other), (2, other), (None, BASE), (None, other + " more"), (None, "alone here"), (3, NEAR)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_links, r.class_id, r.kept) for r in near_join.ngram_jaccard_join(df).collect())
+    assert got == [(0, 0, None, False), (0, 2, 1, False), (0, 2, 1, False), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False)]
+    kept = sorted((r.doc_id or 0, r.text) for r in near_join.keep_one(df).collect())
+    assert kept == [(0, "alone here"), (1, other), (1, BASE)]
+
+
 def test_sharding(docs, none):
     rows = sharding.shard_documents(docs, 4).collect()
     assert len(rows) == len(ROWS)

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loamgrid.llm import attention_lm, lm_scoring, mixing, packing
+from loamgrid.llm import attention_lm, language, lm_scoring, mixing, near_join, packing
 from loamgrid.llm.components import connected_components
 from loamgrid.llm.html_text import main_text
 from loamgrid.llm.near_join import shared_counts
@@ -36,18 +36,72 @@ def test_schedule_places_every_block_once(sources):
     assert sorted(slots) == list(range(sum(-(-n // 16) for n in rows)))
 
 
+def brute_log(model, ids):
+    """log10 probability of a text, id by id, with plain loops over its context."""
+    w, c = model.weights, attention_lm.CONTEXT
+    total = 0.0
+    for t, y in enumerate([*ids, attention_lm.END]):
+        places = range((t // c) * c - c, t + 1)
+        e = w["embed"][[model.slot[ids[p - 1] if p > 0 else attention_lm.START] for p in places]].astype(float)
+        a = (e @ w["key"]) @ (e[-1] @ w["query"]) / np.sqrt(attention_lm.KEY) + [w["bias"][t - p] for p in places]
+        a = np.exp(a - a.max())
+        h = e[-1] + (a / a.sum()) @ (e @ w["value"])
+        h = h + np.maximum(h @ w["enter"] + w["enter_bias"], 0) @ w["leave"]
+        row = model.slot[y]
+        g = model.group_of[row]
+        lo, hi = model.edges[g], model.edges[g + 1]
+        z, v = h @ w["group"] + w["group_bias"], w["within"][lo:hi] @ h + w["within_bias"][lo:hi]
+        total += z[g] - np.log(np.exp(z).sum()) + v[row - lo] - np.log(np.exp(v).sum())
+        total += np.log(10) * model.spare if row == len(model.group_of) - 1 else 0
+    return total / np.log(10)
+
+
 def test_attention_is_a_distribution_and_causal():
     draw = np.random.default_rng(0)
     ids, rows = draw.integers(0, 50, 4000).astype(np.uint16), np.arange(0, 4001, 100)
     model = attention_lm.train(ids, rows, np.bincount(ids, minlength=attention_lm.VOCABULARY))
-    assert abs(np.bincount(model.unit, 10**model.tail)[attention_lm.HEAD :][np.bincount(model.unit)[attention_lm.HEAD :] > 0] - 1).max() < 1e-6
-    one = np.array([[i] for i in range(60)], np.uint16).ravel()
-    first = model.score(one, np.arange(61))
-    assert np.all(first < 0)
-    a, b = model.score(ids[:64], np.array([0, 64])), model.score(ids[:64], np.array([0, 40, 64]))
-    assert a.shape == (1,) and b.shape == (2,)
-    given, target, _ = attention_lm.windows(ids[:40], np.array([0, 40]))
-    assert target[target >= 0].tolist() == [*ids[:40].tolist(), attention_lm.END]
+    texts = [ids[:1], ids[:15], ids[:16], ids[:64], ids[100:170], np.array([7, 48_000, 3], np.uint16), ids[:0]]
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = model.score(np.concatenate(texts), at)
+    assert np.allclose(got, [brute_log(model, t.tolist()) for t in texts], rtol=1e-4)
+    assert np.allclose(got, [model.score(t, np.array([0, len(t)]))[0] for t in texts], rtol=1e-5)
+    # All ids that may follow a context have probabilities that sum to one: those of a text's last id, without its end.
+    every = np.arange(attention_lm.VOCABULARY)
+    row = model.slot[every]
+    w, h = model.weights, np.ones((1, attention_lm.WIDTH), np.float32)
+    order = np.argsort(row, kind="stable")
+    goal = row[order]
+    logs, _ = model._logs(w, np.repeat(h, len(every), axis=0), goal, np.searchsorted(goal, model.edges))
+    logs = logs + np.where(goal == len(model.group_of) - 1, model.spare * np.log(10), 0)
+    assert abs(np.exp(logs.astype(float)).sum() - 1) < 1e-3
+
+
+@pytest.mark.parametrize("back", [0, attention_lm.CONTEXT])
+def test_gradients(back):
+    draw = np.random.default_rng(1)
+    ids, rows = draw.integers(0, 30, 300).astype(np.uint16), np.array([0, 100, 110, 300])
+    model = attention_lm.first_weights(ids, rows, np.bincount(ids, minlength=attention_lm.VOCABULARY))
+    number = np.arange(attention_lm.window_count(rows, back).sum())
+    given, target, _ = attention_lm.windows(ids, rows, number, back)
+    assert sorted(target[target >= 0].tolist()) == sorted([*ids.tolist(), *[attention_lm.END] * 3])
+    w = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    grads = model.gradients(w, model.slot[given], target)
+
+    def loss(weights):
+        distance, hidden = attention_lm._mask(back)
+        e = weights["embed"][model.slot[given]]
+        last = e[:, back:]
+        a = attention_lm._attention(last @ weights["query"] / np.sqrt(attention_lm.KEY), e @ weights["key"], weights["bias"][distance] + hidden)
+        h = (last + a @ (e @ weights["value"])).reshape(-1, attention_lm.WIDTH)
+        order, goal, cuts = model._sorted(target)
+        return -model._logs(weights, attention_lm._hidden(weights, h[order])[2], goal, cuts)[0].mean()
+
+    for name in attention_lm.WEIGHTS:
+        for at in [tuple(draw.integers(0, s) for s in w[name].shape) for _ in range(3)]:
+            moved = [{**w, name: w[name].copy()} for _ in range(2)]
+            moved[0][name][at] += 1e-4
+            moved[1][name][at] -= 1e-4
+            assert abs((loss(moved[0]) - loss(moved[1])) / 2e-4 - grads[name][at]) < 2e-4, name
 
 
 @settings(deadline=None)
@@ -130,20 +184,59 @@ def test_attention_learns_from_all_training_texts(spark, monkeypatch):
     draw = np.random.default_rng(2)
     words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
     texts = [" ".join(words[(s + j) % 6] for j in range(40)) for s in draw.integers(0, 6, 300)] + [" ".join(words * 500)]
-    monkeypatch.setattr(lm_scoring, "SAMPLE_IDS", 500)
     monkeypatch.setattr(lm_scoring, "SHARD_ROWS", 50)
-    path = vocabulary_path()
-    ids, rows = word_tokenizer(path)(texts)
+    ids, rows = word_tokenizer(vocabulary_path())(texts)
     counts = np.bincount(ids, minlength=attention_lm.VOCABULARY)
-    learned = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    first = attention_lm.with_rows_for(attention_lm.train(ids[: rows[3]], rows[:4], counts, most=500), counts)
-    model, windows = lm_scoring.refine(first, learned, len(texts), path)
-    assert windows == len(attention_lm.windows(ids, rows)[0]) and attention_lm.HEAD == 192
+    held = [(i, bytes(ids[a:b].astype("<u2"))) for i, (a, b) in enumerate(zip(rows[:-1], rows[1:], strict=True))]
+    learned = spark.createDataFrame(held, "i long, ids binary").selectExpr("xxhash64(i) AS spread", "ids")
+    first = attention_lm.train(ids[: rows[3]], rows[:4], counts)
+    model, windows = lm_scoring.learn_all(first, learned, len(texts))
+    assert windows == attention_lm.window_count(rows, attention_lm.TRAIN_BACK).sum()
     assert model.score(ids, rows).sum() > first.score(ids, rows).sum()
-    again, _ = lm_scoring.refine(first, learned.repartition(7), len(texts), path)
+    again, _ = lm_scoring.learn_all(first, learned.repartition(7), len(texts))
     assert np.allclose(again.score(ids, rows), model.score(ids, rows), rtol=1e-4)
 
 
+def test_samples_do_not_vanish_at_scale():
+    for n in (1, 300, 10**6, 5 * 10**10, 10**15):
+        share = language.sample_bound(400, n) / 2**63
+        assert 0 < share <= 1 and (share == pytest.approx(min(1, 320 / n), rel=1e-6))
+
+
+def test_more_languages_than_bits_of_a_word():
+    draw = np.random.default_rng(3)
+    letters = [chr(c) for c in range(0x61, 0x7B)]
+    texts = {f"l{i:03}": [" ".join("".join(draw.choice(letters, 5)) for _ in range(8)) * 3] * 3 for i in range(150)}
+    filters = language.learn(texts)
+    names, _, _ = language.predictions(filters, pa.array([t[0] for t in texts.values()]))
+    assert names == sorted(texts) and len(filters.tables) == 3
+
+
+@pytest.mark.parametrize(("whole", "tile"), [(16, 24), (256, 1024)])
+def test_large_components_lose_no_link(spark, monkeypatch, whole, tile):
+    """Three families of near copies and loose relatives, against brute force; small tiles force the differences' path."""
+    monkeypatch.setattr(near_join, "WHOLE_ROWS", whole)
+    monkeypatch.setattr(near_join, "TILE_ROWS", tile)
+    draw = np.random.default_rng(5)
+    texts = []
+    for family in range(3):
+        base = [f"w{family}x{i}" for i in range(120)]
+        for _ in range(70):
+            own = list(base)
+            for _ in range(int(draw.integers(0, 5))):
+                own[int(draw.integers(0, len(own)))] = f"e{int(draw.integers(0, 40))}"
+            texts.append(" ".join(own[: int(draw.integers(90, 121))]))
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in texts]
+    linked = np.array([[i != j and len(a & b) / len(a | b) >= 0.8 for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    component = np.arange(len(texts))
+    for _ in range(len(texts)):
+        component = np.array([min([component[i], *component[linked[i]]]) for i in range(len(texts))])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near_join.ngram_jaccard_join(df).toPandas().set_index("doc_id").loc[np.arange(len(texts))]
+    assert got.n_links.tolist() == linked.sum(axis=1).tolist() and got.class_id.tolist() == component.tolist()
+    assert linked.sum() > 2000
+
+
 def test_schedule_keeps_the_real_targets():
     rows, weights = [16 * 40_000, 16 * 9000, 16 * 20], [float(3333) ** 0.7, float(351) ** 0.7, 0.05]
     plan = [p for p in mixing.schedule(rows, weights, 16) if p.phase == 0]

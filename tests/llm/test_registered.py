@@ -64,25 +64,42 @@ def test_op2(spark, texts):
     assert all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard").slot)
 
 
-def test_op3(spark):
-    rows = read_table(spark, "/root/testdata/check_s", "embeddings").where("label IN (1, 5)").toPandas()
-    x, label = np.array(rows.embedding.tolist(), float), rows.label.to_numpy()
-    x /= np.sqrt((x * x).sum(axis=1))[:, None]
-    linked = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+def brute_links(x, label, ids):
+    unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    linked = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :])
     np.fill_diagonal(linked, False)
-    ids = rows.vec_id.to_numpy()
     component = ids.copy()
     while True:
         new = np.array([min([component[i], *component[linked[i]]]) for i in range(len(ids))])
         if (new == component).all():
-            break
+            return linked.sum(axis=1), component
         component = new
-    from loamgrid.llm.vector_dedup import cosine_links
 
-    held = read_table(spark, "/root/testdata/check_s", "embeddings").where("label IN (1, 5)")
-    got = cosine_links(held).toPandas().set_index("vec_id").loc[ids]
-    assert (got.n_links.to_numpy() == linked.sum(axis=1)).all() and linked.any()
-    assert (got.component_id.to_numpy() == component).all()
+
+@pytest.mark.parametrize("tile", [512, 40])
+def test_op3(spark, tmp_path, tile, monkeypatch):
+    """The given vectors, with copies, near copies and a chain planted among them, and all moved by a common mean."""
+    from loamgrid.llm import vector_dedup
+
+    monkeypatch.setattr(vector_dedup, "TILE", tile)
+    rows = read_table(spark, D, "embeddings").toPandas()
+    x, label, ids = np.array(rows.embedding.tolist(), np.float32), rows.label.to_numpy(), rows.vec_id.to_numpy()
+    draw = np.random.default_rng(4)
+    x = x[:1200] + x.std() * 2
+    label, ids, scale = label[:1200], ids[:1200], x.std()
+    near = [x[i] + draw.standard_normal(x.shape[1]).astype(np.float32) * scale * r for i, r in zip(draw.integers(0, 400, 300), draw.uniform(0.01, 0.4, 300), strict=True)]
+    chain = [x[5] + draw.standard_normal(x.shape[1]).astype(np.float32) * scale * 0.02 * k for k in range(30)]
+    x = np.concatenate([x, x[:50], near, chain]).astype(np.float32)
+    label = np.concatenate([label, label[:50], draw.choice(label, 300), np.full(30, label[5])])
+    ids = np.arange(len(x), dtype=np.int64) * 7 + 3
+    links, component = brute_links(x.astype(float), label, ids)
+    assert (links > 0).sum() > 100 and len(np.unique(component)) > 100
+    kind = read_table(spark, D, "embeddings").schema
+    held = spark.createDataFrame([(int(i), v.tolist(), int(n)) for i, v, n in zip(ids, x, label, strict=True)], "vec_id long, embedding array<float>, label int")
+    assert {"vec_id", "embedding", "label"} <= set(kind.names)
+    held.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["op3_embedding_dedup"](spark, str(tmp_path)).toPandas().set_index("vec_id").loc[ids]
+    assert (got.n_links.to_numpy() == links).all() and (got.component_id.to_numpy() == component).all()
 
 
 def test_op4(spark, texts):
