@@ -1,11 +1,14 @@
 """Lexical retrieval packing: windows of documents that share rare words.
 
-Documents are dealt by a hash, or in their order, into shards of bounded size. Each shard holds an inverted index of
-its documents' subword ids, weighted by BM25 with document frequencies and the average length of
-the whole corpus. A window starts with a seed, the rest of a cut document or the next unused one;
-the index ranks the unused documents by the seed's heaviest terms, and they fill the window in
-turn. The one that does not fit is cut, and what remains of it seeds the next window, so only a
-shard's last window is padded.
+Documents are dealt into shards of bounded size, lexically close ones together: each goes to the
+nearest of at most ``CELLS`` centres (fitted to a bounded sample's hashed BM25 vectors), and within
+a cell by a MinHash of its id sequences, so that near copies and texts with common passages meet;
+whatever is too large for a shard is dealt over several. (Or they are dealt in their given order.)
+Each shard holds an inverted index of its documents' subword ids, weighted by BM25 with document
+frequencies and the average length of the whole corpus. A window starts with a seed, the rest of a
+cut document or the next unused one; the index ranks the unused documents by all of the seed's
+terms, and they fill the window in turn. The one that does not fit is cut, and what remains of it
+seeds the next window, so only a shard's last window is padded.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .near_join import grouped_runs
-from .tables import stored
+from .near_join import grouped_runs, tiled
+from .shingles import U64, mixed, ngram_hashes
+from .tables import least_hashes, stored
 from .tokens import vocabulary_path, word_tokenizer
 
 WINDOW = 2048
@@ -29,10 +33,13 @@ END = 1
 VOCABULARY = 1 << 16
 #: Ids of a shard on average: its index and ids fit a task many times over.
 SHARD_IDS = 2_000_000
-#: Terms of a seed's query, and how many neighbours a query ranks at a time.
-QUERY_TERMS, RANKED = 48, 32
+#: Neighbours that a query ranks at a time; when they are used up, it ranks the next ones.
+RANKED = 32
 K1, B = 1.2, 0.75
 SLICE = 256
+#: Cells of lexically close documents, at most; documents that their centres are fitted to, at most; hashed terms; and
+#: MinHash buckets of a cell.
+CELLS, SAMPLE, HASHED, BUCKETS = 64, 2000, 1024, 4096
 
 
 def _tokenized(path: str):
@@ -56,14 +63,88 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str, file: Colu
     return given.mapInArrow(_tokenized(path), "id long, file string, row long, n long, ids binary")
 
 
-def positions(tokens: DataFrame) -> DataFrame:
-    """Adds ``position``, the row's number over all files in the order of their names.
+def ordered_shards(tokens: DataFrame) -> DataFrame:
+    """Adds ``cell`` and ``tile`` for shards that follow the order of files (by part number) and of rows in them.
 
-    The files' counts, one row a file, go to every task; a file is what one task wrote.
+    Running sums of ids are taken over each file, which one task wrote, without the ids themselves;
+    tokens then look up where their file's shards start.
     """
-    counts = tokens.groupBy("file").agg(F.count("*").alias("rows"))
-    before = F.sum("rows").over(Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
-    return tokens.join(counts.select("file", F.coalesce(before, F.lit(0)).alias("before")), "file").withColumn("position", F.col("before") + F.col("row"))
+    number = F.coalesce(F.regexp_extract("file", r"part-(\d+)", 1).try_cast("long"), F.lit(-1))
+    sums = tokens.groupBy("file").agg(F.sum(F.col("n") + 1).alias("size"))
+    files = Window.partitionBy(F.lit(0)).orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("file", F.coalesce(F.sum("size").over(files), F.lit(0)).alias("before"))
+    inside = F.sum(F.col("n") + 1).over(Window.partitionBy("file").orderBy("row")) - F.col("n") - 1
+    at = tokens.select("file", "row", "n").withColumn("inside", inside).join(before, "file")
+    tile = F.floor((F.col("before") + F.col("inside")) / SHARD_IDS).alias("tile")
+    starts = at.groupBy("file", tile).agg(F.min("row").alias("row"))
+    cuts = starts.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("row", "tile"))).alias("cuts"))
+    own = F.element_at(F.filter("cuts", lambda c: c["row"] <= F.col("row")), -1)["tile"]
+    return tokens.join(stored(cuts), "file").select("id", "ids", number.alias("place"), "row", F.lit(0).alias("cell"), own.alias("tile"))
+
+
+def hashed_vectors(docs: list[np.ndarray], idf: np.ndarray, mean_length: float) -> np.ndarray:
+    """Unit rows of BM25 weights, each term added to or taken from one of ``HASHED`` places."""
+    length = np.array([len(d) for d in docs])
+    owner, term, count = distinct_counts(np.concatenate(docs), np.repeat(np.arange(len(docs)), length), len(docs))
+    weight = bm25(idf, term, count, length[owner], mean_length)
+    h = mixed(term.astype(U64) + U64(1))
+    sign = np.where(h >> U64(63), 1.0, -1.0)
+    x = np.bincount(owner * HASHED + (h & U64(HASHED - 1)).astype(np.int64), weight * sign, len(docs) * HASHED).reshape(len(docs), HASHED)
+    return (x / np.maximum(1e-9, np.linalg.norm(x, axis=1))[:, None]).astype(np.float32)
+
+
+def cell_centres(x: np.ndarray, cells: int, rounds: int = 10) -> np.ndarray:
+    """At most ``cells`` centres of unit rows, by spherical k-means from spread-out seeds."""
+    chosen = [0]
+    near = x @ x[0]
+    while len(chosen) < min(cells, len(x)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    centres = x[chosen].copy()
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(axis=1)
+        for c in np.unique(own):
+            mean = x[own == c].sum(axis=0)
+            centres[c] = mean / max(1e-9, float(np.linalg.norm(mean)))
+    return centres
+
+
+def _routed(centres: np.ndarray, idf: np.ndarray, mean_length: float):
+    """Adds the nearest cell, and the bucket of the least hash of the id's runs of five."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), SLICE):
+                part = pdf.iloc[lo : lo + SLICE]
+                docs = [np.frombuffer(x, np.uint16) for x in part["ids"]]
+                cell = (hashed_vectors(docs, idf, mean_length) @ centres.T).argmax(axis=1)
+                at = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
+                grams, edge = ngram_hashes(mixed(np.concatenate(docs).astype(U64)), at, 5)
+                least = np.zeros(len(docs), U64)
+                some = np.flatnonzero(np.diff(edge))
+                least[some] = np.minimum.reduceat(grams, edge[some]) if len(some) else 0
+                # Least hashes are small numbers; hashed again they fill the buckets evenly.
+                yield part.assign(cell=cell.astype(np.int32), bucket=(mixed(least) % U64(BUCKETS)).astype(np.int32))
+
+    return run
+
+
+def lexical_shards(tokens: DataFrame, shards: int, idf: np.ndarray, mean_length: float) -> DataFrame:
+    """Adds ``cell`` and ``tile`` for shards of lexically close documents."""
+    place = F.xxhash64("id", F.crc32("ids")).alias("place")
+    rows = tokens.select("id", "ids", "n", place, F.lit(0).cast("long").alias("row"))
+    if shards == 1:
+        return rows.select("id", "ids", "place", "row", F.lit(0).alias("cell"), F.lit(0).cast("long").alias("tile"))
+    run = F.substring("ids", F.lit(1), F.lit(2 << 16))
+    held = sorted(bytes(r.ids) for r in least_hashes(rows.select("place", run.alias("ids")), "place", SAMPLE).collect())
+    centres = cell_centres(hashed_vectors([np.frombuffer(x, np.uint16) for x in held], idf, mean_length), min(CELLS, shards))
+    routed = stored(rows.mapInPandas(_routed(centres, idf, mean_length), "id long, ids binary, n long, place long, row long, cell int, bucket int"))
+    return tiled(routed, "cell", "bucket", 1 << 20, F.col("n") + 1, SHARD_IDS, F.col("place")).select("id", "ids", "place", "row", "cell", "tile")
+
+
+def bm25(idf: np.ndarray, term: np.ndarray, count: np.ndarray, length: np.ndarray, mean_length: float) -> np.ndarray:
+    tf = count.astype(np.float64)
+    return idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean_length, 1)))
 
 
 def distinct_counts(ids: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,21 +180,16 @@ class Index:
         self.n = len(docs)
         length = np.array([len(d) for d in docs])
         owner, term, count = distinct_counts(np.concatenate(docs), np.repeat(np.arange(self.n), length), self.n)
-        tf = count.astype(np.float64)
-        norm = K1 * (1 - B + B * length[owner] / max(mean_length, 1))
-        weight = idf[term] * tf * (K1 + 1) / (tf + norm)
+        weight = bm25(idf, term, count, length[owner], mean_length)
         self.by_doc = np.searchsorted(owner, np.arange(self.n + 1))
-        self.doc_terms, self.doc_weights = term, weight
+        self.doc_terms = term
         order = np.argsort(term, kind="stable")
         self.by_term = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
         self.posting_docs, self.posting_weights = owner[order], weight[order]
 
     def scores(self, doc: int) -> np.ndarray:
-        """BM25 of all documents for the heaviest terms of ``doc``."""
-        lo, hi = self.by_doc[doc], self.by_doc[doc + 1]
-        terms, weights = self.doc_terms[lo:hi], self.doc_weights[lo:hi]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-weights, QUERY_TERMS)[:QUERY_TERMS]]
+        """BM25 of all documents for the terms of ``doc``."""
+        terms = self.doc_terms[self.by_doc[doc] : self.by_doc[doc + 1]]
         spans = [slice(self.by_term[t], self.by_term[t + 1]) for t in terms]
         if not spans:
             return np.zeros(self.n)
@@ -143,8 +219,7 @@ def pack(lengths: np.ndarray, index: Index, window: int = WINDOW) -> list[tuple[
                     score = index.scores(seed)
                     score[~unused] = -1
                     k = min(RANKED, n)
-                    best = np.argpartition(-score, k - 1)[:k]
-                    best = best[score[best] >= 0]
+                    best = np.flatnonzero(score >= max(0, np.partition(score, n - k)[n - k]))
                     ranked = best[np.lexsort((-best, score[best]))].tolist()
                     if not ranked:
                         break
@@ -166,8 +241,8 @@ def pack(lengths: np.ndarray, index: Index, window: int = WINDOW) -> list[tuple[
 
 def _packed(idf: np.ndarray, mean_length: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in grouped_runs(batches, ["shard"]):
-            group = group.sort_values(["place", "id"], kind="stable", ignore_index=True)
+        for group in grouped_runs(batches, ["cell", "tile"]):
+            group = group.sort_values(["place", "row", "id"], kind="stable", ignore_index=True)
             docs = [np.append(np.frombuffer(x, np.uint16), np.uint16(END)) for x in group["ids"]]
             lengths = np.array([len(d) for d in docs])
             pieces = pack(lengths, Index([d[:-1] for d in docs], idf, mean_length))
@@ -179,7 +254,7 @@ def _packed(idf: np.ndarray, mean_length: float):
                     "length": length,
                     "ids_crc32": [zlib.crc32(docs[d][s : s + k].astype("<u4").tobytes()) for d, s, k, _, _ in pieces],
                     "doc_tokens": lengths[of],
-                    "sequence_id": int(group["shard"].iloc[0]) * (1 << 32) + seq,
+                    "sequence_id": (int(group["cell"].iloc[0]) << 56) + (int(group["tile"].iloc[0]) << 28) + seq,
                     "offset": offset,
                 }
             )
@@ -191,32 +266,28 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Pieces of all documents, laid in sequences of at most ``WINDOW`` ids.
 
     With ``in_order`` the documents, read from files, are dealt to shards in the order of the files
-    and of the rows in them, so that sequences follow it shard by shard; otherwise by a hash.
+    and of the rows in them, so that sequences follow it shard by shard, and neighbours are sought
+    within a stretch of that order; otherwise lexically close documents share a shard.
 
     One row per piece: the document's id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``
-    (with the end id), ``sequence_id``, ``offset``. A null or empty text is its end id alone.
-    Rows with a null id and rows that repeat are packed like any other. Other columns are
-    ignored; an empty table gives an empty result.
+    (with the end id), ``sequence_id``, ``offset``. A null or empty text is its end id alone. A
+    text of any length is cut over as many sequences as it needs. Of neighbours with equal BM25 the
+    first in the shard's order comes first. Rows with a null id and rows that repeat are packed
+    like any other. Other columns are ignored, whatever their names; an empty table gives an empty
+    result.
     """
     file, row = (F.col("_metadata.file_name"), F.col("_metadata.row_index")) if in_order else (F.lit(""), F.lit(0))
     tokens = stored(tokenized(docs, id_col, text_col, vocabulary or vocabulary_path(), file, row))
     rows, ids = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = document_frequencies(tokens)
-    idf = np.log1p((rows - df + 0.5) / (df + 0.5))
+    idf, mean_length = np.log1p((rows - df + 0.5) / (df + 0.5)), ids / max(rows, 1)
     shards = max(1, -(-(ids + rows) // SHARD_IDS))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if in_order:
-        tokens, place = positions(tokens), F.col("position")
-        shard = F.floor(place * shards / max(rows, 1))
-    else:
-        place = F.xxhash64("id", F.crc32("ids"))
-        shard = F.pmod(place, F.lit(shards))
-    dealt = tokens.select("id", "ids", place.alias("place"), shard.cast("long").alias("shard"))
+    dealt = ordered_shards(tokens) if in_order else lexical_shards(tokens, shards, idf, mean_length)
     return (
-        dealt.repartition(parts, "shard")
-        .sortWithinPartitions("shard")
+        dealt.repartition("cell", "tile")
+        .sortWithinPartitions("cell", "tile")
         .mapInPandas(
-            _packed(idf, ids / max(rows, 1)),
+            _packed(idf, mean_length),
             "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
         )
         .withColumnRenamed("id", id_col)
