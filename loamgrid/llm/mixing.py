@@ -5,7 +5,9 @@ slot floor(j / w) and due by slot ceil((j + 1) / w); earliest-deadline-first ove
 blocks meets every deadline, so at any slot each source is less than one block away from its share.
 Weights are exact: floats are taken as the fractions they are, and j / w is worked out in whole
 numbers, so the bound holds however long the mixture is. The driver goes through the blocks once
-and holds three numbers for each; rows look up their block's.
+and holds three numbers for each; rows look up their block's. A block has ``BLOCK_ROWS`` rows, or
+so many more that there are about ``MOST_BLOCKS`` of them: what the driver holds does not grow with
+the corpus, and the deviation stays below one block.
 
 When a source runs out, a new phase starts with the target weights of those left; every row is
 placed exactly once.
@@ -27,26 +29,9 @@ from .sharding import with_slots
 
 #: Blocks of a source in one row of the schedule, at most.
 QUANTUM = 1000
-#: More sources are refused.
-MOST_SOURCES = QUANTUM
 #: A due slot beyond all others, where a weight is so small that its own does not fit a long.
 NEVER = 1 << 60
-BLOCK_ROWS = 16
-
-
-def whole_weights(weights: list[float], quantum: int = QUANTUM) -> list[int]:
-    """Whole parts of ``quantum`` by largest remainder, each at least one."""
-    total = sum(weights)
-    exact = [w / total * quantum for w in weights]
-    out = [max(1, int(x)) for x in exact]
-    order = sorted(range(len(out)), key=lambda i: (out[i] - exact[i], i))
-    k = 0
-    while sum(out) < quantum:
-        out[order[k % len(out)]] += 1
-        k += 1
-    while sum(out) > quantum:
-        out[max(range(len(out)), key=lambda i: (out[i] - exact[i] if out[i] > 1 else float("-inf"), -i))] -= 1
-    return out
+BLOCK_ROWS, MOST_BLOCKS = 16, 1 << 20
 
 
 def exact_weights(weights: list[float]) -> list[int]:
@@ -74,14 +59,6 @@ def pfair(weights: list[int]) -> Iterator[tuple[int, int, int]]:
         heapq.heappush(waiting, (done[s] * total // weights[s], s))
 
 
-def pfair_period(weights: list[int]) -> list[list[int]]:
-    """Slots of each source's blocks within one period of sum(weights) slots."""
-    slots: list[list[int]] = [[] for _ in weights]
-    for t, (s, _, _) in zip(range(sum(weights)), pfair(weights), strict=False):
-        slots[s].append(t)
-    return slots
-
-
 @dataclass
 class Stretch:
     """A source's blocks ``first`` to ``last`` - 1, of one phase and one chunk of QUANTUM blocks.
@@ -94,7 +71,6 @@ class Stretch:
     first: int
     last: int
     start: int
-    weight: int
     missing: int
     pattern: list[int]
     release: list[int]
@@ -116,7 +92,7 @@ def schedule(rows: list[int], weights: list[float], block_rows: int = BLOCK_ROWS
             s = left[i]
             now = open_.get(s)
             if now is None or used[s] % QUANTUM == 0:
-                now = open_[s] = Stretch(s, phase, used[s], used[s], start, QUANTUM, missing, [], [], [])
+                now = open_[s] = Stretch(s, phase, used[s], used[s], start, missing, [], [], [])
                 out.append(now)
             now.pattern.append(t)
             now.release.append(release)
@@ -137,7 +113,7 @@ def tempered(counts: dict, power: float = 0.7) -> dict:
 
 
 def mix_sources(
-    docs: DataFrame, targets: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source"
+    docs: DataFrame, targets: dict[str, float] | None = None, block_rows: int | None = None, id_col: str = "doc_id", source_col: str = "source"
 ) -> DataFrame:
     """One row per document, ``row`` (all its columns) and its place in the mixture.
 
@@ -145,12 +121,15 @@ def mix_sources(
     ``position``, gapless from 0 over all rows. ``targets`` gives each source's weight; without
     it the weights are ``tempered``. Sources without a positive weight follow after all others in
     proportion to their size. Rows of a null source form a source of their own, whose weight is
-    ``targets[None]``. Order within a source is by a hash, so it is the same for any partitioning;
-    rows that repeat are placed one by one. An empty table gives an empty result.
+    ``targets[None]``. Of blocks with equal deadlines the source first in alphabetical order, nulls
+    before all, goes first. Order within a source is by a hash of the id, so it is the same for any
+    partitioning; rows that repeat are placed one by one. Texts are never looked at, of whatever
+    length. ``row`` keeps all columns, whatever their names. An empty table gives an empty result.
+
+    ``block_rows`` is ``BLOCK_ROWS`` or, for more than ``MOST_BLOCKS`` such blocks, so many more.
     """
-    counts = {r[0]: r[1] for r in docs.groupBy(F.col(source_col).cast("string").alias("s")).count().limit(MOST_SOURCES + 1).collect()}
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    counts = {r[0]: r[1] for r in docs.groupBy(F.col(source_col).cast("string").alias("s")).count().collect()}
+    block_rows = block_rows or max(BLOCK_ROWS, -(-sum(counts.values()) // MOST_BLOCKS))
     wanted = tempered(counts) if targets is None else targets
     names = sorted(counts, key=lambda x: (x is not None, x))
     plan = schedule([counts[x] for x in names], [float(wanted.get(x, 0)) for x in names], block_rows)
@@ -161,10 +140,10 @@ def mix_sources(
     )
     index = spark.createDataFrame([(x, i) for i, x in enumerate(names)], "name string, shard int")
     held = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(source_col).cast("string").alias("source"), F.xxhash64(id_col).alias("spread"))
-    ranked = with_slots(held.join(F.broadcast(index), F.col("source").eqNullSafe(F.col("name"))).drop("name"), F.col("spread")).withColumnRenamed("slot", "rank")
+    ranked = with_slots(held.join(index, F.col("source").eqNullSafe(F.col("name"))).drop("name"), F.col("spread")).withColumnRenamed("slot", "rank")
     block = F.floor(F.col("rank") / block_rows)
     placed = ranked.withColumn("block", block).withColumn("chunk", F.floor(F.col("block") / QUANTUM))
-    placed = placed.join(F.broadcast(table), ["shard", "chunk"]).where("block >= first AND block < last")
+    placed = placed.join(table, ["shard", "chunk"]).where("block >= first AND block < last")
     k = (F.col("block") - F.col("first") + 1).cast("int")
     at = {c: (F.col("start") + F.element_at(c, k)).cast("long") for c in ("pattern", "release", "due")}
     return placed.withColumn("slot", at["pattern"]).select(
@@ -179,8 +158,12 @@ def mix_sources(
     )
 
 
-def mixed_documents(docs: DataFrame, targets: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` in the mixture's order: range-partitioned by position and sorted, columns unchanged."""
+def mixed_documents(
+    docs: DataFrame, targets: dict[str, float] | None = None, block_rows: int | None = None, id_col: str = "doc_id", source_col: str = "source"
+) -> DataFrame:
+    """``docs`` in the mixture's order: range-partitioned by position and sorted, columns unchanged.
+
+    Handles nulls, ties, repeats, empty tables and clashing names as ``mix_sources`` does.
+    """
     placed = mix_sources(docs, targets, block_rows, id_col, source_col).select("row", "position")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartitionByRange(parts, "position").sortWithinPartitions("position").select("row.*")
+    return placed.repartitionByRange("position").sortWithinPartitions("position").select("row.*")

@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from .components import connected_components
 from .shingles import Permutations, band_keys, distinct_sets, mixed, ngram_hashes, row_slices, sequence_keys, utf8, word_hashes
-from .tables import stored
+from .tables import fresh_name, stored
 
 #: Members of a component that is verified whole, or of the part of one that meets its first member; and bytes of text.
 WHOLE_ROWS, WHOLE_BYTES = 256, 16 << 20
@@ -322,7 +322,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     gone = stored(shared.select("key").distinct().join(kept, "key", "left_anti"))
     again = stored(shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key").join(kept, "key", "left_semi"))
 
-    key = next(f"key{i}" for i in range(len(docs.columns) + 1) if f"key{i}" not in docs.columns)
+    key = fresh_name(docs, "text_key")
     text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     keyed = docs.withColumn(key, text_key(F.col(id_col).cast("long"), text))
     out = keyed.join(gone, F.col(key) == gone["key"], "left_anti")

@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tables import stored
+from .tables import fresh_name, stored
 
 #: Key bits that the first and each later round resolves. A round sends the driver at most
 #: 2^FIRST_BITS rows, a later one shards * 2^NEXT_BITS rows, whatever the input's size.
 FIRST_BITS, NEXT_BITS = 12, 8
-#: Parts of a shard in which slots are counted side by side.
-LANES = 64
+#: Parts of a shard in which slots are counted side by side: so many at least, and one for so many rows.
+LANES, LANE_ROWS = 64, 1 << 18
 
 _MIN = -(1 << 63)
 
@@ -116,15 +116,17 @@ def shard_of(splitters: list[Splitter], h: Column, g: Column) -> Column:
 def with_slots(rows: DataFrame, spread: Column) -> DataFrame:
     """Adds ``slot``, gapless from 0 within each ``shard``.
 
-    Each shard is counted in lanes by the hash ``spread``, so no task sorts a whole shard; a lane
-    starts where the lanes before it end. The lanes' counts are shards * LANES rows.
+    Each shard is counted in lanes by the hash ``spread``, as many as its rows demand, so no task
+    sorts a whole shard; a lane starts where the lanes before it end.
     """
-    laned = rows.withColumn("_lane", F.pmod(spread, F.lit(LANES)).cast("int"))
+    lanes = F.greatest(F.lit(LANES), F.ceil(F.count("*") / LANE_ROWS)).cast("int").alias("_lanes")
+    laned = rows.join(rows.groupBy("shard").agg(lanes), "shard").withColumn("_lane", F.pmod(spread, F.col("_lanes")).cast("int"))
     counts = laned.groupBy("shard", "_lane").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_lane", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("shard", "_lane").orderBy(spread))
-    return laned.withColumn("_row", inside).join(F.broadcast(starts), ["shard", "_lane"]).withColumn("slot", (F.col("_start") + F.col("_row") - 1).cast("long")).drop("_lane", "_row", "_start")
+    slotted = laned.withColumn("_row", inside).join(starts, ["shard", "_lane"])
+    return slotted.withColumn("slot", (F.col("_start") + F.col("_row") - 1).cast("long")).drop("_lane", "_lanes", "_row", "_start")
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,9 +140,11 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001) -> DataFrame:
     """One row per document: its id, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``.
 
-    The law is ``bytes``: the shards' sizes are near equal. Null texts count as empty (size 16,
-    CRC 0), null ids are keys like any other, and rows that repeat get slots of their own. An
-    empty table gives an empty result.
+    The law is ``bytes``: the shards' sizes are near equal, each splitter within ``tolerance`` of a
+    shard or one row of its target, so a very long text makes its shard larger by itself alone.
+    Null texts count as empty (size 16, CRC 0), null ids are keys like any other, and rows that
+    repeat, which tie on the key, get slots of their own. Other columns are ignored, whatever their
+    names. An empty table gives an empty result.
     """
     crc = F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
     slim = stored(keyed(docs.select(id_col, text_col), id_col, text_col).select(id_col, "size", crc.alias("text_crc32"), "h", "g"))
@@ -149,12 +153,17 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     return placed.select(id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001) -> None:
-    """Writes ``docs`` with all their columns as one folder per shard under ``path``."""
-    held = {"h": "_h", "g": "_g", "size": "_size"}
-    keys = keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
-    splitters = find_splitters(stored(keys.select("h", "g", "size")), shards, tolerance)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumns({held["h"]: F.xxhash64(text), held["g"]: F.xxhash64(F.col(id_col), F.lit(1))})
-    placed = rows.withColumn("shard", shard_of(splitters, F.col(held["h"]), F.col(held["g"]))).drop(held["h"], held["g"])
-    placed.repartition("shard", F.pmod(F.xxhash64(id_col), F.lit(LANES))).write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001) -> str:
+    """Writes ``docs`` with all their columns as one folder per shard under ``path``, by the same law and shards.
+
+    Returns the name of the folders' column, ``shard`` unless ``docs`` has a column of that name.
+    Rows move once, a shard as several files of about ``LANE_ROWS`` rows.
+    """
+    keys = stored(keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text").select("h", "g", "size"))
+    splitters, rows = find_splitters(keys, shards, tolerance), keys.count()
+    name, lane = fresh_name(docs, "shard"), fresh_name(docs, "lane")
+    h, g = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.xxhash64(F.col(id_col), F.lit(1))
+    files = max(1, -(-rows // (shards * LANE_ROWS)))
+    placed = docs.withColumns({name: shard_of(splitters, h, g), lane: F.pmod(F.xxhash64(g, h), F.lit(files))})
+    placed.repartition(name, lane).drop(lane).write.partitionBy(name).parquet(path)
+    return name

@@ -68,3 +68,11 @@ def run_of(text: Column, spread: Column, most: int) -> Column:
     length = F.char_length(text)
     start = F.pmod(spread, F.greatest(length - most, F.lit(1)).cast("long")).cast("int") + 1
     return F.when(length <= most, text).otherwise(F.substring(text, start, F.lit(most)))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
