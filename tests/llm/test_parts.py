@@ -1,12 +1,16 @@
 """Parts of the operators on their own: schedules, attention, windows, trees of html, components."""
 
+from collections import Counter
+from fractions import Fraction
+from math import ceil, floor
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loamgrid.llm import attention_lm, language, lm_scoring, mixing, near_join, packing
+from loamgrid.llm import attention_lm, language, lm_scoring, mixing, near_join, packing, sharding
 from loamgrid.llm.components import connected_components
 from loamgrid.llm.html_text import main_text
 from loamgrid.llm.near_join import shared_counts
@@ -14,28 +18,107 @@ from loamgrid.llm.shingles import ngram_hashes, utf8, word_hashes
 from loamgrid.llm.tokens import vocabulary_path, word_tokenizer
 
 
-@given(st.lists(st.floats(0.01, 100), min_size=1, max_size=30))
-def test_pfair_stays_within_a_block(weights):
-    whole = mixing.whole_weights(weights)
-    assert sum(whole) == mixing.QUANTUM and min(whole) >= 1
-    slots = mixing.pfair_period(whole)
-    assert sorted(x for s in slots for x in s) == list(range(mixing.QUANTUM))
-    for w, own in zip(whole, slots, strict=True):
-        done = np.searchsorted(own, np.arange(1, mixing.QUANTUM + 1))
-        lag = w * np.arange(1, mixing.QUANTUM + 1) / mixing.QUANTUM - done
-        assert np.abs(lag).max() < 1
+@given(st.lists(st.floats(0.01, 100), min_size=1, max_size=12))
+@settings(deadline=None, max_examples=50)
+def test_pfair_is_earliest_deadline_first_within_a_block(weights):
+    """Against a plain reading of the rule in fractions, and within one block of the very weights."""
+    parts = [Fraction(w) for w in weights]
+    shares = [p / sum(parts) for p in parts]
+    done = [0] * len(parts)
+    for t, (s, release, due) in zip(range(300), mixing.pfair(mixing.exact_weights(weights)), strict=False):
+        released = [i for i, w in enumerate(shares) if floor(done[i] / w) <= t]
+        best = min(released, key=lambda i: (ceil((done[i] + 1) / shares[i]), i))
+        assert (s, release, due) == (best, floor(done[best] / shares[best]), ceil((done[best] + 1) / shares[best])) and release <= t < due
+        done[s] += 1
+        assert all(abs(w * (t + 1) - d) < 1 for w, d in zip(shares, done, strict=True))
 
 
 @given(st.lists(st.tuples(st.integers(0, 400), st.floats(0, 5)), min_size=1, max_size=8))
 def test_schedule_places_every_block_once(sources):
     rows, weights = [n for n, _ in sources], [w for _, w in sources]
-    slots = []
-    for p in mixing.schedule(rows, weights, 16):
-        k = np.arange(p.last - p.first)
-        slots += (p.start + k // p.weight * mixing.QUANTUM + np.array(p.pattern)[k % p.weight]).tolist()
+    slots = [p.start + t for p in mixing.schedule(rows, weights, 16) for t in p.pattern]
     assert sorted(slots) == list(range(sum(-(-n // 16) for n in rows)))
 
 
+def test_mixture_follows_the_schedule(spark, monkeypatch):
+    """Positions and whole rows against the schedule laid out by hand, with blocks that grow beyond a bound."""
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 40)
+    counts = {"a": 500, "b": 90, "c": 7, None: 30}
+    rows = [(i, s, f"text {i}", "clash") for i, s in enumerate(x for x, n in counts.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, position string")
+    targets = {"a": 0.5, "b": 0.3, "c": 0.2, None: 0.1}
+    size = -(-len(rows) // 40)
+    got = sorted(mixing.mix_sources(docs, targets).collect(), key=lambda r: r.position)
+    left, done, want, phase = dict(counts), dict.fromkeys(counts, 0), [], 0
+    while any(left.values()):
+        alive = sorted((s for s in left if left[s]), key=lambda s: (s is not None, s or ""))
+        local = dict.fromkeys(alive, 0)
+        share = {s: Fraction(targets[s]) / sum(Fraction(targets[x]) for x in alive) for s in alive}
+        t, over = 0, False
+        while not over:
+            best = min((s for s in alive if floor(local[s] / share[s]) <= t), key=lambda s: (ceil((local[s] + 1) / share[s]), alive.index(s)))
+            n = min(size, left[best])
+            want += [(best, done[best], phase)] * n
+            local[best], done[best], left[best], t = local[best] + 1, done[best] + 1, left[best] - n, t + 1
+            over = left[best] == 0
+        phase += 1
+    assert [(r.source, r.block, r.phase) for r in got] == want
+    assert [r.position for r in got] == list(range(len(rows)))
+    whole = mixing.mixed_documents(docs, targets)
+    assert whole.columns == docs.columns
+    assert [tuple(r) for r in whole.collect()] == [tuple(r.row) for r in got]
+
+
+def test_neighbours_are_those_of_plain_bm25():
+    draw = np.random.default_rng(6)
+    docs = [draw.zipf(1.3, draw.integers(1, 90)).clip(0, 200).astype(np.uint16) for _ in range(120)] + [np.zeros(0, np.uint16)] * 2
+    df = np.zeros(packing.VOCABULARY)
+    for d in docs:
+        df[np.unique(d)] += 1
+    idf, mean = np.log1p((len(docs) - df + 0.5) / (df + 0.5)), np.mean([len(d) for d in docs])
+
+    def bm25(query, doc):
+        words = Counter(doc.tolist())
+        norm = packing.K1 * (1 - packing.B + packing.B * len(doc) / mean)
+        return sum(idf[t] * words[t] * (packing.K1 + 1) / (words[t] + norm) for t in set(query.tolist()) if t in words)
+
+    index = packing.Index(docs, idf, mean)
+    for i in (0, 5, 121):
+        assert np.allclose(index.scores(i), [bm25(docs[i], d) for d in docs])
+    pieces = packing.pack(np.array([len(d) + 1 for d in docs]), index, 256)
+    used, seed = set(), None
+    for doc, start, _, _, offset in pieces:
+        if offset == 0:
+            seed = doc
+        elif start == 0:
+            score = index.scores(seed)
+            assert doc == min((i for i in range(len(docs)) if i not in used), key=lambda i: (-score[i], i))
+        used.add(doc)
+
+
+def test_shards_hold_close_documents(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_IDS", 3000)
+    draw = np.random.default_rng(7)
+    topics = [[f"{c}{i}word" for i in range(60)] for c in "abcdef"]
+    rows = [(i, " ".join(draw.choice(topics[i % 6], 120))) for i in range(180)] + [(1000 + i, "one long copy " * 200) for i in range(60)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    filled = got.groupby("sequence_id").length.sum()
+    size = got.groupby(got.sequence_id // (1 << 28)).length.sum()
+    assert filled.max() <= packing.WINDOW and len(size) > 6 and size.max() < 4 * 3000
+    topic = got[got.doc_id < 1000].assign(topic=got.doc_id % 6).groupby("sequence_id").topic.nunique()
+    assert (topic == 1).mean() > 0.5
+
+
+def test_written_shards_keep_all_columns(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * (i % 50), "s", "l") for i in range(400)] + [(None, None, "s", "l")], "doc_id long, text string, shard string, lane string")
+    name = sharding.write_shards(docs, f"{tmp_path}/out", 5)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert name == "shard_" and sorted(back.columns) == sorted([*docs.columns, name])
+    assert sorted(map(tuple, back.select(docs.columns).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+    same = {r.doc_id: r.shard for r in sharding.shard_documents(docs, 5).collect()}
+    assert {r.doc_id: r[name] for r in back.select("doc_id", name).collect()} == same
+
+
 def brute_log(model, ids):
     """log10 probability of a text, id by id, with plain loops over its context."""
     w, c = model.weights, attention_lm.CONTEXT

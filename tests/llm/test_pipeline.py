@@ -84,7 +84,7 @@ def test_packing_follows_the_mixture(spark, stages, monkeypatch):
     order = {r.doc_id: (r.file_name, r.row_index) for r in stages[4].select("doc_id", "_metadata.file_name", "_metadata.row_index").collect()}
     last = defaultdict(list)
     for r in packing.pack_documents(stages[4], in_order=True).collect():
-        last[r.sequence_id >> 32].append(order[r.doc_id])
+        last[r.sequence_id >> 28].append(order[r.doc_id])
     shards = [last[k] for k in sorted(last)]
     assert len(shards) > 3 and all(max(a) < min(b) for a, b in zip(shards, shards[1:], strict=False))
 

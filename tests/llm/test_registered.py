@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from loamgrid.llm import lm_scoring
+from loamgrid.llm import html_text, lm_scoring
 from loamgrid.llm.registry import QUERIES
 from loamgrid.llm.tables import read_table
 
@@ -60,7 +60,9 @@ def test_op2(spark, texts):
         raw = texts[r.doc_id].encode()
         assert (r.size, r.text_crc32) == (len(raw) + 16, zlib.crc32(raw))
     sizes = got.groupby("shard")["size"].sum()
-    assert len(sizes) == 40 and sizes.max() - sizes.min() <= 2 * got["size"].max()
+    total, below = sizes.sum(), sizes.sort_index().cumsum().to_numpy()
+    off = np.abs(below - total * np.arange(1, 41) / 40)
+    assert len(sizes) == 40 and off.max() <= max(0.001 * total / 40, got["size"].max())
     assert all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard").slot)
 
 
@@ -125,14 +127,35 @@ def test_op4(spark, texts):
         assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]]
 
 
-def test_op5(spark):
+def article(page):
     import html
 
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    parts = (" ".join(html.unescape(re.sub("<[^>]+>", " ", p)).split()) for p in re.split("</?p>|</?h1>", inner))
+    return "\n\n".join(p for p in parts if p)
+
+
+def test_op5(spark):
     pages = {r.page_id: r.html for r in read_table(spark, D, "pages").collect()}
     for r in QUERIES["op5_html_extraction"](spark, D).collect():
-        article = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
-        parts = (" ".join(html.unescape(re.sub("<[^>]+>", " ", p)).split()) for p in re.split("</?p>|</?h1>", article))
-        assert r.text == "\n\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+        assert r.text == article(pages[r.page_id]) and r.n_chars == len(r.text)
+
+
+def test_op5_finds_articles_by_density(spark):
+    """The same pages without the element, with class names that say nothing, and without any prior."""
+    pages = [r.html for r in read_table(spark, D, "pages").collect()]
+    want = [article(p) for p in pages]
+    plain = [re.sub(r"<(/?)article>", r"<\1div>", p) for p in pages]
+    assert [html_text.main_text(p) for p in plain] == want
+    nameless = [p.replace('class="ad"', 'class="x1"') for p in plain]
+    assert np.mean([html_text.main_text(p) == w for p, w in zip(nameless, want, strict=True)]) >= 0.97
+    assert np.mean([html_text.main_text(p, prior=False) == w for p, w in zip(nameless, want, strict=True)]) >= 0.95
+
+
+def test_op5_reads_long_pages():
+    many = "".join(f"<p>Paragraph number {i} of a long page &amp; more.</p>" for i in range(20_000))
+    got = html_text.main_text(f"<body><div><a href=x>menu</a></div><div>{many}</div><div><a href=y>end</a></div></body>")
+    assert got.count("\n\n") == 19_999 and got.startswith("Paragraph number 0 of a long page & more.")
 
 
 def test_op6(spark):
@@ -162,7 +185,10 @@ def test_op9(spark, texts, frequent, monkeypatch):
     tokens = {k: [*split.findall(t.translate(low)), None] for k, t in texts.items()}
     count = Counter(w for k, ws in tokens.items() if zlib.crc32(str(k).encode()) % 7 != 2 for w in ws)
     total = sum(count.values())
-    for r in QUERIES["op9_lm_scoring"](spark, D).collect():
+    rows = QUERIES["op9_lm_scoring"](spark, D).collect()
+    new = [r for r in rows if r.held_out]
+    assert sum(r.score for r in new) > sum(r.base_score for r in new) and sum(r.score > r.base_score for r in new) > len(new) / 2
+    for r in rows:
         ws = tokens[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(count[w] > 0 for w in ws), total)
         assert math.isclose(r.base_score, sum(math.log10((count[w] + 1) / (total + len(count) + 1)) for w in ws), rel_tol=1e-9)
