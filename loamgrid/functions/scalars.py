@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,13 +71,13 @@ def flags(path: Column) -> Column:
 
 
 def result_type(path: Column) -> Column:
-    return (
-        F.when(path.contains(".github/workflows/"), "workflow")
-        .when(path.endswith("action.yml") | path.endswith("action.yaml"), "action")
-        .when(path.rlike(r"(?i)\.mdx?$"), "documentation")
-        .when(path.rlike(r"(?i)(^|/)(package\.json|tsconfig\.json|eslint\.config|\.eslintrc|\.prettierrc)"), "config")
-        .otherwise("code")
-    )
+    """What kind of file a search result is, by the first of its markers."""
+    name = F.lower(basename(path))
+    parts = F.split(F.lower(path), "/")
+    config = F.exists(parts, lambda x: reduce(or_, (x.startswith(n) for n in model.CONFIG_HEADS)))
+    action = reduce(or_, (path.endswith(n) for n in model.ACTION_NAMES))
+    kinds = [("workflow", path.contains(model.WORKFLOW_DIRECTORY)), ("action", action), ("documentation", name.endswith(".md") | name.endswith(".mdx")), ("config", config)]
+    return F.coalesce(*[F.when(holds, kind) for kind, holds in kinds], F.lit("code"))
 
 
 def snippet(text: Column, length: int = 320) -> Column:
@@ -100,22 +102,27 @@ def yaml_scalar(text: Column, key: str) -> Column:
     return F.when(found != "", F.regexp_replace(F.trim(found), "^['\"]|['\"]$", ""))
 
 
+def _section(text: Column, key: str) -> Column:
+    """What follows a top-level key, up to the next line that is blank or not indented; null without it."""
+    own = F.get(F.filter(F.split(text, r"(?m)^(?=\S)"), lambda x: x.startswith(f"{key}:")), F.lit(0))
+    return F.substr(F.get(F.split(own, r"\n[ \t]*(?=\n|$)"), F.lit(0)), F.lit(len(key) + 2))
+
+
 def workflow_triggers(text: Column) -> Column:
-    """Triggers of a workflow: an inline list, one word, or the keys of a block."""
-    listed = F.regexp_extract(text, r"(?m)^on:\s*\[([^\]]+)\]", 1)
-    word = F.regexp_extract(text, r"(?m)^on:\s*(\w[\w-]*)\s*$", 1)
-    block = F.regexp_extract(text, r"(?m)^on:\s*\n((?:[ \t]+\S[^\n]*\n?)+)", 1)
-    parts = F.filter(F.transform(F.split(listed, ","), lambda x: F.trim(x)), lambda x: x != "")
-    keys = F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]{2}(\w[\w-]*):"), F.lit(1))
-    return F.when(listed != "", parts).when(word != "", F.array(word)).otherwise(keys)
+    """Triggers of a workflow: an inline list, one word, or the keys of a block (two blanks deep)."""
+    section = F.coalesce(_section(text, "on"), F.lit(""))
+    value = F.regexp_replace(section, r"^\s+", "")
+    first = F.rtrim(F.substring_index(value, "\n", 1))
+    items = F.transform(F.split(F.substring_index(F.substr(value, F.lit(2)), "]", 1), ","), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    keys = F.regexp_extract_all(section, F.lit(r"(?m)^[ \t]{2}(\w[\w-]*):"), F.lit(1))
+    return F.when(value.startswith("["), F.filter(items, lambda x: x != "")).when(first.rlike(r"^\w[\w-]*$"), F.array(first)).otherwise(keys)
 
 
 def action_inputs(text: Column) -> Column:
-    """Inputs of an action, each with its name and whether it is required."""
-    block = F.regexp_extract(text, r"(?m)^inputs:\s*\n((?:[ \t]+\S[^\n]*\n?)*)", 1)
-    one = r"(?m)^  (\w[\w-]*):[ \t]*$((?:\n(?!  \w[\w-]*:[ \t]*$)[^\n]*)*)"
-    names, bodies = F.regexp_extract_all(block, F.lit(one), F.lit(1)), F.regexp_extract_all(block, F.lit(one), F.lit(2))
-    return F.zip_with(names, bodies, lambda n, b: F.struct(n.alias("name"), b.rlike(r"required:\s*true").alias("required")))
+    """Inputs of an action, each with its name and whether the lines below it require it."""
+    key = r"  \w[\w-]*:[ \t]*"
+    parts = F.filter(F.split(F.coalesce(_section(text, "inputs"), F.lit("")), rf"(?m)^(?={key}$)"), lambda x: x.rlike(rf"^{key}(\n|$)"))
+    return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, r"\w[\w-]*", 0).alias("name"), x.rlike(r"required:\s*true").alias("required")))
 
 
 def repo_of_url(url: Column, host: str = r"github\.com") -> Column:

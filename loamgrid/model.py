@@ -29,6 +29,11 @@ SCHEMA_VERSION = 4
 MAX_FILE_BYTES = 1_000_000
 MANY_FILES = 10_000
 
+# Names that tell the kind of a search result.
+WORKFLOW_DIRECTORY = ".github/workflows/"
+ACTION_NAMES = ["action.yml", "action.yaml"]
+CONFIG_HEADS = ["package.json", "tsconfig.json", "eslint.config", ".eslintrc", ".prettierrc"]
+
 # They must equal those of the indexed data's conventions.
 BINARY_EXTENSIONS = (
     "png jpg jpeg gif ico bmp webp svg woff woff2 ttf eot otf zip tar gz bz2 xz 7z rar pdf doc docx xls xlsx ppt pptx "

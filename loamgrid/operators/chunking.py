@@ -9,7 +9,7 @@ from __future__ import annotations
 import ast
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -97,29 +97,37 @@ def as_whole(text: str, path: str, count: Counter, limits: model.ChunkLimits) ->
 
 
 def limited(chunks: list[Chunk], count: Counter, most: int) -> list[Chunk]:
-    """Cuts chunks beyond ``most`` tokens by characters. A piece that is still too large waits as
-    two halves, the right one first, until its siblings are out."""
-    out: list[Chunk] = []
-    waiting = list(reversed(chunks))
-    while waiting:
-        c = waiting.pop()
-        n = len(c.content)
-        if c.tokens <= most or n <= 1:
-            out.append(c)
-            continue
-        step = min(n - 1, max(1, int(most * (n / max(c.tokens, 1)) * 0.9)))
-        line = c.start
-        for at in range(0, n, step):
-            text = c.content[at : at + step]
-            piece = Chunk(text, line, line + text.count("\n"), count(text))
-            line = piece.end
-            if piece.tokens > most and len(text) > 1:
-                left, right = text[: len(text) // 2], text[len(text) // 2 :]
-                middle = piece.start + left.count("\n")
-                waiting += [Chunk(left, piece.start, middle, count(left)), Chunk(right, middle, piece.end, count(right))]
-            else:
-                out.append(piece)
-    return out
+    """Chunks of at most ``most`` tokens, cut by characters; lines follow from the line feeds before a piece.
+
+    Of a range that is too large the slices that fit come first, in order, and then the halves of
+    the others, from the last slice to the first and each right half before its left one.
+    """
+    return [piece for c in chunks for piece in _pieces(c, count, most)]
+
+
+def _pieces(c: Chunk, count: Counter, most: int) -> Iterator[Chunk]:
+    feeds = [m.start() for m in re.finditer("\n", c.content)]
+
+    def within(lo: int, hi: int, tokens: int) -> Iterator[tuple[int, int, int]]:
+        size = hi - lo
+        if tokens <= most or size <= 1:
+            yield lo, hi, tokens
+            return
+        width = min(size - 1, max(1, math.floor(most * size / tokens * 0.9)))
+        cuts = [(i, min(i + width, hi)) for i in range(lo, hi, width)]
+        sized = [(i, j, count(c.content[i:j])) for i, j in cuts]
+        yield from (x for x in sized if x[2] <= most or x[1] - x[0] == 1)
+        for i, j, n in reversed(sized):
+            if n > most and j - i > 1:
+                half = (i + j) // 2
+                yield from within(half, j, count(c.content[half:j]))
+                yield from within(i, half, count(c.content[i:half]))
+
+    for lo, hi, tokens in within(0, len(c.content), c.tokens):
+        if (lo, hi) == (0, len(c.content)):
+            yield c
+        else:
+            yield Chunk(c.content[lo:hi], c.start + bisect_left(feeds, lo), c.start + bisect_left(feeds, hi), tokens)
 
 
 class Definition(NamedTuple):
@@ -148,63 +156,91 @@ def python_definitions(text: str) -> list[Definition]:
     return found
 
 
-#: Heads of definitions in languages with braces: what opens a class-like or a function-like body.
-_BRACE_CLASS = re.compile(r"^\s*(?:[\w@]+\s+)*?(class|interface|enum|record|struct|impl)\b\s*(?:<[^>{]*>)?\s*([^{]*?)\s*\{", re.M)
+#: Heads of definitions in languages with braces: what opens a class-like or a function-like body. A head is sought in at
+#: most ``HEAD`` characters and ``HEAD_LINES`` lines before its brace, so the scan is linear in the text.
+HEAD, HEAD_LINES = 400, 8
+_BRACE_CLASS = re.compile(r"\s*(?:[\w@]+\s+){0,6}?(class|interface|enum|record|struct|impl)\b\s*(?:<[^>]*>)?\s*(.*)", re.S)
 _BRACE_FUNCTION = re.compile(
-    r"^[ \t]*(?!(?:if|for|while|switch|catch|return|else|do|try|match|loop|with|using|lock)\b)(?:[\w@<>\[\],.*&:?]+[ \t]+)*"
-    r"(?:function\s*\*?\s*\w*|func\s*(?P<receiver>\([^)]*\))?\s*\w+|fn\s+\w+|\w+)\s*(?:<[^>(){}]*>)?\([^{};]*\)[^{};=()]*\{",
-    re.M,
+    r"[ \t]*(?!(?:if|for|while|switch|catch|return|else|do|try|match|loop|with|using|lock)\b)(?:[\w@<>\[\],.*&:?]+[ \t]+){0,8}?"
+    r"(?:function\s*\*?\s*\w*|func\s*(?P<receiver>\([^)]*\))?\s*\w+|fn\s+\w+|\w+)\s*(?:<[^>(){}]*>)?\([^{};]*\)[^{};=()]*",
 )
 
 
+def _brace_head(plain: str, lo: int, hi: int) -> tuple[int, str, str | None] | None:
+    """Start, kind and name (a function's receiver) of the definition whose brace is at ``hi``, if it is one."""
+    head = plain[lo:hi]
+    starts = [0, *(m.end() for m in re.finditer("\n", head))][-HEAD_LINES:]
+    for at in reversed(starts):
+        part = head[at:]
+        if not part.strip():
+            continue
+        m = _BRACE_CLASS.fullmatch(part)
+        if m:
+            return lo + at, "impl" if m[1] == "impl" else "class", re.split(r"\s+(?:extends|implements|where)\b|[:(<]", m[2])[0].strip()
+        m = _BRACE_FUNCTION.fullmatch(part)
+        if m:
+            return lo + at, "function", (m["receiver"] or "").strip("() ") or None
+    return None
+
+
 def brace_definitions(text: str, language: str) -> list[Definition]:
-    """Definitions in languages with braces, by their heads and matching braces.
+    """Definitions in languages with braces, by their heads and matching braces, in one scan.
 
     Strings and comments are blanked first; text whose braces do not match gives none.
     """
     plain = re.sub(
-        r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`|//[^\n]*|/\*.*?\*/', lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S
+        r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*(?:`|\Z)|//[^\n]*|/\*.*?(?:\*/|\Z)', lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S
     )
-    closes, stack = {}, []
-    for m in re.finditer(r"[{}]", plain):
+    feeds = [m.start() for m in re.finditer("\n", plain)]
+    line = lambda p: bisect_left(feeds, p)
+    out: list[Definition] = []
+    open_: list[tuple[int, str, str | None, str | None]] = []
+    holders: list[str] = []
+    since = 0
+    for m in re.finditer(r"[{};]", plain):
         if m[0] == "{":
-            stack.append(m.start())
-        elif not stack:
-            return []
-        else:
-            closes[stack.pop()] = m.end()
-    if stack:
-        return []
-    line_of = [m.end() for m in re.finditer("\n", plain)]
-    at = lambda p: bisect_right(line_of, p)
-    spans: list[tuple[int, int, str, str | None]] = []
-    for m in _BRACE_CLASS.finditer(plain):
-        name = re.split(r"\s+(?:extends|implements|where)\b|[:(<]", text[m.start(2) : m.end(2)])[0].strip()
-        spans.append((m.start(), closes[m.end() - 1], "impl" if m[1] == "impl" else "class", name))
-    for m in _BRACE_FUNCTION.finditer(plain):
-        if not re.match(r"\s*(?:[\w@]+\s+)*(class|interface|enum|record|struct|impl)\b", m[0]):
-            spans.append((m.start(), closes[m.end() - 1], "function", (m["receiver"] or "").strip("() ") or None))
-    out = []
-    for s, e, kind, own in spans:
-        if kind == "impl":
-            continue
-        around = [x for x in spans if x[0] < s and e <= x[1] and x[2] in ("class", "impl")]
-        holder = own if kind == "function" and language == "go" else max(around)[3] if around else None
-        first = at(s + len(plain[s:]) - len(plain[s:].lstrip()))
-        out.append(Definition(first, at(e - 1) + 1, kind, holder))
-    return sorted(out)
+            found = _brace_head(plain, max(since, m.start() - HEAD), m.start())
+            start, kind, name = found or (0, "", None)
+            holder = name if kind == "function" and language == "go" else holders[-1] if holders else None
+            open_.append((start, kind, name, holder))
+            if kind in ("class", "impl"):
+                holders.append(name or "")
+        elif m[0] == "}":
+            if not open_:
+                return []
+            start, kind, name, holder = open_.pop()
+            if kind in ("class", "impl"):
+                holders.pop()
+            if kind in ("class", "function"):
+                body = start + len(plain[start : start + HEAD]) - len(plain[start : start + HEAD].lstrip())
+                out.append(Definition(line(body), line(m.start()) + 1, kind, holder))
+        since = m.end()
+    return [] if open_ else sorted(out, key=lambda d: (d.start, d.end))
 
 
 def chosen_definitions(found: list[Definition]) -> list[Definition]:
     """What lies in a decorated definition goes with it; of nested functions the outer one stays,
     and a class only if it holds no other definition."""
 
-    def inside(a: Definition, b: Definition) -> bool:
-        return a != b and b.start <= a.start and a.end <= b.end and (a.start, a.end) != (b.start, b.end)
-
-    outer = [d for d in found if d.kind != "class"]
-    whole = [d for d in found if not any(inside(d, o) for o in outer)]
-    return sorted(d for d in whole if d.kind != "class" or not any(inside(x, d) for x in whole))
+    spans = sorted(set(found), key=lambda d: (d.start, -d.end, d.kind == "class"))
+    whole: list[Definition] = []
+    reach: list[Definition] = []  # the definitions, not classes, that still enclose the next one
+    for d in spans:
+        while reach and reach[-1].end <= d.start:
+            reach.pop()
+        within = any(o.start <= d.start and d.end <= o.end and (o.start, o.end) != (d.start, d.end) for o in reach[-1:])
+        if not within:
+            whole.append(d)
+            if d.kind != "class":
+                reach.append(d)
+    # Definitions nest: a class holds another one if the next in order ends within it.
+    kept = []
+    for i, d in enumerate(whole):
+        after = whole[i + 1] if i + 1 < len(whole) else None
+        holds = after is not None and after.end <= d.end and (after.start, after.end) != (d.start, d.end)
+        if d.kind != "class" or not holds:
+            kept.append(d)
+    return sorted(kept, key=lambda d: (d.start, d.end))
 
 
 def by_definitions(text: str, path: str, count: Counter, limits: model.ChunkLimits) -> list[Chunk]:

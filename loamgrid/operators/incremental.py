@@ -110,14 +110,33 @@ def run_key(commit: Column, include: Column, exclude: Column) -> Column:
     return F.sha2(F.to_json(F.struct(commit.alias("commit"), include.alias("include"), exclude.alias("exclude"))), 256)
 
 
-def batches(rows: DataFrame, by: list[str], order: str, tokens: str = "tokens", most: int = 2048, most_tokens: int = 270_000) -> DataFrame:
-    """Numbers requests of each key so that none has more than ``most`` rows, nor more than
-    ``most_tokens`` tokens while rows have at most half of that. Rows are laid end to end, and a
-    request ends where a cell of ``most`` rows or of half of ``most_tokens`` does."""
-    w = Window.partitionBy(*by).orderBy(order)
-    cells = {"_r": F.floor((F.row_number().over(w) - 1) / most), "_t": F.floor((F.sum(tokens).over(w) - F.col(tokens)) / (most_tokens / 2))}
-    number = F.dense_rank().over(Window.partitionBy(*by).orderBy("_r", "_t"))
-    return rows.withColumns(cells).withColumn("batch", number.cast("long")).drop("_r", "_t")
+def batches(rows: DataFrame, by: list[str], order: str, tokens: str = "tokens", first: int = 2048, most: int = 2048, most_tokens: int = 270_000) -> DataFrame:
+    """Numbers each key's requests, from 1, in ``batch``.
+
+    Rows are first cut into stretches of ``first`` (what a provider takes at most); within one, a
+    request takes rows while it has at most ``most`` of them and ``most_tokens`` tokens, at least
+    one. The fold goes over an array of one stretch, so its size is bounded.
+    """
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
+    cut = rows.withColumn("_stretch", F.floor(place / first))
+    row = F.struct(F.col(order).alias("_o"), F.col(tokens).cast("long").alias("_t"), F.struct(*rows.columns).alias("_row"))
+    held = cut.groupBy(*by, "_stretch").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+
+    def grown(state: Column, x: Column) -> Column:
+        full = (state["n"] + 1 > most) | (state["t"] + x["_t"] > most_tokens)
+        fresh = full & (state["n"] > 0)
+        return F.struct(
+            F.when(fresh, F.lit(1)).otherwise(state["n"] + 1).alias("n"),
+            F.when(fresh, x["_t"]).otherwise(state["t"] + x["_t"]).alias("t"),
+            F.when(fresh, state["k"] + 1).otherwise(state["k"]).alias("k"),
+            F.concat(state["out"], F.array(F.when(fresh, state["k"] + 1).otherwise(state["k"]))).alias("out"),
+        )
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("t"), F.lit(1).alias("k"), F.array().cast("array<int>").alias("out"))
+    numbered = held.withColumn("_k", F.aggregate("_rows", start, grown, lambda s: s["out"]))
+    before = F.coalesce(F.sum(F.array_max("_k")).over(Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pairs = numbered.withColumn("_before", before).select("_before", F.explode(F.arrays_zip("_rows", "_k")).alias("_x"))
+    return pairs.select("_x._rows._row.*", (F.col("_before") + F.col("_x._k")).cast("long").alias("batch"))
 
 
 def with_vectors(chunks: DataFrame, provider) -> DataFrame:

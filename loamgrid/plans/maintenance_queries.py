@@ -108,11 +108,20 @@ def d05_run_key(spark, d):
     return table(spark, d, "customer").select("c_custkey", key.alias("run_key"))
 
 
-@query("""WITH x AS (SELECT source, doc_id, CAST(ceil(n_chars / 4.0) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, sum(ceil(n_chars / 4.0)) OVER (PARTITION BY source ORDER BY doc_id) - ceil(n_chars / 4.0) AS s FROM documents)
-SELECT source, doc_id, CAST(dense_rank() OVER (PARTITION BY source ORDER BY floor((r - 1) / 16.0), floor(s / 5000.0)) AS BIGINT) AS batch FROM x""")
+@query("""WITH RECURSIVE x AS (SELECT source, doc_id, CAST(ceil(n_chars / 4.0) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM documents),
+f(source, doc_id, stretch, place, n, t, k) AS (
+  SELECT source, doc_id, r // 32, r, 1, tokens, 1 FROM x WHERE r % 32 = 0
+  UNION ALL SELECT x.source, x.doc_id, f.stretch, x.r,
+    CASE WHEN f.n + 1 > 16 OR f.t + x.tokens > 10000 THEN 1 ELSE f.n + 1 END,
+    CASE WHEN f.n + 1 > 16 OR f.t + x.tokens > 10000 THEN x.tokens ELSE f.t + x.tokens END,
+    CASE WHEN f.n + 1 > 16 OR f.t + x.tokens > 10000 THEN f.k + 1 ELSE f.k END
+  FROM f JOIN x ON x.source = f.source AND x.r = f.place + 1 AND x.r // 32 = f.stretch),
+m AS (SELECT source, stretch, max(k) AS k FROM f GROUP BY 1, 2),
+b AS (SELECT source, stretch, coalesce(sum(k) OVER (PARTITION BY source ORDER BY stretch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM m)
+SELECT f.source, f.doc_id, CAST(b.start + f.k AS BIGINT) AS batch FROM f JOIN b USING (source, stretch)""")
 def d09_request_batches(spark, d):
     rows = table(spark, d, "documents").select("source", "doc_id", F.ceil(F.col("n_chars") / 4).cast("long").alias("tokens"))
-    return inc.batches(rows, ["source"], "doc_id", most=16, most_tokens=10_000).select("source", "doc_id", "batch")
+    return inc.batches(rows, ["source"], "doc_id", first=32, most=16, most_tokens=10_000).select("source", "doc_id", "batch")
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN NULL ELSE 'x,y' END AS excludes, CASE WHEN s_nationkey % 2 = 0 THEN 17 ELSE 2 END AS given FROM supplier""")

@@ -85,6 +85,11 @@ def test_yaml_and_urls(spark):
     assert [tuple(r) for r in got] == [("CI run", ["push", "pull_request"]), (None, ["push"]), (None, ["a", "b"]), (None, [])]
     inputs = rows(spark, "t string", (act,)).select(X.action_inputs(t)).first()[0]
     assert [tuple(x) for x in inputs] == [("one", True), ("two", False)]
+    odd = ["inputs:\n  a-b:  \n    default: x\n  c: inline\n    required: true\n\n  after:\n", "x: 1", "inputs: {}\n", "name: y\ninputs:\n  last:\n    required:  true"]
+    got = [[tuple(x) for x in r[0]] for r in rows(spark, "t string", *[(x,) for x in odd]).select(X.action_inputs(t)).collect()]
+    assert got == [[("a-b", True)], [], [], [("last", True)]]
+    odd = {"on:\n  schedule:\n    - cron: x\n\n  push:\n": ["schedule"], "on:\n  [push,\n   'x' ]\n": ["push", "'x'"], "true: 1\non:   release  \njobs:\n  a:\n": ["release"], "jobs:\n  on:\n": []}
+    assert {r[0]: r[1] for r in rows(spark, "t string", *[(x,) for x in odd]).select(t, X.workflow_triggers(t)).collect()} == odd
     urls = {" https://github.com/o/r.git ": ("o", "r"), "git@github.com:o/r.git": ("o", "r"), "https://example.com/o/r": None, "": None, "http://github.com/o/r/tree/main": ("o", "r")}
     got = {r[0]: r[1] and tuple(r[1]) for r in rows(spark, "t string", *[(u,) for u in urls]).select(t, X.repo_of_url(t)).collect()}
     assert got == urls
