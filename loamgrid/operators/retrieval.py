@@ -51,17 +51,20 @@ def search(
     tuning: Tuning | None = None,
     scope: Column | None = None,
     stemmed: bool = False,
+    text: DataFrame | None = None,
 ) -> DataFrame:
     """The best ``top_k`` chunks, with ``distance`` (the negated score), ranks and diagnostics.
 
-    Ids are fused first; paths and text join last, on a list of a few times ``top_k`` rows. Vectors
+    ``text`` has the keyword hits (``chunk_id, bm25``) of a stored index; without it the chunks are
+    scanned. Ids are fused first; paths and text join last, on a list of a few times ``top_k`` rows. Vectors
     whose chunk is gone are dropped there, though they held a place among the candidates.
     """
     tuning = tuning or Tuning()
     fetch = top_k * tuning.over_fetch
     near = embeddings if scope is None else embeddings.join(chunks.where(scope).select("chunk_id"), "chunk_id", "left_semi")
     vec = ranked(knn(near, vector, fetch), [F.col("distance"), F.col("chunk_id")], "v_rank")
-    text = bm25_scan(chunks, query, "chunk_id", tuning.fts_path_weight, tuning.fts_content_weight, scope, stemmed)
+    if text is None:
+        text = bm25_scan(chunks, query, "chunk_id", tuning.fts_path_weight, tuning.fts_content_weight, scope, stemmed)
     fts = ranked(text.orderBy(F.desc("bm25"), "chunk_id").limit(fetch), [F.desc("bm25"), F.col("chunk_id")], "f_rank")
     candidates = F.broadcast(fuse(vec, fts, fetch, tuning))  # at most 2 * fetch rows
     hydrated = chunks.join(candidates, "chunk_id").withColumn("path_score", X.path_relevance(query, F.col("file_path")))

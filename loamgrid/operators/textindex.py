@@ -73,37 +73,59 @@ def bm25_scan(
     return hits.crossJoin(F.broadcast(stats)).select(key, score.alias("bm25"))
 
 
-def build_index(chunks: DataFrame, key: str = "chunk_id", stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Postings (``term, key, path_tf, content_tf``) and lengths (``key, d``) of all rows."""
-    both = chunks.select(key, tokens(F.col("file_path"), stemmed).alias("p"), tokens(F.col("content"), stemmed).alias("c"))
-    lengths = both.select(key, (F.size("p") + F.size("c")).alias("d"))
-    terms = both.select(key, F.explode("p").alias("term"), F.lit(1).alias("w")).unionAll(both.select(key, F.explode("c").alias("term"), F.lit(0).alias("w")))
-    postings = terms.groupBy("term", key).agg(F.sum("w").alias("path_tf"), F.sum(1 - F.col("w")).alias("content_tf"))
-    return postings, lengths
-
+def build_index(chunks: DataFrame, key: str = "chunk_id", stemmed: bool = True, carried: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings (``term, key, path_tf, content_tf, d``) and lengths (``key, d``) of all rows, with the columns ``carried``."""
+    own = [key, *(carried or [])]
+    found = F.explode(F.array(F.struct(tokens(F.col("file_path"), stemmed).alias("p"), tokens(F.col("content"), stemmed).alias("c"))))
+    both = chunks.select(*own, found.alias("t")).select(*own, "t.p", "t.c", (F.size("t.p") + F.size("t.c")).alias("d"))
+    words = F.concat(F.transform("p", lambda t: F.struct(t.alias("term"), F.lit(1).alias("w"))), F.transform("c", lambda t: F.struct(t.alias("term"), F.lit(0).alias("w"))))
+    terms = both.select(*own, "d", F.explode(words).alias("x")).select(*own, "d", "x.term", "x.w")
+    postings = terms.groupBy("term", *own, "d").agg(F.sum("w").alias("path_tf"), F.sum(1 - F.col("w")).alias("content_tf"))
+    return postings.select("term", *own, "path_tf", "content_tf", "d"), both.select(*own, "d")
+
+
+def single_words(query: str, stemmed: bool = True) -> bool:
+    """Whether postings alone answer the query: they hold no positions, so a phrase of several words needs the texts."""
+    return all(len(p) == 1 for p in query_phrases(query, stemmed))
+
+
+def bm25_lookup(
+    postings: DataFrame,
+    lengths: DataFrame,
+    queries: dict[int, str],
+    k: int,
+    key: str = "chunk_id",
+    path_weight: float = 5.0,
+    content_weight: float = 1.0,
+    stemmed: bool = True,
+    stats: DataFrame | None = None,
+    scope: Column | None = None,
+) -> DataFrame:
+    """The ``k`` best rows of each query of single words: ``query_id, key, bm25, rank``.
 
-def bm25_lookup(postings: DataFrame, lengths: DataFrame, queries: dict[int, str], k: int, key: str = "chunk_id", path_weight: float = 5.0, content_weight: float = 1.0, stemmed: bool = True) -> DataFrame:
-    """The ``k`` best rows of each query of single words: ``query_id, key, bm25, rank``."""
+    Reads the postings of the queries' terms alone. ``stats`` (``rows, mean``) saves the look at all
+    ``lengths``; ``scope`` filters the result and leaves the statistics as they are.
+    """
     spark = postings.sparkSession
     pairs = sorted({(q, t) for q, text in queries.items() for p in query_phrases(text, stemmed) for t in p})
-    wanted = spark.createDataFrame(pairs, "query_id long, term string")
-    sizes = wanted.groupBy("query_id").agg(F.count("*").alias("terms"))
-    stats = lengths.agg(F.count("*").alias("rows"), F.avg("d").alias("mean"))
-    found = postings.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
-    df = found.groupBy("term").agg(F.count("*").alias("n"))
+    wanted = F.broadcast(spark.createDataFrame(pairs, "query_id long, term string"))  # the queries' own words
+    sizes = F.broadcast(wanted.groupBy("query_id").agg(F.count("*").alias("terms")))
+    stats = F.broadcast(lengths.agg(F.count("*").alias("rows"), F.avg("d").alias("mean")) if stats is None else stats)
+    found = postings.where(F.col("term").isin(sorted({t for _, t in pairs})))
+    df = F.broadcast(found.groupBy("term").agg(F.count("*").alias("n")))
     f = path_weight * F.col("path_tf") + content_weight * F.col("content_tf")
     norm = K1 * (1 - B + B * F.col("d") / F.col("mean"))
     part = idf(F.col("rows"), F.col("n")) * F.col("f") * (K1 + 1) / (F.col("f") + norm)
+    inside = found if scope is None else found.where(scope)
     scored = (
-        found.withColumn("f", f)
-        .join(F.broadcast(df), "term")
-        .join(lengths, key)
-        .crossJoin(F.broadcast(stats))
+        inside.withColumn("f", f)
+        .join(df, "term")
+        .crossJoin(stats)
         .withColumn("part", part)
-        .join(F.broadcast(wanted), "term")
+        .join(wanted, "term")
         .groupBy("query_id", key)
         .agg(F.sum("part").alias("bm25"), F.count("*").alias("held"))
-        .join(F.broadcast(sizes), "query_id")
+        .join(sizes, "query_id")
         .where("held = terms")
     )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25"), key))

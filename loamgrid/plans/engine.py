@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model
-from ..operators import catalog, chunking, filters, incremental, retrieval
+from ..operators import catalog, chunking, filters, incremental, retrieval, textindex
 
 
 class EmbeddingProvider(Protocol):
@@ -61,7 +61,13 @@ class RetryingProvider:
 
 
 class Engine:
-    """``sync`` brings a listing of files into the index; the other methods are its tools."""
+    """``sync`` brings files into the index; the other methods are its tools.
+
+    Stored tables: ``chunks``, ``embeddings``, ``postings``, ``lengths`` and ``stats`` of the full-text
+    index, ``manifest`` (files indexed), ``failed`` (files that could not be cut) and ``sources``.
+    """
+
+    KEYS = ["data_source_id", "file_path"]
 
     def __init__(self, spark: SparkSession, root: str, settings: model.Settings | None = None, provider: EmbeddingProvider | None = None):
         self.spark, self.settings = spark, settings or model.Settings()
@@ -69,52 +75,120 @@ class Engine:
         self.provider = provider or HashProvider(self.settings.dimensions)
         self.fingerprint = hashlib.sha256(json.dumps(self.settings.canonical()).encode()).hexdigest()
 
-    def sync(self, files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    def sync(self, files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, whole: bool = True) -> DataFrame:
         """Files (``data_source_id, file_path, content, size``) become the index's content.
 
-        Only files that are new or changed are cut and embedded, unless the provider has changed.
-        All tables become visible together. Returns the changes.
+        Where ``whole`` is false, ``files`` are changes: only their paths are looked at, and one
+        whose content is null is gone. Of a path that comes twice the last version by content counts.
+        Only files that are new or changed are cut and embedded, unless the provider has changed,
+        and only sources with changes are written. A file that cannot be cut is listed in
+        ``failed`` and tried again by the next sync. All tables become visible together. Returns
+        the changes.
         """
-        wanted = filters.eligible(filters.by_globs(files.withColumn("data_source_id", F.col("data_source_id").cast("string")), include or [], exclude or []))
-        listing = wanted.select("data_source_id", "file_path", "size", F.sha2("content", 256).alias("sha"))
+        keys = self.KEYS
+        files = files.withColumn("data_source_id", F.col("data_source_id").cast("string"))
+        files = files.groupBy(*keys).agg(F.max_by(F.struct("content", "size"), F.struct("content", "size")).alias("f")).select(*keys, "f.*")
+        wanted = filters.eligible(filters.by_globs(files.where("content IS NOT NULL"), include or [], exclude or []))
+        listing = wanted.select(*keys, "size", F.sha2("content", 256).alias("sha"))
         now = self.store.manifest()
-        known = "manifest" in now["tables"] and now["meta"].get("fingerprint") == self.fingerprint
-        old = self.store.table("manifest") if known else listing.where(F.lit(False))
+        known = "postings" in now["tables"] and now["meta"].get("fingerprint") == self.fingerprint
+        empty = listing.where(F.lit(False))
+        old = self.store.table("manifest") if known else empty
+        if not whole:
+            old = old.join(files.select(*keys), keys, "left_semi")
         delta = incremental.changes(old, listing)
-        fresh = wanted.join(delta.where(F.col("change").isin("added", "modified")).select("data_source_id", "file_path"), ["data_source_id", "file_path"], "left_semi")
-        made = chunking.chunk_files(fresh).where("error IS NULL").drop("error")
-        vectors = incremental.with_vectors(made, self.provider)
-        if known:
-            kept = self.store.table("chunks")
-            chunks = incremental.applied(kept.select(made.columns), delta, made)
-            stale = kept.join(delta.where(F.col("change").isin("deleted", "modified")).select("data_source_id", "file_path"), ["data_source_id", "file_path"], "left_semi")
-            embeddings = incremental.without(self.store.table("embeddings"), stale, ["chunk_id"]).unionByName(vectors)
-        else:
-            chunks, embeddings = made, vectors
-        meta = {"fingerprint": self.fingerprint, "width": self.provider.dimensions}
-        self.store.publish({"chunks": chunks, "embeddings": embeddings, "manifest": listing}, meta)
+        moved = delta.where("change != 'unchanged'")
+        touched = [r[0] for r in moved.select("data_source_id").distinct().collect()]
+        replaced = touched if known else None
+        stale = moved.select(*keys)
+        fresh = wanted.join(moved.where("change != 'deleted'").select(*keys), keys, "left_semi")
+
+        def kept(name: str) -> DataFrame | None:
+            held = self.store.table(name).where(F.col("data_source_id").isin(touched)) if known else None
+            return held and held.join(stale, keys, "left_anti")
+
+        def laid(name: str, made: DataFrame, order: str | None = None) -> dict:
+            before = kept(name)
+            return self.store.stage(name, made if before is None else before.select(made.columns).unionByName(made), replaced, order)
+
+        cut = self.store.staged(self.store.stage("cut", chunking.chunk_files(fresh), None))
+        made, wrong = cut.where("error IS NULL").drop("error"), cut.where("error IS NOT NULL")
+        vectors = incremental.with_vectors(made, self.provider).join(made.select("chunk_id", *keys), "chunk_id")
+        postings, lengths = textindex.build_index(made, carried=keys)
+        done = listing.join(moved.where("change != 'deleted'").select(*keys), keys, "left_semi").join(wrong.select(*keys), keys, "left_anti")
+        tables = {
+            "chunks": laid("chunks", made),
+            "embeddings": laid("embeddings", vectors.select(*keys, "chunk_id", "embedding")),
+            "postings": laid("postings", postings, "term"),
+            "lengths": laid("lengths", lengths),
+            "manifest": laid("manifest", done),
+            "failed": laid("failed", wrong.select(*keys, "error")),
+        }
+        held = self.store.staged(tables["lengths"])
+        held = held if replaced is None else held.where(F.col("data_source_id").isin(touched))
+        stats = held.groupBy("data_source_id").agg(F.count("*").alias("rows"), F.sum("d").cast("long").alias("words"))
+        tables["stats"] = self.store.stage("stats", stats, replaced)
+        self.store.publish(tables, {"fingerprint": self.fingerprint, "width": self.provider.dimensions})
         return delta
 
+    def set_sources(self, sources: DataFrame) -> None:
+        """The table of sources (``model.SOURCES``), which names repositories and their states."""
+        self.store.publish({"sources": self.store.stage("sources", sources)})
+
+    def sources(self) -> DataFrame:
+        tables = self.store.manifest()["tables"]
+        return self.store.table("sources") if "sources" in tables else self.spark.createDataFrame([], model.SOURCES)
+
     def chunks(self) -> DataFrame:
         return self.store.table("chunks")
 
+    def in_scope(self, repository: str | None) -> list[str] | None:
+        """ids of the sources that can be searched, by owner/repo, repo or id; None for all where no table names them."""
+        known = self.sources()
+        if not known.limit(1).count():
+            return None if repository is None else [repository]
+        ready = filters.searchable(known, self.store.table("stats").withColumnRenamed("rows", "chunks"))
+        named = ready if repository is None else filters.in_repository(ready, repository).unionByName(ready.where(F.col("id") == repository))
+        return sorted({r.id for r in named.select("id").collect()})
+
     def search(self, query: str, repository: str | None = None, cursor: str | None = None, page_size: float | None = None, mode: str = "hybrid") -> DataFrame:
-        """One page of results; a cursor continues the same query and scope."""
+        """One page of results, each with the cursor of the next page, if there is one.
+
+        A cursor continues the same query and scope. Keywords are looked up in the stored postings;
+        a phrase of several words (``a_b``) needs the texts and scans them.
+        """
+        ids = self.in_scope(repository)
+        scope_key = ",".join(ids or [])
         size, found = retrieval.page_size(page_size), retrieval.decode_cursor(cursor) if cursor else None
-        if found and (found["query"] != query or found["scopeKey"] != (repository or "")):
+        if found and (found["query"] != query or found["scopeKey"] != scope_key):
             raise ValueError("the cursor belongs to another search")
         offset = int(found["offset"]) if found else 0
-        scope = None if repository is None else F.col("data_source_id") == repository
-        vector = self.provider.embed([query])[0]
-        hits = retrieval.search(
-            self.chunks(), self.store.table("embeddings"), query, vector, retrieval.fetch_size(self.settings.top_k, offset, size), mode, scope=scope, stemmed=True
-        )
-        names = self.spark.createDataFrame([], "id string, owner string, repo string")
-        return retrieval.payload(hits, names, offset, size)
+        tuning = model.Tuning()
+        top_k = retrieval.fetch_size(self.settings.top_k, offset, size)
+        scope = None if ids is None else F.col("data_source_id").isin(ids)
+        near = self.store.table("embeddings").where(F.lit(True) if scope is None else scope).select("chunk_id", "embedding")
+        text = None
+        if textindex.query_phrases(query, True) and textindex.single_words(query):
+            stats = self.store.table("stats").agg(F.sum("rows").alias("rows"), (F.sum("words") / F.sum("rows")).alias("mean"))
+            text = textindex.bm25_lookup(
+                self.store.table("postings"), self.store.table("lengths"), {0: query}, top_k * tuning.over_fetch, "chunk_id", tuning.fts_path_weight, tuning.fts_content_weight, True, stats, scope
+            ).select("chunk_id", "bm25")
+        chunks = self.chunks() if scope is None or text is None else self.chunks().where(scope)
+        hits = retrieval.search(chunks, near, query, self.provider.embed([query])[0], top_k, mode, tuning, None if text is not None else scope, True, text)
+        page = retrieval.payload(hits, self.sources().select("id", "owner", "repo"), offset, size)
+        return page.withColumn("next_cursor", F.when(F.col("has_more"), retrieval.encode_cursor(query, scope_key, offset + size)))
 
     def stats(self) -> DataFrame:
         return catalog.source_stats(self.chunks(), ["data_source_id"])
 
+    def listing(self) -> DataFrame:
+        """All sources with their statistics."""
+        return catalog.source_listing(self.sources(), self.chunks())
+
+    def due(self, schedule: str = "daily") -> DataFrame:
+        """ST3: the sources that an hourly timer should sync now."""
+        return filters.due(self.sources(), F.current_timestamp(), schedule)
+
     def file_tree(self, root: str = "", max_depth: int = 5, page: int = 1, page_size: int = 200) -> DataFrame:
         stats = catalog.file_stats(self.chunks())
         return catalog.page(catalog.tree_rows(stats, ["data_source_id"], root, max_depth=max_depth), ["data_source_id"], page, page_size)
@@ -130,15 +204,17 @@ class Engine:
 
     def rebuild_vectors(self) -> None:
         """All vectors anew, for a provider that has changed; chunks stay."""
-        vectors = incremental.with_vectors(self.chunks(), self.provider)
-        self.store.publish({"embeddings": vectors}, {"fingerprint": self.fingerprint, "width": self.provider.dimensions})
+        chunks = self.chunks()
+        vectors = incremental.with_vectors(chunks, self.provider).join(chunks.select("chunk_id", *self.KEYS), "chunk_id")
+        entry = self.store.stage("embeddings", vectors.select(*self.KEYS, "chunk_id", "embedding"))
+        self.store.publish({"embeddings": entry}, {"fingerprint": self.fingerprint, "width": self.provider.dimensions})
 
     def remove(self, data_source_id: str) -> None:
-        """One source's chunks, vectors and manifest go, all at once."""
-        gone = self.chunks().where(F.col("data_source_id") == data_source_id)
-        keep = F.col("data_source_id") != data_source_id
-        vectors = incremental.without(self.store.table("embeddings"), gone, ["chunk_id"])
-        self.store.publish({"chunks": self.chunks().where(keep), "embeddings": vectors, "manifest": self.store.table("manifest").where(keep)})
+        """One source goes from all tables, all at once; nothing is rewritten."""
+        now = self.store.manifest()["tables"]
+        tables = {k: t | {"parts": {s: p for s, p in t["parts"].items() if s != data_source_id}} for k, t in now.items() if k != "sources"}
+        self.store.publish(tables)
 
     def files(self) -> DataFrame:
-        return catalog.reassembled(self.chunks(), ["data_source_id", "file_path"])
+        """Files put together from their chunks, which may overlap or leave out lines."""
+        return catalog.reassembled(self.chunks(), self.KEYS)

@@ -23,17 +23,11 @@ def applied_feed(feed: DataFrame, apply: Callable[[DataFrame, int], None], check
 
 
 def index_feed(engine: Engine, feed: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Each batch of files is added to the index, replacing earlier versions of the same paths."""
+    """Each batch of files is a delta: it replaces its own paths, and a null content removes one.
 
-    def apply(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates(["data_source_id", "file_path"])
-        if "chunks" in engine.store.manifest()["tables"]:
-            rest = engine.files().withColumn("size", F.octet_length("content").cast("long"))
-            keys = ["data_source_id", "file_path"]
-            fresh = fresh.unionByName(rest.join(fresh.select(*keys), keys, "left_anti").select(fresh.columns))
-        engine.sync(fresh)
-
-    return applied_feed(feed, apply, checkpoint)
+    Files that a batch does not mention are not touched. A batch that is applied again changes nothing.
+    """
+    return applied_feed(feed, lambda batch, _: engine.sync(batch, whole=False), checkpoint)
 
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:

@@ -326,6 +326,7 @@ def test_engine_syncs_by_changes(spark, tmp_path):
     assert {r.file_path for r in engine.chunks().collect()} == {"src/a.py", "docs/c.md"}
     assert engine.store.table("embeddings").count() == engine.chunks().count()
     assert engine.store.table("chunks", 1).where("file_path = 'docs/b.md'").count() == 1
+    assert {r.term for r in engine.store.table("postings").where("file_path = 'docs/c.md'").collect()} == {"gamma", "new", "text", "doc", "c", "md"}
     hits = engine.search("gamma", "s").orderBy("position").collect()
     assert hits[0].file_path == "docs/c.md"
     assert [r.line for r in engine.file_tree().collect()][0].startswith("docs/ [dir, 1 file]")
@@ -333,6 +334,63 @@ def test_engine_syncs_by_changes(spark, tmp_path):
         engine.search("other", cursor=retrieval.encode_cursor("gamma", "", 5))
 
 
+def test_engine_searches_repositories_by_pages(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "index"))
+    texts = [(s, f"docs/p{i}.md", f"# sessions {i}\nindexing of {s} number {i}", 40) for s in ("1", "b/2", "3") for i in range(4)]
+    engine.sync(rows(spark, model.FILES, *texts))
+    blank = {f.strip().split(" ")[0]: None for f in model.SOURCES.split(", ")}
+    known = [blank | {"id": i, "owner": "own", "repo": r, "branch": "main", "status": s} for i, r, s in (("1", "one", "ready"), ("b/2", "two", "ready"), ("3", "three", "deleting"))]
+    engine.set_sources(spark.createDataFrame([tuple(k.values()) for k in known], model.SOURCES))
+    page = engine.search("session index", page_size=3).orderBy("position").collect()
+    seen = [(r.repository, r.file_path) for r in page]
+    while page and page[0].next_cursor:
+        page = engine.search("session index", cursor=page[0].next_cursor, page_size=3).orderBy("position").collect()
+        seen += [(r.repository, r.file_path) for r in page]
+    assert sorted(seen) == sorted((f"own/{n}", f"docs/p{i}.md") for n in ("one", "two") for i in range(4))
+    assert {r.repository for r in engine.search("sessions", "own/two").collect()} == {"own/two"}
+    scan = retrieval.search(engine.chunks(), engine.store.table("embeddings").select("chunk_id", "embedding"), "sessions", engine.provider.embed(["sessions"])[0], 20, "fts-only", stemmed=True)
+    held = {r.chunk_id: r.bm25 for r in textindex.bm25_lookup(engine.store.table("postings"), engine.store.table("lengths"), {0: "sessions"}, 20).collect()}
+    assert held == pytest.approx({r.chunk_id: -r.distance for r in scan.collect()})
+    assert engine.search("number_2").count() > 0
+
+
+def test_engine_tries_failed_files_again(spark, tmp_path, monkeypatch):
+    engine = Engine(spark, str(tmp_path / "index"))
+    held = rows(spark, model.FILES, ("s", "a.txt", "fine", 4), ("s", "b.txt", "bad", 3))
+    whole = chunking.chunk_files
+
+    def failing(files):
+        out = whole(files)
+        return out.withColumn("error", F.when(F.col("content") == "bad", "cannot")).withColumn("content", F.when(F.col("error").isNull(), F.col("content")))
+
+    monkeypatch.setattr(chunking, "chunk_files", failing)
+    engine.sync(held)
+    assert [(r.file_path, r.error) for r in engine.store.table("failed").collect()] == [("b.txt", "cannot")]
+    assert {r.file_path for r in engine.store.table("manifest").collect()} == {"a.txt"}
+    monkeypatch.setattr(chunking, "chunk_files", whole)
+    assert {r.file_path: r.change for r in engine.sync(held).collect()} == {"a.txt": "unchanged", "b.txt": "added"}
+    assert engine.store.table("failed").count() == 0 and {r.content for r in engine.chunks().collect()} == {"fine", "bad"}
+
+
+def test_publishing_is_whole_and_excludes_others(spark, tmp_path):
+    one, two = (incremental.Snapshots(spark, str(tmp_path / "index")) for _ in range(2))
+    entry = one.stage("t", rows(spark, "data_source_id string, x int", ("a", 1), ("b/c", 2), (None, 3)))
+    one.publish({"t": entry})
+    again = two.stage("t", rows(spark, "data_source_id string, x int", ("a", 5)), ["a"])
+    two.publish({"t": again})
+    assert sorted(r.x for r in one.table("t").collect()) == [2, 3, 5] and sorted(r.x for r in one.table("t", 1).collect()) == [1, 2, 3]
+    now = one.manifest()
+    two.publish({"t": again})
+    monkey = incremental.Snapshots(spark, str(tmp_path / "index"))
+    monkey.manifest = lambda number=None: now
+    with pytest.raises(OSError, match="another writer"):
+        monkey.publish({"t": again})
+    assert one.manifest()["number"] == 3
+    with pytest.raises(ValueError, match="newer"):
+        incremental.migrated({"schema": 99})
+    assert incremental.migrated({"schema": 0})["tables"] == {}
+
+
 def test_engine_rebuilds_and_removes(spark, tmp_path):
     class Flaky(HashProvider):
         failed = False
@@ -353,14 +411,23 @@ def test_engine_rebuilds_and_removes(spark, tmp_path):
     assert [r.data_source_id for r in wider.chunks().collect()] == ["t"] and wider.store.table("embeddings").count() == 1
 
 
-def test_feed(spark, tmp_path):
+def test_feed_leaves_other_files_alone(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "index"))
     path = str(tmp_path / "in")
-    rows(spark, model.FILES, ("s", "a.txt", "one", 3)).write.parquet(path)
-    for _ in range(2):
+    long = "\n".join(f"line {i} of a long file with some words in it" for i in range(300))
+    steps = [
+        [("s", "long.txt", long, len(long)), ("s", "a.txt", "one", 3)],
+        [("s", "a.txt", "two", 3), ("s", "b.txt", "three", 5)],
+        [("s", "b.txt", None, 0), ("t", "c.txt", "four", 4)],
+    ]
+    for step in steps:
+        rows(spark, model.FILES, *step).coalesce(1).write.mode("append").parquet(path)
         ingest.index_feed(engine, ingest.arriving(spark, path, model.FILES), str(tmp_path / "check")).awaitTermination()
-        rows(spark, model.FILES, ("s", "a.txt", "two", 3), ("s", "b.txt", "three", 5)).write.mode("append").parquet(path)
-    assert {r.file_path: r.content for r in engine.chunks().collect()} == {"a.txt": "one"} or {r.content for r in engine.chunks().collect()} == {"two", "three"}
+        own = engine.chunks().where("file_path = 'long.txt'").orderBy("ordinal").collect()
+        assert own[-1].end_line == 300 and own[0].content == long[: len(own[0].content)]
+        assert {line for c in own for line in c.content.split("\n")} == set(long.split("\n"))
+    assert {r.file_path: r.content for r in engine.chunks().where("file_path != 'long.txt'").collect()} == {"a.txt": "two", "c.txt": "four"}
+    assert {r.file_path for r in engine.store.table("manifest").collect()} == {"long.txt", "a.txt", "c.txt"}
 
 
 def test_windowed_stream_equals_batch(spark, tmp_path):
