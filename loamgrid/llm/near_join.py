@@ -39,7 +39,7 @@ from .tables import fresh_name, stored
 #: Members of a component that is verified whole, or of the part of one that meets its first member; and bytes of text.
 WHOLE_ROWS, WHOLE_BYTES = 256, 16 << 20
 #: Members of a tile of a larger component, and bytes of their differences.
-TILE_ROWS, TILE_BYTES = 1024, 16 << 20
+TILE_ROWS, TILE_BYTES = 512, 16 << 20
 #: Sizes of sets in one bin grow by this factor.
 BIN = 1.02
 #: Distinct n-grams in one matrix product.
