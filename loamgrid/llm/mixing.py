@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sharding import with_slots
+from .tables import stored
 
 #: Blocks of a source in one row of the schedule, at most.
 QUANTUM = 1000
@@ -138,12 +139,14 @@ def mix_sources(
         [(p.source, p.first // QUANTUM, p.phase, p.first, p.last, p.start, p.missing, p.pattern, p.release, p.due) for p in plan],
         "shard int, chunk long, phase int, first long, last long, start long, missing long, pattern array<long>, release array<long>, due array<long>",
     )
-    index = spark.createDataFrame([(x, i) for i, x in enumerate(names)], "name string, shard int")
+    # Stored, so that its size is known and Spark broadcasts it while it is small.
+    index = stored(spark.createDataFrame([(x, i) for i, x in enumerate(names)], "name string, shard int"))
     held = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(source_col).cast("string").alias("source"), F.xxhash64(id_col).alias("spread"))
     ranked = with_slots(held.join(index, F.col("source").eqNullSafe(F.col("name"))).drop("name"), F.col("spread")).withColumnRenamed("slot", "rank")
     block = F.floor(F.col("rank") / block_rows)
     placed = ranked.withColumn("block", block).withColumn("chunk", F.floor(F.col("block") / QUANTUM))
-    placed = placed.join(table, ["shard", "chunk"]).where("block >= first AND block < last")
+    # Three numbers a block: bounded by MOST_BLOCKS and the number of sources.
+    placed = placed.join(F.broadcast(table), ["shard", "chunk"]).where("block >= first AND block < last")
     k = (F.col("block") - F.col("first") + 1).cast("int")
     at = {c: (F.col("start") + F.element_at(c, k)).cast("long") for c in ("pattern", "release", "due")}
     return placed.withColumn("slot", at["pattern"]).select(

@@ -120,7 +120,8 @@ def with_slots(rows: DataFrame, spread: Column) -> DataFrame:
     sorts a whole shard; a lane starts where the lanes before it end.
     """
     lanes = F.greatest(F.lit(LANES), F.ceil(F.count("*") / LANE_ROWS)).cast("int").alias("_lanes")
-    laned = rows.join(rows.groupBy("shard").agg(lanes), "shard").withColumn("_lane", F.pmod(spread, F.col("_lanes")).cast("int"))
+    # Stored, the lanes (a row for each shard) have a known size, and Spark need not shuffle all rows on the shard to join them.
+    laned = rows.join(stored(rows.groupBy("shard").agg(lanes)), "shard").withColumn("_lane", F.pmod(spread, F.col("_lanes")).cast("int"))
     counts = laned.groupBy("shard", "_lane").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_lane", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
