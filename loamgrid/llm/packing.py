@@ -35,6 +35,8 @@ VOCABULARY = 1 << 16
 SHARD_IDS = 2_000_000
 #: Neighbours that a query ranks at a time; when they are used up, it ranks the next ones.
 RANKED = 32
+#: Terms in more than one of so many documents of a shard have a weight for each document: at most so many numbers a posting.
+COMMON = 8
 K1, B = 1.2, 0.75
 SLICE = 256
 #: Cells of lexically close documents, at most; documents that their centres are fitted to, at most; hashed terms; and
@@ -186,15 +188,25 @@ class Index:
         order = np.argsort(term, kind="stable")
         self.by_term = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
         self.posting_docs, self.posting_weights = owner[order], weight[order]
+        common = np.flatnonzero(np.diff(self.by_term) * COMMON > self.n)
+        self.row = np.full(VOCABULARY, -1)
+        self.row[common] = np.arange(len(common))
+        self.table = np.zeros((len(common), self.n))
+        for row, t in zip(self.table, common, strict=True):
+            own = slice(self.by_term[t], self.by_term[t + 1])
+            row[self.posting_docs[own]] = self.posting_weights[own]
 
     def scores(self, doc: int) -> np.ndarray:
         """BM25 of all documents for the terms of ``doc``."""
         terms = self.doc_terms[self.by_doc[doc] : self.by_doc[doc + 1]]
-        spans = [slice(self.by_term[t], self.by_term[t + 1]) for t in terms]
-        if not spans:
-            return np.zeros(self.n)
-        docs = np.concatenate([self.posting_docs[s] for s in spans])
-        return np.bincount(docs, np.concatenate([self.posting_weights[s] for s in spans]), self.n)
+        row = self.row[terms]
+        rare = terms[row < 0]
+        out = self.table[row[row >= 0]].sum(axis=0)
+        spans = [slice(lo, hi) for lo, hi in zip(self.by_term[rare].tolist(), self.by_term[rare + 1].tolist(), strict=True)]
+        if spans:
+            docs = np.concatenate([self.posting_docs[s] for s in spans])
+            out += np.bincount(docs, np.concatenate([self.posting_weights[s] for s in spans]), self.n)
+        return out
 
 
 def pack(lengths: np.ndarray, index: Index, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
