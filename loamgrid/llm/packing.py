@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from .near_join import grouped_runs, tiled
 from .shingles import U64, mixed, ngram_hashes
-from .tables import least_hashes, stored
+from .tables import forget, least_hashes, scratch, stored
 from .tokens import vocabulary_path, word_tokenizer
 
 WINDOW = 2048
@@ -289,12 +289,16 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     result.
     """
     file, row = (F.col("_metadata.file_name"), F.col("_metadata.row_index")) if in_order else (F.lit(""), F.lit(0))
-    tokens = stored(tokenized(docs, id_col, text_col, vocabulary or vocabulary_path(), file, row))
+    path = scratch(docs.sparkSession)
+    tokens = stored(tokenized(docs, id_col, text_col, vocabulary or vocabulary_path(), file, row), path)
     rows, ids = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = document_frequencies(tokens)
     idf, mean_length = np.log1p((rows - df + 0.5) / (df + 0.5)), ids / max(rows, 1)
     shards = max(1, -(-(ids + rows) // SHARD_IDS))
     dealt = ordered_shards(tokens) if in_order else lexical_shards(tokens, shards, idf, mean_length)
+    if not in_order and shards > 1:
+        # Shards hold a copy of the ids, stored too, and no longer read these.
+        forget(docs.sparkSession, path)
     return (
         dealt.repartition("cell", "tile")
         .sortWithinPartitions("cell", "tile")

@@ -29,7 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _forget(spark: SparkSession, path: str) -> None:
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes what ``stored`` wrote to ``path``, once nothing reads it any more."""
     jsc = spark.sparkContext._jsc
     if jsc is None:
         return
@@ -40,17 +46,17 @@ def _forget(spark: SparkSession, path: str) -> None:
         return
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     The result has no lineage, so a lost executor costs a re-read and not a recomputation, and a
     join on it starts from a scan, which lets adaptive execution split hot keys. The files go
-    when the interpreter ends.
+    when the interpreter ends, or at ``forget`` with the ``path`` given.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    path = path or scratch(spark)
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
+    atexit.register(forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
