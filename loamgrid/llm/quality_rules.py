@@ -178,13 +178,13 @@ def apply_rules(docs: DataFrame, base: tuple[Rule, ...] = BASE, rules: tuple[Rul
 
 
 def quality_rules(docs: DataFrame, base: tuple[Rule, ...] = BASE, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id as ``doc_id``, every measure, ``base_failed``, ``kept`` and ``failed``.
+    """One row per document: its id as ``doc_id``, every measure, ``base_failed``, ``kept``, and ``failed``, the rules broken joined by commas.
 
     Nulls, empty texts, repeated rows and empty tables are as in ``apply_rules``; other columns are ignored.
     """
     judged = apply_rules(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), base, rules).select("doc_id", "rules.*")
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return judged.select(*first, *(c for c in judged.columns if c not in first))
+    return judged.withColumn("failed", F.array_join("failed", ",")).select(*first, *(c for c in judged.columns if c not in first))
 
 
 def rules_sql(table: str = "documents", base: tuple[Rule, ...] = BASE, rules: tuple[Rule, ...] = RULES) -> str:
@@ -208,4 +208,4 @@ m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word
   coalesce(n_bullet_lines, 0) AS n_bullet_lines, coalesce(n_ellipsis_lines, 0) AS n_ellipsis_lines
   FROM w LEFT JOIN c USING (r) LEFT JOIN l USING (r))
 SELECT *, NOT ({" AND ".join(holds[r.name] for r in base)}) AS base_failed, {" AND ".join(holds.values())} AS kept,
-  list_filter([{", ".join(f"CASE WHEN NOT ({t}) THEN '{n}' END" for n, t in holds.items())}], lambda x: x IS NOT NULL) AS failed FROM m"""
+  concat_ws(',', {", ".join(f"CASE WHEN NOT ({t}) THEN '{n}' END" for n, t in holds.items())}) AS failed FROM m"""

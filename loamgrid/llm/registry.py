@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_text, language, lm_scoring, mixing, near_join, packing, quality, quality_rules, sharding, vector_dedup
+from . import fingerprints, html_text, language, lexical_search, lm_scoring, mixing, near_join, packing, quality, quality_rules, sharding, spelling, vector_dedup
 from .tables import read_table
 
 
@@ -55,6 +55,15 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(read_table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, read_table(spark, sf_dir, "benchmark"), 50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_sharding": op2_sharding,
@@ -67,8 +76,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_fingerprints": op10_fingerprints,
     "op11_quality_rules": op11_quality_rules,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op11_quality_rules": quality_rules.rules_sql(),
+    "op12_spelling_variants": spelling.variants_sql(),
+    "op13_lexical_search": lexical_search.search_sql(),
 }
