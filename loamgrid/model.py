@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import types as T
@@ -25,7 +27,6 @@ SOURCES = (
 RUNS = "id string, data_source_id string, run_key string, commit_sha string, status string, total_files long, fetch_strategy string, started_at timestamp, completed_at timestamp"
 RUN_FILES = "run_id string, file_path string, file_sha string, file_size long, status string, chunk_count long, token_count long, error_message string, updated_at timestamp"
 
-SCHEMA_VERSION = 4
 MAX_FILE_BYTES = 1_000_000
 MANY_FILES = 10_000
 
@@ -117,12 +118,13 @@ class ChunkLimits:
 
 @dataclass(frozen=True)
 class Settings:
-    """What changes query results; its canonical JSON is part of an index's fingerprint."""
+    """Of an engine. ``limits`` change how files are cut and are part of an index's fingerprint; ``top_k`` is not."""
 
     provider: str = "hash"
     model: str = "text-embedding-3-small"
     dimensions: int = 64
     top_k: int = 10
+    limits: ChunkLimits = ChunkLimits()
 
-    def canonical(self) -> dict:
-        return dict(sorted(asdict(self).items()))
+    def cut_key(self) -> str:
+        return hashlib.sha256(json.dumps(asdict(self.limits), sort_keys=True).encode()).hexdigest()

@@ -1,14 +1,9 @@
-"""Keeping an index up to date: change sets, manifests, runs, and versioned snapshots."""
+"""Keeping an index up to date: change sets, manifests and runs."""
 
 from __future__ import annotations
 
-import json
-import uuid
-from urllib.parse import unquote
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from .. import model
@@ -141,111 +136,18 @@ def batches(rows: DataFrame, by: list[str], order: str, tokens: str = "tokens",
     return pairs.select("_x._rows._row.*", (F.col("_before") + F.col("_x._k")).cast("long").alias("batch"))
 
 
-def with_vectors(chunks: DataFrame, provider) -> DataFrame:
-    """``chunk_id`` and ``embedding`` of each chunk from a provider, in Arrow batches."""
+def with_vectors(chunks: DataFrame, provider, carried: list[str] | None = None) -> DataFrame:
+    """``chunk_id`` and ``embedding`` of each chunk from a provider, in Arrow batches, with the columns ``carried``."""
     import pandas as pd
 
+    own = [*(carried or []), "chunk_id"]
+
     def run(held):
         for pdf in held:
             made = []
             for lo in range(0, len(pdf), provider.max_batch_size):
                 made += provider.embed(pdf["content"].iloc[lo : lo + provider.max_batch_size].tolist())
-            yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "embedding": made})
-
-    return chunks.select("chunk_id", "content").mapInPandas(run, model.EMBEDDINGS)
-
-
-class Snapshots:
-    """Versioned tables under one folder, one Parquet folder for each version and source.
-
-    A manifest names the folders that make up each table. Writers add folders and then a manifest
-    with the next number, which becomes visible at once and whole; readers take the newest. Nothing
-    is deleted, so readers of earlier manifests and roll-back keep working, and a writer that finds
-    its number taken fails without harm.
-    """
+            yield pd.DataFrame({**{c: pdf[c] for c in own}, "embedding": made})
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-
-    def _names(self, folder: str) -> list[str]:
-        path = self._path(folder)
-        return [f.getPath().getName() for f in self._fs.listStatus(path)] if self._fs.exists(path) else []
-
-    def manifest(self, number: int | None = None) -> dict:
-        """The newest manifest, or that of a number."""
-        known = sorted(int(n[9:-5]) for n in self._names("") if n.startswith("manifest-") and n.endswith(".json"))
-        if not known:
-            return {"number": 0, "schema": model.SCHEMA_VERSION, "tables": {}, "meta": {}}
-        found = self.spark.read.text(f"{self.root}/manifest-{number or known[-1]:012}.json", wholetext=True).first().value
-        return migrated(json.loads(found))
-
-    def table(self, name: str, number: int | None = None) -> DataFrame:
-        """A table as the newest manifest, or that of a number, has it."""
-        return self._read(self.manifest(number)["tables"][name])
-
-    def _read(self, table: dict) -> DataFrame:
-        schema = StructType.fromJson(json.loads(table["kind"]))
-        if not table["parts"]:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in table["parts"].values()])
-
-    def stage(self, name: str, df: DataFrame, replaced: list[str] | None = None, order: str | None = None) -> dict:
-        """Writes rows as the new content of the sources in ``replaced`` (of all, if None); others keep theirs.
-
-        Gives the table's entry for ``publish``. Tables without ``data_source_id`` are one part.
-        """
-        old = self.manifest()["tables"].get(name, {"parts": {}})
-        folder = f"{name}/{uuid.uuid4().hex}"
-        if order:
-            df = df.sortWithinPartitions(order)
-        if "data_source_id" not in df.columns:
-            df.write.parquet(f"{self.root}/{folder}")
-            return {"kind": df.schema.json(), "parts": {"": folder}}
-        key = "source_folder"
-        df.withColumn(key, F.col("data_source_id")).write.partitionBy(key).parquet(f"{self.root}/{folder}")
-        made = {unquote(n.split("=", 1)[1]): f"{folder}/{n}" for n in self._names(folder) if n.startswith(f"{key}=")}
-        kept = {} if replaced is None else {k: v for k, v in old["parts"].items() if k not in replaced}
-        return {"kind": df.schema.json(), "parts": kept | made}
-
-    def staged(self, entry: dict) -> DataFrame:
-        return self._read(entry)
-
-    def publish(self, tables: dict[str, dict], meta: dict | None = None) -> dict:
-        """Makes staged tables visible together, under the next number."""
-        now = self.manifest()
-        now["number"] += 1
-        now["tables"] |= tables
-        now["meta"] |= meta or {}
-        target = self._path(f"manifest-{now['number']:012}.json")
-        fresh = self._path(f".{uuid.uuid4().hex}")
-        out = self._fs.create(fresh, False)
-        out.write(bytearray(json.dumps(now).encode()))
-        out.close()
-        if self._fs.exists(target) or not self._fs.rename(fresh, target):
-            self._fs.delete(fresh, False)
-            raise OSError(f"another writer has published number {now['number']}")
-        return now
-
-
-#: What brings a manifest from each schema version to the next.
-MIGRATIONS = {
-    0: lambda m: m | {"meta": m.get("meta", {})},
-    1: lambda m: m | {"tables": m.get("tables", {})},
-    2: lambda m: m | {"number": m.get("number", 0)},
-    # Indexes from before stored postings are read as if empty, so the next sync builds all tables.
-    3: lambda m: m if "postings" in m["tables"] else m | {"tables": {}},
-}
-
-
-def migrated(manifest: dict) -> dict:
-    """A manifest in the present schema; one from a later schema is refused."""
-    version = manifest.get("schema", 0)
-    if version > model.SCHEMA_VERSION:
-        raise ValueError(f"schema {version} is newer than {model.SCHEMA_VERSION}")
-    for step in range(version, model.SCHEMA_VERSION):
-        manifest = MIGRATIONS[step](manifest)
-    return manifest | {"schema": model.SCHEMA_VERSION}
+    kinds = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in own)
+    return chunks.select(*own, "content").mapInPandas(run, f"{kinds}, embedding array<float>")

@@ -74,19 +74,28 @@ def bm25_scan(
 
 
 def build_index(chunks: DataFrame, key: str = "chunk_id", stemmed: bool = True, carried: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Postings (``term, key, path_tf, content_tf, d``) and lengths (``key, d``) of all rows, with the columns ``carried``."""
+    """Postings and lengths (``key, d``) of all rows, with the columns ``carried``.
+
+    A posting is ``term, key, path_tf, content_tf, d, path_at, content_at``: the last two are the term's
+    places in path and content, ascending from 0. Counts are grouped by term and row, so a word
+    that every row holds is spread over all tasks.
+    """
     own = [key, *(carried or [])]
     found = F.explode(F.array(F.struct(tokens(F.col("file_path"), stemmed).alias("p"), tokens(F.col("content"), stemmed).alias("c"))))
     both = chunks.select(*own, found.alias("t")).select(*own, "t.p", "t.c", (F.size("t.p") + F.size("t.c")).alias("d"))
-    words = F.concat(F.transform("p", lambda t: F.struct(t.alias("term"), F.lit(1).alias("w"))), F.transform("c", lambda t: F.struct(t.alias("term"), F.lit(0).alias("w"))))
-    terms = both.select(*own, "d", F.explode(words).alias("x")).select(*own, "d", "x.term", "x.w")
-    postings = terms.groupBy("term", *own, "d").agg(F.sum("w").alias("path_tf"), F.sum(1 - F.col("w")).alias("content_tf"))
-    return postings.select("term", *own, "path_tf", "content_tf", "d"), both.select(*own, "d")
+    placed = lambda c, w: F.transform(c, lambda t, i: F.struct(t.alias("term"), F.lit(w).alias("w"), i.alias("at")))
+    words = F.concat(placed("p", 1), placed("c", 0))
+    terms = both.select(*own, "d", F.explode(words).alias("x")).select(*own, "d", "x.term", "x.w", "x.at")
+    places = [F.array_sort(F.collect_list(F.when(F.col("w") == w, F.col("at")))).alias(name) for name, w in (("path_at", 1), ("content_at", 0))]
+    postings = terms.groupBy("term", *own, "d").agg(F.sum("w").alias("path_tf"), F.sum(1 - F.col("w")).alias("content_tf"), *places)
+    return postings.select("term", *own, "path_tf", "content_tf", "d", "path_at", "content_at"), both.select(*own, "d")
 
 
-def single_words(query: str, stemmed: bool = True) -> bool:
-    """Whether postings alone answer the query: they hold no positions, so a phrase of several words needs the texts."""
-    return all(len(p) == 1 for p in query_phrases(query, stemmed))
+def _phrase_count(parts: Column, column: str) -> Column:
+    """How often words lie at their places of a phrase: starts that all words' places, each less its own, share."""
+    starts = lambda x: F.transform(x[column], lambda at: at - x["place"])
+    rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.size(F.aggregate(rest, starts(F.get(parts, F.lit(0))), lambda held, x: F.array_intersect(held, starts(x))))
 
 
 def bm25_lookup(
@@ -101,32 +110,46 @@ def bm25_lookup(
     stats: DataFrame | None = None,
     scope: Column | None = None,
 ) -> DataFrame:
-    """The ``k`` best rows of each query of single words: ``query_id, key, bm25, rank``.
+    """The ``k`` best rows of each query, words and phrases alike: ``query_id, key, bm25, rank``.
 
-    Reads the postings of the queries' terms alone. ``stats`` (``rows, mean``) saves the look at all
-    ``lengths``; ``scope`` filters the result and leaves the statistics as they are.
+    Reads the postings of the queries' terms alone; no text is read. A phrase of several words holds
+    where the places of its words, each less its place in the phrase, meet. ``stats`` (``rows, mean``)
+    saves the look at all ``lengths``; ``scope`` filters the result and leaves the statistics as they are.
     """
     spark = postings.sparkSession
-    pairs = sorted({(q, t) for q, text in queries.items() for p in query_phrases(text, stemmed) for t in p})
-    wanted = F.broadcast(spark.createDataFrame(pairs, "query_id long, term string"))  # the queries' own words
-    sizes = F.broadcast(wanted.groupBy("query_id").agg(F.count("*").alias("terms")))
+    asked = {q: query_phrases(text, stemmed) for q, text in queries.items()}
+    pairs = [(q, i, j, t) for q, phrases in asked.items() for i, p in enumerate(phrases) for j, t in enumerate(p)]
+    wanted = F.broadcast(spark.createDataFrame(pairs, "query_id long, phrase int, place int, term string"))  # the queries' own words
+    sizes = F.broadcast(spark.createDataFrame([(q, len(p)) for q, p in asked.items() if p], "query_id long, phrases int"))
+    lengths_of = F.broadcast(wanted.groupBy("query_id", "phrase").agg(F.count("*").alias("words")))
     stats = F.broadcast(lengths.agg(F.count("*").alias("rows"), F.avg("d").alias("mean")) if stats is None else stats)
-    found = postings.where(F.col("term").isin(sorted({t for _, t in pairs})))
-    df = F.broadcast(found.groupBy("term").agg(F.count("*").alias("n")))
-    f = path_weight * F.col("path_tf") + content_weight * F.col("content_tf")
+    found = postings.where(F.col("term").isin(sorted({t for *_, t in pairs}))).withColumn("_in", F.lit(True) if scope is None else scope).join(wanted, "term")
+    own = ["query_id", "phrase", key, "d", "_in"]
+    if all(len(p) == 1 for phrases in asked.values() for p in phrases):
+        held = found.select(*own, "path_tf", "content_tf")
+    else:
+        parts = F.collect_list(F.struct("place", "path_at", "content_at")).alias("parts")
+        whole = found.groupBy(*own).agg(parts).join(lengths_of, ["query_id", "phrase"]).where(F.size("parts") == F.col("words"))
+        held = whole.select(*own, _phrase_count(F.col("parts"), "path_at").alias("path_tf"), _phrase_count(F.col("parts"), "content_at").alias("content_tf"))
+    counted = held.withColumn("f", path_weight * F.col("path_tf") + content_weight * F.col("content_tf")).where("f > 0")
+    df = F.broadcast(counted.groupBy("query_id", "phrase").agg(F.count("*").alias("n")))  # a row for each phrase asked
     norm = K1 * (1 - B + B * F.col("d") / F.col("mean"))
     part = idf(F.col("rows"), F.col("n")) * F.col("f") * (K1 + 1) / (F.col("f") + norm)
-    inside = found if scope is None else found.where(scope)
     scored = (
-        inside.withColumn("f", f)
-        .join(df, "term")
+        counted.where("_in")
+        .join(df, ["query_id", "phrase"])
         .crossJoin(stats)
-        .withColumn("part", part)
-        .join(wanted, "term")
         .groupBy("query_id", key)
-        .agg(F.sum("part").alias("bm25"), F.count("*").alias("held"))
+        .agg(F.sum(part).alias("bm25"), F.count("*").alias("held"))
         .join(sizes, "query_id")
-        .where("held = terms")
+        .where("held = phrases")
     )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25"), key))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", key, "bm25", "rank")
+
+
+def bm25_hits(postings: DataFrame, lengths: DataFrame, query: str, k: int, path_weight: float = 5.0, content_weight: float = 1.0, stemmed: bool = True, stats: DataFrame | None = None, scope: Column | None = None, key: str = "chunk_id") -> DataFrame:
+    """``key, bm25`` of the ``k`` best rows of one query; none for a query without words."""
+    if not query_phrases(query, stemmed):
+        return postings.select(key, F.lit(0.0).alias("bm25")).where(F.lit(False))
+    return bm25_lookup(postings, lengths, {0: query}, k, key, path_weight, content_weight, stemmed, stats, scope).select(key, "bm25")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import time
 from typing import Protocol
 
@@ -11,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model
-from ..operators import catalog, chunking, filters, incremental, retrieval, textindex
+from ..operators import catalog, chunking, filters, incremental, retrieval, runs, textindex
 
 
 class EmbeddingProvider(Protocol):
-    """Turns texts into vectors of a fixed width, some number at a time."""
+    """Turns texts into vectors of a fixed width, some number at a time. ``name`` tells providers apart, with the width."""
 
+    name: str
     dimensions: int
     max_batch_size: int
 
@@ -27,7 +27,7 @@ class HashProvider:
     """Deterministic vectors from hashed words, for offline use."""
 
     def __init__(self, dimensions: int = 64, max_batch_size: int = 2048):
-        self.dimensions, self.max_batch_size = dimensions, max_batch_size
+        self.name, self.dimensions, self.max_batch_size = "hash", dimensions, max_batch_size
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = []
@@ -47,7 +47,7 @@ class RetryingProvider:
 
     def __init__(self, inner: EmbeddingProvider, retries: int = 3, wait: float = 1.0):
         self.inner, self.retries, self.wait = inner, retries, wait
-        self.dimensions, self.max_batch_size = inner.dimensions, inner.max_batch_size
+        self.name, self.dimensions, self.max_batch_size = inner.name, inner.dimensions, inner.max_batch_size
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         for n in range(self.retries + 1):
@@ -71,73 +71,82 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, settings: model.Settings | None = None, provider: EmbeddingProvider | None = None):
         self.spark, self.settings = spark, settings or model.Settings()
-        self.store = incremental.Snapshots(spark, root)
+        self.store = runs.Runs(spark, root)
         self.provider = provider or HashProvider(self.settings.dimensions)
-        self.fingerprint = hashlib.sha256(json.dumps(self.settings.canonical()).encode()).hexdigest()
+
+    def _keys(self) -> dict:
+        """What chunks and vectors were made with."""
+        return {"cut": self.settings.cut_key(), "vectors": f"{self.provider.name}/{self.provider.dimensions}"}
 
     def sync(self, files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, whole: bool = True) -> DataFrame:
         """Files (``data_source_id, file_path, content, size``) become the index's content.
 
         Where ``whole`` is false, ``files`` are changes: only their paths are looked at, and one
         whose content is null is gone. Of a path that comes twice the last version by content counts.
-        Only files that are new or changed are cut and embedded, unless the provider has changed,
-        and only sources with changes are written. A file that cannot be cut is listed in
-        ``failed`` and tried again by the next sync. All tables become visible together. Returns
-        the changes.
+        Only files that are new or changed are cut and embedded, and only sources with changes are
+        written. Other limits of chunks than the index was made with cut all files anew; a set of
+        changes is refused then, as it does not have them all. Another provider embeds all chunks
+        anew (D11). A file that cannot be cut is listed in ``failed`` and tried again by the next
+        sync. All tables become visible together, and not at all if another sync came in between.
+        Returns the changes.
         """
-        keys = self.KEYS
+        base, keys, made_with = self.store.current(), self.KEYS, self._keys()
+        known = "chunks" in base["tables"] and base["meta"].get("cut") == made_with["cut"]
+        if "chunks" in base["tables"] and not known and not whole:
+            raise ValueError("files are cut by other limits than the index has: sync the whole of them first")
         files = files.withColumn("data_source_id", F.col("data_source_id").cast("string"))
         files = files.groupBy(*keys).agg(F.max_by(F.struct("content", "size"), F.struct("content", "size")).alias("f")).select(*keys, "f.*")
         wanted = filters.eligible(filters.by_globs(files.where("content IS NOT NULL"), include or [], exclude or []))
-        listing = wanted.select(*keys, "size", F.sha2("content", 256).alias("sha"))
-        now = self.store.manifest()
-        known = "postings" in now["tables"] and now["meta"].get("fingerprint") == self.fingerprint
-        empty = listing.where(F.lit(False))
-        old = self.store.table("manifest") if known else empty
+        # The listing is written once: the changes, the manifest and the choice of files read it, not the contents.
+        listed = self.store.write(base, "listing", wanted.select(*keys, "size", F.sha2("content", 256).alias("sha")))
+        listing = self.store.read(listed)
+        old = self.store.read(base["tables"]["manifest"]) if known else listing.where(F.lit(False))
         if not whole:
             old = old.join(files.select(*keys), keys, "left_semi")
-        delta = incremental.changes(old, listing)
+        compared = self.store.write(base, "changes", incremental.changes(old, listing))
+        delta = self.store.read(compared)
         moved = delta.where("change != 'unchanged'")
         touched = [r[0] for r in moved.select("data_source_id").distinct().collect()]
         replaced = touched if known else None
-        stale = moved.select(*keys)
-        fresh = wanted.join(moved.where("change != 'deleted'").select(*keys), keys, "left_semi")
-
-        def kept(name: str) -> DataFrame | None:
-            held = self.store.table(name).where(F.col("data_source_id").isin(touched)) if known else None
-            return held and held.join(stale, keys, "left_anti")
-
-        def laid(name: str, made: DataFrame, order: str | None = None) -> dict:
-            before = kept(name)
-            return self.store.stage(name, made if before is None else before.select(made.columns).unionByName(made), replaced, order)
-
-        cut = self.store.staged(self.store.stage("cut", chunking.chunk_files(fresh), None))
-        made, wrong = cut.where("error IS NULL").drop("error"), cut.where("error IS NOT NULL")
-        vectors = incremental.with_vectors(made, self.provider).join(made.select("chunk_id", *keys), "chunk_id")
+        stale, come = moved.select(*keys), moved.where("change != 'deleted'").select(*keys)
+        tables = {}
+
+        def laid(name: str, made: DataFrame, order: str | None = None) -> None:
+            if known:
+                before = self.store.read(base["tables"][name], touched).join(stale, keys, "left_anti")
+                made = before.select(made.columns).unionByName(made)
+            tables[name] = self.store.write(base, name, made, replaced, order)
+
+        cut = self.store.write(base, "cut", chunking.chunk_files(wanted.join(come, keys, "left_semi"), self.settings.limits))
+        rows = self.store.read(cut)
+        made, wrong = rows.where("error IS NULL").drop("error"), rows.where("error IS NOT NULL")
+        laid("chunks", made)
+        if known and base["meta"].get("vectors") != made_with["vectors"]:
+            every = incremental.with_vectors(self.store.read(tables["chunks"]), self.provider, keys)
+            tables["embeddings"] = self.store.write(base, "embeddings", every)
+        else:
+            laid("embeddings", incremental.with_vectors(made, self.provider, keys))
         postings, lengths = textindex.build_index(made, carried=keys)
-        done = listing.join(moved.where("change != 'deleted'").select(*keys), keys, "left_semi").join(wrong.select(*keys), keys, "left_anti")
-        tables = {
-            "chunks": laid("chunks", made),
-            "embeddings": laid("embeddings", vectors.select(*keys, "chunk_id", "embedding")),
-            "postings": laid("postings", postings, "term"),
-            "lengths": laid("lengths", lengths),
-            "manifest": laid("manifest", done),
-            "failed": laid("failed", wrong.select(*keys, "error")),
-        }
-        held = self.store.staged(tables["lengths"])
-        held = held if replaced is None else held.where(F.col("data_source_id").isin(touched))
+        laid("postings", postings, "term")
+        laid("lengths", lengths)
+        laid("manifest", listing.join(come, keys, "left_semi").join(wrong.select(*keys), keys, "left_anti"))
+        laid("failed", wrong.select(*keys, "error"))
+        held = self.store.read(tables["lengths"], replaced)
         stats = held.groupBy("data_source_id").agg(F.count("*").alias("rows"), F.sum("d").cast("long").alias("words"))
-        tables["stats"] = self.store.stage("stats", stats, replaced)
-        self.store.publish(tables, {"fingerprint": self.fingerprint, "width": self.provider.dimensions})
+        tables["stats"] = self.store.write(base, "stats", stats, replaced)
+        self.store.publish(base, tables, made_with)
+        for done in (listed, cut):
+            self.store.drop(done)
         return delta
 
     def set_sources(self, sources: DataFrame) -> None:
         """The table of sources (``model.SOURCES``), which names repositories and their states."""
-        self.store.publish({"sources": self.store.stage("sources", sources)})
+        base = self.store.current()
+        self.store.publish(base, {"sources": self.store.write(base, "sources", sources)})
 
     def sources(self) -> DataFrame:
-        tables = self.store.manifest()["tables"]
-        return self.store.table("sources") if "sources" in tables else self.spark.createDataFrame([], model.SOURCES)
+        tables = self.store.current()["tables"]
+        return self.store.read(tables["sources"]) if "sources" in tables else self.spark.createDataFrame([], model.SOURCES)
 
     def chunks(self) -> DataFrame:
         return self.store.table("chunks")
@@ -154,9 +163,13 @@ class Engine:
     def search(self, query: str, repository: str | None = None, cursor: str | None = None, page_size: float | None = None, mode: str = "hybrid") -> DataFrame:
         """One page of results, each with the cursor of the next page, if there is one.
 
-        A cursor continues the same query and scope. Keywords are looked up in the stored postings;
-        a phrase of several words (``a_b``) needs the texts and scans them.
+        A cursor continues the same query and scope. Words and phrases are looked up in the stored
+        postings; texts are read of the results alone. An index whose vectors another provider made is
+        refused (F18).
         """
+        base = self.store.current()
+        if base["meta"].get("vectors") != self._keys()["vectors"]:
+            raise ValueError("the vectors are another provider's: sync or rebuild them first")
         ids = self.in_scope(repository)
         scope_key = ",".join(ids or [])
         size, found = retrieval.page_size(page_size), retrieval.decode_cursor(cursor) if cursor else None
@@ -166,15 +179,12 @@ class Engine:
         tuning = model.Tuning()
         top_k = retrieval.fetch_size(self.settings.top_k, offset, size)
         scope = None if ids is None else F.col("data_source_id").isin(ids)
-        near = self.store.table("embeddings").where(F.lit(True) if scope is None else scope).select("chunk_id", "embedding")
-        text = None
-        if textindex.query_phrases(query, True) and textindex.single_words(query):
-            stats = self.store.table("stats").agg(F.sum("rows").alias("rows"), (F.sum("words") / F.sum("rows")).alias("mean"))
-            text = textindex.bm25_lookup(
-                self.store.table("postings"), self.store.table("lengths"), {0: query}, top_k * tuning.over_fetch, "chunk_id", tuning.fts_path_weight, tuning.fts_content_weight, True, stats, scope
-            ).select("chunk_id", "bm25")
-        chunks = self.chunks() if scope is None or text is None else self.chunks().where(scope)
-        hits = retrieval.search(chunks, near, query, self.provider.embed([query])[0], top_k, mode, tuning, None if text is not None else scope, True, text)
+        tables = {name: self.store.read(base["tables"][name]) for name in ("chunks", "embeddings", "postings", "lengths", "stats")}
+        near = tables["embeddings"].where(F.lit(True) if scope is None else scope).select("chunk_id", "embedding")
+        stats = tables["stats"].agg(F.sum("rows").alias("rows"), (F.sum("words") / F.sum("rows")).alias("mean"))
+        text = textindex.bm25_hits(tables["postings"], tables["lengths"], query, top_k * tuning.over_fetch, tuning.fts_path_weight, tuning.fts_content_weight, True, stats, scope)
+        chunks = tables["chunks"] if scope is None else tables["chunks"].where(scope)
+        hits = retrieval.search(chunks, near, query, self.provider.embed([query])[0], top_k, mode, tuning, None, True, text)
         page = retrieval.payload(hits, self.sources().select("id", "owner", "repo"), offset, size)
         return page.withColumn("next_cursor", F.when(F.col("has_more"), retrieval.encode_cursor(query, scope_key, offset + size)))
 
@@ -204,16 +214,19 @@ class Engine:
 
     def rebuild_vectors(self) -> None:
         """All vectors anew, for a provider that has changed; chunks stay."""
-        chunks = self.chunks()
-        vectors = incremental.with_vectors(chunks, self.provider).join(chunks.select("chunk_id", *self.KEYS), "chunk_id")
-        entry = self.store.stage("embeddings", vectors.select(*self.KEYS, "chunk_id", "embedding"))
-        self.store.publish({"embeddings": entry}, {"fingerprint": self.fingerprint, "width": self.provider.dimensions})
+        base = self.store.current()
+        vectors = incremental.with_vectors(self.store.read(base["tables"]["chunks"]), self.provider, self.KEYS)
+        self.store.publish(base, {"embeddings": self.store.write(base, "embeddings", vectors)}, {"vectors": self._keys()["vectors"]})
 
     def remove(self, data_source_id: str) -> None:
         """One source goes from all tables, all at once; nothing is rewritten."""
-        now = self.store.manifest()["tables"]
-        tables = {k: t | {"parts": {s: p for s, p in t["parts"].items() if s != data_source_id}} for k, t in now.items() if k != "sources"}
-        self.store.publish(tables)
+        base = self.store.current()
+        tables = {k: t | {"parts": {s: p for s, p in t["parts"].items() if s != data_source_id}} for k, t in base["tables"].items() if k != "sources"}
+        self.store.publish(base, tables)
+
+    def clean(self, keep: int = 2) -> int:
+        """Deletes the folders that none of the last ``keep`` syncs left in use."""
+        return self.store.clean(keep)
 
     def files(self) -> DataFrame:
         """Files put together from their chunks, which may overlap or leave out lines."""

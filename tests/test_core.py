@@ -15,7 +15,7 @@ from loamgrid import model
 from loamgrid.functions import globs
 from loamgrid.functions import scalars as X
 from loamgrid.functions.stemmer import stem
-from loamgrid.operators import catalog, chunking, evaluation, filters, incremental, retrieval, textindex, vector
+from loamgrid.operators import catalog, chunking, evaluation, filters, incremental, retrieval, runs, textindex, vector
 from loamgrid.plans.engine import Engine, HashProvider, RetryingProvider
 from loamgrid.sources import readers
 from loamgrid.streaming import ingest
@@ -115,7 +115,7 @@ def test_token_windows_cover_and_advance(text, limit, overlap):
     lines = text.split("\n")
     assert chunks[0].start == 1 and chunks[-1].end == len(lines)
     for a, b in zip(chunks, chunks[1:], strict=False):
-        assert a.start < b.start <= a.end + 1 and a.end < b.end
+        assert a.start < b.start <= a.end + 1 and a.end <= b.end
     for c in chunks:
         assert c.content == "\n".join(lines[c.start - 1 : c.end]) and (c.tokens <= limit or c.start == c.end)
 
@@ -325,7 +325,6 @@ def test_engine_syncs_by_changes(spark, tmp_path):
     assert kinds == {"src/a.py": "unchanged", "docs/b.md": "deleted", "docs/c.md": "added"}
     assert {r.file_path for r in engine.chunks().collect()} == {"src/a.py", "docs/c.md"}
     assert engine.store.table("embeddings").count() == engine.chunks().count()
-    assert engine.store.table("chunks", 1).where("file_path = 'docs/b.md'").count() == 1
     assert {r.term for r in engine.store.table("postings").where("file_path = 'docs/c.md'").collect()} == {"gamma", "new", "text", "doc", "c", "md"}
     hits = engine.search("gamma", "s").orderBy("position").collect()
     assert hits[0].file_path == "docs/c.md"
@@ -351,7 +350,8 @@ def test_engine_searches_repositories_by_pages(spark, tmp_path):
     scan = retrieval.search(engine.chunks(), engine.store.table("embeddings").select("chunk_id", "embedding"), "sessions", engine.provider.embed(["sessions"])[0], 20, "fts-only", stemmed=True)
     held = {r.chunk_id: r.bm25 for r in textindex.bm25_lookup(engine.store.table("postings"), engine.store.table("lengths"), {0: "sessions"}, 20).collect()}
     assert held == pytest.approx({r.chunk_id: -r.distance for r in scan.collect()})
-    assert engine.search("number_2").count() > 0
+    assert {r.file_path for r in engine.search("number_2", mode="fts-only").collect()} == {"docs/p2.md"}
+    assert engine.search("2_number", mode="fts-only").count() == 0
 
 
 def test_engine_tries_failed_files_again(spark, tmp_path, monkeypatch):
@@ -359,8 +359,8 @@ def test_engine_tries_failed_files_again(spark, tmp_path, monkeypatch):
     held = rows(spark, model.FILES, ("s", "a.txt", "fine", 4), ("s", "b.txt", "bad", 3))
     whole = chunking.chunk_files
 
-    def failing(files):
-        out = whole(files)
+    def failing(files, limits):
+        out = whole(files, limits)
         return out.withColumn("error", F.when(F.col("content") == "bad", "cannot")).withColumn("content", F.when(F.col("error").isNull(), F.col("content")))
 
     monkeypatch.setattr(chunking, "chunk_files", failing)
@@ -373,22 +373,84 @@ def test_engine_tries_failed_files_again(spark, tmp_path, monkeypatch):
 
 
 def test_publishing_is_whole_and_excludes_others(spark, tmp_path):
-    one, two = (incremental.Snapshots(spark, str(tmp_path / "index")) for _ in range(2))
-    entry = one.stage("t", rows(spark, "data_source_id string, x int", ("a", 1), ("b/c", 2), (None, 3)))
-    one.publish({"t": entry})
-    again = two.stage("t", rows(spark, "data_source_id string, x int", ("a", 5)), ["a"])
-    two.publish({"t": again})
-    assert sorted(r.x for r in one.table("t").collect()) == [2, 3, 5] and sorted(r.x for r in one.table("t", 1).collect()) == [1, 2, 3]
-    now = one.manifest()
-    two.publish({"t": again})
-    monkey = incremental.Snapshots(spark, str(tmp_path / "index"))
-    monkey.manifest = lambda number=None: now
-    with pytest.raises(OSError, match="another writer"):
-        monkey.publish({"t": again})
-    assert one.manifest()["number"] == 3
-    with pytest.raises(ValueError, match="newer"):
-        incremental.migrated({"schema": 99})
-    assert incremental.migrated({"schema": 0})["tables"] == {}
+    one, two = (runs.Runs(spark, str(tmp_path / "index")) for _ in range(2))
+    kind = "data_source_id string, x int"
+    base = one.current()
+    one.publish(base, {"t": one.write(base, "t", rows(spark, kind, ("a", 1), ("b/c", 2), (None, 3)))})
+    base = two.current()
+    entry = two.write(base, "t", rows(spark, kind, ("a", 5)), ["a"])
+    two.publish(base, {"t": entry}, {"by": "two"})
+    assert sorted(r.x for r in one.table("t").collect()) == [2, 3, 5] and one.current()["meta"] == {"by": "two"}
+    assert sorted(r.x for r in one.read(one.current()["tables"]["t"], ["a"]).collect()) == [5]
+    with pytest.raises(OSError, match="another run"):
+        one.publish(base, {"t": entry})
+    assert one.current()["number"] == 2
+
+
+def test_a_writer_from_an_older_base_loses_nothing(spark, tmp_path):
+    """Both read the same base; the second to publish is refused, whichever sources it wrote."""
+    one, two = (runs.Runs(spark, str(tmp_path / "index")) for _ in range(2))
+    kind = "data_source_id string, x int"
+    base, same = one.current(), two.current()
+    mine = one.write(base, "t", rows(spark, kind, ("8", 8)), ["8"])
+    theirs = two.write(same, "t", rows(spark, kind, ("9", 9)), ["9"])
+    one.publish(base, {"t": mine})
+    with pytest.raises(OSError):
+        two.publish(same, {"t": theirs})
+    assert [r.x for r in two.table("t").collect()] == [8]
+    again = two.current()
+    two.publish(again, {"t": two.write(again, "t", rows(spark, kind, ("9", 9)), ["9"])})
+    assert sorted(r.x for r in one.table("t").collect()) == [8, 9]
+
+
+def test_a_pointer_left_half_written_is_passed_over_in_time(spark, tmp_path, monkeypatch):
+    store = runs.Runs(spark, str(tmp_path / "index"))
+    base = store.current()
+    store.publish(base, {"t": store.write(base, "t", rows(spark, "x int", (1,)))})
+    (tmp_path / "index" / "current-000000000002.json").write_text('{"number": 2, "tab')
+    with pytest.raises(OSError, match="being published"):
+        store.current()
+    monkeypatch.setattr(runs, "ABANDONED", 0)
+    assert store.current()["number"] == 1
+
+
+def test_cleaning_keeps_what_counts(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "index"))
+    for text in ("one", "two", "three"):
+        engine.sync(rows(spark, model.FILES, ("s", "a.txt", text, 3), ("t", "b.txt", "same", 4)))
+    before = len(list((tmp_path / "index").glob("run-*")))
+    assert engine.clean() > 0 and len(list((tmp_path / "index").glob("run-*"))) < before
+    assert {r.content for r in engine.chunks().collect()} == {"three", "same"}
+    assert engine.search("same").first().file_path == "b.txt"
+    assert {r.change for r in engine.sync(rows(spark, model.FILES, ("s", "a.txt", "three", 3), ("t", "b.txt", "same", 4))).collect()} == {"unchanged"}
+
+
+def test_a_delta_after_other_settings_loses_no_file(spark, tmp_path):
+    root = str(tmp_path / "index")
+    held = [("s", f"f{i}.txt", f"text {i}", 6) for i in range(3)]
+    Engine(spark, root).sync(rows(spark, model.FILES, *held))
+    more = Engine(spark, root, model.Settings(top_k=25))
+    more.sync(rows(spark, model.FILES, ("s", "f1.txt", "changed", 7)), whole=False)
+    assert {r.content for r in more.chunks().collect()} == {"text 0", "changed", "text 2"}
+    short = Engine(spark, root, model.Settings(limits=model.ChunkLimits(max_tokens=1, overlap_tokens=0)))
+    with pytest.raises(ValueError, match="other limits"):
+        short.sync(rows(spark, model.FILES, ("s", "f1.txt", "a\nb", 3)), whole=False)
+    assert more.chunks().count() == 3
+    short.sync(rows(spark, model.FILES, *held[:2], ("s", "f9.txt", "first line\nsecond line", 22)))
+    assert sorted(r.file_path for r in short.chunks().collect()) == ["f0.txt", "f1.txt", "f9.txt", "f9.txt"]
+
+
+def test_another_provider_embeds_everything_anew(spark, tmp_path):
+    root = str(tmp_path / "index")
+    held = [("s", "a.txt", "one", 3), ("t", "b.txt", "two", 3)]
+    Engine(spark, root, provider=HashProvider(8)).sync(rows(spark, model.FILES, *held))
+    wide = Engine(spark, root, provider=HashProvider(64))
+    with pytest.raises(ValueError, match="another provider"):
+        wide.search("one")
+    wide.sync(rows(spark, model.FILES, ("s", "a.txt", "three", 5)), whole=False)
+    assert [len(r.embedding) for r in wide.store.table("embeddings").collect()] == [64, 64]
+    assert {r.content for r in wide.chunks().collect()} == {"three", "two"}
+    assert wide.search("two").first().file_path == "b.txt"
 
 
 def test_engine_rebuilds_and_removes(spark, tmp_path):
@@ -438,3 +500,44 @@ def test_windowed_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     key = lambda r: (r.start, r.event_type, r.n, round(r.total, 6))
     assert sorted(map(key, spark.table("windows").collect())) == sorted(map(key, ingest.windowed_counts(events).collect()))
+
+
+FTS = [
+    ("src/alpha_beta.py", "alpha beta gamma\nbeta alpha. Alpha, beta"),
+    ("docs/alpha.md", "the alpha beta beta runs running runner"),
+    ("docs/gamma.md", "running alphas beta alpha beta"),
+    ("beta/alpha.txt", "nothing of it; a run"),
+    ("x/empty.txt", ""),
+    ("x/long.txt", "beta " * 50 + "alpha " * 50),
+]
+
+
+@pytest.fixture(scope="module")
+def searched(spark):
+    held = rows(spark, "chunk_id int, file_path string, content string", *[(i, p, c) for i, (p, c) in enumerate(FTS)])
+    return held, {s: [x.cache() for x in textindex.build_index(held, stemmed=s)] for s in (True, False)}
+
+
+@pytest.mark.parametrize("stemmed", [True, False])
+@pytest.mark.parametrize("query", ["alpha_beta", "beta_beta", "alpha beta", "alpha_beta gamma", "beta_alpha alpha_beta", "runs", "running beta_alpha", "beta_beta_beta", "alpha_nothing", "alpha alpha"])
+def test_phrases_from_postings(spark, searched, query, stemmed):
+    """Against the scan of all texts, and against a full-text engine of its own with the same tokens."""
+    held, index = searched
+    got = {r.chunk_id: r.bm25 for r in textindex.bm25_hits(*index[stemmed], query, 100, stemmed=stemmed).collect()}
+    assert got == pytest.approx({r.chunk_id: r.bm25 for r in textindex.bm25_scan(held, query, stemmed=stemmed).collect()})
+    con = sqlite3.connect(":memory:")
+    con.execute(f"CREATE VIRTUAL TABLE t USING fts5(path, content, tokenize='{'porter ' if stemmed else ''}unicode61')")
+    con.executemany("INSERT INTO t(rowid, path, content) VALUES (?, ?, ?)", [(i + 1, p.replace("_", " "), c) for i, (p, c) in enumerate(FTS)])
+    asked = " AND ".join('"' + w.replace("_", " ") + '"' for w in query.split())
+    want = {i - 1: -s for i, s in con.execute("SELECT rowid, bm25(t, 5.0, 1.0) FROM t WHERE t MATCH ?", (asked,))}
+    assert got.keys() == want.keys()
+    assert got == pytest.approx(want, rel=1e-6, abs=1e-9)
+
+
+def test_postings_alone_are_read(spark, searched, tmp_path):
+    _, index = searched
+    for name, df in zip(("p", "l"), index[False], strict=True):
+        df.sortWithinPartitions(df.columns[0]).write.parquet(str(tmp_path / name))
+    hits = textindex.bm25_hits(spark.read.parquet(str(tmp_path / "p")), spark.read.parquet(str(tmp_path / "l")), "alpha_beta", 9, stemmed=False)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [alpha,beta])" in plan and "content#" not in plan.replace("content_", "")
