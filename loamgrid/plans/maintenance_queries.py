@@ -10,7 +10,7 @@ from .. import model
 from ..functions import scalars as X
 from ..operators import filters
 from ..operators import incremental as inc
-from ..sources import bridge, readers
+from ..sources import bridge, readers, stored
 from ..sources.bridge import FILES_SQL, NEW_SQL, OLD_SQL, RUNS_SQL, files, table
 from ..streaming import ingest
 from .registry import Queries
@@ -158,6 +158,34 @@ def s12_scan_by_source(spark, d):
     return files(spark, d).where("data_source_id = 'src3' AND size > 100").select("doc_id")
 
 
+@query(f"WITH {FILES_SQL} SELECT doc_id, data_source_id, file_path, size FROM b_files WHERE doc_id IN (3, 17, 42, 999999)")
+def s13_point_lookup(spark, d):
+    name = stored.saved_by_id(files(spark, d), "doc_id")
+    return stored.by_ids(spark, name, "doc_id", [3, 17, 42, 999999]).select("doc_id", "data_source_id", "file_path", "size")
+
+
+@query(f"WITH {FILES_SQL} SELECT doc_id, file_path FROM b_files WHERE doc_id IN (SELECT o_orderkey * 7 FROM orders)")
+def s13_j02_batch_lookup(spark, d):
+    name = stored.saved_by_id(files(spark, d), "doc_id")
+    asked = table(spark, d, "orders").select((F.col("o_orderkey") * 7).alias("doc_id"))
+    return stored.by_id_table(spark, name, "doc_id", asked).select("doc_id", "file_path")
+
+
+@query(f"WITH {FILES_SQL} SELECT doc_id, 'source' AS of FROM b_files WHERE data_source_id = 'src3' UNION ALL SELECT doc_id, 'file' FROM b_files WHERE data_source_id = 'src3' AND file_path LIKE 'docs/%'")
+def s14_id_projections(spark, d):
+    name = stored.saved_by_id(files(spark, d), "doc_id")
+    own = F.col("data_source_id") == "src3"
+    ids = [stored.ids_where(spark, name, "doc_id", c).withColumn("of", F.lit(of)) for of, c in (("source", own), ("file", own & F.col("file_path").startswith("docs/")))]
+    return ids[0].unionAll(ids[1])
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def k04_without_ids(spark, d):
+    name = stored.saved_by_id(table(spark, d, "embeddings"), "vec_id")
+    gone = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("vec_id"))
+    return stored.without_ids(spark, name, "vec_id", gone).select("vec_id", "label")
+
+
 @query("""SELECT a.l_orderkey, count(*) AS inside FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_quantity <= b.l_quantity AND b.l_quantity + b.l_linenumber <= a.l_quantity + a.l_linenumber * 10 AND a.l_linenumber <> b.l_linenumber GROUP BY 1""")
 def j11_containment(spark, d):
     spans = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("s"))

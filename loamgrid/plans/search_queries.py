@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import scalars as X
 from ..model import Tuning
 from ..operators import retrieval, textindex, vector
-from ..sources import bridge
+from ..sources import bridge, stored
 from ..sources.bridge import FILES_SQL, files, table
 from .registry import Queries
 
@@ -175,3 +175,106 @@ def r10_j07_payload(spark, d):
 def w01_ranks(spark, d):
     rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_quantity", "l_linenumber"))
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("q"), rank.alias("rank"), "l_linenumber")
+
+
+_indexes: dict[tuple[str, str, bool], tuple] = {}
+
+
+def index(spark, d, stemmed=True):
+    """Postings and lengths of all files, built once for a session and folder of tables and then read from storage.
+
+    Postings lie by ranges of term and row, so a lookup opens the files of its terms and a frequent term has several.
+    """
+    key = (spark.sparkContext.applicationId, d, stemmed)
+    if key not in _indexes:
+        postings, lengths = textindex.build_index(chunks(spark, d), stemmed=stemmed, carried=["data_source_id"])
+        laid = postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+        _indexes[key] = stored.written(laid), stored.written(lengths)
+    return _indexes[key]
+
+
+def bm25_sql(counts: list[str], scope: str = "TRUE") -> str:
+    """``bm``: scores of rows in which each of ``counts``, expressions over a list of tokens ``x``, is above 0."""
+    f = ", ".join(f"5.0 * {c.replace('{x}', 'p')} + {c.replace('{x}', 'c')} AS f{i}" for i, c in enumerate(counts))
+    held = ", ".join(f"count(*) FILTER (WHERE f{i} > 0) AS n{i}" for i in range(len(counts)))
+    idf = "CASE WHEN ln((n - n{0} + 0.5) / (n{0} + 0.5)) > 0 THEN ln((n - n{0} + 0.5) / (n{0} + 0.5)) ELSE 1e-6 END"
+    part = " + ".join(f"{idf.format(i)} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * d / mean))" for i in range(len(counts)))
+    return f"""tok AS (SELECT doc_id AS chunk_id, data_source_id, {TOKENS.format("file_path")} AS p, {TOKENS.format("content")} AS c FROM b_files),
+tf AS (SELECT chunk_id, data_source_id, len(p) + len(c) AS d, {f} FROM tok), st AS (SELECT count(*) AS n, avg(d) AS mean, {held} FROM tf),
+bm AS (SELECT chunk_id, data_source_id, {part} AS bm25 FROM tf, st WHERE {" AND ".join(f"f{i} > 0" for i in range(len(counts)))} AND {scope})"""
+
+
+def among(*words: str) -> str:
+    return f"len(list_filter({{x}}, lambda t: t IN ({', '.join(repr(w) for w in words)})))"
+
+
+def in_turn(a: str, b: str) -> str:
+    return f"len(list_filter(range(1, len({{x}})), lambda i: {{x}}[i] = '{a}' AND {{x}}[i + 1] = '{b}'))"
+
+
+#: The forms in the given texts that share a stem with the query's words.
+ER, ON = among("er", "ere", "ered", "eres", "ering", "ers"), among("on", "oned", "ones", "oning", "ons")
+PHRASES = {1: ("of_the", [in_turn("of", "the")]), 2: ("the_and of_the", [in_turn("the", "and"), in_turn("of", "the")]), 3: ("that_the to", [in_turn("that", "the"), among("to")])}
+
+
+def _phrase_sql(number: int) -> str:
+    return f"SELECT * FROM (WITH {bm25_sql(PHRASES[number][1])} SELECT {number} AS query_id, chunk_id, round(bm25, 9) AS bm25 FROM bm ORDER BY bm.bm25 DESC, chunk_id LIMIT 20)"
+
+
+@query(f"WITH {FILES_SQL} " + " UNION ALL ".join(map(_phrase_sql, PHRASES)))
+def r03_phrases_index(spark, d):
+    hits = textindex.bm25_lookup(*index(spark, d, False), {k: text for k, (text, _) in PHRASES.items()}, 20, stemmed=False)
+    return hits.select(F.col("query_id").cast("int").alias("query_id"), "chunk_id", F.round("bm25", 9).alias("bm25"))
+
+
+@query(f"WITH {FILES_SQL}, {bm25_sql([ER, ON])} SELECT chunk_id, round(bm25, 9) AS bm25 FROM bm ORDER BY bm.bm25 DESC, chunk_id LIMIT 50")
+def r02_stemmed_index(spark, d):
+    return textindex.bm25_hits(*index(spark, d), "ering Oned", 50).select("chunk_id", F.round("bm25", 9).alias("bm25"))
+
+
+SCOPE = ("src1", "src2", "src3")
+STEMMED = "ering oned src"
+def scoped_sql(fetch: int, k: int, weight: float) -> str:
+    return f"""{FILES_SQL}, {bm25_sql([ER, ON, among("src", "srcs")], f"data_source_id IN {SCOPE}")},
+vec AS (SELECT chunk_id, distance, row_number() OVER (ORDER BY distance, chunk_id) AS v_rank FROM (SELECT chunk_id, distance FROM ({NEAR}) JOIN b_files ON doc_id = chunk_id WHERE data_source_id IN {SCOPE} ORDER BY distance, chunk_id LIMIT {fetch})),
+fts AS (SELECT chunk_id, bm25, row_number() OVER (ORDER BY bm25 DESC, chunk_id) AS f_rank FROM (SELECT chunk_id, bm25 FROM bm ORDER BY bm25 DESC, chunk_id LIMIT {fetch})),
+fused AS (SELECT chunk_id, v_rank, f_rank, 1 / CAST({k} + coalesce(v_rank, {fetch} + 1) AS DOUBLE) + 1 / CAST({k} + coalesce(f_rank, {fetch} + 1) AS DOUBLE) AS rrf FROM vec FULL JOIN fts USING (chunk_id)),
+hyd AS (SELECT f.*, b.file_path, b.data_source_id, rrf + {weight} * (CASE WHEN contains(file_path, 'src') THEN 1 / 3.0 ELSE 0 END) AS score FROM fused f JOIN b_files b ON b.doc_id = f.chunk_id)"""
+
+
+def indexed(spark, d, top_k, tuning=None):
+    """Hybrid search in a scope, stemmed, with keywords from the stored postings."""
+    tuning, scope = tuning or Tuning(), F.col("data_source_id").isin(*SCOPE)
+    hits = textindex.bm25_hits(*index(spark, d), STEMMED, top_k * tuning.over_fetch, tuning.fts_path_weight, tuning.fts_content_weight, True, None, scope)
+    return retrieval.search(chunks(spark, d), bridge.embeddings(spark, d), STEMMED, query_vector(spark, d), top_k, "hybrid", tuning, scope, True, hits)
+
+
+@query(f"""WITH {scoped_sql(30, 60, 0.15)} SELECT chunk_id, data_source_id, file_path, round(score, 9) AS score FROM hyd ORDER BY hyd.score DESC, coalesce(v_rank, 1 << 30), coalesce(f_rank, 1 << 30) LIMIT 10""")
+def r07_stemmed_index(spark, d):
+    return indexed(spark, d, 10).select("chunk_id", "data_source_id", "file_path", F.round(-F.col("distance"), 9).alias("score"))
+
+
+@query(f"""WITH {scoped_sql(40, 10, 0.5)} SELECT chunk_id, round(score, 9) AS score FROM hyd ORDER BY hyd.score DESC, coalesce(v_rank, 1 << 30), coalesce(f_rank, 1 << 30) LIMIT 8""")
+def r08_tuned_index(spark, d):
+    return indexed(spark, d, 8, Tuning(rrf_k=10, over_fetch=5, path_weight=0.5)).select("chunk_id", F.round(-F.col("distance"), 9).alias("score"))
+
+
+SCOPE_KEY = ",".join(SCOPE)
+
+
+@query(f"""WITH {scoped_sql(60, 60, 0.15)}, t AS (SELECT * FROM hyd ORDER BY score DESC, coalesce(v_rank, 1 << 30), coalesce(f_rank, 1 << 30) LIMIT 20),
+o AS (SELECT *, row_number() OVER (ORDER BY -score, file_path, chunk_id) AS position, (SELECT count(*) FROM t) AS n FROM t)
+SELECT CAST(position AS INTEGER) AS position, chunk_id, CASE WHEN n > position - 1 - (position - 1) % 5 + 5 THEN
+  rtrim(translate(base64(encode(concat('{{"query":"{STEMMED}","scopeKey":"{SCOPE_KEY}","offset":', CAST(position - 1 - (position - 1) % 5 + 5 AS VARCHAR), '}}'))), '+/', '-_'), '=') END AS next_cursor
+FROM o WHERE position <= 10""")
+def r11_r12_pages(spark, d):
+    """The first two pages of a search, the second by the first one's cursor."""
+    names, out, cursor = table(spark, d, "documents").selectExpr("source AS id", "'owner' AS owner", "source AS repo").distinct(), None, None
+    hits = indexed(spark, d, 20)
+    for _ in range(2):
+        offset = retrieval.decode_cursor(cursor)["offset"] if cursor else 0
+        page = retrieval.payload(hits, names, offset, 5)
+        cursor = retrieval.encode_cursor(STEMMED, SCOPE_KEY, offset + 5)
+        page = page.select("position", "chunk_id", F.when(F.col("has_more"), F.lit(cursor)).alias("next_cursor"))
+        out = page if out is None else out.unionByName(page)
+    return out
