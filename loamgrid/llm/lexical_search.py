@@ -39,7 +39,7 @@ from .tables import scratch, stored
 #: Postings of one block of the index, and its documents; a longer document is a block by itself.
 BLOCK_POSTINGS, BLOCK_DOCS = 1 << 18, 4096
 #: Postings of a lane of a stratum.
-LANE_POSTINGS = 1 << 22
+LANE_POSTINGS = 1 << 18
 #: Terms of the items that are searched in one pass over the index.
 ITEM_TERMS = 1 << 16
 #: Sums of fewer terms than this are exact in doubles: weights stay below 2^15 and impacts below 2^20.
