@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 from ..functions import globs
 from ..functions import scalars as X
 from .filters import action_file, subtree, workflow_file
+from .ranking import numbered
+
+#: The order of names that readers expect: letters before case and accents, digits and punctuation before letters.
+LOCALE = "UNICODE"
 
 
 def chunk_counts(chunks: DataFrame) -> DataFrame:
@@ -44,10 +48,14 @@ def source_listing(sources: DataFrame, chunks: DataFrame) -> DataFrame:
     return sources.join(stats, "id", "left").select(*sources.columns, zero("files"), zero("chunks"), zero("tokens"), (F.col("status") != "ready").alias("partial"))
 
 
-def grouped_sources(sources: DataFrame, order: list[str]) -> DataFrame:
-    """Sources in a fixed order of types, unknown ones last, by name within a type."""
-    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("type"))
-    return sources.withColumn("group_order", F.when(place > 0, place).otherwise(len(order) + 1)).orderBy("group_order", F.expr("collate(lower(concat(owner, '/', repo)), 'UNICODE')"))
+def grouped_sources(sources: DataFrame, order: list[str], key: str = "id") -> DataFrame:
+    """Sources numbered in a fixed order of types, unknown ones last, by name in locale order within a type.
+
+    ``place`` is found by counted ranges, so no task sorts all sources.
+    """
+    known = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("type"))
+    placed = sources.withColumn("group_order", F.when(known > 0, known).otherwise(len(order) + 1).cast("int"))
+    return numbered(placed, [], [F.col("group_order"), F.collate(F.concat_ws("/", "owner", "repo"), LOCALE), F.col(key)], "place")
 
 
 def workflows(chunks: DataFrame) -> DataFrame:
@@ -115,9 +123,9 @@ def tree_rows(
     """The lines of each source's file tree, numbered in order.
 
     ``stats`` has ``file_path`` and ``tokens``. Directories come before files; a directory at the
-    deepest level is followed by a line that says how many files it hides. No recursion: every
-    path gives a row for each of its prefixes, and an array of (is file, name) per segment orders
-    them.
+    deepest level is followed by a line that says how many files it hides. Names are in locale
+    order. No recursion: every path gives a row for each of its prefixes, an array of (is file,
+    name) per segment orders them, and rows are numbered by counted ranges.
     """
     depth = min(max_depth, 10)
     rel = subtree(stats.withColumn("full_path", F.col("file_path")), root)
@@ -125,7 +133,7 @@ def tree_rows(
     parts = F.split("file_path", "/")
 
     def key(names: Column, last_is_file: Column) -> Column:
-        return F.transform(names, lambda x, i: F.struct((last_is_file & (i == F.size(names) - 1)).cast("int").alias("f"), x.alias("n")))
+        return F.transform(names, lambda x, i: F.struct((last_is_file & (i == F.size(names) - 1)).cast("int").alias("f"), F.collate(x, LOCALE).alias("n")))
 
     leaf = rel.where(F.size(parts) <= depth).select(
         *by,
@@ -150,13 +158,13 @@ def tree_rows(
     folder = dirs.select(*by, own.alias("place"), (F.size("names") - 1).alias("level"), F.concat(name, F.lit("/ [dir, "), plural, F.lit("]")).alias("line"))
     hidden = dirs.where(F.size("names") == depth).select(
         *by,
-        F.concat(own, F.array(F.struct(F.lit(2).alias("f"), F.lit("").alias("n")))).alias("place"),
+        F.concat(own, F.array(F.struct(F.lit(2).alias("f"), F.collate(F.lit(""), LOCALE).alias("n")))).alias("place"),
         F.size("names").alias("level"),
         F.concat(F.lit("["), plural, F.lit(" not shown — use path: '"), name, F.lit("/' or increase maxDepth]")).alias("line"),
     )
     rows = leaf.unionAll(folder).unionAll(hidden)
-    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("place")
-    return rows.select(*by, F.row_number().over(order).alias("row"), F.concat(F.repeat(F.lit("  "), F.col("level")), "line").alias("line"))
+    lines = rows.select(*by, "place", F.concat(F.repeat(F.lit("  "), F.col("level")), "line").alias("line"))
+    return numbered(lines, by, [F.col("place"), F.col("line")]).select(*by, F.col("row").cast("int").alias("row"), "line")
 
 
 def page(rows: DataFrame, by: list[str], number: int = 1, size: int = 200) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .. import model
+from .ranking import numbered
 
 
 def changes(old: DataFrame, new: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -114,8 +114,8 @@ def batches(rows: DataFrame, by: list[str], order: str, tokens: str = "tokens",
     request takes rows while it has at most ``most`` of them and ``most_tokens`` tokens, at least
     one. The fold goes over an array of one stretch, so its size is bounded.
     """
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
-    cut = rows.withColumn("_stretch", F.floor(place / first))
+    # Numbered by counted ranges: a source with a third of all rows is not sorted by one task.
+    cut = numbered(rows, by, [F.col(order)], "_place").withColumn("_stretch", F.floor((F.col("_place") - 1) / first)).drop("_place")
     row = F.struct(F.col(order).alias("_o"), F.col(tokens).cast("long").alias("_t"), F.struct(*rows.columns).alias("_row"))
     held = cut.groupBy(*by, "_stretch").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
 
@@ -130,9 +130,9 @@ def batches(rows: DataFrame, by: list[str], order: str, tokens: str = "tokens",
         )
 
     start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("t"), F.lit(1).alias("k"), F.array().cast("array<int>").alias("out"))
-    numbered = held.withColumn("_k", F.aggregate("_rows", start, grown, lambda s: s["out"]))
+    folded_rows = held.withColumn("_k", F.aggregate("_rows", start, grown, lambda s: s["out"]))
     before = F.coalesce(F.sum(F.array_max("_k")).over(Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pairs = numbered.withColumn("_before", before).select("_before", F.explode(F.arrays_zip("_rows", "_k")).alias("_x"))
+    pairs = folded_rows.withColumn("_before", before).select("_before", F.explode(F.arrays_zip("_rows", "_k")).alias("_x"))
     return pairs.select("_x._rows._row.*", (F.col("_before") + F.col("_x._k")).cast("long").alias("batch"))
 
 

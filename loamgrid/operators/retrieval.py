@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as X
 from ..model import Tuning
+from .catalog import LOCALE
 from .textindex import bm25_scan
 from .vector import knn
 
@@ -84,9 +85,10 @@ def search(
 
 
 def payload_order(order: str = "best_first") -> list[Column]:
-    """``reference`` puts the largest distance, the lowest score, first; ``best_first`` the smallest."""
+    """``reference`` puts the largest distance, the lowest score, first; ``best_first`` the smallest. Paths and ids are in locale order."""
     first = F.desc("distance") if order == "reference" else F.asc("distance")
-    return [first, F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("chunk_id")]
+    text = lambda c: F.collate(F.col(c).cast("string"), LOCALE)
+    return [first, text("file_path"), F.col("start_line"), F.col("end_line"), text("chunk_id")]
 
 
 def diverse(results: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

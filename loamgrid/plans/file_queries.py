@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import globs
 from ..functions import scalars as X
-from ..operators import catalog, chunking, filters
+from ..operators import catalog, chunking, filters, ranking
 from ..sources import bridge
 from ..sources.bridge import FILES_SQL, RUNS_SQL, files, table
 from .registry import Queries
@@ -285,14 +285,10 @@ def a08_reassembled(spark, d):
 
 
 @query("""SELECT c_custkey AS id, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2 ELSE 3 END AS group_order,
-row_number() OVER (ORDER BY CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2 ELSE 3 END, lower(c_name), c_custkey) AS place FROM customer""")
+row_number() OVER (ORDER BY CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2 ELSE 3 END, icu_sort_key(concat('o/', c_name), 'en'), c_custkey) AS place FROM customer""")
 def a09_grouped_sources(spark, d):
-    from pyspark.sql.window import Window
-
     held = sources(spark, d).select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("type"), F.lit("o").alias("owner"), F.col("c_name").alias("repo"))
-    grouped = catalog.grouped_sources(held, ["BUILDING", "FURNITURE"])
-    place = F.row_number().over(Window.orderBy("group_order", F.lower("repo"), "id"))
-    return grouped.select("id", F.col("group_order").cast("int").alias("group_order"), place.cast("long").alias("place"))
+    return catalog.grouped_sources(held, ["BUILDING", "FURNITURE"]).select("id", "group_order", "place")
 
 
 @query(f"""WITH {FILES_SQL}, x AS (SELECT data_source_id, string_split(file_path, '/') AS p FROM b_files),
@@ -310,13 +306,13 @@ def a18_profile(spark, d):
 
 
 TREE_SQL = f"""{FILES_SQL}, s AS (SELECT data_source_id, file_path, CAST(ceil(size / 4.0) AS BIGINT) AS tokens, string_split(file_path, '/') AS p, {EXT} AS ext FROM b_files),
-leaf AS (SELECT data_source_id, list_transform(p, lambda x, i: concat(CASE WHEN i = len(p) THEN '1' ELSE '0' END, x)) AS place, len(p) - 1 AS level,
+leaf AS (SELECT data_source_id, list_transform(p, lambda x, i: concat(CASE WHEN i = len(p) THEN '1' ELSE '0' END, icu_sort_key(x, 'en'))) AS place, len(p) - 1 AS level,
   concat(p[-1], ' [', ext, CASE WHEN tokens > 0 THEN concat(', ', format('{{:,}}', tokens), ' tokens') ELSE '' END,
   CASE WHEN file_path LIKE 'pkg/test/%' THEN ', test' WHEN ext = 'md' THEN ', docs' WHEN file_path LIKE '.github/%' THEN ', workflow' WHEN file_path LIKE '%/action.yml' THEN ', action' WHEN file_path LIKE '%/package.json' THEN ', config' ELSE '' END, ']') AS line
   FROM s WHERE len(p) <= 2),
 dirs AS (SELECT data_source_id, q, count(*) AS n FROM (SELECT data_source_id, p[1:i] AS q FROM (SELECT data_source_id, p, unnest(range(1, least(len(p) - 1, 2) + 1)) AS i FROM s)) GROUP BY 1, 2),
-folder AS (SELECT data_source_id, list_transform(q, lambda x: concat('0', x)) AS place, len(q) - 1 AS level, concat(q[-1], '/ [dir, ', n, CASE WHEN n = 1 THEN ' file]' ELSE ' files]' END) AS line FROM dirs),
-hidden AS (SELECT data_source_id, list_append(list_transform(q, lambda x: concat('0', x)), '2') AS place, len(q) AS level, concat('[', n, CASE WHEN n = 1 THEN ' file' ELSE ' files' END, ' not shown — use path: ''', q[-1], '/'' or increase maxDepth]') AS line FROM dirs WHERE len(q) = 2),
+folder AS (SELECT data_source_id, list_transform(q, lambda x: concat('0', icu_sort_key(x, 'en'))) AS place, len(q) - 1 AS level, concat(q[-1], '/ [dir, ', n, CASE WHEN n = 1 THEN ' file]' ELSE ' files]' END) AS line FROM dirs),
+hidden AS (SELECT data_source_id, list_append(list_transform(q, lambda x: concat('0', icu_sort_key(x, 'en'))), '2') AS place, len(q) AS level, concat('[', n, CASE WHEN n = 1 THEN ' file' ELSE ' files' END, ' not shown — use path: ''', q[-1], '/'' or increase maxDepth]') AS line FROM dirs WHERE len(q) = 2),
 rows AS (SELECT * FROM leaf UNION ALL SELECT * FROM folder UNION ALL SELECT * FROM hidden)"""
 
 
@@ -333,6 +329,29 @@ def w07_tree_page(spark, d):
     return catalog.page(r18_tree_rows(spark, d), ["data_source_id"], 3, 20).select("data_source_id", "row", F.col("pages").cast("long").alias("pages"))
 
 
+#: Paths with capitals, accents and digits: the first word of each text.
+MIXED = r"concat(lang, '/', regexp_extract(text, '^([A-Za-z0-9À-ÿ]*)', 1), '_', CAST(doc_id AS VARCHAR), CASE doc_id % 3 WHEN 0 THEN '.MD' WHEN 1 THEN '.md' ELSE '-Ä.md' END)"
+
+
+@query(f"""SELECT source, path, CAST(row_number() OVER (PARTITION BY source ORDER BY icu_sort_key(path, 'en'), path) AS INTEGER) AS place FROM (SELECT source, {MIXED} AS path FROM documents)""")
+def t05_locale_order(spark, d):
+    path = F.expr(MIXED.replace("VARCHAR", "STRING").replace("'^([", "r'^([") )
+    held = table(spark, d, "documents").select("source", path.alias("path"))
+    placed = ranking.numbered(held, ["source"], [F.collate("path", catalog.LOCALE), F.col("path")], "place")
+    return placed.select("source", "path", F.col("place").cast("int").alias("place"))
+
+
+@query(f"""WITH f AS (SELECT source, {MIXED} AS p FROM documents), x AS (SELECT source, lang_of, name FROM (SELECT source, split_part(p, '/', 1) AS lang_of, split_part(p, '/', 2) AS name FROM f)),
+n AS (SELECT source, lang_of, count(*) AS n FROM x GROUP BY 1, 2),
+r AS (SELECT source, icu_sort_key(lang_of, 'en') AS a, 0 AS b, '' AS c, concat(lang_of, '/ [dir, ', n, CASE WHEN n = 1 THEN ' file]' ELSE ' files]' END) AS line FROM n
+UNION ALL SELECT source, icu_sort_key(lang_of, 'en'), 1, icu_sort_key(name, 'en'), concat('  ', name, ' [md, docs]') FROM x)
+SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY a, b, c, line) AS INTEGER) AS row, line FROM r""")
+def r18_locale_tree(spark, d):
+    path = F.expr(MIXED.replace("VARCHAR", "STRING").replace("'^([", "r'^(["))
+    stats = table(spark, d, "documents").select("source", path.alias("file_path"), F.lit(0).cast("long").alias("tokens"))
+    return catalog.tree_rows(stats, ["source"])
+
+
 @query("""SELECT doc_id, CAST(len(l) AS INTEGER) AS lines, CAST(least(2, len(l)) AS INTEGER) AS first, CAST(greatest(least(2, len(l)), least(4, len(l))) AS INTEGER) AS last,
 array_to_string(l[least(2, len(l)):greatest(least(2, len(l)), least(4, len(l)))], chr(10)) AS part FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""")
 def r14_line_range(spark, d):
