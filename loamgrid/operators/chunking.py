@@ -1,133 +1,152 @@
 """Cutting files into line-addressed chunks.
 
-The cutting itself works on one file's lines and their token counts; Spark applies it to Arrow
-batches. Token counts are prefix sums, so a window's end and its successor's start are bisections.
+Lines, windows of tokens, headings, YAML keys and the limit of an input are array expressions within a file's
+row: no Python worker, no shuffle. Only where definitions of source code begin and end is found in Python, in Arrow
+batches; what becomes of them is an expression again.
 """
 
 from __future__ import annotations
 
 import ast
-import math
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import model
 from ..functions import scalars as X
+from ..functions.arrays import let, running_sums, windows
 
-Counter = Callable[[str], int]
+#: Tokens of a text.
+Counter = Callable[[Column], Column]
+#: What the blanks of a text are made of.
+_NOT_BLANK = r"[^\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+_YAML_KEY = r"^[A-Za-z_][A-Za-z0-9_-]*:(\s|$)"
 
 
-class Chunk(NamedTuple):
-    content: str
-    start: int
-    end: int
-    tokens: int
+def _chunk(content: Column, start: Column, end: Column, tokens: Column) -> Column:
+    return F.struct(content.alias("content"), start.cast("long").alias("start_line"), end.cast("long").alias("end_line"), tokens.cast("long").alias("token_count"))
 
 
-def utf16_quarter(text: str) -> int:
-    """A quarter of the UTF-16 units, rounded up."""
-    return math.ceil(len(text.encode("utf-16-le", "surrogatepass")) / 8)
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
 
-def token_windows(counts: list[int], limit: int, overlap: int) -> list[tuple[int, int, int]]:
-    """Start, end (exclusive) and tokens of each window over lines with these token counts.
+def _part(lines: Column, lo: Column, hi: Column) -> Column:
+    return F.array_join(F.slice(lines, lo + 1, hi - lo), "\n")
 
-    A window takes lines while they fit, at least one; the next starts so far back that ``overlap``
-    tokens repeat, but always after this one's start.
-    """
-    sums = [0]
-    for c in counts:
-        sums.append(sums[-1] + c)
-    out, start, n = [], 0, len(counts)
-    while True:
-        end = max(start + 1, bisect_right(sums, sums[start] + limit, start) - 1)
-        out.append((start, end, sums[end] - sums[start]))
-        if end >= n:
-            return out
-        back = max(0, bisect_right(sums, sums[end] - overlap, 0, end) - 1)
-        start = back if back > start else end
-
-
-def by_tokens(text: str, count: Counter, limits: model.ChunkLimits, shift: int = 0) -> list[Chunk]:
-    lines = text.split("\n")
-    counts = [count(x + "\n") for x in lines[:-1]] + [count(lines[-1])]
-    return [Chunk("\n".join(lines[s:e]), shift + s + 1, shift + e, t) for s, e, t in token_windows(counts, limits.max_tokens, limits.overlap_tokens)]
-
-
-def _sections(lines: list[str], cuts: list[int], count: Counter, limit: int, limits: model.ChunkLimits, skip_blank: bool) -> list[Chunk]:
-    edges = [*([0] if not cuts or cuts[0] else []), *cuts, len(lines)]
-    out: list[Chunk] = []
-    for s, e in zip(edges, edges[1:], strict=False):
-        text = "\n".join(lines[s:e])
-        if skip_blank and not text.strip():
-            continue
-        tokens = count(text)
-        out += [Chunk(text, s + 1, e, tokens)] if tokens <= limit else by_tokens(text, count, limits, s)
-    return out
+
+def _section(lo: Column, hi: Column, most: int | None, head: Column | None = None) -> Column:
+    """Lines to be one chunk with ``head`` before them, if they have at most ``most`` tokens, else windows; always windows without ``most``."""
+    top = F.lit("") if head is None else head
+    return F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), F.lit(-1 if most is None else most).cast("long").alias("most"), top.alias("head"))
+
+
+def _between(cuts: Column, n: Column, most: int) -> Column:
+    return let(cuts, lambda c: F.transform(c, lambda at, i: _section(at, F.coalesce(F.get(c, i + 1), n), most)))
+
+
+def by_tokens(lines: Column) -> Column:
+    """Windows of all lines."""
+    return F.array(_section(F.lit(0), F.size(lines), None))
+
+
+def by_headings(lines: Column, limits: model.ChunkLimits) -> Column:
+    """Sections that start with a heading, and what comes before the first."""
+    cuts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | F.get(lines, i).startswith("#"))
+    return _between(cuts, F.size(lines), limits.max_tokens)
+
+
+def by_yaml_keys(lines: Column, limits: model.ChunkLimits) -> Column:
+    """A section for each top-level key that is not blank; empty unless the text has two keys or more."""
+
+    def of(keys: Column) -> Column:
+        cuts = F.when(F.size(keys) < 2, F.slice(keys, 1, 0)).when(F.get(keys, F.lit(0)) == 0, keys).otherwise(F.concat(F.array(F.lit(0)), keys))
+        return F.filter(_between(cuts, F.size(lines), limits.max_input_tokens), lambda x: _part(lines, x["lo"], x["hi"]).rlike(_NOT_BLANK))
+
+    return let(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(_YAML_KEY)), of)
+
+
+def as_whole(text: Column, lines: Column, path: Column, limits: model.ChunkLimits, count: Counter) -> Column:
+    """The file as one section; one that is too large by its YAML keys, else by windows."""
+    keyed = F.when((count(text) > limits.max_input_tokens) & F.lower(path).rlike(r"\.ya?ml$"), by_yaml_keys(lines, limits))
+    return let(keyed, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(_section(F.lit(0), F.size(lines), limits.max_input_tokens))))
 
 
-def by_headings(text: str, count: Counter, limits: model.ChunkLimits) -> list[Chunk]:
-    lines = text.split("\n")
-    return _sections(lines, [i for i, x in enumerate(lines) if x.startswith("#")], count, limits.max_tokens, limits, False)
+def by_spans(lines: Column, spans: Column, limits: model.ChunkLimits) -> Column:
+    """A section for each definition (``lo``, ``hi``, ``head``), headed by its container; windows of all lines if there are none."""
+    return F.when(F.size(spans) > 0, F.transform(spans, lambda d: _section(d["lo"], d["hi"], limits.max_tokens, d["head"]))).otherwise(by_tokens(lines))
 
 
-_YAML_KEY = re.compile(r"[A-Za-z_][\w-]*:(\s|$)", re.ASCII)
+def chunked(lines: Column, sections: Column, limits: model.ChunkLimits, count: Counter) -> Column:
+    """The chunks of all sections in order. Windows count their lines, each with its line feed but the last."""
 
+    def of(x: Column) -> Column:
+        headed = lambda body: F.when(x["head"] == "", body).otherwise(F.concat(x["head"], body))
 
-def by_yaml_keys(text: str, count: Counter, limits: model.ChunkLimits) -> list[Chunk]:
-    """Empty unless the text has two top-level keys or more."""
-    lines = text.split("\n")
-    cuts = [i for i, x in enumerate(lines) if _YAML_KEY.match(x)]
-    return _sections(lines, cuts, count, limits.max_input_tokens, limits, True) if len(cuts) > 1 else []
+        def split(part: Column) -> Column:
+            counts = F.transform(part, lambda line, i: count(F.when(i < F.size(part) - 1, F.concat(line, F.lit("\n"))).otherwise(line)))
 
+            def window(w: Column, i: Column) -> Column:
+                plain = (i > 0) | (x["head"] == "")
+                body = let(_part(part, w["lo"], w["hi"]), lambda c: F.when(plain, c).otherwise(F.concat(x["head"], c)))
+                return let(body, lambda c: _chunk(c, x["lo"] + w["lo"] + 1, x["lo"] + w["hi"], F.when(plain, w["total"]).otherwise(count(c))))
 
-def as_whole(text: str, path: str, count: Counter, limits: model.ChunkLimits) -> list[Chunk]:
-    tokens = count(text)
-    if tokens <= limits.max_input_tokens:
-        return [Chunk(text, 1, text.count("\n") + 1, tokens)]
-    parts = by_yaml_keys(text, count, limits) if re.search(r"\.ya?ml$", path, re.I) else []
-    return parts or by_tokens(text, count, limits)
+            return F.transform(windows(counts, limits.max_tokens, limits.overlap_tokens), window)
 
+        def whole(body: Column) -> Column:
+            own = lambda t: F.when(t <= x["most"], F.array(_chunk(body, x["lo"] + 1, x["hi"], t))).otherwise(let(F.slice(lines, x["lo"] + 1, x["hi"] - x["lo"]), split))
+            return let(F.when(x["most"] >= 0, count(body)).otherwise(F.lit(0).cast("long")), own)
 
-def limited(chunks: list[Chunk], count: Counter, most: int) -> list[Chunk]:
+        return let(headed(_part(lines, x["lo"], x["hi"])), whole)
+
+    return F.flatten(F.transform(sections, of))
+
+
+def limited(chunks: Column, most: int, count: Counter) -> Column:
     """Chunks of at most ``most`` tokens, cut by characters; lines follow from the line feeds before a piece.
 
-    Of a range that is too large the slices that fit come first, in order, and then the halves of
-    the others, from the last slice to the first and each right half before its left one.
+    Of a chunk that is too large the slices that fit come first, in order, and then the halves of the
+    others, from the last slice to the first and each right half before its left one. Halves fit: a slice
+    is at most 0.9 of the limit by the chunk's own rate, and a character counts twice another one at most.
     """
-    return [piece for c in chunks for piece in _pieces(c, count, most)]
-
-
-def _pieces(c: Chunk, count: Counter, most: int) -> Iterator[Chunk]:
-    feeds = [m.start() for m in re.finditer("\n", c.content)]
-
-    def within(lo: int, hi: int, tokens: int) -> Iterator[tuple[int, int, int]]:
-        size = hi - lo
-        if tokens <= most or size <= 1:
-            yield lo, hi, tokens
-            return
-        width = min(size - 1, max(1, math.floor(most * size / tokens * 0.9)))
-        cuts = [(i, min(i + width, hi)) for i in range(lo, hi, width)]
-        sized = [(i, j, count(c.content[i:j])) for i, j in cuts]
-        yield from (x for x in sized if x[2] <= most or x[1] - x[0] == 1)
-        for i, j, n in reversed(sized):
-            if n > most and j - i > 1:
-                half = (i + j) // 2
-                yield from within(half, j, count(c.content[half:j]))
-                yield from within(i, half, count(c.content[i:half]))
-
-    for lo, hi, tokens in within(0, len(c.content), c.tokens):
-        if (lo, hi) == (0, len(c.content)):
-            yield c
-        else:
-            yield Chunk(c.content[lo:hi], c.start + bisect_left(feeds, lo), c.start + bisect_left(feeds, hi), tokens)
+
+    def feeds(text: Column) -> Column:
+        return F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
+
+    def piece(text: Column, before: Column) -> Column:
+        return _chunk(text, before, before + feeds(text), count(text))
+
+    def pieces(c: Column) -> Column:
+        n = F.char_length(c["content"])
+        width = F.least(n - 1, F.greatest(F.lit(1), F.floor(F.lit(most) * n / c["token_count"] * 0.9).cast("int")))
+
+        def placed(texts: Column) -> Column:
+            before = running_sums(F.transform(texts, feeds))
+            def of_sums(sums: Column) -> Column:
+                at = lambda i: c["start_line"] + F.when(i > 0, F.get(sums, i - 1)).otherwise(F.lit(0))
+                return F.transform(texts, lambda t, i: piece(t, at(i)))
+
+            return let(before, of_sums)
+
+        def halves(x: Column) -> Column:
+            text, half = x["content"], F.floor(F.char_length(x["content"]) / 2).cast("int")
+            left = F.substring(text, F.lit(1), half)
+            right = F.substring(text, half + 1, F.char_length(text))
+            return F.array(piece(right, x["start_line"] + feeds(left)), piece(left, x["start_line"]))
+
+        fits = lambda x: (x["token_count"] <= most) | (F.char_length(x["content"]) <= 1)
+        slices = F.transform(F.sequence(F.lit(1), n, width), lambda i: F.substring(c["content"], i, width))
+        return let(let(slices, placed), lambda ps: F.concat(F.filter(ps, fits), F.flatten(F.transform(F.reverse(F.filter(ps, lambda x: ~fits(x))), halves))))
+
+    held = F.filter(chunks, lambda c: c["content"].rlike(_NOT_BLANK))
+    small = lambda c: (c["token_count"] <= most) | (F.char_length(c["content"]) <= 1)
+    return F.flatten(F.transform(held, lambda c: F.when(small(c), F.array(_chunk(c["content"], c["start_line"], c["end_line"], c["token_count"]))).otherwise(pieces(c))))
 
 
 class Definition(NamedTuple):
@@ -243,64 +262,73 @@ def chosen_definitions(found: list[Definition]) -> list[Definition]:
     return sorted(kept, key=lambda d: (d.start, d.end))
 
 
-def by_definitions(text: str, path: str, count: Counter, limits: model.ChunkLimits) -> list[Chunk]:
-    """One chunk for each definition, headed by its container; token windows where no
-    definition is found or the source does not parse."""
+def definition_spans(text: str, path: str) -> list[tuple[int, int, str]]:
+    """Lines (from 0, end exclusive) and container line of each definition; none where the source does not parse."""
     language = model.LANGUAGES.get(path.rsplit(".", 1)[-1].lower()) if "." in path else None
     try:
         found = python_definitions(text) if language == "python" else brace_definitions(text, language or "") if language not in (None, "ruby") else []
     except (SyntaxError, ValueError, RecursionError, KeyError):
-        found = []
-    lines, out = text.split("\n"), []
+        return []
     mark = "#" if language in ("python", "ruby") else "//"
-    for d in chosen_definitions(found):
-        body = "\n".join(lines[d.start : d.end])
-        head = f"{mark} Class: {d.container}\n" if d.container else ""
-        if count(head + body) <= limits.max_tokens:
-            out.append(Chunk(head + body, d.start + 1, d.end, count(head + body)))
-            continue
-        for i, c in enumerate(by_tokens(body, count, limits, d.start)):
-            out.append(c if i or not head else Chunk(head + c.content, c.start, c.end, count(head + c.content)))
-    return out or by_tokens(text, count, limits)
+    return [(d.start, d.end, f"{mark} Class: {d.container}\n" if d.container else "") for d in chosen_definitions(found)]
 
 
-def cut(text: str | None, path: str, strategy: str, limits: model.ChunkLimits, count: Counter = utf16_quarter) -> list[Chunk]:
-    """All chunks of one file in order, without blank ones."""
-    if not text:
-        return []
-    made = {
-        "headings": lambda: by_headings(text, count, limits),
-        "whole": lambda: as_whole(text, path, count, limits),
-        "yaml": lambda: by_yaml_keys(text, count, limits),
-        "ast": lambda: by_definitions(text, path, count, limits),
-        "tokens": lambda: by_tokens(text, count, limits),
-    }[strategy]()
-    return limited([c for c in made if c.content.strip()], count, limits.max_input_tokens)
+def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        made, errors = [], []
+        for path, content in zip(pdf["file_path"], pdf["content"], strict=True):
+            try:
+                made.append([{"lo": lo, "hi": hi, "head": head} for lo, hi, head in definition_spans(content, path)])
+                errors.append(None)
+            except Exception as e:  # noqa: BLE001 - the error is the row's result
+                made.append(None)
+                errors.append(f"{type(e).__name__}: {e}")
+        yield pdf.assign(spans=made, error=errors)
+
+
+STRATEGIES = ("headings", "whole", "yaml", "ast", "tokens")
 
 
-def chunk_files(files: DataFrame, limits: model.ChunkLimits | None = None, strategy: str | None = None, count: Counter = utf16_quarter) -> DataFrame:
-    """One row per chunk of ``files`` (``data_source_id, file_path, content``), with a derived id.
+def chunk_files(files: DataFrame, limits: model.ChunkLimits | None = None, strategy: str | None = None, count: Counter = X.estimate_tokens) -> DataFrame:
+    """One row per chunk of ``files`` (``data_source_id, file_path, content``), with a derived id.
 
-    A file that cannot be cut gives one row whose ``error`` says why, and no other file is lost.
+    A null or empty file has no chunks, nor has a blank one. A file that cannot be cut gives one row
+    whose ``error`` says why, and no other file is lost. Only files of source code pass a Python
+    worker, which finds their definitions.
     """
     limits = limits or model.ChunkLimits()
     how = F.lit(strategy) if strategy else X.chunk_strategy(F.col("file_path"))
-    given = files.select(F.col("data_source_id").cast("string").alias("data_source_id"), "file_path", "content", how.alias("how"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for source, path, content, kind in pdf.itertuples(index=False):
-                try:
-                    rows += [(source, path, i, c.content, c.start, c.end, c.tokens, None) for i, c in enumerate(cut(content, path, kind, limits, count))]
-                except Exception as e:  # noqa: BLE001 - the error is the row's result
-                    rows.append((source, path, None, None, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["data_source_id", "file_path", "ordinal", "content", "start_line", "end_line", "token_count", "error"])
-
-    kind = "data_source_id string, file_path string, ordinal long, content string, start_line long, end_line long, token_count long, error string"
-    made = given.mapInPandas(run, kind)
+    given = files.select(F.col("data_source_id").cast("string").alias("data_source_id"), "file_path", "content", how.alias("how")).where("content != ''")
+    kind = "array<struct<lo:int,hi:int,head:string>>"
+    plain = given.select("*", F.lit(None).cast(kind).alias("spans"), F.lit(None).cast("string").alias("error"))
+    code = lambda rows: rows.mapInPandas(_spans, f"data_source_id string, file_path string, content string, how string, spans {kind}, error string")
+    if strategy is None:
+        plain = plain.where("how != 'ast'").unionByName(code(given.where("how = 'ast'")))
+    elif strategy == "ast":
+        plain = code(given)
+    text = F.col("content")
+
+    def of(ls: Column) -> Column:
+        made = {
+            "tokens": lambda: by_tokens(ls),
+            "headings": lambda: by_headings(ls, limits),
+            "whole": lambda: as_whole(text, ls, F.col("file_path"), limits, count),
+            "yaml": lambda: by_yaml_keys(ls, limits),
+            "ast": lambda: by_spans(ls, F.col("spans"), limits),
+        }
+        if strategy:
+            return chunked(ls, made[strategy](), limits, count)
+        picked = F.when(F.col("how") == "tokens", made["tokens"]())
+        for name in ("headings", "whole", "ast"):
+            picked = picked.when(F.col("how") == name, made[name]())
+        return chunked(ls, picked, limits, count)
+
+    chunks = F.when(F.col("error").isNull(), limited(let(_lines(text), of), limits.max_input_tokens, count)).otherwise(F.array(_chunk(*[F.lit(None).cast(t) for t in ("string", "long", "long", "long")])))
+    made = plain.select("data_source_id", "file_path", "error", F.posexplode(chunks).alias("at", "c"))
+    ordinal = F.when(F.col("error").isNull(), F.col("at")).cast("long").alias("ordinal")
+    rows = made.select("data_source_id", "file_path", ordinal, "c.content", "c.start_line", "c.end_line", "c.token_count", "error")
     key = F.sha2(F.concat_ws("|", "data_source_id", "file_path", "start_line", "end_line", "ordinal"), 256)
-    return made.select(key.alias("chunk_id"), "*")
+    return rows.select(key.alias("chunk_id"), "*")
 
 
 def heading_sections(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:

@@ -7,8 +7,6 @@ import sqlite3
 import tarfile
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loamgrid import model
@@ -104,68 +102,6 @@ def test_texts(spark):
     assert rows(spark, "t string", ("😀a",)).select(X.utf16_units(t), X.estimate_tokens(t)).first() == (3, 1)
 
 
-WORD = st.text("ab cé#\n:k1", max_size=40)
-
-
-@settings(deadline=None)
-@given(st.lists(WORD, max_size=12).map("\n".join), st.integers(1, 30), st.integers(0, 20))
-def test_token_windows_cover_and_advance(text, limit, overlap):
-    limits = model.ChunkLimits(limit, overlap, 1 << 30)
-    chunks = chunking.by_tokens(text, chunking.utf16_quarter, limits)
-    lines = text.split("\n")
-    assert chunks[0].start == 1 and chunks[-1].end == len(lines)
-    for a, b in zip(chunks, chunks[1:], strict=False):
-        assert a.start < b.start <= a.end + 1 and a.end <= b.end
-    for c in chunks:
-        assert c.content == "\n".join(lines[c.start - 1 : c.end]) and (c.tokens <= limit or c.start == c.end)
-
-
-@settings(deadline=None)
-@given(st.lists(WORD, max_size=12).map("\n".join), st.integers(1, 9))
-def test_limit_keeps_all_characters(text, most):
-    whole = chunking.Chunk(text, 1, text.count("\n") + 1, chunking.utf16_quarter(text))
-    out = chunking.limited([whole], chunking.utf16_quarter, most)
-    assert sorted("".join(c.content for c in out)) == sorted(text)
-    assert all(c.tokens <= most or len(c.content) <= 1 for c in out)
-
-
-def test_limit_order_of_halves():
-    text = "x" * 300 + "y" * 3
-    dense = lambda t: 10 * t.count("y") + t.count("x")
-    out = chunking.limited([chunking.Chunk(text, 1, 1, dense(text))], dense, 20)
-    assert "".join(sorted(c.content for c in out)) and sum(len(c.content) for c in out) == len(text)
-    assert all(dense(c.content) <= 20 for c in out)
-
-
-def test_headings_and_yaml():
-    limits = model.ChunkLimits()
-    got = chunking.by_headings("intro\n# a\nx\n## b\ny", chunking.utf16_quarter, limits)
-    assert [(c.start, c.end) for c in got] == [(1, 1), (2, 3), (4, 5)]
-    assert [c.content for c in chunking.by_yaml_keys("# c\na: 1\n\nb:\n  - x", chunking.utf16_quarter, limits)] == ["# c", "a: 1\n", "b:\n  - x"]
-    assert chunking.by_yaml_keys("a: 1", chunking.utf16_quarter, limits) == []
-
-
-PYTHON = "import x\n\nclass A:\n    z = 1\n    def m(self):\n        def inner():\n            pass\n        return inner\n\n    @staticmethod\n    def s():\n        pass\n\ndef f():\n    return 1\n\nclass Empty:\n    y = 2\n"
-TYPESCRIPT = "import x;\nexport class A<T> extends B {\n  private z = 1;\n  run(a: string): void {\n    if (a) { this.z = 2; }\n  }\n}\nexport function f(x: number) {\n  return '}';\n}\n"
-
-
-def test_definitions():
-    limits = model.ChunkLimits()
-    got = chunking.by_definitions(PYTHON, "a.py", chunking.utf16_quarter, limits)
-    assert [(c.start, c.end, c.content.split("\n")[0]) for c in got] == [(5, 8, "# Class: A"), (10, 12, "# Class: A"), (14, 15, "def f():"), (17, 18, "class Empty:")]
-    got = chunking.by_definitions(TYPESCRIPT, "a.ts", chunking.utf16_quarter, limits)
-    assert [(c.start, c.end, c.content.split("\n")[0]) for c in got] == [(4, 6, "// Class: A"), (8, 10, "export function f(x: number) {")]
-    assert chunking.by_definitions("def (", "a.py", chunking.utf16_quarter, limits)[0].content == "def ("
-    assert [(c.start, c.content[:9]) for c in chunking.by_definitions("func (s *Srv) Run() {\n}\n", "a.go", chunking.utf16_quarter, limits)] == [(1, "// Class:")]
-
-
-def test_chunk_files_keeps_errors_apart(spark):
-    held = rows(spark, model.FILES, ("s", "a.md", "# t\nx", 5), ("s", "b.txt", None, 0), ("s", "c.txt", " \n", 2), ("s", "d.py", "def f():\n    pass\n", 18))
-    got = chunking.chunk_files(held).collect()
-    assert sorted((r.file_path, r.start_line, r.end_line, r.error) for r in got) == [("a.md", 1, 2, None), ("d.py", 1, 2, None)]
-    assert len({r.chunk_id for r in got}) == 2
-
-
 VOCABULARY = (
     "caresses ponies ties caress cats feed agreed plastered bled motoring sing conflated troubled sized hopping tanned falling hissing fizzed failing filing happy sky "
     "relational conditional rational valenci digitizer conformabli radicalli differentli vileli analogousli vietnamization predication operator feudalism decisiveness "
