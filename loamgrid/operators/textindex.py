@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.postings import postings as postings_of
 from ..functions.stemmer import stem, stems
 
 K1, B = 1.2, 0.75
@@ -77,18 +78,16 @@ def build_index(chunks: DataFrame, key: str = "chunk_id", stemmed: bool = True,
     """Postings and lengths (``key, d``) of all rows, with the columns ``carried``.
 
     A posting is ``term, key, path_tf, content_tf, d, path_at, content_at``: the last two are the term's
-    places in path and content, ascending from 0. Counts are grouped by term and row, so a word
-    that every row holds is spread over all tasks.
+    places in path and content, ascending from 0. All of a row's postings are made where the row is,
+    so nothing is shuffled; sorted by term before they are written, they are read by pages of their term.
     """
     own = [key, *(carried or [])]
-    found = F.explode(F.array(F.struct(tokens(F.col("file_path"), stemmed).alias("p"), tokens(F.col("content"), stemmed).alias("c"))))
-    both = chunks.select(*own, found.alias("t")).select(*own, "t.p", "t.c", (F.size("t.p") + F.size("t.c")).alias("d"))
-    placed = lambda c, w: F.transform(c, lambda t, i: F.struct(t.alias("term"), F.lit(w).alias("w"), i.alias("at")))
-    words = F.concat(placed("p", 1), placed("c", 0))
-    terms = both.select(*own, "d", F.explode(words).alias("x")).select(*own, "d", "x.term", "x.w", "x.at")
-    places = [F.array_sort(F.collect_list(F.when(F.col("w") == w, F.col("at")))).alias(name) for name, w in (("path_at", 1), ("content_at", 0))]
-    postings = terms.groupBy("term", *own, "d").agg(F.sum("w").alias("path_tf"), F.sum(1 - F.col("w")).alias("content_tf"), *places)
-    return postings.select("term", *own, "path_tf", "content_tf", "d", "path_at", "content_at"), both.select(*own, "d")
+    kinds = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in own)
+    made = chunks.select(*own, F.col("file_path").cast("string").alias("_path"), F.col("content").cast("string").alias("_content")).mapInArrow(
+        postings_of(stemmed), f"term string, {kinds}, path_tf long, content_tf long, d int, path_at array<int>, content_at array<int>"
+    )
+    number = lambda c: F.regexp_count(F.coalesce(F.col(c), F.lit("")), F.lit("[A-Z" + TOKEN[1:]))
+    return made, chunks.select(*own, (number("file_path") + number("content")).alias("d"))
 
 
 def _phrase_count(parts: Column, column: str) -> Column:

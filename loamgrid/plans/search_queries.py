@@ -183,12 +183,12 @@ _indexes: dict[tuple[str, str, bool], tuple] = {}
 def index(spark, d, stemmed=True):
     """Postings and lengths of all files, built once for a session and folder of tables and then read from storage.
 
-    Postings lie by ranges of term and row, so a lookup opens the files of its terms and a frequent term has several.
+    Each file is sorted by term, so a lookup reads the pages of its terms, and a frequent term lies in all files.
     """
     key = (spark.sparkContext.applicationId, d, stemmed)
     if key not in _indexes:
         postings, lengths = textindex.build_index(chunks(spark, d), stemmed=stemmed, carried=["data_source_id"])
-        laid = postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+        laid = postings.sortWithinPartitions("term", "chunk_id")
         _indexes[key] = stored.written(laid), stored.written(lengths)
     return _indexes[key]
 
