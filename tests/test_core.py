@@ -287,7 +287,7 @@ def test_engine_searches_repositories_by_pages(spark, tmp_path):
     held = {r.chunk_id: r.bm25 for r in textindex.bm25_lookup(engine.store.table("postings"), engine.store.table("lengths"), {0: "sessions"}, 20).collect()}
     assert held == pytest.approx({r.chunk_id: -r.distance for r in scan.collect()})
     assert {r.file_path for r in engine.search("number_2", mode="fts-only").collect()} == {"docs/p2.md"}
-    assert engine.search("2_number", mode="fts-only").count() == 0
+    assert engine.search("indexing_number", mode="fts-only").count() == 0
 
 
 def test_engine_tries_failed_files_again(spark, tmp_path, monkeypatch):
