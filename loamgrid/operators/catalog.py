@@ -30,6 +30,25 @@ def source_stats(chunks: DataFrame, by: list[str]) -> DataFrame:
     return chunks.groupBy(*by).agg(F.countDistinct("file_path").alias("files"), F.count("*").alias("chunks"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens"))
 
 
+def scan_source(chunks: DataFrame, source: str, condition: Column | None = None) -> DataFrame:
+    """The rows of one source, with a condition that reaches the scan."""
+    own = chunks.where(F.col("data_source_id") == source)
+    return own if condition is None else own.where(condition)
+
+
+def vector_totals(embeddings: DataFrame, by: list[str]) -> DataFrame:
+    """Vectors, and how many widths they have, which is more than one only after an unfinished rebuild."""
+    return embeddings.groupBy(*by).agg(F.count("*").alias("vectors"), F.countDistinct(F.size("embedding")).alias("widths"))
+
+
+def profile(chunks: DataFrame, by: list[str], **counted: Column) -> DataFrame:
+    """Sources, files and chunks of each key, and the chunks for which each of ``counted`` holds."""
+    return chunks.groupBy(*by).agg(
+        F.countDistinct("data_source_id").alias("sources"), F.countDistinct("data_source_id", "file_path").alias("files"), F.count("*").alias("chunks"),
+        *[F.count_if(c).alias(name) for name, c in counted.items()],
+    )
+
+
 def first_chunks(chunks: DataFrame) -> DataFrame:
     """Each file's first chunk."""
     return chunks.groupBy("data_source_id", "file_path").agg(F.min_by("content", F.struct("start_line", "ordinal")).alias("content"))

@@ -21,6 +21,13 @@ def changes(old: DataFrame, new: DataFrame, keys: list[str] | None = None) -> Da
     return a.join(b, keys, "full").withColumn("change", kind).drop("_old", "_new")
 
 
+def fetch_set(delta: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The paths to fetch, added and modified ones; a bag, so paths that come twice stay twice."""
+    keys = keys or ["data_source_id", "file_path"]
+    of = lambda kind: delta.where(F.col("change") == kind).select(*keys, "change")
+    return of("added").unionByName(of("modified"))
+
+
 def change_counts(delta: DataFrame, by: list[str]) -> DataFrame:
     """A20"""
     one = lambda kind: F.sum((F.col("change") == kind).cast("long")).alias(kind)

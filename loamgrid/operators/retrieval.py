@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,11 @@ def ranked(hits: DataFrame, order: list[Column], name: str) -> DataFrame:
     return hits.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
 
 
+def candidate_union(lists: list[DataFrame], key: str = "chunk_id") -> DataFrame:
+    """The ids of all candidate lists, each once."""
+    return reduce(DataFrame.unionByName, [x.select(key) for x in lists]).distinct()
+
+
 def fuse(vec: DataFrame, fts: DataFrame, fetch: int, tuning: Tuning) -> DataFrame:
     """The full outer join of both candidate lists and their reciprocal-rank score."""
     missing = F.lit(fetch + 1)

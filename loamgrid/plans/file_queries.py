@@ -298,11 +298,9 @@ def a11_directory_counts(spark, d):
     return catalog.directory_counts(files(spark, d), ["data_source_id"])
 
 
-@query(f"""WITH {FILES_SQL} SELECT lang, count(DISTINCT data_source_id) AS sources, count(DISTINCT file_path) AS files, count(*) AS chunks, count(*) FILTER (WHERE file_path LIKE '%.md') AS guides FROM b_files GROUP BY 1""")
+@query(f"""WITH {FILES_SQL} SELECT lang, count(DISTINCT data_source_id) AS sources, count(DISTINCT (data_source_id, file_path)) AS files, count(*) AS chunks, count(*) FILTER (WHERE file_path LIKE '%.md') AS guides FROM b_files GROUP BY 1""")
 def a18_profile(spark, d):
-    return files(spark, d).groupBy("lang").agg(
-        F.countDistinct("data_source_id").alias("sources"), F.countDistinct("file_path").alias("files"), F.count("*").alias("chunks"), F.count_if(F.col("file_path").endswith(".md")).alias("guides")
-    )
+    return catalog.profile(files(spark, d), ["lang"], guides=F.col("file_path").endswith(".md"))
 
 
 TREE_SQL = f"""{FILES_SQL}, s AS (SELECT data_source_id, file_path, CAST(ceil(size / 4.0) AS BIGINT) AS tokens, string_split(file_path, '/') AS p, {EXT} AS ext FROM b_files),

@@ -8,7 +8,7 @@ from .. import model
 
 
 from ..functions import scalars as X
-from ..operators import filters
+from ..operators import catalog, filters, retrieval, spans
 from ..operators import incremental as inc
 from ..sources import bridge, readers, stored
 from ..sources.bridge import FILES_SQL, NEW_SQL, OLD_SQL, RUNS_SQL, files, table
@@ -155,7 +155,7 @@ def s06_directory(spark, d):
 
 @query(f"WITH {FILES_SQL} SELECT doc_id FROM b_files WHERE data_source_id = 'src3' AND size > 100")
 def s12_scan_by_source(spark, d):
-    return files(spark, d).where("data_source_id = 'src3' AND size > 100").select("doc_id")
+    return catalog.scan_source(files(spark, d), "src3", F.col("size") > 100).select("doc_id")
 
 
 @query(f"WITH {FILES_SQL} SELECT doc_id, data_source_id, file_path, size FROM b_files WHERE doc_id IN (3, 17, 42, 999999)")
@@ -194,6 +194,27 @@ def j11_containment(spark, d):
     return a.join(b, "l_orderkey").where("start <= s2 AND e2 <= end AND i <> j").groupBy("l_orderkey").agg(F.count("*").alias("inside"))
 
 
+HELD = "EXISTS (SELECT 1 FROM s b WHERE b.k = a.k AND b.e >= a.e AND (b.s < a.s OR (b.s = a.s AND (b.e > a.e OR b.n < a.n))))"
+
+
+@query(f"""WITH s AS (SELECT l_suppkey AS k, row_number() OVER () AS n, l_quantity AS s, l_quantity + l_linenumber % 3 AS e FROM lineitem)
+SELECT k, CAST(count(*) AS BIGINT) AS spans, CAST(sum(CASE WHEN {HELD} THEN 0 ELSE 1 END) AS BIGINT) AS outermost FROM s a GROUP BY 1""")
+def j11_c07_outermost(spark, d):
+    held = table(spark, d, "lineitem").selectExpr("l_suppkey AS k", "l_quantity AS s", "l_quantity + l_linenumber % 3 AS e")
+    return spans.with_containment(held, ["k"], "s", "e").groupBy("k").agg(F.count("*").alias("spans"), F.count_if(~F.col("contained")).alias("outermost"))
+
+
+@query(f"WITH {FILES_SQL}, {OLD_SQL}, {NEW_SQL} SELECT n.data_source_id, n.file_path, CASE WHEN o.sha IS NULL THEN 'added' ELSE 'modified' END AS change FROM b_new n LEFT JOIN b_old o USING (data_source_id, file_path) WHERE o.sha IS NULL OR o.sha <> n.sha")
+def u02_fetch_set(spark, d):
+    return inc.fetch_set(inc.changes(bridge.old_manifest(spark, d), bridge.new_manifest(spark, d)))
+
+
+@query("SELECT vec_id AS chunk_id FROM embeddings WHERE label = 1 UNION SELECT doc_id FROM documents WHERE lang = 'en'")
+def u01_candidates(spark, d):
+    near = table(spark, d, "embeddings").where("label = 1").select(F.col("vec_id").alias("chunk_id"))
+    return retrieval.candidate_union([near, table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("chunk_id"))])
+
+
 @query("SELECT user_id AS data_source_id, count(*) AS seen, CAST(sum(CASE WHEN event_type NOT IN ('error', 'signup') THEN 1 ELSE 0 END) AS BIGINT) AS done FROM events GROUP BY 1")
 def st4_progress(spark, d):
     return ingest.progress(bridge.runs(spark, d))
@@ -240,7 +261,7 @@ def ext_star_local_suppliers(spark, d):
 
 @query("SELECT label, count(*) AS vectors, count(DISTINCT len(embedding)) AS widths FROM embeddings GROUP BY 1")
 def a05_total_vectors(spark, d):
-    return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("vectors"), F.countDistinct(F.size("embedding")).alias("widths"))
+    return catalog.vector_totals(table(spark, d, "embeddings"), ["label"])
 
 
 @query("""SELECT lang, CAST(sum(n_chars) AS BIGINT) AS bytes, CAST(ceil(sum(n_chars) / 4.0) AS BIGINT) AS tokens, CASE WHEN ceil(sum(n_chars) / 4.0) / 1e6 * 0.13 < 0.01 THEN '<$0.01' ELSE printf('$%.2f', ceil(sum(n_chars) / 4.0) / 1e6 * 0.13) END AS cost,

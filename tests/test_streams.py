@@ -1,11 +1,14 @@
 """Stateful progress and the change-set source as streams, across restarts."""
 
+import json
 from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
 
-from loamgrid.streaming import progress
+from loamgrid.plans.engine import Engine
+from loamgrid.sources import changesets
+from loamgrid.streaming import ingest, progress
 
 KINDS = progress.EVENTS
 
@@ -71,3 +74,50 @@ def test_silent_runs_are_given_up(rocks, tmp_path):
     assert len(run(rocks, path, tmp_path)) == 1
     write(rocks, path, [("t", 1, "started", 1, None, None)], DAY + timedelta(days=3))
     assert ("s", 1, "given up", 3, 0, 0) in run(rocks, path, tmp_path)
+
+
+def commit(root, number, files):
+    """A listing of ``files`` (path to text), whose contents lie beside it; None stands for a content that is gone."""
+    lines = []
+    for path, text in files.items():
+        where = f"blobs/{abs(hash((path, text)))}"
+        if text is not None:
+            (root / "blobs").mkdir(parents=True, exist_ok=True)
+            (root / where).write_text(text)
+        lines.append(json.dumps({"file_path": path, "sha": str(hash((path, text))), "path": where}))
+    (root / f"{number}.json").write_text("\n".join(lines))
+
+
+def test_change_sets_in_batches(spark, tmp_path):
+    changesets.registered(spark)
+    first = {f"f{i}.txt": f"text {i}" for i in range(7)}
+    commit(tmp_path, 1, first)
+    commit(tmp_path, 4, first | {"f1.txt": "changed", "new.txt": "ü", "lost.txt": None} | {"f2.txt": "text 2"})
+    (tmp_path / "4.json").write_text("\n".join(x for x in (tmp_path / "4.json").read_text().split("\n") if '"f3.txt"' not in x))
+    read = lambda **o: spark.read.format("change_sets").options(path=str(tmp_path), source="s", wait="0", filesPerPartition="2", **o).load()
+    whole = read(end="1")
+    assert whole.rdd.getNumPartitions() == 4
+    assert {(r.file_path, r.content, r.change) for r in whole.collect()} == {(p, t, "added") for p, t in first.items()}
+    got = {r.file_path: (r.content, r["size"], r.change, r.error) for r in read(start="1").collect()}
+    assert got == {
+        "f1.txt": ("changed", 7, "modified", None), "new.txt": ("ü", 2, "added", None), "f3.txt": (None, None, "deleted", None),
+        "lost.txt": (None, None, "added", "FileNotFoundError: No such file or directory"),
+    }
+    assert read(start="4").count() == 0
+
+
+def test_commits_stream_into_an_index(spark, tmp_path):
+    """Each commit's changes reach the index once, also after a restart; what a commit does not name stays."""
+    changesets.registered(spark)
+    root, engine = tmp_path / "commits", Engine(spark, str(tmp_path / "index"))
+    root.mkdir()
+    feed = spark.readStream.format("change_sets").options(path=str(root), source="s", filesPerPartition="1").load()
+    changed = feed.where("error IS NULL").select("data_source_id", "file_path", "content", "size")
+    commits = [{"a.txt": "one", "b.txt": "two"}, {"a.txt": "one", "b.txt": "more", "c.txt": "three"}, {"c.txt": "three", "b.txt": "more"}]
+    for number, files in enumerate(commits, 1):
+        commit(root, number, files)
+        ingest.index_feed(engine, changed, str(tmp_path / "check")).awaitTermination()
+        assert {r.file_path: r.content for r in engine.chunks().collect()} == files
+    before = engine.store.current()["number"]
+    ingest.index_feed(engine, changed, str(tmp_path / "check")).awaitTermination()
+    assert engine.store.current()["number"] == before
