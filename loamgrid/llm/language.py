@@ -93,16 +93,16 @@ def learn(texts: dict[str, list[str]]) -> Filters:
 def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> dict[str, list[str]]:
     """About 0.8 * ``sample`` texts a language outside the held-out fold (all, where there are fewer).
 
-    Those of the least 63-bit hashes of id and text: each language's documents are counted, and the
-    bound is the share of all hashes that is wanted, so it holds for any number of documents. Equal
-    rows are one. A text beyond ``SAMPLE_CHARACTERS`` gives a run of so many.
+    Those of the least 63-bit hashes of id and text: each language's distinct hashes are counted, and
+    the bound is the share of all hashes that is wanted, so it holds for any number of documents. Equal
+    rows are one, in the count as in the sample. A text beyond ``SAMPLE_CHARACTERS`` gives a run of so many.
     """
     text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
     spread = F.xxhash64(F.col(id_col), text)
     usable = docs.where(lang.isNotNull() & text.isNotNull() & F.coalesce(remainder(id_col, 5) != 0, F.lit(True))).select(
         lang.alias("lang"), spread.alias("spread"), run_of(text, spread, SAMPLE_CHARACTERS).alias("text")
     )
-    counts = {r.lang: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r["n"] for r in usable.select("lang", "spread").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     bounds = {k: sample_bound(sample, n) for k, n in counts.items()}

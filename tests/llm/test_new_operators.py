@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loamgrid.llm import lexical_search, quality_rules, spelling
+from loamgrid.llm import language, lexical_search, quality_rules, spelling
 from loamgrid.llm.tables import stored
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -264,3 +264,13 @@ def test_search_edges(spark, docs, none):
     want = plain_search([(i, t) for i, t, _ in ROWS], [(5, t) for i, t, _ in ROWS if i in (1, 6, 7)], 50)
     assert sorted(map(str, map(tuple, found(docs, items)))) == sorted(map(str, want))
     assert found(none, items) == [] and found(docs, items.where("false")) == []
+
+
+def test_a_language_of_many_copies_is_learned(spark):
+    """One row thousands of times counts once, so the language's other texts are not crowded out of its sample."""
+    rows = [(0, "der eine immer gleiche Satz der oft vorkommt", "de")] * 6000
+    rows += [(i, f"ein anderer deutscher Satz mit Nummer {i} und weiteren Worten", "de") for i in range(1, 61)]
+    rows += [(i, f"an english sentence with number {i} and further words", "en") for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language.training_texts(docs, "doc_id", "text", "lang", 400)
+    assert learned.keys() == {"de", "en"} and len(learned["de"]) > 30 and len(learned["en"]) > 150
