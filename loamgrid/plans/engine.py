@@ -78,11 +78,12 @@ class Engine:
         """What chunks and vectors were made with."""
         return {"cut": self.settings.cut_key(), "vectors": f"{self.provider.name}/{self.provider.dimensions}"}
 
-    def sync(self, files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, whole: bool = True) -> DataFrame:
+    def sync(self, files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, whole: bool = True, only: list[str] | None = None) -> DataFrame:
         """Files (``data_source_id, file_path, content, size``) become the index's content.
 
         Where ``whole`` is false, ``files`` are changes: only their paths are looked at, and one
-        whose content is null is gone. Of a path that comes twice the last version by content counts.
+        whose content is null is gone. With ``only``, ``files`` are all files of these sources, and other
+        sources are left alone. Of a path that comes twice the last version by content counts.
         Only files that are new or changed are cut and embedded, and only sources with changes are
         written. Other limits of chunks than the index was made with cut all files anew; a set of
         changes is refused then, as it does not have them all. Another provider embeds all chunks
@@ -92,15 +93,19 @@ class Engine:
         """
         base, keys, made_with = self.store.current(), self.KEYS, self._keys()
         known = "chunks" in base["tables"] and base["meta"].get("cut") == made_with["cut"]
-        if "chunks" in base["tables"] and not known and not whole:
+        if "chunks" in base["tables"] and not known and (not whole or only is not None):
             raise ValueError("files are cut by other limits than the index has: sync the whole of them first")
         files = files.withColumn("data_source_id", F.col("data_source_id").cast("string"))
+        if only is not None:
+            files = files.where(F.col("data_source_id").isin(only))
         files = files.groupBy(*keys).agg(F.max_by(F.struct("content", "size"), F.struct("content", "size")).alias("f")).select(*keys, "f.*")
         wanted = filters.eligible(filters.by_globs(files.where("content IS NOT NULL"), include or [], exclude or []))
         # The listing is written once: the changes, the manifest and the choice of files read it, not the contents.
         listed = self.store.write(base, "listing", wanted.select(*keys, "size", F.sha2("content", 256).alias("sha")))
         listing = self.store.read(listed)
         old = self.store.read(base["tables"]["manifest"]) if known else listing.where(F.lit(False))
+        if only is not None:
+            old = old.where(F.col("data_source_id").isin(only))
         if not whole:
             old = old.join(files.select(*keys), keys, "left_semi")
         compared = self.store.write(base, "changes", incremental.changes(old, listing))
@@ -109,6 +114,7 @@ class Engine:
         touched = [r[0] for r in moved.select("data_source_id").distinct().collect()]
         replaced = touched if known else None
         stale, come = moved.select(*keys), moved.where("change != 'deleted'").select(*keys)
+        anew = known and base["meta"].get("vectors") != made_with["vectors"]
         tables = {}
 
         def laid(name: str, made: DataFrame, order: str | None = None) -> None:
@@ -121,7 +127,7 @@ class Engine:
         rows = self.store.read(cut)
         made, wrong = rows.where("error IS NULL").drop("error"), rows.where("error IS NOT NULL")
         laid("chunks", made)
-        if known and base["meta"].get("vectors") != made_with["vectors"]:
+        if anew:
             every = incremental.with_vectors(self.store.read(tables["chunks"]), self.provider, keys)
             tables["embeddings"] = self.store.write(base, "embeddings", every)
         else:
@@ -134,7 +140,7 @@ class Engine:
         held = self.store.read(tables["lengths"], replaced)
         stats = held.groupBy("data_source_id").agg(F.count("*").alias("rows"), F.sum("d").cast("long").alias("words"))
         tables["stats"] = self.store.write(base, "stats", stats, replaced)
-        self.store.publish(base, tables, made_with)
+        self.store.publish(base, tables, made_with, touched if known and not anew else None)
         for done in (listed, cut):
             self.store.drop(done)
         return delta

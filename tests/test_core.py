@@ -1,10 +1,13 @@
 """Operators on small inputs of their own."""
 
+import datetime
 import io
 import json
 import re
 import sqlite3
 import tarfile
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,8 +17,9 @@ from loamgrid.functions import globs
 from loamgrid.functions import scalars as X
 from loamgrid.functions.stemmer import stem
 from loamgrid.operators import catalog, chunking, evaluation, filters, incremental, retrieval, runs, textindex, vector
+from loamgrid.plans import queue
 from loamgrid.plans.engine import Engine, HashProvider, RetryingProvider
-from loamgrid.sources import readers
+from loamgrid.sources import config, readers
 from loamgrid.streaming import ingest
 
 
@@ -330,12 +334,14 @@ def test_a_writer_from_an_older_base_loses_nothing(spark, tmp_path):
     base, same = one.current(), two.current()
     mine = one.write(base, "t", rows(spark, kind, ("8", 8)), ["8"])
     theirs = two.write(same, "t", rows(spark, kind, ("9", 9)), ["9"])
-    one.publish(base, {"t": mine})
+    one.publish(base, {"t": mine}, replaced=["8"])
     with pytest.raises(OSError):
         two.publish(same, {"t": theirs})
     assert [r.x for r in two.table("t").collect()] == [8]
-    again = two.current()
-    two.publish(again, {"t": two.write(again, "t", rows(spark, kind, ("9", 9)), ["9"])})
+    two.publish(same, {"t": theirs}, replaced=["9"])
+    assert sorted(r.x for r in one.table("t").collect()) == [8, 9]
+    with pytest.raises(OSError):  # source 8 has changed since
+        two.publish(same, {"t": two.write(same, "t", rows(spark, kind, ("8", 1)), ["8"])}, replaced=["8"])
     assert sorted(r.x for r in one.table("t").collect()) == [8, 9]
 
 
@@ -477,3 +483,64 @@ def test_postings_alone_are_read(spark, searched, tmp_path):
     hits = textindex.bm25_hits(spark.read.parquet(str(tmp_path / "p")), spark.read.parquet(str(tmp_path / "l")), "alpha_beta", 9, stemmed=False)
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "In(term, [alpha,beta])" in plan and "content#" not in plan.replace("content_", "")
+
+
+def test_queue_takes_three_sources_at_a_time(spark, tmp_path):
+    """Five sources, one of which fails and one of which is asked for again while it waits and while it runs."""
+    engine = Engine(spark, str(tmp_path / "index"))
+    engine.sync(rows(spark, model.FILES, ("old", "x.txt", "kept", 4)))
+    lock, running, most, order = threading.Lock(), set(), [], []
+
+    def listing(source):
+        with lock:
+            running.add(source)
+            most.append(len(running))
+            order.append(source)
+        time.sleep(1)
+        with lock:
+            running.discard(source)
+        if source == "bad":
+            raise OSError("no listing")
+        return rows(spark, model.FILES, (source, "a.txt", f"text of {source}", 10))
+
+    work = queue.SourceQueue(engine, listing)
+    assert [work.request(s) for s in ("s1", "s2", "bad", "s3", "s4", "s3", "s1")] == [True, True, True, True, True, False, False]
+    assert work.states["s4"] == "queued" and work.wait(240)
+    assert work.states == {"s1": "ready", "s2": "ready", "bad": "error", "s3": "ready", "s4": "ready"} and "no listing" in work.errors["bad"]
+    assert max(most) == 3 and sorted(order[:3]) == ["bad", "s1", "s2"] and len(order) == 5
+    assert {r.data_source_id: r.content for r in engine.chunks().collect()} == {"old": "kept"} | {s: f"text of {s}" for s in ("s1", "s2", "s3", "s4")}
+    assert engine.store.table("embeddings").count() == 5
+
+
+def test_due_sources_are_requested(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "index"))
+    blank = {f.strip().split(" ")[0]: None for f in model.SOURCES.split(", ")}
+    now = datetime.datetime.now()
+    known = [blank | {"id": i, "status": s, "sync_schedule": "daily", "last_synced_at": now - datetime.timedelta(hours=h)} for i, s, h in (("a", "ready", 30), ("b", "ready", 1), ("c", "deleting", 90))]
+    engine.set_sources(spark.createDataFrame([tuple(k.values()) for k in known], model.SOURCES))
+    work = queue.SourceQueue(engine, lambda s: rows(spark, model.FILES, (s, "a.txt", "x", 1)))
+    assert work.request_due() == ["a"] and work.wait(120)
+    assert [r.data_source_id for r in engine.chunks().collect()] == ["a"]
+
+
+def test_configuration_files(spark, tmp_path):
+    path = str(tmp_path / "config.json")
+    sources, excludes = config.load(spark, path)
+    assert sources.count() == 0 and excludes == model.DEFAULT_EXCLUDES
+    blank = {f.strip().split(" ")[0]: None for f in model.SOURCES.split(", ")}
+    held = [blank | {"id": i, "owner": "o", "repo": f"r{i}", "branch": "main", "include_patterns": ["**/*.md"], "status": "ready"} for i in ("b", "a")]
+    config.save(spark.createDataFrame([tuple(k.values()) for k in held], model.SOURCES), path, ["**/x/**"])
+    sources, excludes = config.load(spark, path)
+    assert [(r.id, r.repo, r.type, r.include_patterns) for r in sources.orderBy("id").collect()] == [("a", "ra", "general", ["**/*.md"]), ("b", "rb", "general", ["**/*.md"])]
+    assert excludes == ["**/x/**"] and not (tmp_path / "config.json.bak").exists()
+    (tmp_path / "config.json").write_text('{"version": 1, "dataSou')
+    assert config.load(spark, path)[0].count() == 0
+    assert (tmp_path / "config.json.bak").read_text() == '{"version": 1, "dataSou'
+    for text, valid in (('{"version": 1, "dataSources": [{"owner": "o", "repo": "r"}]}', True), ('{"version": "1", "dataSources": []}', False), ('{"version": 1, "dataSources": {}}', False), ("[]", False), ("{", False)):
+        (tmp_path / "shared.json").write_text(text)
+        got = config.shareable(spark, str(tmp_path / "shared.json"))
+        assert (got is not None) == valid
+        if valid:
+            assert [(r.owner, r.repo, r.type) for r in got.collect()] == [("o", "r", "general")]
+    config.write_rows(spark.range(3), str(tmp_path / "report.json"))
+    assert json.loads((tmp_path / "report.json").read_text()) == [{"id": 0}, {"id": 1}, {"id": 2}]
