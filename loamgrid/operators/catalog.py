@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import globs
 from ..functions import scalars as X
-from .filters import action_file, subtree, workflow_file
+from .filters import action_file, subtree, tool_binary, workflow_file
 from .ranking import numbered
 
 #: The order of names that readers expect: letters before case and accents, digits and punctuation before letters.
@@ -128,6 +128,50 @@ def fetch_status(files: DataFrame, order: str, most_files: int = 10, most_each:
     return fits.withColumn("status", F.when(F.col("too_large"), "too large").when(F.col("total") > most_total, "over total").otherwise("ok")).drop("too_large")
 
 
+ASKED = "position int, repository string, file_path string, start_line int, end_line int"
+
+
+def get_files(files: DataFrame, asked: list[tuple], most_files: int = 10, most_each: int = 500_000, most_total: int = 2_000_000) -> DataFrame:
+    """An answer to each file asked for, in order: ``position, repository, file_path, status, lines, first, last, fence, part``.
+
+    ``files`` has ``repository`` (owner/repo), ``file_path`` and ``content``; ``asked`` are tuples of repository,
+    path, and first and last line or None. ``status`` is binary, no repository, not found, too large (the
+    whole file, also where a part is asked for), over total (the parts so far and the whole file)
+    or ok. Sizes are UTF-16 units. Repositories are told apart without case.
+    """
+    if not asked:
+        raise ValueError("ask for one file at least")
+    if len(asked) > most_files:
+        raise ValueError(f"{len(asked)} files asked for, {most_files} at most")
+    spark = files.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(i, *a) for i, a in enumerate(asked, 1)], ASKED))  # at most ``most_files`` rows
+    own = files.select(F.lower("repository").alias("_repo"), F.col("file_path").alias("_path"), "content")
+    repos = {r[0] for r in own.where(F.col("_repo").isin(sorted({a[0].lower() for a in asked}))).select("_repo").distinct().collect()}
+    pairs = own.where(F.col("_path").isin(sorted({a[1] for a in asked})))
+    found = wanted.join(pairs, (F.lower("repository") == F.col("_repo")) & (F.col("file_path") == F.col("_path")), "left")
+    lines = F.split("content", "\n", -1)
+    n, first = F.size(lines), F.greatest(F.lit(1), F.coalesce("start_line", F.lit(1)))
+    last = F.least(n, F.coalesce("end_line", n))
+    sliced = F.when(first <= last, F.array_join(F.slice(lines, F.least(first, n), F.greatest(last - first + 1, F.lit(0))), "\n")).otherwise("")
+    known = F.lower("repository").isin(sorted(repos)) if repos else F.lit(False)
+    first_status = (
+        F.when(tool_binary(F.col("file_path")), "binary").when(~known, "no repository").when(F.col("content").isNull(), "not found").when(X.utf16_units(F.col("content")) > most_each, "too large")
+    )
+    held = found.select("position", "repository", "file_path", first_status.alias("_status"), n.alias("lines"), first.alias("first"), last.alias("last"), sliced.alias("part"), X.utf16_units(F.col("content")).alias("_raw"))
+    sized = F.array_sort(F.collect_list(F.struct("position", "_status", "_raw", X.utf16_units(F.col("part")).alias("_own"))))
+
+    def told(state: Column, x: Column) -> Column:
+        status = F.coalesce(x["_status"], F.when(state["total"] + x["_raw"] > most_total, "over total").otherwise("ok"))
+        total = state["total"] + F.when(status == "ok", x["_own"]).otherwise(0)
+        return F.struct(total.alias("total"), F.concat(state["out"], F.array(F.struct(x["position"].alias("position"), status.alias("status")))).alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<struct<position:int,status:string>>").alias("out"))
+    statuses = held.agg(F.aggregate(sized, start, told, lambda x: x["out"]).alias("out")).select(F.explode("out").alias("x")).select("x.*")
+    shown = lambda c: F.when(F.col("status") == "ok", F.col(c)).alias(c)
+    fence = F.when(F.col("status") == "ok", X.fence(F.col("file_path"))).alias("fence")
+    return held.join(F.broadcast(statuses), "position").select("position", "repository", "file_path", "status", shown("lines"), shown("first"), shown("last"), fence, shown("part"))
+
+
 def directory_counts(files: DataFrame, by: list[str]) -> DataFrame:
     """Files at or below each directory."""
     parts = F.split("file_path", "/")

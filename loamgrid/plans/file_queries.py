@@ -327,6 +327,25 @@ def w07_tree_page(spark, d):
     return catalog.page(r18_tree_rows(spark, d), ["data_source_id"], 3, 20).select("data_source_id", "row", F.col("pages").cast("long").alias("pages"))
 
 
+#: What is asked for: files by their number, whole or from a line to a line; 9 is binary.
+ASKED = [(0, None, None), (1, 2, 4), (9, None, None), (12, None, 3), (23, 2, None), (30, None, None), (41, None, None), (52, 1, 2)]
+
+
+@query(f"""WITH RECURSIVE {FILES_SQL}, q AS (SELECT * FROM (VALUES {", ".join(f"({i}, {n}, {a or 'NULL'}, {b or 'NULL'})" for i, (n, a, b) in enumerate(ASKED, 1))}) v(position, n, lo, hi)),
+f AS (SELECT position, concat('o/', data_source_id) AS repository, file_path, string_split(content, chr(10)) AS l, greatest(1, coalesce(lo, 1)) AS first, least(len(string_split(content, chr(10))), coalesce(hi, 1 << 30)) AS last,
+  CASE WHEN file_path LIKE '%.png' THEN 'binary' WHEN length(content) > 6000 THEN 'too large' END AS st, length(content) AS raw FROM q JOIN b_files ON doc_id = n),
+p AS (SELECT *, CASE WHEN first <= last THEN array_to_string(l[first:last], chr(10)) ELSE '' END AS part FROM f),
+r AS (SELECT 0 AS position, 0 AS total, '' AS status UNION ALL
+  SELECT p.position, CASE WHEN p.st IS NULL AND total + raw <= 9000 THEN total + length(part) ELSE total END, coalesce(p.st, CASE WHEN total + raw > 9000 THEN 'over total' ELSE 'ok' END) FROM r JOIN p ON p.position = r.position + 1)
+SELECT CAST(position AS INTEGER) AS position, repository, file_path, r.status, CASE WHEN r.status = 'ok' THEN part END AS part FROM p JOIN r USING (position)""")
+def r14_get_files(spark, d):
+    held = files(spark, d).withColumn("repository", F.concat(F.lit("o/"), "data_source_id"))
+    known = {r.doc_id: r for r in held.where(F.col("doc_id").isin([n for n, *_ in ASKED])).select("doc_id", "repository", "file_path").collect()}
+    asked = [(known[n].repository.upper(), known[n].file_path, a, b) for n, a, b in ASKED]
+    got = catalog.get_files(held, asked, most_each=6000, most_total=9000)
+    return got.select("position", F.lower("repository").alias("repository"), "file_path", "status", "part")
+
+
 #: Paths with capitals, accents and digits: the first word of each text.
 MIXED = r"concat(lang, '/', regexp_extract(text, '^([A-Za-z0-9À-ÿ]*)', 1), '_', CAST(doc_id AS VARCHAR), CASE doc_id % 3 WHEN 0 THEN '.MD' WHEN 1 THEN '.md' ELSE '-Ä.md' END)"
 

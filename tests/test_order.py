@@ -86,3 +86,17 @@ def test_ties_are_numbered_without_gaps(spark, by):
     held = rows(spark, "k string, x int", *[("a", 1)] * 5, *[("b", 1)] * 5)
     got = sorted(r.row for r in ranking.numbered(held, by, [F.col("x")]).collect())
     assert got == (list(range(1, 11)) if not by else sorted([*range(1, 6)] * 2))
+
+
+def test_files_asked_for(spark):
+    """Caps are on whole files in UTF-16 units, the total counts parts that were given."""
+    kind = "repository string, file_path string, content string"
+    held = rows(spark, kind, ("O/R", "a.py", "1\n2\n3\n4"), ("O/R", "b.md", "x" * 30), ("O/R", "c.md", "\U0001f600" * 11), ("P/Q", "d.txt", "y" * 15), ("P/Q", "e.txt", "z" * 12), ("O/R", "i.png", ""))
+    asked = [("o/r", "a.py", 2, 3), ("o/r", "b.md", 1, 1), ("o/r", "c.md", None, None), ("p/q", "d.txt", None, None), ("no/ne", "a.py", None, None), ("o/r", "none.md", None, None), ("o/r", "i.png", None, None), ("p/q", "e.txt", 9, 2), ("P/q", "e.txt", None, None)]
+    got = catalog.get_files(held, asked, most_each=20, most_total=20).orderBy("position").collect()
+    assert [(r.status, r.part) for r in got] == [
+        ("ok", "2\n3"), ("too large", None), ("too large", None), ("ok", "y" * 15), ("no repository", None), ("not found", None), ("binary", None), ("over total", None), ("over total", None),
+    ]
+    assert (got[0].lines, got[0].first, got[0].last, got[0].fence) == (4, 2, 3, "py")
+    with pytest.raises(ValueError, match="10 at most"):
+        catalog.get_files(held, asked * 2)
