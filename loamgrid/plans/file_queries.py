@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import globs
 from ..functions import scalars as X
-from ..operators import catalog, chunking, filters, ranking
+from ..operators import catalog, chunking, filters, ranking, tokencount
 from ..sources import bridge
 from ..sources.bridge import FILES_SQL, RUNS_SQL, files, table
 from .registry import Queries
@@ -249,6 +249,12 @@ def c05_input_limit(spark, d):
     return made.groupBy(F.col("data_source_id").cast("long").alias("doc_id")).agg(F.count("*").alias("pieces"), F.sum("token_count").alias("tokens"))
 
 
+@query()
+def x02_token_counts(spark, d):
+    """Tokens of every document by a public vocabulary (tests compare with its own encoder)."""
+    return tokencount.token_counts(table(spark, d, "documents"), ["doc_id"], "text")
+
+
 CHUNKS_SQL = f"{FILES_SQL}, ch AS (SELECT data_source_id, file_path, CAST(ceil(size / 4.0) AS BIGINT) AS token_count, doc_id, content FROM b_files)"
 
 

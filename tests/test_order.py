@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from loamgrid.operators import catalog, ranking, retrieval
+from loamgrid.operators import catalog, ranking, retrieval, tokencount
 from loamgrid.sources import stored
 
 
@@ -100,3 +100,12 @@ def test_files_asked_for(spark):
     assert (got[0].lines, got[0].first, got[0].last, got[0].fence) == (4, 2, 3, "py")
     with pytest.raises(ValueError, match="10 at most"):
         catalog.get_files(held, asked * 2)
+
+
+def test_token_counts_equal_the_encoder(spark):
+    odd = ["", None, "a   b", "  it's\u00a0 ok\n\n\n  x", "\U0001f600é\u0301 12345 ***", "tab\t\tend ", "\u2003wide\u2028line", "don't WE'LL"]
+    held = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    held = held.unionByName(rows(spark, "doc_id long, text string", *[(-1 - i, t) for i, t in enumerate(odd)]))
+    encode = tokencount.encoder(tokencount.VOCABULARY).encode_ordinary
+    want = {r.doc_id: len(encode(r.text or "")) for r in held.collect()}
+    assert {r.doc_id: r.tokens for r in tokencount.token_counts(held, ["doc_id"], "text").collect()} == want
