@@ -45,7 +45,7 @@ def ranked(spark, d):
 def qrels(spark, d):
     emb = bridge.embeddings(spark, d).select("chunk_id", "data_source_id")
     queries = emb.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "data_source_id")
-    return emb.join(F.broadcast(queries), "data_source_id").where("chunk_id <> query_id").select("query_id", F.col("chunk_id").alias("item"), (1 + F.col("chunk_id") % 3).alias("grade"))
+    return emb.join(queries, "data_source_id").where("chunk_id <> query_id").select("query_id", F.col("chunk_id").alias("item"), (1 + F.col("chunk_id") % 3).alias("grade"))
 
 
 def metrics(spark, d):

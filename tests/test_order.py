@@ -2,10 +2,11 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamgrid.operators import catalog, ranking, retrieval, tokencount
+from loamgrid.operators import catalog, ranking, retrieval, tokencount, vector
 from loamgrid.sources import stored
 
 
@@ -109,3 +110,30 @@ def test_token_counts_equal_the_encoder(spark):
     encode = tokencount.encoder(tokencount.VOCABULARY).encode_ordinary
     want = {r.doc_id: len(encode(r.text or "")) for r in held.collect()}
     assert {r.doc_id: r.tokens for r in tokencount.token_counts(held, ["doc_id"], "text").collect()} == want
+
+
+@pytest.mark.parametrize("laid", [False, True])
+def test_neighbours_in_passes_and_what_is_spared(spark, monkeypatch, laid):
+    """Against all distances, with equal vectors, several passes and string keys; laid by pivots, far batches spare their queries."""
+    draw = np.random.default_rng(4)
+    centres = draw.normal(0, 50, (12, 8))
+    x = np.concatenate([c + draw.normal(0, 1, (60, 8)) for c in centres] + [np.repeat(centres[:1], 40, axis=0)]).astype(np.float32)
+    keys = [f"k{i:04}" for i in draw.permutation(len(x))]
+    monkeypatch.setattr(vector, "BLOCK_QUERIES", 7)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        held = spark.createDataFrame([(k, v.tolist()) for k, v in zip(keys, x, strict=True)], "chunk_id string, embedding array<float>")
+        stored_rows = vector.by_pivots(held, 16) if laid else held
+        queries = held.where("chunk_id < 'k0020'").withColumnRenamed("chunk_id", "query_id")
+        spared = spark.sparkContext.accumulator(0)
+        got = {}
+        for r in vector.knn_batch(stored_rows, queries, 5, spared).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.chunk_id)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    place = {k: i for i, k in enumerate(keys)}
+    for q in got:
+        d = np.sqrt(((x.astype(np.float64) - x[place[q]].astype(np.float64)) ** 2).sum(axis=1))
+        assert got[q] == [keys[i] for i in sorted(range(len(x)), key=lambda i: (d[i], keys[i]))[:5]]
+    assert len(got) == 20 and (not laid or spared.value > 100)
