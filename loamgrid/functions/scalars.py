@@ -59,14 +59,10 @@ def flags(path: Column) -> Column:
     The directory markers need a slash before them, so a directory at the root has none.
     """
     low, name = F.lower(path), F.lower(basename(path))
-    test = low.rlike("/(test|tests|spec|__tests__)/") | name.rlike(r"\.(test|spec)\.")
-    docs = name.rlike(r"\.mdx?$") | low.rlike("/(docs|wiki)/")
-    flow = F.when(low.rlike(r"(^|/)\.github/workflows/"), "workflow").when(name.isin("action.yml", "action.yaml"), "action")
-    named = name.isin(
-        "package.json", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "tsconfig.json", "jsconfig.json",
-        ".gitignore", ".npmignore", ".eslintignore", ".prettierignore", "dockerfile",
-    )
-    config = named | name.rlike(r"\.config\.[^/]+$|\.(eslintrc|prettierrc|babelrc)|\.env(\.|$)|(vite|webpack|jest|vitest|rollup)\.config\.")
+    test = low.rlike(model.TEST_DIRECTORIES) | name.rlike(model.TEST_NAME)
+    docs = name.rlike(model.DOC_NAME) | low.rlike(model.DOC_DIRECTORIES)
+    flow = F.when(low.rlike(model.WORKFLOW_PATH), "workflow").when(name.isin(model.ACTION_FILES), "action")
+    config = name.isin(model.CONFIG_NAMES) | name.rlike("|".join(model.CONFIG_PATTERNS))
     return F.array_compact(F.array(F.when(test, "test"), F.when(docs, "docs"), flow, F.when(config, "config")))
 
 

@@ -33,6 +33,16 @@ MANY_FILES = 10_000
 # Names that tell the kind of a search result.
 WORKFLOW_DIRECTORY = ".github/workflows/"
 ACTION_NAMES = ["action.yml", "action.yaml"]
+#: Names and patterns, in lower case, of the markers of a file.
+TEST_DIRECTORIES, TEST_NAME = "/(test|tests|spec|__tests__)/", r"\.(test|spec)\."
+DOC_NAME, DOC_DIRECTORIES = r"\.mdx?$", "/(docs|wiki)/"
+WORKFLOW_PATH = r"(^|/)\.github/workflows/"
+ACTION_FILES = ["action.yml", "action.yaml"]
+CONFIG_NAMES = [
+    "package.json", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "tsconfig.json", "jsconfig.json",
+    ".gitignore", ".npmignore", ".eslintignore", ".prettierignore", "dockerfile",
+]
+CONFIG_PATTERNS = [r"\.config\.[^/]+$", r"\.(eslintrc|prettierrc|babelrc)", r"\.env(\.|$)", r"(vite|webpack|jest|vitest|rollup)\.config\."]
 CONFIG_HEADS = ["package.json", "tsconfig.json", "eslint.config", ".eslintrc", ".prettierrc"]
 
 # They must equal those of the indexed data's conventions.

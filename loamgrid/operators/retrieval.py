@@ -59,11 +59,13 @@ def search(
     scope: Column | None = None,
     stemmed: bool = False,
     text: DataFrame | None = None,
+    by_id: bool = False,
 ) -> DataFrame:
     """The best ``top_k`` chunks, with ``distance`` (the negated score), ranks and diagnostics.
 
     ``text`` has the keyword hits (``chunk_id, bm25``) of a stored index; without it the chunks are
-    scanned. Ids are fused first; paths and text join last, on a list of a few times ``top_k`` rows. Vectors
+    scanned. With ``by_id`` the candidates come to the driver, at most twice ``top_k`` times the over-fetch, and their
+    ids reach the scan of the chunks, whose files or buckets can then be passed over. Ids are fused first; paths and text join last, on a list of a few times ``top_k`` rows. Vectors
     whose chunk is gone are dropped there, though they held a place among the candidates.
     """
     tuning = tuning or Tuning()
@@ -73,7 +75,12 @@ def search(
     if text is None:
         text = bm25_scan(chunks, query, "chunk_id", tuning.fts_path_weight, tuning.fts_content_weight, scope, stemmed)
     fts = ranked(text.orderBy(F.desc("bm25"), "chunk_id").limit(fetch), [F.desc("bm25"), F.col("chunk_id")], "f_rank")
-    candidates = F.broadcast(fuse(vec, fts, fetch, tuning))  # at most 2 * fetch rows
+    candidates = fuse(vec, fts, fetch, tuning)
+    if by_id:
+        held = candidates.collect()
+        candidates = chunks.sparkSession.createDataFrame(held, candidates.schema)
+        chunks = chunks.where(F.col("chunk_id").isin([r.chunk_id for r in held]))
+    candidates = F.broadcast(candidates)  # at most 2 * fetch rows
     hydrated = chunks.join(candidates, "chunk_id").withColumn("path_score", X.path_relevance(query, F.col("file_path")))
     scored = hydrated.withColumn("score", final_score(mode, tuning)).where("score IS NOT NULL")
     far = F.lit(1 << 30)

@@ -157,6 +157,15 @@ class Engine:
     def chunks(self) -> DataFrame:
         return self.store.table("chunks")
 
+    def chunks_by_id(self, ids: list[str]) -> DataFrame:
+        """The chunks of these ids; row groups without them are passed over."""
+        return self.chunks().where(F.col("chunk_id").isin(list(ids)))
+
+    def chunk_ids(self, data_source_id: str, file_path: str | None = None) -> DataFrame:
+        """Ids alone of a source's chunks, from its own folder, or of one of its files."""
+        held = self.store.read(self.store.current()["tables"]["chunks"], [data_source_id])
+        return (held if file_path is None else held.where(F.col("file_path") == file_path)).select("chunk_id")
+
     def in_scope(self, repository: str | None) -> list[str] | None:
         """ids of the sources that can be searched, by owner/repo, repo or id; None for all where no table names them."""
         known = self.sources()
@@ -190,7 +199,7 @@ class Engine:
         stats = tables["stats"].agg(F.sum("rows").alias("rows"), (F.sum("words") / F.sum("rows")).alias("mean"))
         text = textindex.bm25_hits(tables["postings"], tables["lengths"], query, top_k * tuning.over_fetch, tuning.fts_path_weight, tuning.fts_content_weight, True, stats, scope)
         chunks = tables["chunks"] if scope is None else tables["chunks"].where(scope)
-        hits = retrieval.search(chunks, near, query, self.provider.embed([query])[0], top_k, mode, tuning, None, True, text)
+        hits = retrieval.search(chunks, near, query, self.provider.embed([query])[0], top_k, mode, tuning, None, True, text, True)
         page = retrieval.payload(hits, self.sources().select("id", "owner", "repo"), offset, size)
         return page.withColumn("next_cursor", F.when(F.col("has_more"), retrieval.encode_cursor(query, scope_key, offset + size)))
 

@@ -36,14 +36,19 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def saved_by_id(df: DataFrame, key: str, buckets: int = 16, name: str | None = None) -> str:
+#: Rows of a bucket, by default, and the fewest buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 100_000, 16
+
+
+def saved_by_id(df: DataFrame, key: str, buckets: int | None = None, name: str | None = None) -> str:
     """Saves ``df`` as a table cut into ``buckets`` by a hash of ``key`` and sorted by it; returns its name.
 
     A lookup reads the buckets of its ids alone, and a join on ``key`` does not move the table.
-    Choose ``buckets`` so that one holds some hundred MB. A table without a name of its own
-    goes when the interpreter ends.
+    Buckets are as many as the rows demand, if not given. A table without a name of its own goes when
+    the interpreter ends.
     """
     spark, own = df.sparkSession, name or f"by_id_{uuid.uuid4().hex}"
+    buckets = buckets or max(LEAST_BUCKETS, -(-df.count() // BUCKET_ROWS))
     df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).saveAsTable(own)
     if name is None:
         atexit.register(_drop, spark, own)

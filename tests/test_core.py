@@ -345,6 +345,20 @@ def test_a_writer_from_an_older_base_loses_nothing(spark, tmp_path):
     assert sorted(r.x for r in one.table("t").collect()) == [8, 9]
 
 
+def test_many_writers_at_once_lose_nothing(spark, tmp_path):
+    store, kind = runs.Runs(spark, str(tmp_path / "index")), "data_source_id string, x int"
+    base = store.current()
+    store.publish(base, {"t": store.write(base, "t", rows(spark, kind, ("0", 0)))})
+    base = store.current()
+    made = {str(i): store.write(base, "t", rows(spark, kind, (str(i), i)), [str(i)]) for i in range(1, 9)}
+    threads = [threading.Thread(target=store.publish, args=(base, {"t": entry}, None, [s])) for s, entry in made.items()]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(r.x for r in store.table("t").collect()) == list(range(9)) and store.current()["number"] == 9
+
+
 def test_a_pointer_left_half_written_is_passed_over_in_time(spark, tmp_path, monkeypatch):
     store = runs.Runs(spark, str(tmp_path / "index"))
     base = store.current()
@@ -364,6 +378,9 @@ def test_cleaning_keeps_what_counts(spark, tmp_path):
     assert engine.clean() > 0 and len(list((tmp_path / "index").glob("run-*"))) < before
     assert {r.content for r in engine.chunks().collect()} == {"three", "same"}
     assert engine.search("same").first().file_path == "b.txt"
+    ids = [r.chunk_id for r in engine.chunk_ids("t").collect()]
+    assert [r.content for r in engine.chunks_by_id([*ids, "none"]).collect()] == ["same"]
+    assert engine.chunk_ids("s", "a.txt").count() == 1 and engine.chunk_ids("s", "b.txt").count() == 0
     assert {r.change for r in engine.sync(rows(spark, model.FILES, ("s", "a.txt", "three", 3), ("t", "b.txt", "same", 4))).collect()} == {"unchanged"}
 
 
