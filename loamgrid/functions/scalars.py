@@ -129,6 +129,17 @@ def repo_of_url(url: Column, host: str = r"github\.com") -> Column:
     return F.when(owner != "", F.struct(owner.alias("owner"), repo.alias("repo")))
 
 
+def repo_url_error(url: Column, host: str = r"github\.com") -> Column:
+    """Why an address names no repository: empty, enterprise (one on another host, which is not supported) or invalid; null where it does.
+
+    Stricter than ``repo_of_url``: a name with a dot, other than the ending .git, is invalid.
+    """
+    u = F.trim(F.regexp_replace(url, r"(?U)^\s+|\s+$", ""))
+    valid = u.rlike(rf"^https?://{host}/[^/]+/[^/.]+?(\.git)?(/.*)?$") | u.rlike(rf"^git@{host}:[^/]+/[^/.]+?(\.git)?$")
+    elsewhere = u.rlike(rf"^https?://(?!{host}\b)[^/]+/[^/]+/[^/]+") & ~u.rlike(host)
+    return F.when(F.coalesce(u, F.lit("")) == "", "empty").when(valid, F.lit(None)).when(elsewhere, "enterprise").otherwise("invalid")
+
+
 def readme_scope(path: Column) -> Column:
     return F.regexp_replace(path, "^/+|/+$", "")
 

@@ -146,6 +146,16 @@ def x11_x12_x13_yaml(spark, d):
     )
 
 
+URLS = r"CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^(https?)://[^/]+', '{1}://github.com') WHEN 2 THEN split_part(url, '?', 1) WHEN 3 THEN concat('  ', regexp_replace(url, '^https?://', '')) ELSE '  ' END"
+
+
+@query(rf"""SELECT page_id, CASE WHEN trim(u) = '' THEN 'empty' WHEN regexp_matches(trim(u), '^https?://github\.com/[^/]+/[^/.]+?(\.git)?(/.*)?$') THEN NULL
+WHEN regexp_matches(u, '^https?://[^/]+/[^/]+/[^/]+') AND NOT contains(u, 'github.com') THEN 'enterprise' ELSE 'invalid' END AS error FROM (SELECT page_id, {URLS.replace("{1}", "\\1")} AS u FROM pages)""")
+def x14_url_errors(spark, d):
+    u = F.expr(URLS.replace("{1}", "$1"))
+    return table(spark, d, "pages").select("page_id", X.repo_url_error(u).alias("error"))
+
+
 @query(r"SELECT page_id, regexp_extract(url, '^https?://([^/\s]+)/([^/.\s?#]+)', 1) AS host, regexp_extract(url, '^https?://([^/\s]+)/([^/.\s?#]+)', 2) AS first FROM pages")
 def x14_url_parts(spark, d):
     pages = table(spark, d, "pages").withColumn("u", F.regexp_replace("url", "^(https?://)", "$1github.com/"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loamgrid.functions import scalars as X
 from loamgrid.operators import catalog, ranking, retrieval, tokencount, vector
 from loamgrid.sources import stored
 
@@ -137,3 +138,12 @@ def test_neighbours_in_passes_and_what_is_spared(spark, monkeypatch, laid):
         d = np.sqrt(((x.astype(np.float64) - x[place[q]].astype(np.float64)) ** 2).sum(axis=1))
         assert got[q] == [keys[i] for i in sorted(range(len(x)), key=lambda i: (d[i], keys[i]))[:5]]
     assert len(got) == 20 and (not laid or spared.value > 100)
+
+
+def test_addresses_that_name_no_repository(spark):
+    held = {
+        "": "empty", " \n": "empty", "https://github.com/o/r": None, " git@github.com:o/r.git ": None, "https://github.com/o/r.git": None, "http://github.com/o/r/tree/main": None,
+        "https://git.corp.example/o/r": "enterprise", "https://example.com/o": "invalid", "https://github.com/o": "invalid", "https://github.com/o/r.js": "invalid", "o/r": "invalid",
+    }
+    got = {r.u: r.e for r in rows(spark, "u string", *[(u,) for u in held]).select("u", X.repo_url_error(F.col("u")).alias("e")).collect()}
+    assert got == held
