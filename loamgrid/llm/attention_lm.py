@@ -15,6 +15,7 @@ one causal mask.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,6 +35,8 @@ TRAIN_BACK = 0
 BATCH, RATE, EPOCHS = 64, 0.004, 5
 #: The same for ``Learner`` over the whole training corpus, which sees each window once.
 SHARD_BATCH, SHARD_RATE = 256, 0.004
+#: Sums of exponentials between which the largest term need not be taken off first.
+FEW, MANY = 1e-20, 1e20
 
 
 def _mask(back: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,9 +126,13 @@ class Model:
     spare: float  # log10 of an unseen id's part
     weights: dict[str, np.ndarray]
     group_of: np.ndarray = field(init=False)
+    padded: np.ndarray = field(init=False)  # rows of each group, and beyond its end the number of all rows
 
     def __post_init__(self) -> None:
-        self.group_of = np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges))
+        size = np.diff(self.edges)
+        self.group_of = np.repeat(np.arange(len(size)), size)
+        place = np.arange(size.max())
+        self.padded = np.where(place < size[:, None], self.edges[:-1, None] + place, self.edges[-1])
 
     def with_weights(self, weights: dict[str, np.ndarray]) -> Model:
         return Model(self.slot, self.edges, self.spare, weights)
@@ -143,9 +150,10 @@ class Model:
             given, target, owner = windows(ids, rows, np.arange(lo, min(count, lo + WINDOWS)))
             x = self.slot[given]
             last = x[:, CONTEXT:]
-            h = w["embed"][last] + np.matmul(_attention(queries[last], keys[x], shift), values[x])
+            h = np.matmul(_attention(queries[last], keys[x], shift), values[x])
+            h += w["embed"][last]
             order, goal, cuts = self._sorted(target)
-            log, _ = self._logs(w, _hidden(w, h.reshape(-1, WIDTH)[order])[2], goal, cuts)
+            log, _ = self._logs(w, _hidden(w, h.reshape(-1, WIDTH).take(order, axis=0))[2], goal, cuts)
             log = log / np.log(10) + np.where(goal == len(self.group_of) - 1, self.spare, 0)
             total += np.bincount(np.repeat(owner, CONTEXT)[order], log, len(total))
         return total
@@ -153,45 +161,50 @@ class Model:
     def _sorted(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of real targets in the order of their groups, their rows, and where each group starts."""
         y = target.ravel()
-        row = np.where(y >= 0, self.slot[y], np.int32(len(self.group_of)))
+        # Short integers, which a radix sort takes.
+        row = np.where(y >= 0, self.slot[y], np.int32(len(self.group_of))).astype(np.uint16)
         order = np.argsort(row, kind="stable")
         order = order[: len(order) - int((y < 0).sum())]
-        goal = row[order]
+        goal = row[order].astype(np.int64)
         return order, goal, np.searchsorted(goal, self.edges)
 
     def _logs(self, w: dict[str, np.ndarray], h: np.ndarray, goal: np.ndarray, cuts: np.ndarray, learn: bool = False) -> tuple[np.ndarray, dict | None]:
         """Natural log probability of each target's row, in the order of groups; with ``learn`` the gradients too, that of ``h`` as ``h``."""
         n = len(h)
-        at = np.arange(n), self.group_of[goal]
-        z = h @ w["group"]
-        z += w["group_bias"]
-        z -= z.max(axis=1, keepdims=True)
-        log = z[at]
-        np.exp(z, out=z)
-        sums = z.sum(axis=1)
-        log -= np.log(sums)
+        counted, group = np.arange(n), self.group_of[goal]
+        filled = np.flatnonzero(np.diff(cuts)).tolist()
+        at, own = (counted, group), (counted, goal - self.edges[group])
+        # Groups are padded to one width, so that all but the products are done for all of them at once.
+        rows = np.zeros((len(w["within"]) + 1, WIDTH + 1), np.float32)
+        rows[:-1, :WIDTH], rows[:-1, WIDTH], rows[-1, WIDTH] = w["within"], w["within_bias"], -1e9
+        laid = rows.take(self.padded, axis=0)
+        h1 = np.ones((n, WIDTH + 1), np.float32)
+        h1[:, :WIDTH] = h
+
+        def inside() -> np.ndarray:
+            out = np.empty((n, laid.shape[1]), np.float32)
+            for k in filled:
+                np.matmul(h1[cuts[k] : cuts[k + 1]], laid[k].T, out=out[cuts[k] : cuts[k + 1]])
+            return out
+
+        log, z, top_sums = _softmax(lambda: h @ w["group"] + w["group_bias"], at)
+        chosen, v, sums = _softmax(inside, own)
+        log += chosen
+        if not learn:
+            return log, None
         part = np.float32(1 / max(1, n))
-        g: dict | None = None
-        if learn:
-            z *= (part / sums)[:, None]
-            z[at] -= part
-            g = {"group": h.T @ z, "group_bias": z.sum(axis=0), "h": z @ w["group"].T}
-            g["within"], g["within_bias"] = np.zeros_like(w["within"]), np.zeros_like(w["within_bias"])
-        for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(self.edges) > 1)):
-            i, j, lo, hi = cuts[k], cuts[k + 1], self.edges[k], self.edges[k + 1]
-            v = h[i:j] @ w["within"][lo:hi].T
-            v += w["within_bias"][lo:hi]
-            v -= v.max(axis=1, keepdims=True)
-            own = np.arange(j - i), goal[i:j] - lo
-            chosen = v[own]
-            np.exp(v, out=v)
-            sums = v.sum(axis=1)
-            log[i:j] += chosen - np.log(sums)
-            if g is not None:
-                v *= (part / sums)[:, None]
-                v[own] -= part
-                g["within"][lo:hi], g["within_bias"][lo:hi] = v.T @ h[i:j], v.sum(axis=0)
-                g["h"][i:j] += v @ w["within"][lo:hi]
+        z *= (part / top_sums)[:, None]
+        z[at] -= part
+        v *= (part / sums)[:, None]
+        v[own] -= part
+        moved, dh = np.zeros_like(laid), np.empty((n, WIDTH), np.float32)
+        for k in filled:
+            i, j = cuts[k], cuts[k + 1]
+            np.matmul(v[i:j].T, h1[i:j], out=moved[k])
+            np.matmul(v[i:j], laid[k, :, :WIDTH], out=dh[i:j])
+        dh += z @ w["group"].T
+        within = moved[self.padded < len(w["within"])]
+        g = {"group": h.T @ z, "group_bias": z.sum(axis=0), "h": dh, "within": np.ascontiguousarray(within[:, :WIDTH]), "within_bias": within[:, WIDTH].copy()}
         return log, g
 
     def gradients(self, w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -199,60 +212,96 @@ class Model:
         back = x.shape[1] - y.shape[1]
         distance, hidden = _mask(back)
         scale = np.float32(1 / np.sqrt(KEY))
-        e = w["embed"][x]
-        last = np.ascontiguousarray(e[:, back:])
-        q, k, v = (last @ w["query"]) * scale, e @ w["key"], e @ w["value"]
+        # All rows go through one product; stacks of small ones would be multiplied one by one.
+        mixing = np.concatenate([w["key"], w["value"], w["query"] * scale], axis=1)
+        e = w["embed"].take(x, axis=0)
+        flat = e.reshape(-1, WIDTH)
+        made = (flat @ mixing).reshape(*x.shape, -1)
+        k, v, q = made[..., :KEY], made[..., KEY : KEY + WIDTH], made[:, back:, KEY + WIDTH :]
         a = _attention(q, k, w["bias"][distance] + hidden)
-        h = (last + np.matmul(a, v)).reshape(-1, WIDTH)
+        h = np.matmul(a, v)
+        h += e[:, back:]
+        h = h.reshape(-1, WIDTH)
         order, goal, cuts = self._sorted(y)
-        h = h[order]
+        h = h.take(order, axis=0)
         inner, on, top = _hidden(w, h)
         _, g = self._logs(w, top, goal, cuts, True)
         dtop = g.pop("h")
         dinner = dtop @ w["leave"].T
-        dinner *= on
+        dinner *= on.astype(np.float32)
         g["leave"], g["enter"], g["enter_bias"] = inner.T @ dtop, h.T @ dinner, dinner.sum(axis=0)
         dh = np.zeros((y.size, WIDTH), np.float32)
         dh[order] = dtop + dinner @ w["enter"].T
-        dh = dh.reshape(last.shape)
+        dh = dh.reshape(*y.shape, WIDTH)
         ds = np.matmul(dh, v.transpose(0, 2, 1))
-        dv = np.matmul(a.transpose(0, 2, 1), dh)
+        dmade = np.zeros_like(made)
+        np.matmul(a.transpose(0, 2, 1), dh, out=dmade[..., KEY : KEY + WIDTH])
         ds -= np.einsum("bij,bij->bi", ds, a)[:, :, None]
         ds *= a
         g["bias"] = np.bincount(distance.ravel(), ds.sum(axis=0).ravel(), 2 * CONTEXT).astype(np.float32)
-        dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q)
-        g["query"] = last.reshape(-1, WIDTH).T @ dq.reshape(-1, KEY)
-        g["key"] = e.reshape(-1, WIDTH).T @ dk.reshape(-1, KEY)
-        g["value"] = e.reshape(-1, WIDTH).T @ dv.reshape(-1, WIDTH)
-        de = dk @ w["key"].T
-        de += dv @ w["value"].T
-        de[:, back:] += dh + dq @ w["query"].T
+        np.matmul(ds.transpose(0, 2, 1), q, out=dmade[..., :KEY])
+        np.matmul(ds, k, out=dmade[:, back:, KEY + WIDTH :])
+        dmade = dmade.reshape(-1, KEY + WIDTH + KEY)
+        g["key"], g["value"], g["query"] = np.split(flat.T @ dmade, [KEY, KEY + WIDTH], axis=1)
+        g["query"] = g["query"] * scale
+        de = (dmade @ mixing.T).reshape(e.shape)
+        de[:, back:] += dh
         g["embed"] = _scattered(x.ravel(), de.reshape(-1, WIDTH), len(w["embed"]))
         return g
 
 
+def _exponentials(z: np.ndarray) -> np.ndarray | None:
+    """Turns ``z`` into exponentials and gives the sum of each row, or None if one is out of bounds."""
+    with np.errstate(over="ignore"):
+        np.exp(z, out=z)
+        sums = z @ np.ones(z.shape[1], np.float32)
+    return sums if not len(sums) or (sums.min() > FEW and sums.max() < MANY) else None
+
+
+def _softmax(logits: Callable[[], np.ndarray], at: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log probabilities at the places ``at``, and the exponentials and their sums, of which all probabilities are quotients."""
+    z = logits()
+    log = z[at]
+    sums = _exponentials(z)
+    if sums is None:
+        z = logits()
+        z -= z.max(axis=1, keepdims=True)
+        log = z[at]
+        np.exp(z, out=z)
+        sums = z.sum(axis=1)
+    log -= np.log(sums)
+    return log, z, sums
+
+
 def _attention(q: np.ndarray, k: np.ndarray, shift: np.ndarray) -> np.ndarray:
     a = np.matmul(q, k.transpose(0, 2, 1))
     a += shift
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
+    sums = _exponentials(a.reshape(-1, a.shape[2]))
+    if sums is None:
+        a = np.matmul(q, k.transpose(0, 2, 1))
+        a += shift
+        a -= a.max(axis=2, keepdims=True)
+        np.exp(a, out=a)
+        sums = a.sum(axis=2)
+    a *= (1 / sums).reshape(*a.shape[:2], 1)
     return a
 
 
 def _hidden(w: dict[str, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inner = h @ w["enter"]
     inner += w["enter_bias"]
-    on = inner > 0
-    inner *= on
-    return inner, on, h + inner @ w["leave"]
+    np.maximum(inner, 0, out=inner)
+    top = inner @ w["leave"]
+    top += h
+    return inner, inner > 0, top
 
 
 def _scattered(index: np.ndarray, grads: np.ndarray, rows: int) -> np.ndarray:
     """The sum of the gradients of each row."""
     out = np.zeros((rows, grads.shape[1]), np.float32)
+    index = index.astype(np.uint16) if rows < 1 << 16 else index
     order = np.argsort(index, kind="stable")
-    first = np.flatnonzero(np.diff(index[order], prepend=-1))
+    first = np.flatnonzero(np.diff(index[order].astype(np.int64), prepend=-1))
     out[index[order[first]]] = np.add.reduceat(grads[order], first, axis=0)
     return out
 

@@ -263,6 +263,37 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("scale", [1, 30, 1000])
+def test_softmax_of_any_size(scale):
+    draw = np.random.default_rng(4)
+    z = (draw.standard_normal((50, 7)) * scale).astype(np.float32)
+    at = np.arange(50), draw.integers(0, 7, 50)
+    log, exps, sums = attention_lm._softmax(z.copy, at)
+    exact = z.astype(np.float64) - z.max(axis=1, keepdims=True)
+    exact -= np.log(np.exp(exact).sum(axis=1, keepdims=True))
+    assert np.allclose(log, exact[at], rtol=1e-5, atol=1e-5) and np.allclose(exps / sums[:, None], np.exp(exact), atol=1e-6)
+    q, k = draw.standard_normal((2, 3, 4, 5)).astype(np.float32) * np.float32(np.sqrt(scale))
+    a = attention_lm._attention(q, k, np.where(np.tri(4) > 0, 0, -1e9).astype(np.float32))
+    assert np.isfinite(a).all() and np.allclose(a.sum(axis=2), 1, atol=1e-5) and (a[:, np.tri(4) == 0] == 0).all()
+
+
+def test_groups_of_unequal_size_give_the_same_gradients():
+    draw = np.random.default_rng(5)
+    ids, rows = draw.integers(0, 40, 500).astype(np.uint16), np.array([0, 500])
+    model = attention_lm.first_weights(ids, rows, np.bincount(ids, minlength=attention_lm.VOCABULARY))
+    assert len(set(np.diff(model.edges).tolist())) > 1 and (np.diff(model.padded.ravel()[model.padded.ravel() < model.edges[-1]]) == 1).all()
+    y = draw.integers(0, 40, (1, 200))
+    order, goal, cuts = model._sorted(y)
+    w, h = model.weights, draw.standard_normal((200, attention_lm.WIDTH)).astype(np.float32)
+    log, g = model._logs(w, h, goal, cuts, True)
+    for k, (lo, hi) in enumerate(zip(model.edges, model.edges[1:], strict=False)):
+        own = h[cuts[k] : cuts[k + 1]]
+        v = own.astype(float) @ w["within"][lo:hi].T + w["within_bias"][lo:hi]
+        p = np.exp(v - np.log(np.exp(v).sum(axis=1, keepdims=True)))
+        p[np.arange(len(own)), goal[cuts[k] : cuts[k + 1]] - lo] -= 1
+        assert np.allclose(g["within"][lo:hi], p.T @ own / 200, atol=1e-6) and np.allclose(g["within_bias"][lo:hi], p.sum(axis=0) / 200, atol=1e-6)
+
+
 def test_attention_learns_from_all_training_texts(spark, monkeypatch):
     draw = np.random.default_rng(2)
     words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
