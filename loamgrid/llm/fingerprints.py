@@ -2,7 +2,7 @@
 
 A fingerprint is ``PERMUTATIONS`` MinHash values of the text's word n-grams, 16 bits each, as
 hexadecimal digits; the likeness of two fingerprints is the share of equal values, an estimate of
-the Jaccard similarity. The same values, cut into bands, are joined in Spark, and pairs that meet
+the Jaccard similarity. The fingerprint itself, cut into bands, is joined in Spark, and pairs that meet
 are verified on full n-gram sets (see ``near_join``).
 
 ``edited_fingerprints`` also fingerprints each text's edited form, whose last quarter is replaced
@@ -18,11 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .near_join import grouped_runs, linked_sketches, named_links, text_key
-from .shingles import Permutations, band_keys, ngram_hashes, sequence_keys, utf8, word_hashes
+from .shingles import Permutations, ngram_hashes, sequence_keys, utf8, word_hashes
 from .tables import stored
 
 PERMUTATIONS = 128
@@ -33,7 +33,7 @@ SLICE = 512
 
 _PASS = (
     "id long, done boolean, open boolean, head boolean, text string, n_chars long, edited_sha256 string, fp binary, efp binary, "
-    "near_edited double, near_next double, k1 long, k2 long, bands array<long>, n_bytes long, key long"
+    "near_edited double, near_next double, k1 long, k2 long, n_bytes long, key long"
 )
 
 
@@ -61,6 +61,11 @@ def fingerprint_bytes(minima: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in (minima & 0xFFFF).astype(">u2")]
 
 
+def bands_of(fp: str) -> Column:
+    """A 64-bit key for each band of a binary fingerprint; the band's number is part of it."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col(fp), b * (2 * ROWS) + 1, F.lit(2 * ROWS))))
+
+
 def _compared(sketch: Sketcher, texts: list[str], following: list[str], own: np.ndarray, after: np.ndarray) -> dict:
     changed = [edited(t, f) for t, f in zip(texts, following, strict=True)]
     other, _, _ = sketch(changed)
@@ -95,13 +100,13 @@ def _first_pass(n: int):
                 made = pd.DataFrame(
                     _compared(sketch, [texts[lo + i] for i in closed], [texts[lo + i + 1] for i in closed], minima[closed], minima[closed + 1]), index=closed
                 )
-                out = out.join(made)
+                out = out.join(made.drop(columns="fp"))
+                out["fp"] = fingerprint_bytes(own)
                 out["n_chars"] = out["n_chars"].astype("Int64")
-                for c in ("edited_sha256", "fp", "efp"):
+                for c in ("edited_sha256", "efp"):
                     out[c] = out[c].astype(object).where(out[c].notna(), None)
                 out["k1"] = pd.arrays.IntegerArray(one.view(np.int64), none)
                 out["k2"] = pd.arrays.IntegerArray(two.view(np.int64), none)
-                out["bands"] = list(band_keys(own, BANDS, ROWS).view(np.int64))
                 out["n_bytes"] = [len(t.encode()) for t in texts[lo:hi]]
                 out["key"] = pdf["key"].to_numpy()[lo:hi]
                 yield out
@@ -195,10 +200,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cols = ["row", "n_chars", "edited_sha256", "fp", "efp", "near_edited", "near_next"]
     made = first.where("done").select(cols).unionAll(_moved(first.where("NOT done OR head"), n).select(cols))
     real = F.when(F.col("id") != lowest, F.col("id")).alias("id")
-    sig = first.select("row", real, "key", "k1", "k2", "bands", "n_bytes")
+    sig = first.select("row", real, "key", "k1", "k2", bands_of("fp").alias("bands"), "n_bytes")
     lower = given.select("id", "text")
-    links = named_links(linked_sketches(sig, lower, "id", "text", n, threshold))
-    out = made.join(links.select("row", "id", "n_links", "class_id"), "row")
+    links = stored(named_links(linked_sketches(sig, lower, "id", "text", n, threshold)).select("row", "id", "n_links", "class_id"))
+    out = made.join(links, "row")
     return out.select(
         F.col("id").alias(id_col),
         "n_chars",

@@ -23,7 +23,7 @@ meet only through others of their component are verified too.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager
 
 import numpy as np
 import pandas as pd
@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from .components import connected_components
 from .shingles import Permutations, band_keys, distinct_sets, mixed, ngram_hashes, row_slices, sequence_keys, utf8, word_hashes
-from .tables import fresh_name, stored
+from .tables import fresh_name, setting, stored, temporary
 
 #: Members of a component that is verified whole, or of the part of one that meets its first member; and bytes of text.
 WHOLE_ROWS, WHOLE_BYTES = 256, 16 << 20
@@ -333,22 +333,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     return out.drop(key)
 
 
-@contextmanager
-def runtime_filters(spark: SparkSession) -> Iterator[None]:
+def runtime_filters(spark: SparkSession) -> AbstractContextManager[None]:
     """Lets Spark filter the large side of a shuffled join by a Bloom filter of the small one.
 
     Spark itself bounds the filter's size and leaves it out where the small side is too large.
     """
-    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "0")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+    return setting(spark, "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
 
 
 def linked_sketches(sig: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> DataFrame:
@@ -358,27 +348,30 @@ def linked_sketches(sig: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     sequence; ``copies``, rows of it; ``links``, other rows linked; ``component``, the smallest row
     reachable by links. Rows without words are alone.
     """
-    classes = stored(sig.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("row").alias("rep"), F.count("*").alias("copies")))
-    reps = stored(sig.join(classes, ["k1", "k2"]).where("row = rep").select("rep", "copies", "bands", "key", "n_bytes"))
-    keys = reps.select("rep", F.explode("bands").alias("band"))
-    buckets = stored(keys.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band", "low"))
-    with runtime_filters(sig.sparkSession):
-        edges = stored(keys.join(buckets.where("low >= 0"), "band").where("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    near = connected_components(edges)
-
-    text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    texts = docs.select(text_key(F.col(id_col).cast("long"), text).alias("key"), text.alias("text"))
-    named = stored(near.join(reps.select(F.col("rep").alias("id"), "copies", "key", "n_bytes"), "id"))
-    with runtime_filters(sig.sparkSession):
-        members = stored(texts.join(named.where("copies > 0"), "key").dropDuplicates(["id"]).drop("key"))
-    found = stored(verified_links(members, n, threshold))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    groups = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    about = stored(
-        classes.join(links.withColumnRenamed("id", "rep"), "rep", "left")
-        .join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("k1", "k2", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
-    )
+    with temporary() as held:
+        classes = held(sig.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("row").alias("rep"), F.count("*").alias("copies")))
+        with temporary() as brief:
+            reps = brief(sig.join(classes, ["k1", "k2"]).where("row = rep").select("rep", "copies", "bands", "key", "n_bytes"))
+            keys = reps.select("rep", F.explode("bands").alias("band"))
+            buckets = brief(keys.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band", "low"))
+            with runtime_filters(sig.sparkSession):
+                edges = brief(keys.join(buckets.where("low >= 0"), "band").where("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
+            near = connected_components(edges)
+            named = held(near.join(reps.select(F.col("rep").alias("id"), "copies", "key", "n_bytes"), "id"))
+
+        text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+        texts = docs.select(text_key(F.col(id_col).cast("long"), text).alias("key"), text.alias("text"))
+        with temporary() as brief:
+            with runtime_filters(sig.sparkSession):
+                members = brief(texts.join(named.where("copies > 0"), "key").dropDuplicates(["id"]).drop("key"))
+            found = held(verified_links(members, n, threshold))
+        links = found.groupBy("id").agg(F.sum("links").alias("links"))
+        groups = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        about = stored(
+            classes.join(links.withColumnRenamed("id", "rep"), "rep", "left")
+            .join(groups.withColumnRenamed("id", "rep"), "rep", "left")
+            .select("k1", "k2", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
+        )
     return sig.select("row", "id", "key", "k1", "k2").join(about, ["k1", "k2"], "left").select(
         "row",
         "id",

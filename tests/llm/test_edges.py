@@ -1,9 +1,11 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing extra columns."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from loamgrid.llm import fingerprints, html_text, language, lm_scoring, mixing, near_join, packing, quality, sharding, vector_dedup
+from loamgrid.llm import fingerprints, html_text, language, lm_scoring, mixing, near_join, packing, quality, sharding, tables, vector_dedup
 from loamgrid.llm.tables import stored
 
 LONG = "many different words " * 4000
@@ -137,6 +139,25 @@ def test_fingerprints(docs, none):
     assert fingerprints.edited_fingerprints(none).count() == 0
 
 
+def test_fingerprints_leave_no_tables_that_nothing_reads(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(tables, "scratch", lambda s, scratch=tables.scratch: made.append(scratch(s)) or made[-1])
+    text = "one two three four five six seven eight nine ten eleven twelve "
+    docs = spark.createDataFrame([(i, text * 3 + f"tail {i % 5}") for i in range(40)], "doc_id long, text string")
+    rows = fingerprints.edited_fingerprints(docs).collect()
+    assert all((r.class_id, r.n_links) == (0, 39) for r in rows)
+    left = [set(spark.read.parquet(p).columns) for p in made if os.path.isdir(p.removeprefix("file://"))]
+    assert sum("text" in c for c in left) == 1 and not any("bands" in c for c in left)
+    assert len(made) > 10 and len(left) < len(made)
+
+
+def test_keys_of_bands(spark):
+    same, other = bytes(256), bytes(12) + b"1" * 12 + bytes(232)
+    rows = spark.createDataFrame([(same,), (other,)], "fp binary").select(fingerprints.bands_of("fp").alias("k")).collect()
+    assert [len(set(r.k)) for r in rows] == [fingerprints.BANDS] * 2
+    assert [a == b for a, b in zip(*(r.k for r in rows), strict=True)] == [b != 1 for b in range(fingerprints.BANDS)]
+
+
 def test_html(spark):
     pages = spark.createDataFrame(
         [(1, "u", None), (2, None, ""), (3, "u", "plain &amp; simple"), (3, "u", "plain &amp; simple"), (None, "u", "<p>a<p>b</b>"), (4, "u", "<div>" * 3000 + "deep")],
