@@ -10,12 +10,14 @@ probabilities of all ids sum to one.
 
 A text is scored in windows of 2 * ``CONTEXT`` ids that overlap by half: the first half of a window
 is context, the second half is scored, so each id is scored exactly once. Windows are batched, with
-one causal mask.
+one causal mask. The steps of a batch go over blocks of it that a core's cache holds, first over
+blocks of windows, then over blocks of targets in the order of their groups.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,7 +30,9 @@ START, END = 49_406, 49_407
 #: Neighbouring ids that tell groups apart.
 NEIGHBOURS = 256
 #: Windows scored at a time.
-WINDOWS = 512
+WINDOWS = 1024
+#: Inputs or targets of a block, about, and weights of a block of the optimiser: what lies in a core's cache together.
+BLOCK, WEIGHT_BLOCK = 2048, 1 << 14
 #: Ids of context before the targets of a window that is learned from.
 TRAIN_BACK = 0
 #: Windows of a step, its rate, and passes over the sample that gives the first weights.
@@ -39,6 +43,7 @@ SHARD_BATCH, SHARD_RATE = 256, 0.004
 FEW, MANY = 1e-20, 1e20
 
 
+@functools.cache
 def _mask(back: int) -> tuple[np.ndarray, np.ndarray]:
     """Distances of the inputs before each target of a window with ``back`` ids of context, and what hides later ones."""
     ahead = np.arange(back, 2 * CONTEXT)[:, None] - np.arange(2 * CONTEXT)[None, :]
@@ -139,117 +144,179 @@ class Model:
 
     def score(self, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """log10 probability of each text, its end included."""
-        w = self.weights
+        w, output = self.weights, _Output.of(self.weights)
         total = np.zeros(len(rows) - 1)
-        queries = (w["embed"] @ w["query"]) / np.float32(np.sqrt(KEY))
-        keys, values = w["embed"] @ w["key"], w["embed"] @ w["value"]
+        asking = np.concatenate([(w["embed"] @ w["query"]) / np.float32(np.sqrt(KEY)), w["embed"]], axis=1)
+        asked = np.concatenate([w["embed"] @ w["key"], w["embed"] @ w["value"]], axis=1)
         distance, hidden = _mask(CONTEXT)
         shift = w["bias"][distance] + hidden
         count = int(window_count(rows).sum())
         for lo in range(0, count, WINDOWS):
             given, target, owner = windows(ids, rows, np.arange(lo, min(count, lo + WINDOWS)))
-            x = self.slot[given]
-            last = x[:, CONTEXT:]
-            h = np.matmul(_attention(queries[last], keys[x], shift), values[x])
-            h += w["embed"][last]
+            x = self.slot.take(given)
+            h = np.empty((*target.shape, WIDTH), np.float32)
+            for i, j in _window_blocks(x):
+                q, kv = asking.take(x[i:j, CONTEXT:], axis=0), asked.take(x[i:j], axis=0)
+                np.matmul(_attention(q[..., :KEY], kv[..., :KEY], shift), kv[..., KEY:], out=h[i:j])
+                h[i:j] += q[..., KEY:]
             order, goal, cuts = self._sorted(target)
-            log, _ = self._logs(w, _hidden(w, h.reshape(-1, WIDTH).take(order, axis=0))[2], goal, cuts)
+            h = h.reshape(-1, WIDTH)
+            log = np.empty(len(order))
+            for i, j in _target_blocks(cuts):
+                top = _hidden(w, h.take(order[i:j], axis=0))[2]
+                log[i:j] = self._logs(w, top, goal[i:j], cuts.clip(i, j) - i, output=output)[0]
             log = log / np.log(10) + np.where(goal == len(self.group_of) - 1, self.spare, 0)
-            total += np.bincount(np.repeat(owner, CONTEXT)[order], log, len(total))
+            total += np.bincount(owner.take(order // CONTEXT), log, len(total))
         return total
 
     def _sorted(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of real targets in the order of their groups, their rows, and where each group starts."""
         y = target.ravel()
         # Short integers, which a radix sort takes.
-        row = np.where(y >= 0, self.slot[y], np.int32(len(self.group_of))).astype(np.uint16)
+        row = np.where(y >= 0, self.slot.take(y, mode="clip"), np.int32(len(self.group_of))).astype(np.uint16)
         order = np.argsort(row, kind="stable")
         order = order[: len(order) - int((y < 0).sum())]
         goal = row[order].astype(np.int64)
         return order, goal, np.searchsorted(goal, self.edges)
 
-    def _logs(self, w: dict[str, np.ndarray], h: np.ndarray, goal: np.ndarray, cuts: np.ndarray, learn: bool = False) -> tuple[np.ndarray, dict | None]:
-        """Natural log probability of each target's row, in the order of groups; with ``learn`` the gradients too, that of ``h`` as ``h``."""
+    def _logs(
+        self, w: dict[str, np.ndarray], h: np.ndarray, goal: np.ndarray, cuts: np.ndarray, learn: bool = False, output: _Output | None = None, total: int | None = None
+    ) -> tuple[np.ndarray, dict | None]:
+        """Natural log probability of each target's row, in the order of groups; with ``learn`` the gradients too, that of ``h`` as ``h``.
+
+        Of a block of ``total`` targets, ``output`` holds the layer's weights and the sums of its gradients.
+        """
         n = len(h)
-        counted, group = np.arange(n), self.group_of[goal]
+        output = output or _Output.of(w)
+        counted, group = np.arange(n), self.group_of.take(goal)
         filled = np.flatnonzero(np.diff(cuts)).tolist()
-        at, own = (counted, group), (counted, goal - self.edges[group])
-        # Groups are padded to one width, so that all but the products are done for all of them at once.
-        rows = np.zeros((len(w["within"]) + 1, WIDTH + 1), np.float32)
-        rows[:-1, :WIDTH], rows[:-1, WIDTH], rows[-1, WIDTH] = w["within"], w["within_bias"], -1e9
-        laid = rows.take(self.padded, axis=0)
-        h1 = np.ones((n, WIDTH + 1), np.float32)
+        # The block's groups are padded to one width, so that all but the products are done for all of them at once.
+        low, high = (filled[0], filled[-1] + 1) if filled else (0, 0)
+        width = int(np.diff(self.edges[low : high + 1]).max(initial=0))
+        padded = self.padded[low:high, :width]
+        laid = output.within.take(padded, axis=0)
+        at, own = (counted, group), (counted, goal - self.edges.take(group))
+        h1 = np.ones((n, WIDTH + 1), output.top.dtype)
         h1[:, :WIDTH] = h
 
         def inside() -> np.ndarray:
-            out = np.empty((n, laid.shape[1]), np.float32)
+            out = np.empty((n, width), h1.dtype)
             for k in filled:
-                np.matmul(h1[cuts[k] : cuts[k + 1]], laid[k].T, out=out[cuts[k] : cuts[k + 1]])
+                np.matmul(h1[cuts[k] : cuts[k + 1]], laid[k - low].T, out=out[cuts[k] : cuts[k + 1]])
             return out
 
-        log, z, top_sums = _softmax(lambda: h @ w["group"] + w["group_bias"], at)
+        log, z, top_sums = _softmax(lambda: h1 @ output.top, at)
         chosen, v, sums = _softmax(inside, own)
         log += chosen
         if not learn:
             return log, None
-        part = np.float32(1 / max(1, n))
+        part = z.dtype.type(1 / max(1, n if total is None else total))
         z *= (part / top_sums)[:, None]
         z[at] -= part
         v *= (part / sums)[:, None]
         v[own] -= part
-        moved, dh = np.zeros_like(laid), np.empty((n, WIDTH), np.float32)
+        moved, dh = np.zeros_like(laid), np.empty((n, WIDTH), h1.dtype)
         for k in filled:
             i, j = cuts[k], cuts[k + 1]
-            np.matmul(v[i:j].T, h1[i:j], out=moved[k])
-            np.matmul(v[i:j], laid[k, :, :WIDTH], out=dh[i:j])
-        dh += z @ w["group"].T
-        within = moved[self.padded < len(w["within"])]
-        g = {"group": h.T @ z, "group_bias": z.sum(axis=0), "h": dh, "within": np.ascontiguousarray(within[:, :WIDTH]), "within_bias": within[:, WIDTH].copy()}
-        return log, g
+            np.matmul(v[i:j].T, h1[i:j], out=moved[k - low])
+            np.matmul(v[i:j], laid[k - low, :, :WIDTH], out=dh[i:j])
+        dh += z @ output.top[:WIDTH].T
+        output.top_sum += h1.T @ z
+        output.within_sum[self.edges[low] : self.edges[high]] += moved[padded < self.edges[-1]]
+        return log, output.gradients() | {"h": dh}
 
     def gradients(self, w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean loss over a batch's targets (rows ``x`` and ids ``y``)."""
         back = x.shape[1] - y.shape[1]
         distance, hidden = _mask(back)
+        shift = w["bias"][distance] + hidden
         scale = np.float32(1 / np.sqrt(KEY))
-        # All rows go through one product; stacks of small ones would be multiplied one by one.
+        # All rows of a block go through one product; stacks of small ones would be multiplied one by one.
         mixing = np.concatenate([w["key"], w["value"], w["query"] * scale], axis=1)
-        e = w["embed"].take(x, axis=0)
-        flat = e.reshape(-1, WIDTH)
-        made = (flat @ mixing).reshape(*x.shape, -1)
-        k, v, q = made[..., :KEY], made[..., KEY : KEY + WIDTH], made[:, back:, KEY + WIDTH :]
-        a = _attention(q, k, w["bias"][distance] + hidden)
-        h = np.matmul(a, v)
-        h += e[:, back:]
-        h = h.reshape(-1, WIDTH)
+        h, held = np.empty((*y.shape, WIDTH), mixing.dtype), []
+        for i, j in _window_blocks(x):
+            e = w["embed"].take(x[i:j], axis=0)
+            made = (e.reshape(-1, WIDTH) @ mixing).reshape(*e.shape[:2], -1)
+            a = _attention(made[:, back:, KEY + WIDTH :], made[..., :KEY], shift)
+            np.matmul(a, made[..., KEY : KEY + WIDTH], out=h[i:j])
+            h[i:j] += e[:, back:]
+            held.append((e, made, a))
+
         order, goal, cuts = self._sorted(y)
-        h = h.take(order, axis=0)
-        inner, on, top = _hidden(w, h)
-        _, g = self._logs(w, top, goal, cuts, True)
-        dtop = g.pop("h")
-        dinner = dtop @ w["leave"].T
-        dinner *= on.astype(np.float32)
-        g["leave"], g["enter"], g["enter_bias"] = inner.T @ dtop, h.T @ dinner, dinner.sum(axis=0)
-        dh = np.zeros((y.size, WIDTH), np.float32)
-        dh[order] = dtop + dinner @ w["enter"].T
+        h, dh = h.reshape(-1, WIDTH), np.zeros((y.size, WIDTH), mixing.dtype)
+        output, g = _Output.of(w), {k: np.zeros_like(w[k]) for k in ("enter", "enter_bias", "leave")}
+        for i, j in _target_blocks(cuts):
+            own = h.take(order[i:j], axis=0)
+            inner, on, top = _hidden(w, own)
+            dtop = self._logs(w, top, goal[i:j], cuts.clip(i, j) - i, True, output, len(order))[1]["h"]
+            dinner = dtop @ w["leave"].T
+            dinner *= on
+            g["leave"] += inner.T @ dtop
+            g["enter"] += own.T @ dinner
+            g["enter_bias"] += np.ones(j - i, dinner.dtype) @ dinner
+            dtop += dinner @ w["enter"].T
+            dh[order[i:j]] = dtop
+        g |= output.gradients()
+
         dh = dh.reshape(*y.shape, WIDTH)
-        ds = np.matmul(dh, v.transpose(0, 2, 1))
-        dmade = np.zeros_like(made)
-        np.matmul(a.transpose(0, 2, 1), dh, out=dmade[..., KEY : KEY + WIDTH])
-        ds -= np.einsum("bij,bij->bi", ds, a)[:, :, None]
-        ds *= a
-        g["bias"] = np.bincount(distance.ravel(), ds.sum(axis=0).ravel(), 2 * CONTEXT).astype(np.float32)
-        np.matmul(ds.transpose(0, 2, 1), q, out=dmade[..., :KEY])
-        np.matmul(ds, k, out=dmade[:, back:, KEY + WIDTH :])
-        dmade = dmade.reshape(-1, KEY + WIDTH + KEY)
-        g["key"], g["value"], g["query"] = np.split(flat.T @ dmade, [KEY, KEY + WIDTH], axis=1)
+        de, dmixing, dshift = np.empty((*x.shape, WIDTH), mixing.dtype), np.zeros_like(mixing), np.zeros_like(shift)
+        for (i, j), (e, made, a) in zip(_window_blocks(x), held, strict=True):
+            k, v, q = made[..., :KEY], made[..., KEY : KEY + WIDTH], made[:, back:, KEY + WIDTH :]
+            dmade = np.zeros_like(made) if back else np.empty_like(made)
+            ds = np.matmul(dh[i:j], v.transpose(0, 2, 1))
+            np.matmul(a.transpose(0, 2, 1), dh[i:j], out=dmade[..., KEY : KEY + WIDTH])
+            ds -= np.einsum("bij,bij->bi", ds, a)[:, :, None]
+            ds *= a
+            dshift += ds.sum(axis=0)
+            np.matmul(ds.transpose(0, 2, 1), q, out=dmade[..., :KEY])
+            np.matmul(ds, k, out=dmade[:, back:, KEY + WIDTH :])
+            dmade = dmade.reshape(-1, KEY + WIDTH + KEY)
+            dmixing += e.reshape(-1, WIDTH).T @ dmade
+            np.matmul(dmade, mixing.T, out=de[i:j].reshape(-1, WIDTH))
+            de[i:j, back:] += dh[i:j]
+        g["bias"] = np.bincount(distance.ravel(), dshift.ravel(), 2 * CONTEXT).astype(np.float32)
+        g["key"], g["value"], g["query"] = np.split(dmixing, [KEY, KEY + WIDTH], axis=1)
         g["query"] = g["query"] * scale
-        de = (dmade @ mixing.T).reshape(e.shape)
-        de[:, back:] += dh
         g["embed"] = _scattered(x.ravel(), de.reshape(-1, WIDTH), len(w["embed"]))
         return g
 
 
+@dataclass
+class _Output:
+    """Weights of the output layer with their biases, as its products take them, and the sums of their gradients."""
+
+    top: np.ndarray
+    within: np.ndarray  # the last row is that beyond a group's end
+    top_sum: np.ndarray
+    within_sum: np.ndarray
+
+    @classmethod
+    def of(cls, w: dict[str, np.ndarray]) -> _Output:
+        top = np.concatenate([w["group"], w["group_bias"][None, :]])
+        within = np.zeros((len(w["within"]) + 1, WIDTH + 1), top.dtype)
+        within[:-1, :WIDTH], within[:-1, WIDTH], within[-1, WIDTH] = w["within"], w["within_bias"], -1e9
+        return cls(top, within, np.zeros_like(top), np.zeros_like(within[:-1]))
+
+    def gradients(self) -> dict[str, np.ndarray]:
+        top, within = self.top_sum, self.within_sum
+        return {"group": top[:WIDTH], "group_bias": top[WIDTH], "within": within[:, :WIDTH], "within_bias": within[:, WIDTH]}
+
+
+def _window_blocks(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    step = max(1, BLOCK // x.shape[1])
+    return ((i, min(len(x), i + step)) for i in range(0, len(x), step))
+
+
+def _target_blocks(cuts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of about ``BLOCK`` targets that hold whole groups."""
+    i = int(cuts[0])
+    while i < cuts[-1]:
+        j = int(cuts[np.searchsorted(cuts, i + BLOCK, "right") - 1])
+        j = j if j > i else int(cuts[np.searchsorted(cuts, i, "right")])
+        yield i, j
+        i = j
+
+
 def _exponentials(z: np.ndarray) -> np.ndarray | None:
     """Turns ``z`` into exponentials and gives the sum of each row, or None if one is out of bounds."""
     with np.errstate(over="ignore"):
@@ -302,7 +369,7 @@ def _scattered(index: np.ndarray, grads: np.ndarray, rows: int) -> np.ndarray:
     index = index.astype(np.uint16) if rows < 1 << 16 else index
     order = np.argsort(index, kind="stable")
     first = np.flatnonzero(np.diff(index[order].astype(np.int64), prepend=-1))
-    out[index[order[first]]] = np.add.reduceat(grads[order], first, axis=0)
+    out[index[order[first]]] = np.add.reduceat(grads.take(order, axis=0), first, axis=0)
     return out
 
 
@@ -314,12 +381,26 @@ class Adam:
 
     def step(self, grads: dict[str, np.ndarray], rate: float) -> None:
         self.steps += 1
-        one, two = np.float32(1 - 0.9**self.steps), np.float32(1 - 0.99**self.steps)
-        for name, w in self.weights.items():
-            g, slow, fast = grads[name], self.slow[name], self.fast[name]
-            slow += np.float32(0.1) * (g - slow)
-            fast += np.float32(0.01) * (g * g - fast)
-            w -= np.float32(rate) * (slow / one) / (np.sqrt(fast / two) + np.float32(1e-8))
+        one, two = 1 - 0.9**self.steps, np.sqrt(1 - 0.99**self.steps)
+        least, rate = np.float32(1e-8 * two), np.float32(rate * two / one)
+        spare = np.empty(WEIGHT_BLOCK, np.float32)
+        for name, weight in self.weights.items():
+            own = [v.reshape(-1) for v in (weight, grads[name], self.slow[name], self.fast[name])]
+            for lo in range(0, weight.size, WEIGHT_BLOCK):
+                w, g, slow, fast = (v[lo : lo + WEIGHT_BLOCK] for v in own)
+                t = spare[: len(w)]
+                np.subtract(g, slow, out=t)
+                t *= np.float32(0.1)
+                slow += t
+                np.multiply(g, g, out=t)
+                t -= fast
+                t *= np.float32(0.01)
+                fast += t
+                np.sqrt(fast, out=t)
+                t += least
+                np.divide(slow, t, out=t)
+                t *= rate
+                w -= t
 
 
 def first_weights(ids: np.ndarray, rows: np.ndarray, counts: np.ndarray, seed: int = 3) -> Model:

@@ -294,6 +294,21 @@ def test_groups_of_unequal_size_give_the_same_gradients():
         assert np.allclose(g["within"][lo:hi], p.T @ own / 200, atol=1e-6) and np.allclose(g["within_bias"][lo:hi], p.sum(axis=0) / 200, atol=1e-6)
 
 
+def test_blocks_of_any_size_give_the_same_results(monkeypatch):
+    draw = np.random.default_rng(7)
+    ids, rows = draw.integers(0, 300, 6000).astype(np.uint16) ** 2 % 300, np.array([0, 0, 2500, 2501, 6000])
+    model = attention_lm.first_weights(ids, rows, np.bincount(ids, minlength=attention_lm.VOCABULARY))
+    for back in (0, attention_lm.CONTEXT):
+        given, target, _ = attention_lm.windows(ids, rows, np.arange(attention_lm.window_count(rows, back).sum()), back)
+        got = []
+        for block in (1, 100, 1 << 20):
+            monkeypatch.setattr(attention_lm, "BLOCK", block)
+            got.append((model.gradients(model.weights, model.slot[given], target), model.score(ids, rows)))
+        for grads, score in got[1:]:
+            assert np.allclose(score, got[0][1], rtol=1e-5)
+            assert all(np.allclose(grads[k], got[0][0][k], rtol=1e-3, atol=1e-6) for k in attention_lm.WEIGHTS)
+
+
 def test_attention_learns_from_all_training_texts(spark, monkeypatch):
     draw = np.random.default_rng(2)
     words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
